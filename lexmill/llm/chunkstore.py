@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import free_shuffles, materialize, utf8_len
+from lexmill.llm.common import prepare, materialize, utf8_len
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 2048, 12, 65536
@@ -203,7 +203,7 @@ def rebuilt(recipes: DataFrame, store: DataFrame, dictionary: bytes) -> DataFram
 
 def media_columns(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """Payload and stored-form columns for every row of docs, read back from the store."""
-    free_shuffles(spark)
+    prepare(spark)
     store, recipes, dictionary = store_and_recipes(spark, docs, text)
     features = materialize(spark, rebuilt(recipes, store, dictionary), "media")
     keys = docs.select("doc_id", utf8_len(F.col(text)).alias("n_bytes"), F.unhex(F.sha2(payload_of(F.col(text)), 256)).alias("media"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import bucket_of, order_bounds
+from lexmill.llm.common import bucket_of, order_bounds, prepare
 from lexmill.llm.textfeat import EXACT, Words, slices
 
 EQUAL_LANES, LIKE_LANES, RUN = 8, 256, 3
@@ -173,4 +173,5 @@ def neighbours(docs: DataFrame, rows_per_bucket: int = 2048) -> DataFrame:
 
 def document_fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next for every row of docs."""
+    prepare(spark)
     return neighbours(docs).mapInArrow(walk, OUT_SQL)

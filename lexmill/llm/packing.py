@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import prepare
 from lexmill.llm.mixing import token_count
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -133,6 +134,7 @@ def pack(
     key: str = "doc_id",
 ) -> DataFrame:
     """A row for each piece: where it lies in its document and in which sequence, with the sequence's length."""
+    prepare(docs.sparkSession)
     capacities = tuple(sorted(capacities))
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), (token_count(F.col("text")) if tokens is None else tokens).alias("tokens"))
     blocks = max(1, math.ceil(docs.count() / block_rows))

@@ -1,5 +1,406 @@
-"""N-gram Jaccard join by PartEnum signatures (to come)."""
+"""N-gram Jaccard join by PartEnum signatures, and its connected components.
 
+A document's set is its distinct word shingles. Sets of a Jaccard similarity of at
+least num / den differ in at most k features, where k follows from their sizes.
+Sizes are cut into bands; the instance of a band serves all pairs whose larger set
+lies in it. An instance deals the feature domain to n1 x n2 partitions with
+n1 * (k2 + 1) > k: by the pigeonhole principle two similar sets differ in at most k2
+of the n2 parts of some first-level partition, so they agree on a subset of
+n2 - k2 parts. Every such subset gives a signature (an order-free hash of the
+features in it), and similar sets share one. Here k2 is 0 or 1, and the shape is
+the one of fewest signatures that hold FEATURES_EACH features on average.
 
-def components(spark, docs):
-    raise NotImplementedError
+Only texts whose sets are different are joined: equal sets form a class, whatever
+the number of copies. Members of a signature are not paired with all others:
+
+1. Members are chained in two orders; neighbours in a chain are verified.
+2. Verified links give components.
+3. Where a signature still has members of several components, the pairs between
+   different components that were not verified yet are verified too, all of them,
+   so that no link is lost; pairs inside a component can't change it.
+
+Verification compares whole shingle sets. Links and components stay in tables.
+
+Nulls: a null text has no shingles and, like a text without words, is linked with
+nothing; rows with a null id belong to classes like others, and the smallest id
+leaves them out. Repeated ids are judged row by row. Empty input gives an empty
+result; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm.common import discard, prepare, materialize
+from lexmill.llm.textfeat import Words, mix, slices
+
+FEATURES_EACH = 5
+BAND_RATIO = 1.4
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@lru_cache
+def bands(upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest set size of each band, for sizes up to `upto` at least."""
+    lows, highs, low = [], [], 1
+    while True:
+        high = max(low, math.floor(low * BAND_RATIO))
+        lows.append(low)
+        highs.append(high)
+        if high >= upto:
+            return np.array(lows), np.array(highs)
+        low = high + 1
+
+
+def distance(high: int, num: int, den: int) -> int:
+    """The most features that two similar sets of at most `high` features can differ in."""
+    return (den - num) * 2 * high // (den + num)
+
+
+@lru_cache
+def shape(low: int, high: int, num: int, den: int) -> tuple[int, int]:
+    """(n1, n2) of the instance of a band; k2 is 1 if n2 is over 1, else 0."""
+    k = distance(high, num, den)
+    least = -(-low * num // den)
+    found = [(k + 1, 1), *((-(-(k + 1) // 2), n2) for n2 in (2, 3, 4))] if k else [(1, 1)]
+    each = lambda n1, n2: least * (n2 - (n2 > 1)) / (n1 * n2)
+    rich = [s for s in found if each(*s) >= FEATURES_EACH]
+    return min(rich, key=lambda s: s[0] * s[1]) if rich else max(found, key=lambda s: each(*s))
+
+
+def sets_of(texts: list[bytes], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For ranges of texts: first, end, the distinct shingles' hashes by text, and their bounds."""
+    for at, to in slices(texts):
+        grams, owner = Words(texts[at:to]).grams(width)
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        if len(grams):
+            fresh = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]
+            grams, owner = grams[fresh], owner[fresh]
+        yield at, to, grams, np.searchsorted(owner, np.arange(to - at + 1))
+
+
+def sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[cuts[1:]] - total[cuts[:-1]]
+
+
+def identities(grams: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each set."""
+    return mix(sums(mix(grams), cuts)).view(np.int64), mix(sums(mix(grams ^ SECOND), cuts)).view(np.int64)
+
+
+META = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("twin", pa.int64()), ("n_shingles", pa.int64())])
+
+
+def describe(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            sid, twin, n = (np.zeros(len(texts), np.int64) for _ in range(3))
+            for at, to, grams, cuts in sets_of(texts, width):
+                sid[at:to], twin[at:to] = identities(grams, cuts)
+                n[at:to] = np.diff(cuts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid), pa.array(twin), pa.array(n)], schema=META)
+
+    return run
+
+
+def signatures(grams: np.ndarray, cuts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of some sets, and the number of the set that each belongs to."""
+    n = np.diff(cuts)
+    filled = np.flatnonzero(n)
+    if not len(filled):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lows, highs = bands(int(n.max()) * 2)
+    spread = mix(grams)
+    own = np.searchsorted(highs, n)
+    out, owners = [], []
+    shift = 0
+    while True:
+        band = own + shift
+        sets = filled[n[filled] * den >= lows[np.minimum(band[filled], len(lows) - 1)] * num]
+        if not len(sets):
+            return np.concatenate(out), np.concatenate(owners)
+        b = band[sets]
+        shapes = np.array([shape(int(lows[x]), int(highs[x]), num, den) for x in range(len(lows))])
+        n1, n2 = shapes[b].T
+        parts = n1 * n2
+        base = np.r_[0, np.cumsum(parts)]
+        # all features of these sets, each with its set's place
+        size = n[sets]
+        place = np.repeat(np.arange(len(sets)), size)
+        at = np.repeat(cuts[sets], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        cell = base[place] + ((grams[at] >> np.uint64(8)) % parts[place].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        bounds = np.searchsorted(cell[order], np.arange(base[-1] + 1))
+        part = sums(spread[at][order], bounds)
+        owner = np.repeat(np.arange(len(sets)), parts)
+        local = np.arange(base[-1]) - base[owner]
+        # a first-level partition is n2 parts in a row; leaving one part out is its total less that part
+        width = n2[owner]
+        total = np.r_[np.uint64(0), np.cumsum(part)]
+        start = base[owner] + local // width * width
+        rest = np.where(width > 1, total[start + width] - total[start] - part, part)
+        tag = mix((b[owner].astype(np.uint64) << np.uint64(40)) + local.astype(np.uint64))
+        out.append(mix(rest + tag))
+        owners.append(sets[owner])
+        shift += 1
+
+
+SIGNED = pa.schema([("sig", pa.int64()), ("sid", pa.int64())])
+
+
+def sign(width: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in one task are signed once
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
+            for _, _, grams, cuts in sets_of(texts, width):
+                sid, _ = identities(grams, cuts)
+                new = np.zeros(len(sid), bool)
+                for i, s in enumerate(sid.tolist()):
+                    if s not in seen:
+                        seen.add(s)
+                        new[i] = True
+                sig, owner = signatures(grams, cuts, num, den)
+                keep = new[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(sid[owner[keep]])], schema=SIGNED)
+
+    return run
+
+
+CHAINED = pa.schema([("sig", pa.int64()), ("sid", pa.int64()), ("before", pa.int64()), ("before2", pa.int64())])
+#: Members of a signature that are put in the second order at a time.
+WINDOW = 1024
+
+
+def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of more than one set, each member with its neighbours; rows are sorted by sig, sid."""
+    sig0 = np.zeros(0, np.int64)
+    sid0 = np.zeros(0, np.int64)
+    open_sig = open_sid = None  # the last row of what was given out, if its signature may go on
+
+    def give(sig: np.ndarray, sid: np.ndarray) -> pa.RecordBatch | None:
+        nonlocal open_sig, open_sid
+        if not len(sig):
+            return None
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])]
+        if sig[0] == open_sig and sid[0] == open_sid:
+            fresh[0] = False
+        sig, sid = sig[fresh], sid[fresh]
+        if not len(sig):
+            return None
+        before = np.r_[0, sid[:-1]]
+        linked = np.r_[False, sig[1:] == sig[:-1]]
+        if sig[0] == open_sig:
+            before[0], linked[0] = open_sid, True
+        many = linked | np.r_[linked[1:], False]
+        # the second order, inside windows, takes the members by a hash of theirs
+        window = np.arange(len(sig)) // WINDOW
+        order = np.lexsort((mix(sid.view(np.uint64)), window, sig))
+        second = np.zeros(len(sid), np.int64)
+        second_on = np.zeros(len(sid), bool)
+        same = (sig[order][1:] == sig[order][:-1]) & (window[order][1:] == window[order][:-1])
+        second[order[1:][same]] = sid[order[:-1][same]]
+        second_on[order[1:][same]] = True
+        open_sig, open_sid = int(sig[-1]), int(sid[-1])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(sig[many]),
+                pa.array(sid[many]),
+                pa.array(before[many], mask=~linked[many]),
+                pa.array(second[many], mask=~second_on[many]),
+            ],
+            schema=CHAINED,
+        )
+
+    for batch in batches:
+        sig = np.r_[sig0, batch.column(0).to_numpy()]
+        sid = np.r_[sid0, batch.column(1).to_numpy()]
+        # the last signature's rows wait for the next batch, unless they are very many
+        earlier = np.flatnonzero(sig != sig[-1])
+        last = int(earlier[-1]) + 1 if len(earlier) else 0
+        if last == 0 and len(sig) > 1 << 20:
+            last = len(sig) - 1
+        out = give(sig[:last], sid[:last])
+        if out is not None:
+            yield out
+        sig0, sid0 = sig[last:], sid[last:]
+    out = give(sig0, sid0)
+    if out is not None:
+        yield out
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def verify(width: int, num: int, den: int):
+    """Links between classes: rows are sorted by key, the header (member null) first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads = None, []
+        for batch in batches:
+            a, b = [], []
+            keys, members, classes, texts = (batch.column(i).to_pylist() for i in range(4))
+            sets: list[np.ndarray] = []
+            for _, _, grams, cuts in sets_of([t.encode() for t in texts], width):
+                sets += [grams[cuts[i] : cuts[i + 1]] for i in range(len(cuts) - 1)]
+            for k, member, cls, x in zip(keys, members, classes, sets, strict=True):
+                if k != key:
+                    key, heads = k, []
+                if member is None:
+                    heads.append((cls, x.copy()))
+                    continue
+                for other, y in heads:
+                    low, high = sorted((len(x), len(y)))
+                    if low * den < num * high:
+                        continue
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * same >= num * (len(x) + len(y) - same):
+                        a.append(min(cls, other))
+                        b.append(max(cls, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+    return run
+
+
+def links_of(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) between classes, from pairs (a, b) of set hashes and texts (sid, cls, text)."""
+    heads = pairs.select("a").distinct().join(texts, F.col("a") == F.col("sid"))
+    members = pairs.join(texts, F.col("b") == F.col("sid"))
+    rows = heads.select("a", F.lit(None).cast("long").alias("b"), "cls", "text").unionByName(members.select("a", "b", "cls", "text"))
+    rows = rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(verify(width, num, den), "a long, b long")
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges with the same components: each node of a task with its least node; flushed in parts of bounded size."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def give() -> pa.RecordBatch:
+        rows = [(r, x) for x in parent if (r := find(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=LINKS)
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > 1_000_000:
+            yield give()
+    yield give()
+
+
+def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(node, label) with the least node reachable, for every node of links (a, b); all state is in tables."""
+    edges = materialize(spark, links.select("a", "b").mapInArrow(stars, "a long, b long").distinct(), "edges")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = materialize(spark, labels, "labels")
+    while True:
+        told = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        # what a node's label has become is a shorter way than the node's own links
+        ahead = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        jumped = labels.join(ahead, F.col("label") == F.col("_n")).select("node", F.col("_l").alias("label"), F.lit(None).cast("long").alias("old"))
+        new = own.unionByName(told).unionByName(jumped).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        new = materialize(spark, new, "labels")
+        changed = new.where("label < old").limit(1).count()
+        discard(spark, labels)
+        if not changed:
+            return new.select("node", "label")
+        labels = new.drop("old")
+        labels._lexmill_path = new._lexmill_path
+
+
+def classes_of(meta: DataFrame) -> DataFrame:
+    return meta.groupBy("sid", "twin", "n_shingles").agg(F.min("doc_id").alias("cls"))
+
+
+def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least id reachable by links) for every row of docs."""
+    prepare(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    meta = materialize(spark, rows.mapInArrow(describe(width), "doc_id long, sid long, twin long, n_shingles long"), "sets")
+    classes = materialize(spark, classes_of(meta.where("n_shingles > 0")).where("cls is not null"), "classes")
+
+    signed = rows.select("text").mapInArrow(sign(width, num, den), "sig long, sid long")
+    members = signed.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(chain, "sig long, sid long, before long, before2 long")
+    members = materialize(spark, members, "members")
+
+    # texts of one document for each class that shares a signature
+    nodes = members.select("sid").distinct().join(classes, "sid").select("sid", "cls")
+    texts = rows.where("doc_id is not null").join(nodes, F.col("doc_id") == F.col("cls")).select("sid", "cls", "text")
+    # rows that repeat an id may hold other texts, which their set's hash tells apart
+    texts = materialize(spark, own_texts(texts, width), "texts")
+
+    chains = members.select(F.explode(F.array("before", "before2")).alias("a"), F.col("sid").alias("b")).where("a is not null")
+    pairs = chains.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(spark, pairs, "pairs")
+    links = materialize(spark, links_of(pairs, texts, width, num, den).distinct(), "links")
+    labels = connected(spark, links)
+
+    # what the chains left open: members of one signature in different components
+    of_set = classes.join(labels, F.col("cls") == F.col("node"), "left").groupBy("sid").agg(
+        F.min(F.coalesce("label", "cls")).alias("label"), F.max("n_shingles").alias("most"), F.min("n_shingles").alias("least")
+    )
+    of_set = materialize(spark, of_set, "set-labels")
+    placed = members.select("sig", "sid").join(of_set, "sid")
+    split = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    split = materialize(spark, placed.join(split, "sig", "left_semi"), "split")
+    left, right = split.alias("l"), split.alias("r")
+    sized = (F.col("l.most") * den >= F.col("r.least") * num) & (F.col("r.most") * den >= F.col("l.least") * num)
+    rest = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.label") != F.col("r.label")) & sized)
+    rest = rest.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = materialize(spark, rest, "rest")
+    more = materialize(spark, links_of(rest, texts, width, num, den).distinct(), "links")
+    if more.limit(1).count():
+        labels = connected(spark, links.unionByName(more))
+
+    final = classes.join(labels, F.col("cls") == F.col("node"), "left").select("sid", "twin", F.coalesce("label", "cls").alias("label"))
+    final = materialize(spark, final, "components")
+    out = meta.join(final, ["sid", "twin"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def own_texts(texts: DataFrame, width: int) -> DataFrame:
+    """The rows whose text has the set hash that they are filed under."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids = np.concatenate(
+                [np.zeros(0, np.int64)] + [identities(g, c)[0] for _, _, g, c in sets_of([(t or "").encode() for t in batch.column(2).to_pylist()], width)]
+            )
+            yield batch.filter(pa.array(sids == batch.column(0).to_numpy()))
+
+    return texts.mapInArrow(run, "sid long, cls long, text string")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs' own columns, one row of each component: that of the least id; rows with a null id or no words stay."""
+    found = components(spark, docs, width, num, den)
+    # of rows that repeat an id, the first by text stays
+    gone = found.where("n_shingles > 0 and doc_id is not null and doc_id != component_id").select("doc_id").distinct()
+    gone = materialize(spark, gone, "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import prepare
 from lexmill.llm.textfeat import LOWERED, Words, slices
 
 HASH_BITS, HEADS = 20, (4, 5, 6)
@@ -172,6 +173,7 @@ def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the labelled rows of docs that are not held out."""
+    prepare(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -198,6 +200,7 @@ def scorer(model: Model):
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
+    prepare(spark)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(scorer(model), f"doc_id {kind}, held_out boolean, score double")
@@ -206,6 +209,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
 
 def keep_clean(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs' own columns without the rows whose text the model rejects."""
+    prepare(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
