@@ -1,15 +1,393 @@
-"""Catalogue of the engine's own queries and their SQL."""
+"""Catalogue of the engine's own queries, bound to the test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexmill.dims import ERAS, OCR_PAIRS, STRATEGIES, era_table, strategy_table
+from lexmill.functions import text as ft
+from lexmill.operators import chunking, cleaning, discourse, frames, graph, providers, topics
+from lexmill.plans import bindings as b
+from lexmill.plans import oracle
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, Query] = {}
+ERA_ORDER = list(ERAS)
+
+
+def query(f: Query) -> Query:
+    FOUND[f.__name__] = f
+    return f
+
+
+@query
+def markedness_by_doc(s, d):
+    return discourse.markedness(b.mentions(s, d), ["doc_title"])
+
+
+@query
+def markedness_rollup(s, d):
+    return discourse.markedness_rollup(b.mentions(s, d), era_table(s))
+
+
+@query
+def strategy_targeting(s, d):
+    return discourse.targeting(b.classified(s, d))
+
+
+@query
+def targeting_asymmetry(s, d):
+    return discourse.asymmetry(discourse.targeting(b.classified(s, d)))
+
+
+@query
+def protection_density(s, d):
+    return discourse.protection_density(b.mentions(s, d), b.classified(s, d))
+
+
+@query
+def predicate_inventory_top(s, d):
+    return frames.inventory_top(b.frames(s, d), ["target_term", "doc_year"])
+
+
+@query
+def agency_summary(s, d):
+    return frames.agency_summary(b.frames(s, d))
+
+
+@query
+def agency_weighted_era(s, d):
+    out = frames.weighted_agency(b.ranged(s, d), ["target_language", "era_range"])
+    return out.withColumn("agency_ratio", F.round("agency_ratio", 6))
+
+
+@query
+def strategy_profiles(s, d):
+    return discourse.strategy_profiles(b.classified(s, d))
+
+
+@query
+def strategy_summary(s, d):
+    return discourse.strategy_summary(b.classified(s, d))
+
+
+@query
+def device_ranks(s, d):
+    return discourse.device_ranks(b.classified(s, d))
+
+
+@query
+def topos_trajectory(s, d):
+    return discourse.topos_trajectory(b.classified(s, d))
+
+
+@query
+def turning_points(s, d):
+    return discourse.turning_points(b.classified(s, d))
+
+
+@query
+def identity_timeline(s, d):
+    return discourse.identity_timeline(b.classified(s, d))
+
+
+@query
+def topos_language_matrix(s, d):
+    return discourse.topos_language_matrix(b.classified(s, d))
+
+
+@query
+def role_classification(s, d):
+    return b.frames(s, d).groupBy("doc_title", "syntactic_role", "dep_relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def agent_taxonomy(s, d):
+    part = b.table(s, d, "part").select(F.lower("p_name").alias("name"))
+    nation = b.table(s, d, "nation").select(F.concat(F.lower("n_name"), F.lit(" council")).alias("name"))
+    segment = b.table(s, d, "customer").select(F.lower("c_mktsegment").alias("name"))
+    names = part.unionByName(nation).unionByName(segment).distinct()
+    return names.select("name", frames.agent_category(F.col("name"), F.col("name")).alias("category"))
+
+
+@query
+def power_triangle(s, d):
+    return frames.power_triangle(b.triples(s, d))
+
+
+@query
+def agent_backgrounding(s, d):
+    by_doc = frames.backgrounding(b.triples(s, d), ["doc_title"]).withColumnRenamed("doc_title", "name").withColumn("level", F.lit("document"))
+    known = b.triples(s, d).where("era != 'unknown'")
+    by_era = frames.backgrounding(known, ["era"]).withColumnRenamed("era", "name").withColumn("level", F.lit("era"))
+    return by_doc.unionByName(by_era)
+
+
+@query
+def flow_counts(s, d):
+    return frames.flow_counts(b.triples(s, d))
+
+
+@query
+def pos_stopwords(s, d):
+    return frames.pos_stopwords(b.frames(s, d))
+
+
+@query
+def top_frames(s, d):
+    rows = b.frames(s, d).withColumn("sentence", F.col("dep_head_lemma"))
+    return frames.top_frames(rows).select("chunk_id", "rank", "token_idx", "target_term", "syntactic_role")
+
+
+@query
+def topic_frequency(s, d):
+    return topics.topic_frequency(b.assigned(s, d))
+
+
+@query
+def topic_trajectories(s, d):
+    return topics.trajectories(topics.topic_frequency(b.assigned(s, d)))
+
+
+@query
+def topic_pivot(s, d):
+    return topics.pivot_sum(topics.topic_frequency(b.assigned(s, d)), "doc_year", "topic_id", list(range(1, 10)), "frequency")
+
+
+@query
+def topic_ctfidf(s, d):
+    docs = b.chunks(s, d).select(F.col("jurisdiction").alias("topic_id"), "text")
+    return topics.ctfidf(docs).select("topic_id", "term", "tf", "rank")
+
+
+@query
+def centroids(s, d):
+    return topics.centroids(b.assigned(s, d), ["doc_year", "topic_id"])
+
+
+@query
+def embedding_norm(s, d):
+    rows = b.table(s, d, "embeddings")
+    return rows.select("vec_id", F.round(topics.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query
+def strategy_pivot(s, d):
+    rows = discourse.strategy_profiles(b.classified(s, d))
+    return topics.pivot_first(rows, "doc_year", "strategy", list(STRATEGIES), "prevalence", "doc_title")
+
+
+@query
+def edge_weights(s, d):
+    return graph.edge_weights(b.frames(s, d))
+
+
+@query
+def weighted_degree(s, d):
+    return graph.degrees(graph.edge_weights(b.frames(s, d)))
+
+
+@query
+def graph_density(s, d):
+    return graph.graph_stats(graph.edge_weights(b.frames(s, d)))
+
+
+@query
+def emerging_edges(s, d):
+    return graph.emerging_edges(graph.edge_weights(b.frames(s, d), 2), sorted(ERA_ORDER))
+
+
+@query
+def emerging_edges_chronological(s, d):
+    return graph.emerging_edges(graph.edge_weights(b.frames(s, d), 2), ERA_ORDER, once=True)
+
+
+@query
+def centrality_fill(s, d):
+    return graph.centrality_fill(graph.degrees(graph.edge_weights(b.frames(s, d), 3)), ERA_ORDER, "total_degree")
+
+
+@query
+def bridge_nodes(s, d):
+    edges = graph.edge_weights(b.frames(s, d), 2)
+    return graph.bridges(edges, graph.degrees(edges))
+
+
+def trade(s, d):
+    """Nations linked by their customers' largest orders: a small graph by market segment."""
+    c, o = b.table(s, d, "customer"), b.table(s, d, "orders")
+    n = b.table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    to = F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1))
+    return rows.groupBy(F.col("c_mktsegment").alias("era"), F.col("n_name").alias("src"), to.alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query
+def connected_components(s, d):
+    edges = graph.edge_weights(b.frames(s, d), 5)
+    return graph.components(s, edges)
+
+
+@query
+def pagerank_k(s, d):
+    return graph.pagerank(s, trade(s, d), 10, digits=5)
+
+
+@query
+def betweenness(s, d):
+    return graph.betweenness(graph.edge_weights(b.frames(s, d), 2))
+
+
+@query
+def clean_lines(s, d):
+    lines = cleaning.lines_of(b.table(s, d, "documents"))
+    lines = cleaning.drop_contents(cleaning.drop_boilerplate(lines, ["The\\s", "Copyright"]), 1)
+    lines = cleaning.drop_publisher_tail(lines, ("[A-Z][a-z]+\\.\\s*$",))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+@query
+def blank_collapse(s, d):
+    text = F.regexp_replace("text", "([.]) ", "$1\n\n\n")
+    return b.table(s, d, "documents").select("doc_id", F.md5(ft.normalize_space(text)).alias("text_md5"))
+
+
+@query
+def ocr_fix(s, d):
+    fixed = ft.fix_ocr(F.regexp_replace("text", "that", "tbat"), OCR_PAIRS)
+    return b.table(s, d, "documents").select("doc_id", F.md5(fixed).alias("text_md5"))
+
+
+@query
+def hyphen_rejoin(s, d):
+    text = F.regexp_replace("text", "(th)([a-z])", "$1-\n$2")
+    return b.table(s, d, "documents").select("doc_id", F.length(ft.rejoin_hyphens(text)).cast("long").alias("n"), F.md5(ft.rejoin_hyphens(text)).alias("text_md5"))
+
+
+@query
+def sections(s, d):
+    lines = cleaning.lines_of(b.table(s, d, "documents"))
+    return chunking.sections(lines, "[A-Z][a-z]{1,3}\\s").select("doc_id", "section_seq", "section_id", "section_title", "start_line", "end_line")
+
+
+@query
+def sentence_chunks(s, d):
+    found = chunking.sections(cleaning.lines_of(b.table(s, d, "documents")), "[A-Z]{2,}\\b")
+    return chunking.chunk_sections(found, 120, 20)
+
+
+@query
+def chunk_counts(s, d):
+    docs = b.table(s, d, "documents")
+    found = chunking.sections(cleaning.lines_of(docs), "[A-Z]{2,}\\b")
+    meta = docs.select("doc_id", (F.col("doc_id") % 10 + 1).alias("doc_no"), F.col("source").alias("doc_title"), F.lit(2005).alias("doc_year"))
+    out = chunking.assemble(chunking.chunk_sections(found, 120, 20), meta)
+    return out.select("chunk_id", "chunk_key", "doc_id", "section_id", "chunk_index", "total_chunks_in_section", "token_count")
+
+
+@query
+def corpus_summary(s, d):
+    rows = b.chunks(s, d).withColumn("tokens", F.size(ft.words(F.col("text"))).cast("long"))
+    return topics.corpus_summary(rows)
+
+
+@query
+def prompt_hash(s, d):
+    text = F.concat(F.lit("["), "doc_title", F.lit("] "), "text")
+    return b.chunks(s, d).select("chunk_id", providers.prompt_key(text).alias("prompt_sha"))
+
+
+@query
+def prompt_cache_antijoin(s, d):
+    prompts = b.chunks(s, d).select("chunk_id", providers.prompt_key(F.col("text")).alias("prompt_sha"))
+    known = prompts.where("chunk_id % 3 = 0").select("prompt_sha").distinct()
+    misses = prompts.join(known, "prompt_sha", "left_anti")
+    return misses.groupBy("prompt_sha").agg(F.count(F.lit(1)).alias("rows"), F.min("chunk_id").alias("first_chunk"))
+
+
+@query
+def prompt_texts(s, d):
+    rows = b.frames(s, d).withColumn("sentence", F.col("dep_head_lemma"))
+    lines = frames.frame_lines(frames.top_frames(rows))
+    joined = b.chunks(s, d).join(lines, "chunk_id", "left")
+    text = providers.prompt(F.lit("Which strategies occur?"), F.col("doc_title"), F.col("doc_year"), F.col("frames"), F.col("text"), "Reply with JSON.")
+    return joined.select("chunk_id", providers.prompt_key(text).alias("prompt_sha"), F.length("frames").alias("frames_chars"))
+
+
+@query
+def chunk_strategy_cross(s, d):
+    rows = b.chunks(s, d).select("chunk_id", "doc_title").crossJoin(F.broadcast(strategy_table(s)))  # five strategies
+    return rows.groupBy("doc_title", "strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def distinct_map_join(s, d):
+    """Distinct sentences are mapped once and joined back to every frame."""
+    rows = b.frames(s, d).where("syntactic_role = 'patient'").select("chunk_id", "token_idx", F.col("dep_head_lemma").alias("sentence"))
+    mapped = rows.select("sentence").distinct().withColumn("mapped", F.upper("sentence"))
+    return rows.join(mapped, "sentence").groupBy("sentence", "mapped").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def json_props(s, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = b.table(s, d, "events").withColumn("k", k)
+    return rows.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("top"))
+
+
+@query
+def tolerant_json_repair(s, d):
+    """Replies in four states of repair, made from chunks: whole, fenced, truncated, lost."""
+    body = F.concat(
+        F.lit('{"strategy_name": "nomination", "present": true, "confidence": 0.8, "evidence_quotes": ["'),
+        F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 30), F.lit('", "tiny"], "linguistic_devices": [], "target_languages": ["Gaelic"], "notes": "n"}'),
+    )
+    which = F.pmod(F.col("chunk_id"), F.lit(4))
+    reply = (
+        F.when(which == 0, body).when(which == 1, F.concat(F.lit("So:\n```json\n"), body, F.lit("\n```")))
+        .when(which == 2, F.expr("substring(_b, 1, instr(_b, '\"tiny\"') + 5)")).otherwise(F.lit("no answer"))
+    )
+    rows = b.chunks(s, d).withColumn("_b", body).withColumn("r", ft.parse_reply(reply))
+    return rows.select(
+        "chunk_id", F.col("r").isNotNull().alias("parsed"), "r.present", "r.confidence", F.coalesce("r.repaired", F.lit(False)).alias("repaired"),
+        F.size("r.evidence_quotes").alias("quotes"),
+    )
+
+
+@query
+def topic_clusters(s, d):
+    return topics.clusters(b.table(s, d, "embeddings"))
+
+
+@query
+def vector_projection(s, d):
+    return topics.projection(b.table(s, d, "embeddings"))
+
+
+@query
+def hashed_embeddings(s, d):
+    rows = providers.hashed_vectors(b.chunks(s, d), 256)
+    return rows.select("chunk_id", F.round(topics.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query
+def event_turning_points(s, d):
+    """Days on which the dominant event type changes."""
+    days = b.table(s, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    lead = frames.ranked(days, ["day"], "event_type", 1).select("day", F.col("event_type").alias("dominant"), "n")
+    from pyspark.sql import Window
+
+    back = F.lag("dominant").over(Window.orderBy("day"))  # one row a day
+    out = lead.withColumn("previous", back).where("previous is null or previous != dominant")
+    return out.select(F.col("day").cast("string").alias("day"), "dominant", "previous", "n")
+
+
+def queries() -> dict[str, Query]:
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.sql().items() if k in FOUND}
