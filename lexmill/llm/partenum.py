@@ -19,7 +19,10 @@ the number of copies. Members of a signature are not paired with all others:
    different components that were not verified yet are verified too, all of them,
    so that no link is lost; pairs inside a component can't change it.
 
-Verification compares whole shingle sets. Links and components stay in tables.
+Before whole shingle sets are compared, parity bitmaps rule pairs out: each feature
+flips one bit of its set's bitmap, so two bitmaps differ in no more bits than the
+sets in features, and a pair of more differing bits than similar sets may have in
+features is certainly no link. Links and components stay in tables.
 
 Nulls: a null text has no shingles and, like a text without words, is linked with
 nothing; rows with a null id belong to classes like others, and the smallest id
@@ -35,7 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import discard, prepare, materialize
@@ -273,6 +276,27 @@ def verify(width: int, num: int, den: int):
     return run
 
 
+def similar_bits(a: str, b: str, num: int, den: int) -> Column:
+    """False only for pairs that sizes or bitmaps prove to be dissimilar; a, b: aliases of rows with n and bits."""
+    common = f"least(size({a}.bits), size({b}.bits))"
+
+    def folded(x: str) -> str:
+        # sizes within the ratio have bitmaps of equal length, or of one doubling
+        half = f"size({x}.bits) div 2"
+        return f"if(size({x}.bits) = {common}, {x}.bits, zip_with(slice({x}.bits, 1, {half}), slice({x}.bits, {half} + 1, {half}), (p, q) -> p ^ q))"
+
+    differing = f"aggregate(zip_with({folded(a)}, {folded(b)}, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
+    sized = f"{a}.n * {den} >= {b}.n * {num} and {b}.n * {den} >= {a}.n * {num}"
+    return F.expr(f"if({sized}, {differing} * {den + num}L <= {den - num}L * ({a}.n + {b}.n), false)")
+
+
+def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps don't rule out."""
+    left = bits.select(F.col("sid").alias("a"), F.struct("n", "bits").alias("x"))
+    right = bits.select(F.col("sid").alias("b"), F.struct("n", "bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(similar_bits("x", "y", num, den)).select("a", "b").distinct()
+
+
 def links_of(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Verified links (a, b) between classes, from pairs (a, b) of set hashes and texts (sid, cls, text)."""
     heads = pairs.select("a").distinct().join(texts, F.col("a") == F.col("sid"))
@@ -354,25 +378,24 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int =
     # rows that repeat an id may hold other texts, which their set's hash tells apart
     texts = materialize(spark, own_texts(texts, width), "texts")
 
+    bits = texts.drop("text", "cls")
     chains = members.select(F.explode(F.array("before", "before2")).alias("a"), F.col("sid").alias("b")).where("a is not null")
     pairs = chains.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(spark, pairs, "pairs")
+    pairs = materialize(spark, possible(pairs, bits, num, den), "pairs")
     links = materialize(spark, links_of(pairs, texts, width, num, den).distinct(), "links")
     labels = connected(spark, links)
 
     # what the chains left open: members of one signature in different components
-    of_set = classes.join(labels, F.col("cls") == F.col("node"), "left").groupBy("sid").agg(
-        F.min(F.coalesce("label", "cls")).alias("label"), F.max("n_shingles").alias("most"), F.min("n_shingles").alias("least")
-    )
+    of_set = classes.join(labels, F.col("cls") == F.col("node"), "left").groupBy("sid").agg(F.min(F.coalesce("label", "cls")).alias("label"))
     of_set = materialize(spark, of_set, "set-labels")
     placed = members.select("sig", "sid").join(of_set, "sid")
     split = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
     split = materialize(spark, placed.join(split, "sig", "left_semi"), "split")
+    split = split.join(bits, "sid")
     left, right = split.alias("l"), split.alias("r")
-    sized = (F.col("l.most") * den >= F.col("r.least") * num) & (F.col("r.most") * den >= F.col("l.least") * num)
-    rest = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.label") != F.col("r.label")) & sized)
-    rest = rest.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(spark, rest, "rest")
+    apart = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.label") != F.col("r.label"))
+    rest = left.join(right, apart & similar_bits("l", "r", num, den)).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+    rest = materialize(spark, rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     more = materialize(spark, links_of(rest, texts, width, num, den).distinct(), "links")
     if more.limit(1).count():
         labels = connected(spark, links.unionByName(more))
@@ -384,23 +407,39 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def bitmaps(grams: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """For each set the parities of its features by hash, over a power of two of at least twice as many bits."""
+    out = []
+    for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+        size = max(64, 1 << int(2 * (to - at) - 1).bit_length()) if to > at else 64
+        parity = np.bincount((grams[at:to] % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+        out.append(np.packbits(parity, bitorder="little").view(np.int64))
+    return out
+
+
+TEXTS = pa.schema([("sid", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("text", pa.string())])
+
+
 def own_texts(texts: DataFrame, width: int) -> DataFrame:
-    """The rows whose text has the set hash that they are filed under."""
+    """The rows whose text has the set hash that they are filed under, with the set's size and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids = np.concatenate(
-                [np.zeros(0, np.int64)] + [identities(g, c)[0] for _, _, g, c in sets_of([(t or "").encode() for t in batch.column(2).to_pylist()], width)]
-            )
-            yield batch.filter(pa.array(sids == batch.column(0).to_numpy()))
+            sids, sizes, maps = [], [], []
+            for _, _, grams, cuts in sets_of([(t or "").encode() for t in batch.column(2).to_pylist()], width):
+                sids += identities(grams, cuts)[0].tolist()
+                sizes += np.diff(cuts).tolist()
+                maps += bitmaps(grams, cuts)
+            rows = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(maps, TEXTS.field("bits").type), batch.column(2)]
+            own = np.array(sids, np.int64) == batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays(rows, schema=TEXTS).filter(pa.array(own))
 
-    return texts.mapInArrow(run, "sid long, cls long, text string")
+    return texts.mapInArrow(run, "sid long, cls long, n long, bits array<long>, text string")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs' own columns, one row of each component: that of the least id; rows with a null id or no words stay."""
+    """docs' own columns, the rows of each component's least id; rows with a null id or no words stay."""
     found = components(spark, docs, width, num, den)
-    # of rows that repeat an id, the first by text stays
     gone = found.where("n_shingles > 0 and doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     gone = materialize(spark, gone, "duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
