@@ -5,9 +5,9 @@ from the root by weight. A node takes at most its capacity (tokens times
 max_epochs); what it cannot take goes to its siblings by weight, and only when
 all siblings are full back to the ancestors' siblings, because a node's capacity
 is the sum of its children's. A leaf with A tokens to give out of T runs A div T
-whole epochs, then the longest prefix of the next epoch's seeded order that fits
-in A mod T. Documents stay whole, so a leaf falls short by less than a document,
-and by rounding less than one token a level.
+whole epochs, then the first A mod T tokens of the next epoch's seeded order: whole
+documents, and of the one that crosses the end so many tokens as are left
+(`taken`). Shares are rounded down, by less than one token a node.
 
 The order of an epoch is the MD5 of seed, epoch and id. A leaf's prefix is found
 from sums over 4096 slices of the digest, then inside one slice, so no leaf,
@@ -15,8 +15,9 @@ however hot, is sorted in one task; and it is kept as a cut-off digest, so texts
 are never shuffled.
 
 Nulls in a level count as the empty label, a null text has no tokens, and a null
-id as the empty id. Rows with equal ids in a leaf are taken together or not at
-all. Empty input, or a budget of nothing, gives an empty result.
+id as the empty id. Rows with equal ids in a leaf are taken together and whole, or
+not at all. Empty input gives an empty result; so does a budget of nothing, but
+for documents without tokens.
 """
 
 from __future__ import annotations
@@ -101,7 +102,11 @@ def cutoffs(
     max_epochs: int = 4,
     seed: int = 0,
 ) -> DataFrame:
-    """(levels, epochs, cutoff) by leaf: whole epochs, and the last digest of the next one's prefix ('' for none)."""
+    """(levels, epochs, cutoff, crossing, part) by leaf.
+
+    epochs: whole epochs; cutoff: the last digest taken whole of the next one ('' for none); crossing: the digest of the
+    document that is taken in part, and so many of its tokens.
+    """
     at = list(levels)
     leaves = narrow.groupBy(*at).agg(F.sum("tokens").alias("total"))
     shares = materialize(spark, plan(spark, leaves, levels, weights or {}, budget_permille, max_epochs), "mix-plan")
@@ -116,13 +121,18 @@ def cutoffs(
     split = slices.where((F.col("upto") > F.col("part")) & (F.col("upto") - F.col("t") <= F.col("part")))
     split = split.groupBy(*at).agg(F.min(F.struct("slice", (F.col("part") - F.col("upto") + F.col("t")).alias("room"))).alias("s"))
     split = materialize(spark, split.select(*at, F.col("s.slice").alias("slice"), F.col("s.room").alias("room")), "mix-slices")
-    fine = keyed.join(split, [*at, "slice"]).groupBy(*at, "digest").agg(F.sum("tokens").alias("t"), F.max("room").alias("room"))
+    fine = keyed.join(split, [*at, "slice"]).groupBy(*at, "digest").agg(
+        F.sum("tokens").alias("t"), F.max("room").alias("room"), F.count(F.lit(1)).alias("rows")
+    )
     run = Window.partitionBy(*at).orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = fine.withColumn("upto", F.sum("t").over(run)).where(F.col("upto") <= F.col("room"))
-    fine = fine.groupBy(*at).agg(F.max("digest").alias("fine_top"))
-    out = shares.join(whole, at, "left").join(fine, at, "left")
+    fine = fine.withColumn("upto", F.sum("t").over(run))
+    over = (F.col("upto") > F.col("room")) & (F.col("upto") - F.col("t") < F.col("room")) & (F.col("rows") == 1)
+    crossing = F.min(F.when(over, F.struct("digest", (F.col("room") - F.col("upto") + F.col("t")).alias("part"))))
+    fine = fine.groupBy(*at).agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("digest"))).alias("fine_top"), crossing.alias("c"))
+    out = shares.drop("part").join(whole, at, "left").join(fine, at, "left")
     cut = F.coalesce("fine_top", "whole_top", F.lit(""))
-    return materialize(spark, out.select(*at, F.col("epochs").cast("int").alias("epochs"), cut.alias("cutoff")), "mix-cutoffs")
+    columns = [F.col("epochs").cast("int").alias("epochs"), cut.alias("cutoff"), F.col("c.digest").alias("crossing"), F.col("c.part").alias("part")]
+    return materialize(spark, out.select(*at, *columns), "mix-cutoffs")
 
 
 def labelled(docs: DataFrame, levels: tuple[str, ...], domain: Column | None) -> DataFrame:
@@ -143,19 +153,22 @@ def mix(
     max_epochs: int = 4,
     seed: int = 0,
 ) -> DataFrame:
-    """doc_id, the levels, tokens and epoch: one row for each time that a document is taken."""
+    """doc_id, the levels, tokens, epoch and taken: one row for each time that a document is taken, whole or in part."""
     rows = labelled(docs, levels, domain)
     narrow = rows.select("doc_id", *[F.col(f"_{i}").alias(x) for i, x in enumerate(levels)], token_count(F.col("text")).alias("tokens"))
     narrow = materialize(spark, narrow, "mix-rows")
     cut = cutoffs(spark, narrow, levels, weights, budget_permille, max_epochs, seed)
-    return taken(narrow.join(cut, list(levels)), seed).select("doc_id", *levels, "tokens", "epoch")
+    rows = repeated(narrow.join(cut, list(levels)), seed, True)
+    taken = F.when(F.col("_cut") & (F.col("epoch") == F.col("epochs")), F.col("part")).otherwise(F.col("tokens"))
+    return rows.select("doc_id", *levels, "tokens", "epoch", taken.alias("taken"))
 
 
-def taken(joined: DataFrame, seed: int) -> DataFrame:
-    """Rows once for each epoch that takes them."""
-    inside = (order_digest(seed, F.col("epochs"), "doc_id") <= F.col("cutoff")).cast("int")
-    times = joined.withColumn("_times", F.col("epochs") + inside).where("_times > 0")
-    return times.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
+def repeated(joined: DataFrame, seed: int, parts: bool) -> DataFrame:
+    """Rows once for each epoch that takes them; those that are taken in part in the last one only with `parts`."""
+    rows = joined.withColumn("_digest", order_digest(seed, F.col("epochs"), "doc_id"))
+    rows = rows.withColumn("_cut", F.coalesce(F.col("_digest") == F.col("crossing"), F.lit(False)) & F.lit(parts))
+    times = rows.withColumn("_times", F.col("epochs") + ((F.col("_digest") <= F.col("cutoff")) | F.col("_cut")).cast("int")).where("_times > 0")
+    return times.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
 
 
 def mix_documents(
@@ -168,10 +181,11 @@ def mix_documents(
     max_epochs: int = 4,
     seed: int = 0,
 ) -> DataFrame:
-    """docs' own columns, a row for each time that a document is taken."""
-    names = docs.columns
-    rows = labelled(docs, levels, domain)
-    narrow = rows.select("doc_id", *[F.col(f"_{i}").alias(x) for i, x in enumerate(levels)], token_count(F.col("text")).alias("tokens"))
-    cut = cutoffs(spark, materialize(spark, narrow, "mix-rows"), levels, weights, budget_permille, max_epochs, seed)
-    cut = cut.select(*[F.col(x).alias(f"_{i}") for i, x in enumerate(levels)], "epochs", "cutoff")
-    return taken(rows.join(cut, [f"_{i}" for i in range(len(levels))]), seed).select(*names)
+    """docs' own columns, a row for each time that a document is taken whole."""
+    # the row travels as one struct, so none of its columns can clash with those of the plan
+    rows = labelled(docs.withColumn("_row", F.struct(*docs.columns)), levels, domain)
+    at = [F.col(f"_{i}").alias(x) for i, x in enumerate(levels)]
+    narrow = materialize(spark, rows.select("doc_id", *at, token_count(F.col("text")).alias("tokens")), "mix-rows")
+    cut = cutoffs(spark, narrow, levels, weights, budget_permille, max_epochs, seed)
+    joined = rows.select("_row", "doc_id", *at).join(cut, list(levels))
+    return repeated(joined, seed, False).select("_row.*")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import discard, prepare, materialize
+from lexmill.llm.common import discard, materialize, prepare
 from lexmill.llm.textfeat import Words, mix, slices
 
 FEATURES_EACH = 5
@@ -123,7 +123,8 @@ def signatures(grams: np.ndarray, cuts: np.ndarray, num: int, den: int) -> tuple
     filled = np.flatnonzero(n)
     if not len(filled):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    lows, highs = bands(int(n.max()) * 2)
+    # bands up to one whose least size no set here can be similar to
+    lows, highs = bands(1 << int(2 * n.max() * den // num + 1).bit_length())
     spread = mix(grams)
     own = np.searchsorted(highs, n)
     out, owners = [], []

@@ -141,7 +141,9 @@ def redact(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES
     """docs with every span replaced by mark (overlapping spans by one) and n_chars counted anew; no row goes."""
     full = update_ledger(spark, docs.select("text"), rules)
     hits = findings(spark, full, rules)
-    text = F.col("text")
+    # the row travels as one struct, so none of its columns can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), blob_id(F.col("text")).alias("blob"))
+    text = F.col("row.text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -153,9 +155,14 @@ def redact(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES
     def rest(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
-    cleaned = F.when(F.col("_found").isNull(), text).otherwise(F.aggregate("_found", start, step, rest))
-    joined = docs.withColumn("_blob", blob_id(text)).join(hits.select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "_blob", "left")
-    names = docs.columns
-    joined = joined.withColumn("_clean", cleaned)
-    n = [F.length("_clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in names else []
-    return joined.select(*[F.col("_clean").alias("text") if c == "text" else n[0] if c == "n_chars" else F.col(c) for c in names])
+    joined = rows.join(hits, "blob", "left")
+    joined = joined.withColumn("clean", F.when(F.col("found").isNull(), text).otherwise(F.aggregate("found", start, step, rest)))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias(name)
+        if name == "n_chars":
+            return F.length("clean").cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"row.`{name}`").alias(name)
+
+    return joined.select(*[column(c) for c in docs.columns])
