@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import prepare, materialize, utf8_len
+from lexmill.llm.common import hashed_sample, materialize, prepare, utf8_len
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 2048, 12, 65536
@@ -125,7 +125,7 @@ def chunker(dictionary: bytes, with_data: bool):
 
 def fit_dictionary(docs: DataFrame, text: str) -> bytes:
     """A compression dictionary from DICTIONARY_ROWS texts, those of the least hashes; none if they are too few."""
-    rows = docs.select(text).where(F.length(text) > 64).orderBy(F.xxhash64(text), text).limit(DICTIONARY_ROWS).collect()
+    rows = hashed_sample(docs.select(text).where(F.length(text) > 64), text, DICTIONARY_ROWS).collect()
     samples = [b[i : i + 4096] for b in (r[0].encode() for r in rows) for i in range(0, len(b), 4096)]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
         return b""

@@ -78,6 +78,20 @@ def utf8_len(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The `rows` rows of df of the least hash of key, or all if they are fewer; which ones does not depend on how df is dealt.
+
+    All but about twice as many rows are filtered out by a bound on the hash first,
+    so tasks don't each send that many to the driver.
+    """
+    total = df.count()
+    rank = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if total > 4 * rows:
+        # a share of hashes that holds twice the rows on average; for 256 rows or more it can't fall short by chance
+        df = df.where(rank < int((1 << 40) * 2 * max(rows, 256) / total))
+    return df.orderBy(rank, key).limit(rows)
+
+
 def order_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 65536) -> list[int]:
     """Ascending distinct values of an integer key that cut df into buckets of about equal row counts.
 
