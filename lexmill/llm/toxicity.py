@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import prepare
+from lexmill.llm.common import hashed_sample, prepare
 from lexmill.llm.textfeat import LOWERED, Words, slices
 
 HASH_BITS, HEADS = 20, (4, 5, 6)
@@ -177,7 +177,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = hashed_sample(chosen, "doc_id", sample_rows)
     # sample_rows bounds what is broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     found = rows.select("toxic", "text").mapInArrow(sample_terms, "toxic int, terms binary")
