@@ -57,8 +57,10 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the Python workers, wherever the driver imported it from, and free shuffles."""
+    """Send this package to the Python workers, wherever the driver imported it from; bound their batches; free shuffles."""
     free_shuffles(spark)
+    # rows of very long texts make batches of a bounded number of rows large
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     context = spark.sparkContext
     if getattr(context, "_lexmill_sent", False):
         return

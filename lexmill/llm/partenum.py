@@ -254,24 +254,24 @@ def verify(width: int, num: int, den: int):
         key, heads = None, []
         for batch in batches:
             a, b = [], []
-            keys, members, classes, texts = (batch.column(i).to_pylist() for i in range(4))
-            sets: list[np.ndarray] = []
-            for _, _, grams, cuts in sets_of([t.encode() for t in texts], width):
-                sets += [grams[cuts[i] : cuts[i + 1]] for i in range(len(cuts) - 1)]
-            for k, member, cls, x in zip(keys, members, classes, sets, strict=True):
-                if k != key:
-                    key, heads = k, []
-                if member is None:
-                    heads.append((cls, x.copy()))
-                    continue
-                for other, y in heads:
-                    low, high = sorted((len(x), len(y)))
-                    if low * den < num * high:
+            keys, members, classes = (batch.column(i).to_pylist() for i in range(3))
+            texts = [t.encode() for t in batch.column(3).to_pylist()]
+            for at, to, grams, cuts in sets_of(texts, width):
+                for i in range(at, to):
+                    x = grams[cuts[i - at] : cuts[i - at + 1]]
+                    if keys[i] != key:
+                        key, heads = keys[i], []
+                    if members[i] is None:
+                        heads.append((classes[i], x.copy()))
                         continue
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    if den * same >= num * (len(x) + len(y) - same):
-                        a.append(min(cls, other))
-                        b.append(max(cls, other))
+                    for other, y in heads:
+                        low, high = sorted((len(x), len(y)))
+                        if low * den < num * high:
+                            continue
+                        same = len(np.intersect1d(x, y, assume_unique=True))
+                        if den * same >= num * (len(x) + len(y) - same):
+                            a.append(min(classes[i], other))
+                            b.append(max(classes[i], other))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
 
     return run
