@@ -37,7 +37,7 @@ from lexmill.llm.common import hashed_sample, materialize, prepare, utf8_len
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 2048, 12, 65536
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
-DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 256, 65536, 6
+DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 256, 65536, 9
 #: Payloads that share a digest beyond this number are split over salted keys.
 HOT = 4096
 
@@ -155,14 +155,15 @@ def rebuilder(dictionary: bytes):
 
         for batch in batches:
             out = []
-            for key, size, digest, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if key != media:
                     if media is not None:
                         out.append(done())
                     media, sizes, digests, pieces = key, [], [], []
-                sizes.append(size)
-                digests.append(digest)
-                pieces.append(tool.decompress(data))
+                piece = tool.decompress(data)
+                sizes.append(len(piece))
+                digests.append(hashlib.sha256(piece).digest())
+                pieces.append(piece)
             yield rows_of(out, FEATURES)
         if media is not None:
             yield rows_of([done()], FEATURES)
@@ -194,10 +195,11 @@ def rebuilt(recipes: DataFrame, store: DataFrame, dictionary: bytes) -> DataFram
         hot = recipes.join(spread, "digest").withColumn("salt", F.pmod(F.xxhash64("media"), F.col("copies")).cast("int"))
         copies = store.join(spread, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         cold = recipes.join(refs, "digest", "left_anti")
-        met = cold.join(store, "digest").select("media", "seq", "size", "digest", "data")
-        met = met.unionByName(hot.join(copies.drop("copies"), ["digest", "salt"]).select("media", "seq", "size", "digest", "data"))
+        met = cold.join(store, "digest").select("media", "seq", "data")
+        met = met.unionByName(hot.join(copies.drop("copies"), ["digest", "salt"]).select("media", "seq", "data"))
     else:
-        met = cold.join(store, "digest").select("media", "seq", "size", "digest", "data")
+        met = cold.join(store, "digest").select("media", "seq", "data")
+    # sizes and digests are taken from the chunks again, so they need not move
     return met.repartition("media").sortWithinPartitions("media", "seq").mapInArrow(rebuilder(dictionary), sql_schema(FEATURES))
 
 
