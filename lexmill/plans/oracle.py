@@ -311,5 +311,29 @@ SELECT prompt_sha, count(*) AS rows, min(chunk_id) AS first_chunk FROM p WHERE p
 l AS (SELECT day, event_type AS dominant, n FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, event_type) AS k FROM d) WHERE k = 1),
 p AS (SELECT *, lag(dominant) OVER (ORDER BY day) AS previous FROM l)
 SELECT CAST(day AS VARCHAR) AS day, dominant, previous, n FROM p WHERE previous IS NULL OR previous <> dominant""",
+        "flagged_sentences": f"""WITH {TRIPLES}, x AS (SELECT doc_title, row_number() OVER (PARTITION BY doc_title ORDER BY chunk_id, token_idx) AS k, head || ' ' || target_lemma AS sentence
+  FROM t WHERE voice = 'passive' AND agent_category = 'AGENTLESS') SELECT doc_title, CAST(k AS INTEGER) AS rank, substr(sentence, 1, 200) AS sentence FROM x WHERE k <= 5""",
+        "terms_in_context": """SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(n, 'and') THEN 'and' END, CASE WHEN contains(n, 'ore') THEN 'ore' END,
+  CASE WHEN contains(n, 'then') THEN 'then' END, CASE WHEN contains(n, 'thin') THEN 'thin' END], lambda x: x IS NOT NULL), ',') AS terms FROM (SELECT doc_id, lower(substr(text, 1, 400)) AS n FROM documents)""",
+        "topos_ranks": f"""WITH {CLASSIFIED}, k AS (SELECT doc_title, doc_year, strategy, topos, count(*) AS n FROM (SELECT doc_title, doc_year, strategy, unnest(topoi) AS topos FROM cl WHERE present) GROUP BY ALL)
+{top("k", "doc_title, doc_year, strategy", "topos", 5, "doc_title, doc_year, strategy, topos, n")}""",
+        "role_histogram": f"WITH {FRAMES} SELECT syntactic_role AS value, count(*) AS n FROM f GROUP BY ALL",
+        "topic_summary": f"""WITH {ASSIGNED}, x AS (SELECT topic_id, min(doc_year) AS a, max(doc_year) AS z, count(DISTINCT doc_year) AS k FROM tf GROUP BY topic_id)
+SELECT count(*) AS topics, count(*) FILTER (a >= 1992) AS emerging, count(*) FILTER (k >= 3) AS persistent, count(*) FILTER (z <= 1998 AND a <= 1872) AS declining FROM x""",
+        "targeting_rollup": f"WITH {CLASSIFIED} SELECT strategy, language, doc_year, count(*) AS n FROM (SELECT strategy, doc_year, unnest(langs) AS language FROM cl WHERE present) GROUP BY ROLLUP (strategy, language, doc_year)",
+        "first_titles": f"WITH {CHUNKS} SELECT doc_year, min(chunk_id) AS chunk_id, arg_min(doc_title, chunk_id) AS doc_title FROM c GROUP BY doc_year",
+        "diverging": f"""WITH {CLASSIFIED}, x AS (SELECT strategy, unnest(langs) AS language FROM cl WHERE present),
+y AS (SELECT strategy, count(*) FILTER (language = 'English') AS e, count(*) FILTER (language <> 'English') AS m FROM x GROUP BY ALL)
+SELECT strategy, -e AS english, m AS minority, {ratio("m", "e", INF)} AS ratio FROM y""",
+        "streamgraph": f"""WITH {TOPOI}, {topos_by("doc_year")} SELECT y.doc_year, v.topos, coalesce(tt.proportion, 0.0) AS proportion FROM (SELECT DISTINCT doc_year FROM tt) y
+CROSS JOIN (VALUES {", ".join(f"('topos_of_{t}')" for t in CUES.topoi)}) v(topos) LEFT JOIN tt ON tt.doc_year = y.doc_year AND tt.topos = v.topos""",
+        "centrality_shift": f"""WITH {edges(3)}, g AS (SELECT n.node, v.era, v.o, coalesce(dg.total_degree, 0) AS total_degree FROM (SELECT DISTINCT node FROM dg) n
+CROSS JOIN (VALUES {", ".join(f"('{e}', {i})" for e, i in ERA_ORD.items())}) v(era, o) LEFT JOIN dg ON dg.node = n.node AND dg.era = v.era)
+SELECT node, era, total_degree, total_degree - coalesce(lag(total_degree) OVER (PARTITION BY node ORDER BY o), 0) AS shift FROM g""",
+        "virtual_edges": """WITH p AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+x AS (SELECT r_name, least(min(n_name), r_name) AS comp, count(*) + 1 AS size, CASE WHEN count(*) > 1 THEN r_name ELSE greatest(min(n_name), r_name) END AS hub FROM p GROUP BY r_name),
+m AS (SELECT * FROM x ORDER BY size DESC, comp LIMIT 1)
+SELECT 'all' AS era, m.hub AS src, x.hub AS dst, 'virtual' AS kind FROM x, m WHERE x.comp <> m.comp""",
+        "topic_heatmap": f"""WITH {ASSIGNED} SELECT topic_id, doc_year, frequency, CASE topic_id WHEN 1 THEN 'law, act' WHEN 2 THEN 'tongue' ELSE 'Topic ' || topic_id END AS label FROM tf""",
     }
     return out

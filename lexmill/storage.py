@@ -1,9 +1,11 @@
-"""Where intermediate tables go: the folder that driver and executors share."""
+"""What the cluster shares: the folder for intermediate tables, and this package on the Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,20 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, wherever the driver imported it from."""
+    context = spark.sparkContext
+    if getattr(context, "_lexmill_sent", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lexmill-"), "lexmill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("lexmill", os.path.relpath(full, top)))
+    context.addPyFile(path)
+    context._lexmill_sent = True
