@@ -3,35 +3,18 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.storage import scratch_dir, ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only where the setting is absent and the
-    master is local, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
 
@@ -61,19 +44,7 @@ def prepare(spark: SparkSession) -> None:
     free_shuffles(spark)
     # rows of very long texts make batches of a bounded number of rows large
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    context = spark.sparkContext
-    if getattr(context, "_lexmill_sent", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="lexmill-"), "lexmill.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("lexmill", os.path.relpath(full, top)))
-    context.addPyFile(path)
-    context._lexmill_sent = True
+    ship(spark)
 
 
 def utf8_len(text: Column) -> Column:

@@ -11,7 +11,8 @@ features in it), and similar sets share one. Here k2 is 0 or 1, and the shape is
 the one of fewest signatures that hold FEATURES_EACH features on average.
 
 Only texts whose sets are different are joined: equal sets form a class, whatever
-the number of copies. Members of a signature are not paired with all others:
+the number of copies. A signature that very many sets share is dealt to parts, so
+that none is sorted in one task. Members are not paired with all others:
 
 1. Members are chained in two orders; neighbours in a chain are verified.
 2. Verified links give components.
@@ -160,14 +161,35 @@ def signatures(grams: np.ndarray, cuts: np.ndarray, num: int, den: int) -> tuple
         shift += 1
 
 
-SIGNED = pa.schema([("sig", pa.int64()), ("sid", pa.int64())])
+SIGNED = pa.schema([("sig", pa.int64()), ("part", pa.int32()), ("sid", pa.int64())])
+#: A signature of more sets than HOT in one batch is dealt to PARTS parts, in SPREADS different ways by signature.
+HOT, PARTS, SPREADS = 256, 256, 4
 
 
-def sign(width: int, num: int, den: int):
+def parts_of(sig: np.ndarray, sid: np.ndarray, hot: int) -> np.ndarray:
+    """0, or for hot signatures the part that each row is dealt to.
+
+    Two rows of a hot signature stay in part 0, where sets of other batches meet them; the rest, in parts over 0, are
+    known not to be alone. Different spreads let the parts of one group overlap over its signatures.
+    """
+    order = np.argsort(sig, kind="stable")
+    fresh = np.r_[True, sig[order][1:] != sig[order][:-1]]
+    start = np.flatnonzero(fresh)
+    run = np.cumsum(fresh) - 1
+    many = np.diff(np.r_[start, len(sig)])[run] > hot
+    away = order[many & (np.arange(len(sig)) - start[run] >= 2)]
+    part = np.zeros(len(sig), np.int32)
+    spread = mix(sig[away]) % np.uint64(SPREADS)
+    part[away] = 1 + (mix(sid[away].view(np.uint64) + spread) % np.uint64(PARTS - 1)).astype(np.int32)
+    return part
+
+
+def sign(width: int, num: int, den: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in one task are signed once
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
+            sigs, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, _, grams, cuts in sets_of(texts, width):
                 sid, _ = identities(grams, cuts)
                 new = np.zeros(len(sid), bool)
@@ -177,7 +199,11 @@ def sign(width: int, num: int, den: int):
                         new[i] = True
                 sig, owner = signatures(grams, cuts, num, den)
                 keep = new[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(sid[owner[keep]])], schema=SIGNED)
+                sigs.append(sig[keep])
+                sids.append(sid[owner[keep]])
+            sig, sid = np.concatenate(sigs), np.concatenate(sids)
+            if len(sig):
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(parts_of(sig, sid, hot)), pa.array(sid)], schema=SIGNED)
 
     return run
 
@@ -188,58 +214,52 @@ WINDOW = 1024
 
 
 def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of more than one set, each member with its neighbours; rows are sorted by sig, sid."""
-    sig0 = np.zeros(0, np.int64)
-    sid0 = np.zeros(0, np.int64)
-    open_sig = open_sid = None  # the last row of what was given out, if its signature may go on
-
-    def give(sig: np.ndarray, sid: np.ndarray) -> pa.RecordBatch | None:
-        nonlocal open_sig, open_sid
-        if not len(sig):
-            return None
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])]
-        if sig[0] == open_sig and sid[0] == open_sid:
+    """Signatures of more than one set, each member with its neighbours; rows are sorted by sig, sid.
+
+    A group is what a task has of a signature. Rows wait until their group is complete,
+    but for groups of very many rows, which are given out piece by piece.
+    """
+    waiting = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    last: tuple[int, int] | None = None  # the last row given out
+
+    def give(sig: np.ndarray, part: np.ndarray, sid: np.ndarray) -> pa.RecordBatch | None:
+        nonlocal last
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])] if len(sig) else np.zeros(0, bool)
+        if len(sig) and (int(sig[0]), int(sid[0])) == last:
             fresh[0] = False
-        sig, sid = sig[fresh], sid[fresh]
+        sig, part, sid = sig[fresh], part[fresh], sid[fresh]
         if not len(sig):
             return None
-        before = np.r_[0, sid[:-1]]
         linked = np.r_[False, sig[1:] == sig[:-1]]
-        if sig[0] == open_sig:
-            before[0], linked[0] = open_sid, True
-        many = linked | np.r_[linked[1:], False]
+        before = np.r_[0, sid[:-1]]
+        if last is not None and int(sig[0]) == last[0]:
+            before[0], linked[0] = last[1], True
+        many = linked | np.r_[linked[1:], False] | (part > 0)
         # the second order, inside windows, takes the members by a hash of theirs
+        group = np.cumsum(~linked)
         window = np.arange(len(sig)) // WINDOW
-        order = np.lexsort((mix(sid.view(np.uint64)), window, sig))
-        second = np.zeros(len(sid), np.int64)
-        second_on = np.zeros(len(sid), bool)
-        same = (sig[order][1:] == sig[order][:-1]) & (window[order][1:] == window[order][:-1])
-        second[order[1:][same]] = sid[order[:-1][same]]
-        second_on[order[1:][same]] = True
-        open_sig, open_sid = int(sig[-1]), int(sid[-1])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(sig[many]),
-                pa.array(sid[many]),
-                pa.array(before[many], mask=~linked[many]),
-                pa.array(second[many], mask=~second_on[many]),
-            ],
-            schema=CHAINED,
-        )
+        order = np.lexsort((mix(sid.view(np.uint64)), window, group))
+        close = (group[order][1:] == group[order][:-1]) & (window[order][1:] == window[order][:-1])
+        second, second_on = np.zeros(len(sid), np.int64), np.zeros(len(sid), bool)
+        second[order[1:][close]] = sid[order[:-1][close]]
+        second_on[order[1:][close]] = True
+        last = int(sig[-1]), int(sid[-1])
+        columns = [pa.array(sig[many]), pa.array(sid[many]), pa.array(before[many], mask=~linked[many]), pa.array(second[many], mask=~second_on[many])]
+        return pa.RecordBatch.from_arrays(columns, schema=CHAINED)
 
     for batch in batches:
-        sig = np.r_[sig0, batch.column(0).to_numpy()]
-        sid = np.r_[sid0, batch.column(1).to_numpy()]
-        # the last signature's rows wait for the next batch, unless they are very many
+        if not batch.num_rows:
+            continue
+        sig, part, sid = (np.concatenate([w, batch.column(i).to_numpy()]) for i, w in enumerate(waiting))
         earlier = np.flatnonzero(sig != sig[-1])
-        last = int(earlier[-1]) + 1 if len(earlier) else 0
-        if last == 0 and len(sig) > 1 << 20:
-            last = len(sig) - 1
-        out = give(sig[:last], sid[:last])
+        cut = int(earlier[-1]) + 1 if len(earlier) else 0
+        if cut == 0 and len(sig) > 1 << 20:
+            cut = len(sig) - 1
+        out = give(sig[:cut], part[:cut], sid[:cut])
         if out is not None:
             yield out
-        sig0, sid0 = sig[last:], sid[last:]
-    out = give(sig0, sid0)
+        waiting = [sig[cut:], part[cut:], sid[cut:]]
+    out = give(*waiting)
     if out is not None:
         yield out
 
@@ -288,13 +308,16 @@ def similar_bits(a: str, b: str, num: int, den: int) -> Column:
 
     differing = f"aggregate(zip_with({folded(a)}, {folded(b)}, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
     sized = f"{a}.n * {den} >= {b}.n * {num} and {b}.n * {den} >= {a}.n * {num}"
-    return F.expr(f"if({sized}, {differing} * {den + num}L <= {den - num}L * ({a}.n + {b}.n), false)")
+    short = " + ".join(f"bit_count({a}.q{i} ^ {b}.q{i})" for i in range(SHORT))
+    most = f"{den - num}L * ({a}.n + {b}.n)"
+    return F.expr(f"if({sized} and ({short}) * {den + num}L <= {most}, {differing} * {den + num}L <= {most}, false)")
 
 
 def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that bitmaps don't rule out."""
-    left = bits.select(F.col("sid").alias("a"), F.struct("n", "bits").alias("x"))
-    right = bits.select(F.col("sid").alias("b"), F.struct("n", "bits").alias("y"))
+    fields = bits.drop("sid").columns
+    left = bits.select(F.col("sid").alias("a"), F.struct(*fields).alias("x"))
+    right = bits.select(F.col("sid").alias("b"), F.struct(*fields).alias("y"))
     return pairs.join(left, "a").join(right, "b").where(similar_bits("x", "y", num, den)).select("a", "b").distinct()
 
 
@@ -369,8 +392,8 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int =
     meta = materialize(spark, rows.mapInArrow(describe(width), "doc_id long, sid long, twin long, n_shingles long"), "sets")
     classes = materialize(spark, classes_of(meta.where("n_shingles > 0")).where("cls is not null"), "classes")
 
-    signed = rows.select("text").mapInArrow(sign(width, num, den), "sig long, sid long")
-    members = signed.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(chain, "sig long, sid long, before long, before2 long")
+    signed = rows.select("text").mapInArrow(sign(width, num, den, HOT), "sig long, part int, sid long")
+    members = signed.repartition("sig", "part").sortWithinPartitions("sig", "sid").mapInArrow(chain, "sig long, sid long, before long, before2 long")
     members = materialize(spark, members, "members")
 
     # texts of one document for each class that shares a signature
@@ -390,7 +413,12 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int =
     of_set = classes.join(labels, F.col("cls") == F.col("node"), "left").groupBy("sid").agg(F.min(F.coalesce("label", "cls")).alias("label"))
     of_set = materialize(spark, of_set, "set-labels")
     placed = members.select("sig", "sid").join(of_set, "sid")
-    split = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    groups = placed.groupBy("sig").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k"),
+        F.bit_xor(F.xxhash64("sid")).alias("h"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("g"),
+    )
+    # signatures of the same members give the same pairs: one of them is enough
+    split = groups.where("x < y").groupBy("k", "h", "g").agg(F.min("sig").alias("sig")).select("sig")
     split = materialize(spark, placed.join(split, "sig", "left_semi"), "split")
     split = split.join(bits, "sid")
     left, right = split.alias("l"), split.alias("r")
@@ -418,7 +446,27 @@ def bitmaps(grams: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-TEXTS = pa.schema([("sid", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("text", pa.string())])
+#: 64-bit words of a short bitmap, the same for all sizes, that is compared first.
+SHORT = 4
+TEXTS = pa.schema(
+    [
+        ("sid", pa.int64()),
+        ("cls", pa.int64()),
+        ("n", pa.int64()),
+        *((f"q{i}", pa.int64()) for i in range(SHORT)),
+        ("bits", pa.list_(pa.int64())),
+        ("text", pa.string()),
+    ]
+)
+TEXTS_SQL = "sid long, cls long, n long, " + "".join(f"q{i} long, " for i in range(SHORT)) + "bits array<long>, text string"
+
+
+def short_bitmaps(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each set the parities of its features by hash over SHORT words, a row each."""
+    size, n = 64 * SHORT, len(cuts) - 1
+    owner = np.repeat(np.arange(n), np.diff(cuts))
+    parity = np.bincount(owner * size + (grams % np.uint64(size)).astype(np.int64), minlength=n * size).astype(np.uint8) & 1
+    return np.packbits(parity.reshape(n, size), axis=1, bitorder="little").view(np.int64)
 
 
 def own_texts(texts: DataFrame, width: int) -> DataFrame:
@@ -426,16 +474,18 @@ def own_texts(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, sizes, maps = [], [], []
+            sids, sizes, maps, shorts = [], [], [], [np.zeros((0, SHORT), np.int64)]
             for _, _, grams, cuts in sets_of([(t or "").encode() for t in batch.column(2).to_pylist()], width):
                 sids += identities(grams, cuts)[0].tolist()
                 sizes += np.diff(cuts).tolist()
                 maps += bitmaps(grams, cuts)
-            rows = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(maps, TEXTS.field("bits").type), batch.column(2)]
+                shorts.append(short_bitmaps(grams, cuts))
+            quick = [pa.array(q) for q in np.concatenate(shorts).T.copy()]
+            rows = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *quick, pa.array(maps, TEXTS.field("bits").type), batch.column(2)]
             own = np.array(sids, np.int64) == batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(rows, schema=TEXTS).filter(pa.array(own))
 
-    return texts.mapInArrow(run, "sid long, cls long, n long, bits array<long>, text string")
+    return texts.mapInArrow(run, TEXTS_SQL)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

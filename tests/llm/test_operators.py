@@ -159,6 +159,15 @@ def test_join_same_as_brute_force(spark, docs, args):
     assert found_components(spark, docs, *args) == brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()], *args)
 
 
+def test_join_deals_hot_signatures_to_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(partenum, "HOT", 1)
+    assert found_components(spark, docs, 4, 85, 100) == brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()], 4, 85, 100)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 60], f"x{i}", *words[i % 60 + 1 :]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found_components(spark, df, 4, 85, 100) == brute_components(rows, 4, 85, 100)
+
+
 def test_join_finds_links_only_by_other_members(spark):
     """A long chain of edits: neighbours are similar, the ends are not."""
     words = [f"w{i}" for i in range(200)]
