@@ -406,6 +406,13 @@ def terms_in_context(s, d):
     return names.select("doc_id", F.array_join(found, ",").alias("terms"))
 
 
+@query
+def terms_in_texts(s, d):
+    """Terms inside each whole text; substrings count. terms_in_context stops at 400 characters, as its SQL does."""
+    found = frames.terms_in_context(F.col("text"), ("then", "thin", "and", "ore"))
+    return b.table(s, d, "documents").select("doc_id", F.array_join(found, ",").alias("terms"))
+
+
 @query
 def topos_ranks(s, d):
     rows = b.classified(s, d).where("present").select("doc_title", "doc_year", "strategy", F.explode("topoi").alias("topos"))
