@@ -245,7 +245,7 @@ def pagerank_k(s, d):
 
 @query
 def betweenness(s, d):
-    return graph.betweenness(graph.edge_weights(b.frames(s, d), 2))
+    return graph.betweenness(graph.edge_weights(b.frames(s, d)))
 
 
 @query
@@ -462,7 +462,7 @@ def centrality_shift(s, d):
 
 @query
 def plot_network(s, d):
-    edges = graph.edge_weights(b.frames(s, d), 2)
+    edges = graph.edge_weights(b.frames(s, d))
     # the test tables' target terms are function words, so only auxiliaries are stop words here
     stop = frames.pos_stopwords(b.frames(s, d), ("NOUN", "VERB", "ADJ", "ADV", "PROPN", "ADP", "DET"))
     return graph.plot_network(edges, graph.degrees(edges), stop)
@@ -483,6 +483,40 @@ def network_growth(s, d):
     return graph.growth(edges, graph.pagerank(s, edges, 10), graph.betweenness(edges))
 
 
+# The same over whole graphs, as phase 2 builds them. The SQL of the names without _whole holds relations of a least count only.
+
+
+@query
+def connected_components_whole(s, d):
+    return graph.components(s, graph.edge_weights(b.frames(s, d)))
+
+
+@query
+def centrality_fill_whole(s, d):
+    return graph.centrality_fill(graph.degrees(graph.edge_weights(b.frames(s, d))), ERA_ORDER, "total_degree")
+
+
+@query
+def centrality_shift_whole(s, d):
+    return graph.era_centrality_shift(graph.degrees(graph.edge_weights(b.frames(s, d))), ERA_ORDER, "total_degree")
+
+
+@query
+def emerging_edges_whole(s, d):
+    return graph.emerging_edges(graph.edge_weights(b.frames(s, d)), sorted(ERA_ORDER))
+
+
+@query
+def emerging_edges_chronological_whole(s, d):
+    return graph.emerging_edges(graph.edge_weights(b.frames(s, d)), ERA_ORDER, once=True)
+
+
+@query
+def bridge_nodes_whole(s, d):
+    edges = graph.edge_weights(b.frames(s, d))
+    return graph.bridges(edges, graph.degrees(edges))
+
+
 @query
 def topic_heatmap(s, d):
     words = s.createDataFrame([(1, 1, "law"), (1, 2, "act"), (2, 1, "tongue")], "topic_id int, rank int, term string")

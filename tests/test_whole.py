@@ -12,3 +12,31 @@ def test_terms_of_whole_texts(spark, sf_dir):
     want = {i: ",".join(w for w in ("and", "ore", "then", "thin") if w in t) for i, t in texts.items()}
     assert {r["doc_id"]: r["terms"] for r in rows(spark, sf_dir, "terms_in_texts")} == want
     assert any(w in t and w not in t[:400] for t in texts.values() for w in ("and", "ore", "then", "thin"))
+
+
+def test_networks_hold_every_edge(spark, sf_dir):
+    edges = [(r["era"], r["src"], r["dst"]) for r in rows(spark, sf_dir, "edge_weights")]
+    near = {}
+    for era, a, b in edges:
+        near.setdefault((era, a), set()).add((era, b))
+        near.setdefault((era, b), set()).add((era, a))
+    want = {}
+    for start in sorted(near):  # the first node met of a component is its least
+        todo = [] if start in want else [start]
+        while todo:
+            node = todo.pop()
+            if node not in want:
+                want[node] = start[1]
+                todo += near[node]
+    assert {(r["era"], r["node"]): r["component"] for r in rows(spark, sf_dir, "connected_components_whole")} == want
+    assert {(r["era"], r["node"]) for r in rows(spark, sf_dir, "betweenness")} == set(want)
+    for name in ("centrality_fill_whole", "centrality_shift_whole"):
+        assert {r["node"] for r in rows(spark, sf_dir, name)} == {n for _, n in want}
+    order = list(catalog.ERA_ORDER)
+    for name, first in (("emerging_edges_whole", min(order)), ("emerging_edges_chronological_whole", order[0])):
+        known = {(a, b) for era, a, b in edges if era == first}
+        got = rows(spark, sf_dir, name)
+        assert {(r["src"], r["dst"]) for r in got} == {(a, b) for era, a, b in edges if era in order and era != first and (a, b) not in known}
+    pairs = {(e, a, b) for e, a, b in edges} | {(e, b, a) for e, a, b in edges}
+    bridges = rows(spark, sf_dir, "bridge_nodes_whole")
+    assert all((r["era"], r["a"], r["b"]) not in pairs and {(r["era"], r["a"], r["bridge"]), (r["era"], r["bridge"], r["b"])} <= pairs for r in bridges)
