@@ -1,0 +1,29 @@
+"""Cases in which the operators once did less than the whole job."""
+
+from lexmill.llm import wrapper
+
+
+def texts(spark, pages):
+    rows = [(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)]
+    return [r["text"] for r in wrapper.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_small_hosts_have_wrappers(spark):
+    page = lambda i: f"<div><p>Home and more</p></div><section><p>story {i}</p><p>more {i}</p></section><span>All rights reserved</span>"
+    for n in (2, 3, 9):
+        assert texts(spark, [("a.b", page(i)) for i in range(n)]) == [f"story {i}\nmore {i}" for i in range(n)]
+    # one page gives nothing to compare with
+    assert texts(spark, [("a.b", page(0))]) == ["Home and more\nstory 0\nmore 0\nAll rights reserved"]
+
+
+def test_shared_paragraphs_of_near_copies_stay(spark):
+    page = lambda i: f"<section><p>the same story</p><p>told twice</p><p>with an end {i}</p></section>"
+    assert texts(spark, [("a.b", page(i)) for i in range(2)]) == [f"the same story\ntold twice\nwith an end {i}" for i in range(2)]
+    page = lambda i: f"<article><h1>title</h1><p>end {i}</p></article>"
+    assert texts(spark, [("a.b", page(i)) for i in range(2)]) == [f"title\nend {i}" for i in range(2)]
+
+
+def test_varying_slots_outside_an_article_are_content(spark):
+    page = lambda i: f"<div><p>lead {i}</p></div><div id=x><p>constant</p></div><nav>menu {i}</nav><article><p>story {i}</p></article>"
+    assert texts(spark, [("a.b", page(i)) for i in range(3)]) == [f"lead {i}\nstory {i}" for i in range(3)]
+    assert texts(spark, [("a.b", page(0))]) == ["story 0"]
