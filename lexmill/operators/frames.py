@@ -274,12 +274,17 @@ def pos_stopwords(frames: DataFrame, content: tuple[str, ...] = ("NOUN", "VERB",
     return first.where(~F.col("pos").isin(*content)).select("lemma", "pos", "n")
 
 
-def flagged_sentences(found: DataFrame, by: list[str], most: int = 5, length: int = 200) -> DataFrame:
-    """The first agentless passives of each group, in input order, cut to `length` characters."""
+def flagged_sentences(found: DataFrame, by: list[str], most: int = 5, length: int = 200, terms: tuple[str, ...] = ()) -> DataFrame:
+    """The first agentless passives of each group, in input order, cut to `length` characters.
+
+    With terms only those whose whole sentence holds one of them, and the terms found.
+    """
     order = Window.partitionBy(*by).orderBy("chunk_id", "token_idx")
     rows = found.where((F.col("voice") == "passive") & (F.col("agent_category") == "AGENTLESS"))
+    if terms:
+        rows = rows.withColumn("terms", terms_in_context(F.col("sentence"), terms)).where(F.size("terms") > 0)
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return rows.select(*by, "rank", F.substring("sentence", 1, length).alias("sentence"))
+    return rows.select(*by, "rank", F.substring("sentence", 1, length).alias("sentence"), *(["terms"] if terms else []))
 
 
 def terms_in_context(sentence: Column, terms: tuple[str, ...]) -> Column:

@@ -398,6 +398,13 @@ def flagged_sentences(s, d):
     return frames.flagged_sentences(rows, ["doc_title"])
 
 
+@query
+def flagged_in_context(s, d):
+    """Flagged sentences that hold a term; function words stand for institutions, which the test tables lack."""
+    rows = b.triples(s, d).withColumn("sentence", F.concat_ws(" ", "dep_head_lemma", "target_lemma"))
+    return frames.flagged_sentences(rows, ["doc_title"], terms=("and", "in"))
+
+
 @query
 def terms_in_context(s, d):
     """Terms inside the start of each text; substrings count."""

@@ -1,5 +1,6 @@
 """Queries that do the whole job, against brute force in Python."""
 
+from lexmill.operators import frames
 from lexmill.plans import catalog
 
 
@@ -40,3 +41,16 @@ def test_networks_hold_every_edge(spark, sf_dir):
     pairs = {(e, a, b) for e, a, b in edges} | {(e, b, a) for e, a, b in edges}
     bridges = rows(spark, sf_dir, "bridge_nodes_whole")
     assert all((r["era"], r["a"], r["b"]) not in pairs and {(r["era"], r["a"], r["bridge"]), (r["era"], r["bridge"], r["b"])} <= pairs for r in bridges)
+
+
+def test_only_sentences_with_terms_are_flagged(spark):
+    rows = [("d", "c", i, "passive", "AGENTLESS", "nobody") for i in range(6)]
+    rows += [("d", "c", 6 + i, "passive", "AGENTLESS", "x" * 250 + f" the Board {i}") for i in range(6)]
+    found = spark.createDataFrame(rows, "t string, chunk_id string, token_idx int, voice string, agent_category string, sentence string")
+    got = frames.flagged_sentences(found, ["t"], terms=("board", "act")).orderBy("rank").collect()
+    assert [(r["rank"], r["sentence"], r["terms"]) for r in got] == [(k, "x" * 200, ["board"]) for k in range(1, 6)]
+
+
+def test_flagged_in_context(spark, sf_dir):
+    got = rows(spark, sf_dir, "flagged_in_context")
+    assert got and all(r["terms"] == [w for w in ("and", "in") if w in r["sentence"]] for r in got)
