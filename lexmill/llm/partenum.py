@@ -385,6 +385,18 @@ def classes_of(meta: DataFrame) -> DataFrame:
     return meta.groupBy("sid", "twin", "n_shingles").agg(F.min("doc_id").alias("cls"))
 
 
+def split_groups(placed: DataFrame) -> DataFrame:
+    """(sig) of the groups with several labels in placed (sig, sid, label), one for each list of members.
+
+    Signatures of the same members give the same pairs: one of them is enough. A group may hold a member twice, which
+    bit_xor would cancel, so members are told by sums of their hashes' halves, which can't overflow.
+    """
+    halves = [h for s in (F.xxhash64("sid"), F.xxhash64("sid", F.lit(1))) for h in (F.shiftrightunsigned(s, 32), s.bitwiseAND(F.lit((1 << 32) - 1)))]
+    hashes = [F.sum(h).alias(f"h{i}") for i, h in enumerate(halves)]
+    groups = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k"), *hashes)
+    return groups.where("x < y").groupBy("k", "h0", "h1", "h2", "h3").agg(F.min("sig").alias("sig")).select("sig")
+
+
 def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) for every row of docs."""
     prepare(spark)
@@ -413,13 +425,7 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int =
     of_set = classes.join(labels, F.col("cls") == F.col("node"), "left").groupBy("sid").agg(F.min(F.coalesce("label", "cls")).alias("label"))
     of_set = materialize(spark, of_set, "set-labels")
     placed = members.select("sig", "sid").join(of_set, "sid")
-    groups = placed.groupBy("sig").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k"),
-        F.bit_xor(F.xxhash64("sid")).alias("h"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("g"),
-    )
-    # signatures of the same members give the same pairs: one of them is enough
-    split = groups.where("x < y").groupBy("k", "h", "g").agg(F.min("sig").alias("sig")).select("sig")
-    split = materialize(spark, placed.join(split, "sig", "left_semi"), "split")
+    split = materialize(spark, placed.join(split_groups(placed), "sig", "left_semi"), "split")
     split = split.join(bits, "sid")
     left, right = split.alias("l"), split.alias("r")
     apart = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.label") != F.col("r.label"))

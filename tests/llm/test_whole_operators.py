@@ -1,6 +1,8 @@
 """Cases in which the operators once did less than the whole job."""
 
-from lexmill.llm import wrapper
+from test_operators import brute_components, found_components
+
+from lexmill.llm import partenum, wrapper
 
 
 def texts(spark, pages):
@@ -27,3 +29,18 @@ def test_varying_slots_outside_an_article_are_content(spark):
     page = lambda i: f"<div><p>lead {i}</p></div><div id=x><p>constant</p></div><nav>menu {i}</nav><article><p>story {i}</p></article>"
     assert texts(spark, [("a.b", page(i)) for i in range(3)]) == [f"lead {i}\nstory {i}" for i in range(3)]
     assert texts(spark, [("a.b", page(0))]) == ["story 0"]
+
+
+def test_doubled_members_do_not_hide_a_group(spark):
+    rows = [(1, 10, 0), (1, 10, 0), (1, 11, 1), (2, 12, 2), (2, 12, 2), (2, 11, 1), (3, 11, 1), (3, 12, 2), (3, 12, 2), (4, 10, 0), (4, 13, 0)]
+    placed = spark.createDataFrame(rows, "sig long, sid long, label long")
+    # 2 and 3 have the same members, 4 has one label
+    assert sorted(r[0] for r in partenum.split_groups(placed).collect()) == [1, 2]
+
+
+def test_copies_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "HOT", 1)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 20], f"x{i % 40}", *words[i % 20 + 1 :]])) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found_components(spark, df, 4, 85, 100) == brute_components(rows, 4, 85, 100)
