@@ -6,7 +6,7 @@ All stages but the last return the columns of documents.
 
 1. toxicity: documents that the factorization machine rejects go.
 2. near_duplicates: of each group of documents whose five-word shingle sets reach a
-   similarity of 0.8, linked in chains too, that of the least id stays.
+   similarity of 0.8, linked in chains too, that of the least id stays, in one row.
 3. secrets: spans that the rules find are replaced by a mark; no document goes.
 4. mixing: documents are taken to target weights by domain, language and source; a
    document is repeated once for each epoch that takes it.
@@ -30,7 +30,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return partenum.keep_one(spark, docs)
+    return partenum.keep_one_row(spark, docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

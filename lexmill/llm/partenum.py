@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import discard, materialize, prepare
+from lexmill.llm.sharding import numbered
 from lexmill.llm.textfeat import Words, mix, slices
 
 FEATURES_EACH = 5
@@ -500,3 +501,24 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80
     gone = found.where("n_shingles > 0 and doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     gone = materialize(spark, gone, "duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_one_row(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs' own columns, one row of each component: of the least id, a null last; rows without words stay.
+
+    Where ids repeat or are null, rows are joined by their numbers, by id and then by a
+    hash of the row, which takes a copy of docs.
+    """
+    prepare(spark)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count()
+    if not ids.where("count > 1 or doc_id is null").limit(1).count():
+        return keep_one(spark, docs, width, num, den)
+    of_row = [F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)]
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_key"), *[h.alias(f"_h{i}") for i, h in enumerate(of_row)])
+    known, n = numbered(rows.where("_key is not null"), "_key", ["_h0", "_h1"])
+    rest, _ = numbered(rows.where("_key is null"), "_h0", ["_h1"])
+    dealt = known.select("_doc", F.col("row").cast("long").alias("_row")).unionByName(rest.select("_doc", (F.col("row") + n).cast("long").alias("_row")))
+    dealt = materialize(spark, dealt, "numbered")
+    found = components(spark, dealt.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), width, num, den)
+    gone = found.where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("_row"))
+    return dealt.join(materialize(spark, gone, "duplicates"), "_row", "left_anti").select("_doc.*")

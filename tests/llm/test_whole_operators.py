@@ -1,6 +1,7 @@
 """Cases in which the operators once did less than the whole job."""
 
-from test_operators import brute_components, found_components
+import pytest
+from test_operators import NO_DOCS, brute_components, found_components, odd_rows
 
 from lexmill.llm import partenum, wrapper
 
@@ -44,3 +45,14 @@ def test_copies_over_partitions(spark, monkeypatch):
     rows = [(i, " ".join([*words[: i % 20], f"x{i % 40}", *words[i % 20 + 1 :]])) for i in range(160)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found_components(spark, df, 4, 85, 100) == brute_components(rows, 4, 85, 100)
+
+
+def test_one_row_of_each_group_stays(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kept = lambda df: corpus_pipeline.drop_near_duplicates(spark, df, "")
+    odd = spark.createDataFrame(odd_rows(), NO_DOCS).repartition(3)
+    got = kept(odd)
+    assert got.columns == odd.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2, 3, 5, 7, 8]
+    rows = [(1, "one two three"), (9, "one two three"), (9, "quite another text"), (None, "a text without id"), (None, "a text without id"), (None, "one two three")]
+    got = kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "one two three"), (9, "quite another text"), (None, "a text without id")]))
