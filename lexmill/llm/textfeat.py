@@ -2,7 +2,9 @@
 
 A word's hash is a polynomial over its bytes modulo 2**64, read off prefix sums, so
 no Python code runs for each word. White space is the six ASCII characters; all
-other bytes, among them those of multi-byte characters, belong to words.
+other bytes, among them those of multi-byte characters, belong to words. As any hash
+of 64 bits it can give two words one value; for a polynomial modulo 2**64 such pairs
+of words can be constructed, of a thousand bytes and more.
 """
 
 from __future__ import annotations
@@ -20,8 +22,16 @@ GRAM = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8
 SLICE = 1 << 20
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A finaliser that spreads every bit of a 64-bit value over all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def byte_values(lower: bool, seed: int = 1) -> np.ndarray:
-    out = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64, 256, dtype=np.uint64)
+    """A fixed value for each byte."""
+    out = mix(mix(np.arange(256, dtype=np.uint64) + np.uint64(1)) + np.uint64(seed))
     if lower:
         out[65:91] = out[97:123]
     return out
@@ -30,13 +40,6 @@ def byte_values(lower: bool, seed: int = 1) -> np.ndarray:
 LOWERED, EXACT = byte_values(True), byte_values(False)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads every bit of a 64-bit value over all others."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Powers:
     """Powers of BASE and of its inverse, grown on demand."""
 
