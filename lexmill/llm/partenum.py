@@ -46,7 +46,7 @@ from lexmill.llm.common import discard, materialize, prepare
 from lexmill.llm.sharding import numbered
 from lexmill.llm.textfeat import Words, mix, slices
 
-FEATURES_EACH = 5
+FEATURES_EACH, SLACK = 2, 1.25
 BAND_RATIO = 1.4
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -71,11 +71,16 @@ def distance(high: int, num: int, den: int) -> int:
 
 @lru_cache
 def shape(low: int, high: int, num: int, den: int) -> tuple[int, int]:
-    """(n1, n2) of the instance of a band; k2 is 1 if n2 is over 1, else 0."""
+    """(n1, n2) of the instance of a band; k2 is 1 if n2 is over 1, else 0.
+
+    SLACK more first-level partitions than needed let a set leave its poorest parts unsigned.
+    """
     k = distance(high, num, den)
     least = -(-low * num // den)
-    found = [(k + 1, 1), *((-(-(k + 1) // 2), n2) for n2 in (2, 3, 4))] if k else [(1, 1)]
-    each = lambda n1, n2: least * (n2 - (n2 > 1)) / (n1 * n2)
+    if not k:
+        return 1, 1
+    found = [(math.ceil(SLACK * (-(-(k + 1) // 2))), n2) for n2 in (2, 3, 4)]
+    each = lambda n1, n2: least * (n2 - 1) / (n1 * n2)
     rich = [s for s in found if each(*s) >= FEATURES_EACH]
     return min(rich, key=lambda s: s[0] * s[1]) if rich else max(found, key=lambda s: each(*s))
 
@@ -103,22 +108,58 @@ def identities(grams: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(sums(mix(grams), cuts)).view(np.int64), mix(sums(mix(grams ^ SECOND), cuts)).view(np.int64)
 
 
-META = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("twin", pa.int64()), ("n_shingles", pa.int64())])
+#: 64-bit words of a short bitmap, the same for all sizes, that is compared first.
+SHORT = 4
+META = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("sid", pa.int64()),
+        ("twin", pa.int64()),
+        ("n_shingles", pa.int64()),
+        *((f"q{i}", pa.int64()) for i in range(SHORT)),
+        ("bits", pa.list_(pa.int64())),
+    ]
+)
+META_SQL = "doc_id long, sid long, twin long, n_shingles long, " + "".join(f"q{i} long, " for i in range(SHORT)) + "bits array<long>"
 
 
 def describe(width: int):
+    """Each row's set: its hashes, size and bitmaps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             sid, twin, n = (np.zeros(len(texts), np.int64) for _ in range(3))
+            maps, shorts = [], [np.zeros((0, SHORT), np.int64)]
             for at, to, grams, cuts in sets_of(texts, width):
                 sid[at:to], twin[at:to] = identities(grams, cuts)
                 n[at:to] = np.diff(cuts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid), pa.array(twin), pa.array(n)], schema=META)
+                maps += bitmaps(grams, cuts)
+                shorts.append(short_bitmaps(grams, cuts))
+            quick = [pa.array(q) for q in np.concatenate(shorts).T.copy()]
+            rows = [batch.column(0), pa.array(sid), pa.array(twin), pa.array(n), *quick, pa.array(maps, META.field("bits").type)]
+            yield pa.RecordBatch.from_arrays(rows, schema=META)
 
     return run
 
 
+def least_features(held: np.ndarray, owner: np.ndarray, local: np.ndarray, width: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each set the greatest c so that signatures of c features or more suffice, where `most` features may differ.
+
+    To spoil all such signatures of a first-level partition takes no differing feature if none has c features, one if
+    only some have (a part that all of those hold), and two if all have. If that adds up to more than `most`, a similar
+    set agrees on one of them; it holds as many features there, so it signs it too if its own c is no greater, and
+    the set of the greater c decides for both.
+    """
+    heads = np.flatnonzero(local % width == 0)
+    two = width[heads] > 1
+    cost = np.concatenate([np.maximum.reduceat(held, heads), np.minimum.reduceat(held, heads)[two]])
+    of_set = np.concatenate([owner[heads], owner[heads][two]])
+    order = np.lexsort((-cost, of_set))
+    start = np.searchsorted(of_set[order], np.arange(len(most)))
+    return cost[order][start + most]
+
+
 def signatures(grams: np.ndarray, cuts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of some sets, and the number of the set that each belongs to."""
     n = np.diff(cuts)
@@ -156,9 +197,12 @@ def signatures(grams: np.ndarray, cuts: np.ndarray, num: int, den: int) -> tuple
         total = np.r_[np.uint64(0), np.cumsum(part)]
         start = base[owner] + local // width * width
         rest = np.where(width > 1, total[start + width] - total[start] - part, part)
+        held = np.where(width > 1, bounds[start + width] - bounds[start] - (bounds[1:] - bounds[:-1]), bounds[1:] - bounds[:-1])
+        most = (den - num) * (size + np.minimum(highs[b], size * den // num)) // (den + num)
+        rich = held >= least_features(held, owner, local, width, most)[owner]
         tag = mix((b[owner].astype(np.uint64) << np.uint64(40)) + local.astype(np.uint64))
-        out.append(mix(rest + tag))
-        owners.append(sets[owner])
+        out.append(mix(rest + tag)[rich])
+        owners.append(sets[owner[rich]])
         shift += 1
 
 
@@ -275,8 +319,9 @@ def verify(width: int, num: int, den: int):
         key, heads = None, []
         for batch in batches:
             a, b = [], []
-            keys, members, classes = (batch.column(i).to_pylist() for i in range(3))
-            texts = [t.encode() for t in batch.column(3).to_pylist()]
+            head, part, members, classes = (batch.column(i).to_pylist() for i in range(4))
+            keys = list(zip(head, part, strict=True))
+            texts = [t.encode() for t in batch.column(4).to_pylist()]
             for at, to, grams, cuts in sets_of(texts, width):
                 for i in range(at, to):
                     x = grams[cuts[i - at] : cuts[i - at + 1]]
@@ -298,8 +343,15 @@ def verify(width: int, num: int, den: int):
     return run
 
 
+def similar_short(a: str, b: str, num: int, den: int) -> Column:
+    """False only for pairs that sizes or short bitmaps prove to be dissimilar; a, b: aliases of rows with n and q0, q1 and so on."""
+    sized = f"{a}.n * {den} >= {b}.n * {num} and {b}.n * {den} >= {a}.n * {num}"
+    short = " + ".join(f"bit_count({a}.q{i} ^ {b}.q{i})" for i in range(SHORT))
+    return F.expr(f"{sized} and ({short}) * {den + num}L <= {den - num}L * ({a}.n + {b}.n)")
+
+
 def similar_bits(a: str, b: str, num: int, den: int) -> Column:
-    """False only for pairs that sizes or bitmaps prove to be dissimilar; a, b: aliases of rows with n and bits."""
+    """The same by the whole bitmaps, for pairs that pass similar_short()."""
     common = f"least(size({a}.bits), size({b}.bits))"
 
     def folded(x: str) -> str:
@@ -308,26 +360,31 @@ def similar_bits(a: str, b: str, num: int, den: int) -> Column:
         return f"if(size({x}.bits) = {common}, {x}.bits, zip_with(slice({x}.bits, 1, {half}), slice({x}.bits, {half} + 1, {half}), (p, q) -> p ^ q))"
 
     differing = f"aggregate(zip_with({folded(a)}, {folded(b)}, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
-    sized = f"{a}.n * {den} >= {b}.n * {num} and {b}.n * {den} >= {a}.n * {num}"
-    short = " + ".join(f"bit_count({a}.q{i} ^ {b}.q{i})" for i in range(SHORT))
-    most = f"{den - num}L * ({a}.n + {b}.n)"
-    return F.expr(f"if({sized} and ({short}) * {den + num}L <= {most}, {differing} * {den + num}L <= {most}, false)")
+    return F.expr(f"{differing} * {den + num}L <= {den - num}L * ({a}.n + {b}.n)")
+
 
+def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and bitmaps don't rule out."""
+    short = [c for c in sketches.columns if c not in ("sid", "bits")]
+    for fields, similar in ((short, similar_short), (["n", "bits"], similar_bits)):
+        left = sketches.select(F.col("sid").alias("a"), F.struct(*fields).alias("x"))
+        right = sketches.select(F.col("sid").alias("b"), F.struct(*fields).alias("y"))
+        pairs = pairs.join(left, "a").join(right, "b").where(similar("x", "y", num, den)).select("a", "b").distinct()
+    return pairs
 
-def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that bitmaps don't rule out."""
-    fields = bits.drop("sid").columns
-    left = bits.select(F.col("sid").alias("a"), F.struct(*fields).alias("x"))
-    right = bits.select(F.col("sid").alias("b"), F.struct(*fields).alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(similar_bits("x", "y", num, den)).select("a", "b").distinct()
+
+#: Members that are compared with one copy of their head.
+MEMBERS = 4096
 
 
 def links_of(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Verified links (a, b) between classes, from pairs (a, b) of set hashes and texts (sid, cls, text)."""
-    heads = pairs.select("a").distinct().join(texts, F.col("a") == F.col("sid"))
-    members = pairs.join(texts, F.col("b") == F.col("sid"))
-    rows = heads.select("a", F.lit(None).cast("long").alias("b"), "cls", "text").unionByName(members.select("a", "b", "cls", "text"))
-    rows = rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts")), "a")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("sid"))
+    members = dealt.join(texts, F.col("b") == F.col("sid"))
+    rows = heads.select("a", "part", F.lit(None).cast("long").alias("b"), "cls", "text").unionByName(members.select("a", "part", "b", "cls", "text"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(verify(width, num, den), "a long, b long")
 
 
@@ -377,7 +434,10 @@ def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
         changed = new.where("label < old").limit(1).count()
         discard(spark, labels)
         if not changed:
-            return new.select("node", "label")
+            discard(spark, edges)
+            out = new.select("node", "label")
+            out._lexmill_path = new._lexmill_path
+            return out
         labels = new.drop("old")
         labels._lexmill_path = new._lexmill_path
 
@@ -398,47 +458,79 @@ def split_groups(placed: DataFrame) -> DataFrame:
     return groups.where("x < y").groupBy("k", "h0", "h1", "h2", "h3").agg(F.min("sig").alias("sig")).select("sig")
 
 
+#: Members of a group whose pairs are formed in one task.
+BLOCK = 2048
+
+
+def pairs_apart(split: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of split's (sig, sid, label) that share a signature but no label, and that short bitmaps don't rule out.
+
+    A group of more than BLOCK members is dealt to blocks; each two blocks, and each block with itself, meet in a cell
+    of their own.
+    """
+    blocks = split.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    short = sketches.drop("bits")
+    rows = split.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).join(short, "sid")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    left, right = rows.alias("l"), rows.alias("r")
+    same = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cell") == F.col("r.cell"))
+    # a cell of two blocks is for their mixed pairs only
+    mixed = (F.col("l.block") != F.col("r.block")) | (F.col("l.block") == F.col("l.other"))
+    apart = same & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.label") != F.col("r.label")) & mixed
+    found = left.join(right, apart & similar_short("l", "r", num, den))
+    return found.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+
+
 def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) for every row of docs."""
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    meta = materialize(spark, rows.mapInArrow(describe(width), "doc_id long, sid long, twin long, n_shingles long"), "sets")
+    meta = materialize(spark, rows.mapInArrow(describe(width), META_SQL), "sets")
     classes = materialize(spark, classes_of(meta.where("n_shingles > 0")).where("cls is not null"), "classes")
 
     signed = rows.select("text").mapInArrow(sign(width, num, den, HOT), "sig long, part int, sid long")
     members = signed.repartition("sig", "part").sortWithinPartitions("sig", "sid").mapInArrow(chain, "sig long, sid long, before long, before2 long")
     members = materialize(spark, members, "members")
 
-    # texts of one document for each class that shares a signature
+    # the bitmaps of one row for each class that shares a signature; rows that repeat an id may hold other sets
     nodes = members.select("sid").distinct().join(classes, "sid").select("sid", "cls")
-    texts = rows.where("doc_id is not null").join(nodes, F.col("doc_id") == F.col("cls")).select("sid", "cls", "text")
-    # rows that repeat an id may hold other texts, which their set's hash tells apart
-    texts = materialize(spark, own_texts(texts, width), "texts")
+    first = meta.select("doc_id", "sid", F.col("n_shingles").alias("n"), *[f"q{i}" for i in range(SHORT)], "bits")
+    sketches = first.join(nodes, (first.doc_id == nodes.cls) & (first.sid == nodes.sid)).select(first.sid, "n", *[f"q{i}" for i in range(SHORT)], "bits")
+    sketches = materialize(spark, sketches.dropDuplicates(["sid"]), "sketches")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(classes, "sid")
+        wanted = rows.where("doc_id is not null").join(ends, F.col("doc_id") == F.col("cls")).select("sid", "cls", "text")
+        texts = materialize(spark, wanted.mapInArrow(own_texts(width), TEXTS_SQL), "texts")
+        links = materialize(spark, links_of(pairs, texts, width, num, den).distinct(), "links")
+        discard(spark, texts)
+        return links
 
-    bits = texts.drop("text", "cls")
     chains = members.select(F.explode(F.array("before", "before2")).alias("a"), F.col("sid").alias("b")).where("a is not null")
     pairs = chains.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(spark, possible(pairs, bits, num, den), "pairs")
-    links = materialize(spark, links_of(pairs, texts, width, num, den).distinct(), "links")
+    pairs = materialize(spark, possible(pairs, sketches, num, den), "pairs")
+    links = verified(pairs)
     labels = connected(spark, links)
 
     # what the chains left open: members of one signature in different components
     of_set = classes.join(labels, F.col("cls") == F.col("node"), "left").groupBy("sid").agg(F.min(F.coalesce("label", "cls")).alias("label"))
     of_set = materialize(spark, of_set, "set-labels")
     placed = members.select("sig", "sid").join(of_set, "sid")
-    split = materialize(spark, placed.join(split_groups(placed), "sig", "left_semi"), "split")
-    split = split.join(bits, "sid")
-    left, right = split.alias("l"), split.alias("r")
-    apart = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.label") != F.col("r.label"))
-    rest = left.join(right, apart & similar_bits("l", "r", num, den)).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
-    rest = materialize(spark, rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = materialize(spark, links_of(rest, texts, width, num, den).distinct(), "links")
-    if more.limit(1).count():
-        labels = connected(spark, links.unionByName(more))
-
+    split = materialize(spark, placed.join(split_groups(placed), "sig", "left_semi").distinct(), "split")
+    discard(spark, members)
+    rest = materialize(spark, possible(pairs_apart(split, sketches, num, den).join(pairs, ["a", "b"], "left_anti"), sketches, num, den), "rest")
+    done = [pairs, of_set, split, sketches]
+    if rest.limit(1).count():
+        more = verified(rest)
+        if more.limit(1).count():
+            done += [links, more, labels]
+            labels = connected(spark, links.unionByName(more))
     final = classes.join(labels, F.col("cls") == F.col("node"), "left").select("sid", "twin", F.coalesce("label", "cls").alias("label"))
     final = materialize(spark, final, "components")
-    out = meta.join(final, ["sid", "twin"], "left")
+    for table in (*done, rest, classes):
+        discard(spark, table)
+    out = meta.select("doc_id", "sid", "twin", "n_shingles").join(final, ["sid", "twin"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
@@ -453,21 +545,6 @@ def bitmaps(grams: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-#: 64-bit words of a short bitmap, the same for all sizes, that is compared first.
-SHORT = 4
-TEXTS = pa.schema(
-    [
-        ("sid", pa.int64()),
-        ("cls", pa.int64()),
-        ("n", pa.int64()),
-        *((f"q{i}", pa.int64()) for i in range(SHORT)),
-        ("bits", pa.list_(pa.int64())),
-        ("text", pa.string()),
-    ]
-)
-TEXTS_SQL = "sid long, cls long, n long, " + "".join(f"q{i} long, " for i in range(SHORT)) + "bits array<long>, text string"
-
-
 def short_bitmaps(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """For each set the parities of its features by hash over SHORT words, a row each."""
     size, n = 64 * SHORT, len(cuts) - 1
@@ -476,23 +553,21 @@ def short_bitmaps(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.packbits(parity.reshape(n, size), axis=1, bitorder="little").view(np.int64)
 
 
-def own_texts(texts: DataFrame, width: int) -> DataFrame:
-    """The rows whose text has the set hash that they are filed under, with the set's size and bitmap."""
+TEXTS = pa.schema([("sid", pa.int64()), ("cls", pa.int64()), ("text", pa.string())])
+TEXTS_SQL = "sid long, cls long, text string"
+
+
+def own_texts(width: int):
+    """The rows whose text has the set hash that they are filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, sizes, maps, shorts = [], [], [], [np.zeros((0, SHORT), np.int64)]
+            sids = [np.zeros(0, np.int64)]
             for _, _, grams, cuts in sets_of([(t or "").encode() for t in batch.column(2).to_pylist()], width):
-                sids += identities(grams, cuts)[0].tolist()
-                sizes += np.diff(cuts).tolist()
-                maps += bitmaps(grams, cuts)
-                shorts.append(short_bitmaps(grams, cuts))
-            quick = [pa.array(q) for q in np.concatenate(shorts).T.copy()]
-            rows = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *quick, pa.array(maps, TEXTS.field("bits").type), batch.column(2)]
-            own = np.array(sids, np.int64) == batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(rows, schema=TEXTS).filter(pa.array(own))
+                sids.append(identities(grams, cuts)[0])
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=TEXTS).filter(pa.array(np.concatenate(sids) == batch.column(0).to_numpy()))
 
-    return texts.mapInArrow(run, TEXTS_SQL)
+    return run
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
