@@ -77,6 +77,8 @@ GOVERNMENT_HEADERS = (
     r"JINDIPERS!?\s*$",
     r"Gaelic Language \(Scotland\) Act 2005 asp 7\s*$",
 )
+#: Starts of lines that are headers too, each with a text that the line must hold.
+GOVERNMENT_STARTS = (("before", "December 2025"), ("appear in the content and are referenced", ""))
 PUBLISHER_LINES = (
     r"(?i)©\s*Crown\s+Copyright", r"Crown\s+[Cc]opyright", r"(?i)King'?s\s+Printer", r"(?i)Queen'?s\s+Printer",
     r"(?i)Published by TSO", r"ISBN\s+[\d\-]+", r"www\.tsoshop\.co\.uk", r"TSO\s*$", r"tso\s*$", r"PO Box",

@@ -88,7 +88,7 @@ def parse_reply(c: Column) -> Column:
         F.array().cast("array<struct<device:string,example:string,function:string>>").alias("linguistic_devices"),
         none.alias("target_languages"),
         F.lit(None).cast("array<string>").alias("topoi"),
-        F.lit("Repaired from truncated API response (max_tokens exceeded).").alias("notes"),
+        F.lit("Cut-off reply; fields read one by one.").alias("notes"),
         F.lit(None).cast("boolean").alias("error"),
         F.lit(True).alias("repaired"),
     )

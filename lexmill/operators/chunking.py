@@ -34,21 +34,33 @@ def section_lines(lines: DataFrame, pattern: str) -> DataFrame:
 
 
 def sections(lines: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, section_seq, section_id, section_title, start_line, end_line, text)."""
+    """(doc_id, section_seq, section_id, section_title, start_line, end_line, text).
+
+    Texts are stripped, and sections without any left out; a document without sections is one section, full.
+    """
     staged = section_lines(lines, pattern)
     rest = strip(F.substring(F.col("_s"), F.length("_mark") + 1, F.length("_s")))
     title = F.when(F.col("_hit"), F.coalesce(F.nullif(rest, F.lit("")), F.nullif(F.col("_next"), F.lit("")), F.col("_mark")))
-    title = F.substring(F.coalesce(title, F.lit("preamble")), 1, 100)
+    title = F.substring(F.coalesce(title, F.lit("Preamble")), 1, 100)
     name = F.when(F.col("_hit"), F.col("_mark")).otherwise(F.lit("preamble"))
     head = staged.withColumns({"_title": F.when(F.col("_open"), title), "_name": F.when(F.col("_open"), name)})
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return head.groupBy("doc_id", "section_seq").agg(
+    found = head.groupBy("doc_id", "section_seq").agg(
         F.max("_name").alias("section_id"),
         F.max("_title").alias("section_title"),
         F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
-        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"),
+        strip(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("text"),
     )
+    found = found.where("text != ''")
+    # a document without a line that opens a section is blank throughout
+    opened = F.max((strip(F.col("line")) != "").cast("int")).alias("_any")
+    blank = lines.groupBy("doc_id").agg(opened, F.max("line_no").alias("end_line")).where("_any = 0")
+    full = blank.select(
+        "doc_id", F.lit(1).cast("long").alias("section_seq"), F.lit("full").alias("section_id"), F.lit("Full Document").alias("section_title"),
+        F.lit(0).alias("start_line"), "end_line", F.lit("").alias("text"),
+    )
+    return found.unionByName(full)
 
 
 def token_count(text: Column) -> Column:
@@ -123,21 +135,21 @@ def chunk_sections(found: DataFrame, most: int = BUDGET, overlap: int = OVERLAP_
 def assemble(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """Chunks with their label, a unique key, prefix, and the number of chunks that share (document, section id).
 
-    meta: doc_id, doc_no, doc_title, doc_year.
+    meta: doc_id, doc_no, doc_title, doc_year; a document that is not in it has the number 0 and no title.
     """
     inside = Window.partitionBy("doc_id", "section_id")
     label = F.concat(
         F.lit("doc"),
-        F.lpad(F.col("doc_no").cast("string"), 2, "0"),
+        F.format_string("%02d", F.coalesce("doc_no", F.lit(0)).cast("long")),
         F.lit("_"),
         F.regexp_replace("section_id", "[^a-zA-Z0-9_.-]", "_"),
         F.lit("_"),
-        F.lpad(F.col("chunk_no").cast("string"), 3, "0"),
+        F.format_string("%03d", F.col("chunk_no").cast("long")),
     )
     prefix = F.concat(
-        F.lit("[DOC: "), F.col("doc_title"), F.lit(" ("), F.col("doc_year").cast("string"), F.lit(") | SEC: "), F.col("section_id"), F.lit("] ")
+        F.lit("[DOC: "), F.coalesce("doc_title", F.lit("")), F.lit(" ("), F.coalesce(F.col("doc_year").cast("string"), F.lit("")), F.lit(") | SEC: "), F.col("section_id"), F.lit("] ")
     )
-    return chunks.join(meta, "doc_id").select(
+    return chunks.join(meta, "doc_id", "left").select(
         label.alias("chunk_id"),
         F.concat_ws(":", F.col("doc_id").cast("string"), "section_seq", "chunk_no").alias("chunk_key"),
         "doc_id",

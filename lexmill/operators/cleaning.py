@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.dims import AMENDMENT_LINES, AMENDMENT_OPENER, GOVERNMENT_HEADERS, PUBLISHER_LINES
+from lexmill.dims import AMENDMENT_LINES, AMENDMENT_OPENER, GOVERNMENT_HEADERS, GOVERNMENT_STARTS, PUBLISHER_LINES
 from lexmill.functions.text import fix_ocr, normalize_space, rejoin_hyphens, strip
 
 TAIL_LINES = 40
@@ -64,8 +64,8 @@ def drop_publisher_tail(lines: DataFrame, patterns: tuple[str, ...] = PUBLISHER_
 def drop_government_headers(lines: DataFrame, literals: tuple[str, ...] = ()) -> DataFrame:
     stripped = strip(F.col("line"))
     out = any_match(stripped, GOVERNMENT_HEADERS)
-    for prefix in literals:
-        out = out | stripped.startswith(prefix)
+    for prefix, inside in (*GOVERNMENT_STARTS, *((x, "") for x in literals)):
+        out = out | (stripped.startswith(prefix) & stripped.contains(inside))
     return lines.where(~out)
 
 
@@ -73,8 +73,8 @@ def drop_amendments(lines: DataFrame) -> DataFrame:
     """Blocks that a "Textual Amendments" line opens, up to the first line that can't continue one."""
     stripped = strip(F.col("line"))
     first = F.substring(stripped, 1, 1)
-    lower_start = (stripped != "") & ~first.rlike("(?U)[\\p{Lu}\\p{Lt}\\d(]")
-    continues = any_match(stripped, AMENDMENT_LINES) | stripped.rlike("\\A(?:F\\d+|S\\.S\\.I\\.|\\d{4}/\\d+, reg\\.)") | lower_start
+    lower_start = (stripped != "") & ~first.rlike("(?U)[\\p{Lu}\\d(]")
+    continues = any_match(stripped, AMENDMENT_LINES) | stripped.rlike("\\A(?:F\\d+\\z|S\\.S\\.I\\.\\s+\\d+|\\d{4}/\\d+,\\s+reg\\.)") | lower_start
     opens = any_match(stripped, (AMENDMENT_OPENER,))
     upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     staged = lines.withColumns({"_opens": opens, "_goes": continues})

@@ -28,11 +28,11 @@ def role_of(dep: Column, head_voice: Column | None = None) -> Column:
     )
 
 
-def governing_verbs(tokens: DataFrame, most: int = 64) -> DataFrame:
+def governing_verbs(tokens: DataFrame) -> DataFrame:
     """(chunk_id, sent_id, i, verb_i, verb_lemma): the nearest ancestor that is a verb; absent at the root.
 
     A sentence's head links travel in one map per sentence, so the climb is one
-    expression a token, not a join a step.
+    expression a token, not a join a step; it can take as many steps as the sentence has tokens.
     """
     key = ["chunk_id", "sent_id"]
     links = tokens.groupBy(*key).agg(
@@ -40,7 +40,7 @@ def governing_verbs(tokens: DataFrame, most: int = 64) -> DataFrame:
     )
     rows = tokens.select(*key, "i", "head_i").join(links, key)
     climb = (
-        f"aggregate(sequence(1, {most}), struct(i as at, false as done), (a, s) -> if(a.done or _t[a.at].head_i = a.at, struct(a.at as at, a.done as done), "
+        "aggregate(sequence(1, size(_t)), struct(i as at, false as done), (a, s) -> if(a.done or _t[a.at].head_i = a.at, struct(a.at as at, a.done as done), "
         "struct(_t[a.at].head_i as at, _t[_t[a.at].head_i].pos = 'VERB' as done)), a -> if(a.done, a.at, null))"
     )
     rows = rows.withColumn("verb_i", F.expr(climb)).where("verb_i is not null")
@@ -186,7 +186,7 @@ def agency_summary(frames: DataFrame) -> DataFrame:
     return rates.join(wide, by, "left")
 
 
-def weighted_agency(frames: DataFrame, by: list[str], era: str | None = None) -> DataFrame:
+def weighted_agency(frames: DataFrame, by: list[str]) -> DataFrame:
     """Agency of surface terms averaged by their occurrences, over groups of terms."""
     terms = agency(frames, [*by, "target_term"])
     return terms.groupBy(*by).agg(

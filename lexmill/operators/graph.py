@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,9 +46,14 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return out.withColumn("density", ratio(F.col("edges"), F.col("nodes") * (F.col("nodes") - 1), 0.0))
 
 
-def pagerank(spark: SparkSession, edges: DataFrame, steps: int = 20, damping: float = 0.85, by: tuple[str, ...] = ("era",), every: int = 5, digits: int = 6) -> DataFrame:
+def pagerank(
+    spark: SparkSession, edges: DataFrame, steps: int = 20, damping: float = 0.85, by: tuple[str, ...] = ("era",), every: int = 5, digits: int = 6,
+    tolerance: float | None = None,
+) -> DataFrame:
     """Weighted PageRank of each graph after a fixed number of steps; nodes without out-edges give to all.
 
+    With a tolerance, steps go on, `steps` at most, until no graph's ranks change by more than it a node on average.
+
     Edges and nodes are in the shared folder; ranks are written there every few
     steps, so that a lost executor costs a few steps at most.
     """
@@ -60,6 +65,7 @@ def pagerank(spark: SparkSession, edges: DataFrame, steps: int = 20, damping: fl
     base = written(spark, nodes.join(size, at).join(out, [*at, "node"], "left"), "nodes")
     ranks = base.withColumn("rank", 1.0 / F.col("size"))
     for step in range(1, steps + 1):
+        before = ranks.select(*at, "node", F.col("rank").alias("_before"))
         lost = ranks.groupBy(*at).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
         given = (
             edges.join(ranks.select(*at, F.col("node").alias("src"), "rank", "out"), [*at, "src"])
@@ -68,7 +74,14 @@ def pagerank(spark: SparkSession, edges: DataFrame, steps: int = 20, damping: fl
         rank = (1 - damping) / F.col("size") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("size"))
         ranks = base.join(given, [*at, "node"], "left").join(lost, at).select(*at, "node", "size", "out", rank.alias("rank"))
         if step % every == 0 and step < steps:
+            if tolerance is not None:  # the change of the last step comes with the ranks
+                ranks = ranks.join(before, [*at, "node"])
             ranks = written(spark, ranks, "ranks")
+            if tolerance is not None:
+                moved = ranks.groupBy(*at).agg((F.sum(F.abs(F.col("rank") - F.col("_before"))) / F.first("size")).alias("moved"))
+                if not moved.where(F.col("moved") >= tolerance).limit(1).count():
+                    break
+                ranks = ranks.drop("_before")
     return ranks.select(*at, "node", F.round("rank", digits).alias("pagerank"))
 
 
@@ -129,18 +142,19 @@ def sources_betweenness(edges: list[tuple[str, str, float]], sources: list[str])
     return total
 
 
-def betweenness(edges: DataFrame, blocks: int = 16, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(spark: SparkSession, edges: DataFrame, blocks: int = 16, most_edges: int = 2_000_000) -> DataFrame:
     """(era, node, betweenness), normalised for directed graphs; a frequent relation is a longer way, as weights are distances.
 
-    A task holds one graph and a block of its sources, so a graph of more than
-    most_edges edges is refused: filter its edges by weight first.
+    A task holds one graph of up to most_edges edges and a block of its sources; larger
+    graphs are worked out in tables, by tables_betweenness().
     """
-    nodes = degrees(edges).select("era", "node")
-    dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
+    edges = written(spark, edges.select("era", "src", "dst", "weight"), "edges")
     sizes = edges.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
-    small = F.when(F.col("n") <= most_edges, F.lit(True)).otherwise(F.raise_error(F.lit("the graph has too many edges; filter them by weight")).cast("boolean"))
-    allowed = sizes.where(small).select("era")
-    graphs = edges.join(allowed, "era").groupBy("era").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("g"))
+    large = [r["era"] for r in sizes.where(F.col("n") > most_edges).select("era").toLocalIterator()]
+    nodes = degrees(edges).select("era", "node")
+    small = edges.where(~F.coalesce(F.col("era").isin(large), F.lit(False))) if large else edges
+    dealt = small.select("era", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
+    graphs = small.groupBy("era").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("g"))
     work = dealt.groupBy("era", "block").agg(F.collect_list("node").alias("sources")).join(graphs, "era")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,12 +166,64 @@ def betweenness(edges: DataFrame, blocks: int = 16, most_edges: int = 2_000_000)
             yield pd.DataFrame(rows, columns=["era", "node", "part"])
 
     parts = work.select("era", "sources", "g").mapInPandas(run, "era string, node string, part double")
+    for era in large:
+        parts = parts.unionByName(tables_betweenness(spark, edges.where(F.col("era") == era)))
     sums = parts.groupBy("era", "node").agg(F.sum("part").alias("s"))
     size = nodes.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
     scaled = ratio(F.coalesce("s", F.lit(0.0)), (F.col("n") - 1) * (F.col("n") - 2), 0.0)
     return nodes.join(sums, ["era", "node"], "left").join(size, "era").select("era", "node", F.round(scaled, 9).alias("betweenness"))
 
 
+def tables_betweenness(spark: SparkSession, edges: DataFrame, pairs_each: int = 1_000_000_000) -> DataFrame:
+    """(era, node, part): the sum of dependencies on each node, with all state in tables, for graphs that no task can hold.
+
+    Sources are taken in blocks of about pairs_each pairs of source and node. Distances
+    spread until none shrinks; numbers of shortest paths and dependencies are series over
+    the number of steps, which end with the longest shortest path.
+    """
+    edges = edges.where(F.col("src") != F.col("dst"))
+    nodes = edges.select("era", F.explode(F.array("src", "dst")).alias("s")).distinct()
+    n = nodes.count()
+    blocks = max(1, -(-n * n // pairs_each))
+    total = None
+    for block in range(blocks):
+        start = nodes.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == block).select("era", "s", F.col("s").alias("v"))
+        known = written(spark, start.withColumn("d", F.lit(0).cast("long")), "distances")
+        front = known
+        while front.limit(1).count():
+            step = front.join(edges.withColumnRenamed("src", "v"), ["era", "v"]).select("era", "s", F.col("dst").alias("v"), (F.col("d") + F.col("weight")).alias("d"))
+            both = known.withColumn("old", F.col("d")).unionByName(step.withColumn("old", F.lit(None).cast("long")))
+            new = written(spark, both.groupBy("era", "s", "v").agg(F.min("d").alias("d"), F.min("old").alias("old")), "distances")
+            known = new.select("era", "s", "v", "d")
+            front = new.where("old is null or d < old").select("era", "s", "v", "d")
+        ahead = known.select("era", "s", F.col("v").alias("u"), F.col("d").alias("_far"))
+        tight = known.join(edges.select("era", F.col("src").alias("v"), F.col("dst").alias("u"), "weight"), ["era", "v"]).join(ahead, ["era", "s", "u"])
+        tight = written(spark, tight.where("_far = d + weight").select("era", "s", "v", "u"), "steps")
+
+        def series(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            """(era, s, v, x): the sum of the terms that `step` makes until there are none."""
+            terms = term = written(spark, first, "term")
+            while term.limit(1).count():
+                term = written(spark, step(term), "term")
+                terms = terms.unionByName(term)
+            return written(spark, terms.groupBy("era", "s", "v").agg(F.sum("x").alias("x")), "series")
+
+        paths = series(
+            start.withColumn("x", F.lit(1.0)), lambda t: t.join(tight, ["era", "s", "v"]).groupBy("era", "s", F.col("u").alias("v")).agg(F.sum("x").alias("x"))
+        )
+        to = paths.select("era", "s", F.col("v").alias("u"), F.col("x").alias("_to"))
+        shares = tight.join(paths, ["era", "s", "v"]).join(to, ["era", "s", "u"]).select("era", "s", "v", "u", (F.col("x") / F.col("_to")).alias("share"))
+        shares = written(spark, shares, "shares")
+        back = lambda t: shares.join(t.select("era", "s", F.col("v").alias("u"), "x"), ["era", "s", "u"])  # noqa: B023, E731
+        each = series(
+            shares.groupBy("era", "s", "v").agg(F.sum("share").alias("x")),
+            lambda t: back(t).groupBy("era", "s", "v").agg(F.sum(F.col("share") * F.col("x")).alias("x")),
+        )
+        part = each.where("s != v").groupBy("era", F.col("v").alias("node")).agg(F.sum("x").alias("part"))
+        total = part if total is None else total.unionByName(part)
+    return total.groupBy("era", "node").agg(F.sum("part").alias("part"))
+
+
 def emerging_edges(edges: DataFrame, order: list[str], once: bool = False) -> DataFrame:
     """Edges of later eras that the first one lacks: once for each era, or with `once` for the first era that has them.
 

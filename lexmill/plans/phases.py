@@ -84,7 +84,7 @@ def run_phase2(
         if not skip_networks:
             edges = stage(spark, out_dir, "edges", mark, lambda: graph.edge_weights(got), force)
             stage(spark, out_dir, "degrees", mark, lambda: graph.degrees(edges), force)
-            stage(spark, out_dir, "pagerank", mark, lambda: graph.pagerank(spark, edges), force)
+            stage(spark, out_dir, "pagerank", mark, lambda: graph.pagerank(spark, edges, 100, tolerance=1e-6), force)
             stage(spark, out_dir, "emerging_edges", mark, lambda: graph.emerging_edges(edges, sorted(ERAS)), force)
             out["edges"] = edges.count()
     return out
@@ -151,6 +151,6 @@ def run_phase4(spark: SparkSession, phase2_dir: str, out_dir: str, force: bool =
     stop = frames.pos_stopwords(read("frames"))
     heat = stage(spark, out_dir, "topic_heatmap", mark, lambda: plots.topic_heatmap(read("topics_over_time"), read("topic_words")), force)
     net = stage(spark, out_dir, "network", mark, lambda: graph.plot_network(edges, scores, stop), force)
-    grown = stage(spark, out_dir, "network_growth", mark, lambda: graph.growth(edges, read("pagerank"), graph.betweenness(edges)), force)
+    grown = stage(spark, out_dir, "network_growth", mark, lambda: graph.growth(edges, read("pagerank"), graph.betweenness(spark, edges)), force)
     agency = stage(spark, out_dir, "agency", mark, lambda: frames.weighted_agency(read("frames"), ["target_language", "era"]), force)
     return {"topic_heatmap": heat.count(), "network": net.count(), "network_growth": grown.count(), "agency": agency.count()}

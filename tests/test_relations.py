@@ -1,5 +1,7 @@
 """Frames, discourse, topics and graphs on hand-made relations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,7 +151,7 @@ def test_graph_measures(spark):
     edges = spark.createDataFrame([("e", "a", "b", 1), ("e", "b", "c", 1), ("e", "x", "y", 2), ("f", "a", "b", 1)], EDGE)
     comp = {(r["era"], r["node"]): r["component"] for r in graph.components(spark, edges).collect()}
     assert comp == {("e", "a"): "a", ("e", "b"): "a", ("e", "c"): "a", ("e", "x"): "x", ("e", "y"): "x", ("f", "a"): "a", ("f", "b"): "a"}
-    between = {(r["era"], r["node"]): r["betweenness"] for r in graph.betweenness(edges).collect()}
+    between = {(r["era"], r["node"]): r["betweenness"] for r in graph.betweenness(spark, edges).collect()}
     assert between["e", "b"] == pytest.approx(1 / 12) and between["e", "a"] == 0
     ranks = graph.pagerank(spark, edges.where("era = 'e'"), 30)
     assert ranks.agg(F.sum("pagerank")).first()[0] == pytest.approx(1, abs=1e-4)
@@ -157,6 +159,33 @@ def test_graph_measures(spark):
     assert stats == {"e": (5, 3, 3 / 20), "f": (2, 1, 0.5)}
 
 
+def test_large_graphs_are_worked_out_in_tables(spark):
+    rng = random.Random(0)
+    links = {(rng.randrange(7), rng.randrange(7)): rng.randrange(1, 3) for _ in range(16)}
+    rows = [(era, f"n{a}", f"n{b}", w) for era in "e" for (a, b), w in links.items() if a != b]
+    edges = spark.createDataFrame(rows, EDGE)
+    value = lambda df: {(r["era"], r["node"]): r["betweenness"] for r in df.collect()}
+    want = value(graph.betweenness(spark, edges))
+    assert value(graph.betweenness(spark, edges, most_edges=0)) == pytest.approx(want) and any(want.values())
+
+
+def test_pagerank_goes_on_to_its_tolerance(spark):
+    """Slow to settle: a star into a cycle."""
+    rows = [("e", f"s{i}", "c0", 1) for i in range(20)] + [("e", f"c{i}", f"c{(i + 1) % 30}", 1) for i in range(30)]
+    edges = spark.createDataFrame(rows, EDGE)
+    rank = lambda **k: {r["node"]: r["pagerank"] for r in graph.pagerank(spark, edges, digits=12, **k).collect()}
+    nodes = sorted({x for _, a, b, _ in rows for x in (a, b)})
+    out = {a: b for _, a, b, _ in rows}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(300):
+        new = dict.fromkeys(nodes, 0.15 / len(nodes))
+        for a in nodes:
+            new[out[a]] += 0.85 * want[a]
+        want = new
+    off = lambda got: sum(abs(got[v] - want[v]) for v in nodes)
+    assert off(rank(steps=100, every=2, tolerance=1e-6)) < 10 * 1e-6 * len(nodes) < off(rank(steps=10, every=2))
+
+
 def test_cache_aside(spark):
     prompts = spark.createDataFrame([("c1", "p"), ("c2", "p"), ("c3", "q"), ("c4", "fails")], "chunk_id string, prompt string")
     prompts = prompts.withColumn("prompt_sha", providers.prompt_key(F.col("prompt")))

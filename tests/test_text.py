@@ -40,6 +40,8 @@ def test_publisher_tail(spark, text, left):
         ("a\nTextual Amendments\nF2\nS. 1(2) inserted by x\n(b) keep\nc", ["a", "(b) keep", "c"]),
         ("Textual Amendments\n\nF2", ["", "F2"]),
         ("a\nb", ["a", "b"]),
+        ("Textual Amendments\nF2 New wording\nkeep", ["F2 New wording", "keep"]),
+        ("Textual Amendments\nS.S.I. 2006/1\n2006/1,  reg. 2\nS.S.I. x", ["S.S.I. x"]),
     ],
 )
 def test_amendments(spark, text, left):
@@ -47,7 +49,7 @@ def test_amendments(spark, text, left):
 
 
 def test_government_headers(spark):
-    text = "changes to legislation: all\nx View outstanding changes\nJINDIPERS!\nkeep\nPart One"
+    text = "changes to legislation: all\nx View outstanding changes\nJINDIPERS!\nkeep\nPart One\nbefore 1 December 2025 x\nappear in the content and are referenced y"
     assert lines(cleaning.drop_government_headers(cleaning.lines_of(docs(spark, text)), ("Part",))) == ["keep"]
 
 
@@ -67,7 +69,7 @@ def test_whole_chain(spark):
 def test_sections(spark):
     found = chunking.sections(cleaning.lines_of(docs(spark, "Intro\n1. Title A\nbody\n2. B", "\n2. \n", "")), "\\d+\\.\\s")
     rows = [(r["doc_id"], r["section_id"], r["section_title"], r["start_line"], r["end_line"]) for r in found.orderBy("doc_id", "section_seq").collect()]
-    assert rows == [(0, "preamble", "preamble", 0, 0), (0, "1.", "Title A", 1, 2), (0, "2.", "B", 3, 3), (1, "preamble", "preamble", 1, 2)]
+    assert rows == [(0, "preamble", "Preamble", 0, 0), (0, "1.", "Title A", 1, 2), (0, "2.", "B", 3, 3), (1, "preamble", "Preamble", 1, 2), (2, "full", "Full Document", 0, 0)]
 
 
 @pytest.mark.parametrize(
@@ -84,6 +86,17 @@ def test_a_sentence_beyond_the_budget_is_cut_by_words():
     assert got == ["s1 s1", "w1 w2 w3 w4 w5", "w4 w5 w6 w7"]
 
 
+def test_labels_are_not_cut(spark):
+    chunks = spark.createDataFrame([(7, 1, "1.", 1000, "x", 1), (8, 1, "1.", 2, "y", 1)], "doc_id long, section_seq long, section_id string, chunk_no int, text string, token_count int")
+    meta = spark.createDataFrame([(7, 100, "T", 1998)], "doc_id long, doc_no int, doc_title string, doc_year int")
+    assert sorted(r["chunk_id"] for r in chunking.assemble(chunks, meta).collect()) == ["doc00_1._002", "doc100_1._1000"]
+
+
+def test_section_texts_are_stripped(spark):
+    found = chunking.sections(cleaning.lines_of(docs(spark, "  1. A\n x \n\n")), "\\d+\\.\\s")
+    assert [r["text"] for r in found.collect()] == ["1. A\n x"]
+
+
 def test_chunks_are_labelled(spark):
     found = chunking.sections(cleaning.lines_of(docs(spark, "1. A\nx y z")), "\\d+\\.\\s")
     meta = spark.createDataFrame([(0, 3, "T", 1998)], "doc_id long, doc_no int, doc_title string, doc_year int")

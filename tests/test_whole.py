@@ -11,7 +11,7 @@ def rows(spark, sf_dir, name):
 def test_terms_of_whole_texts(spark, sf_dir):
     texts = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want = {i: ",".join(w for w in ("and", "ore", "then", "thin") if w in t) for i, t in texts.items()}
-    assert {r["doc_id"]: r["terms"] for r in rows(spark, sf_dir, "terms_in_texts")} == want
+    assert {r["doc_id"]: r["terms"] for r in rows(spark, sf_dir, "terms_in_context")} == want
     assert any(w in t and w not in t[:400] for t in texts.values() for w in ("and", "ore", "then", "thin"))
 
 
@@ -29,17 +29,17 @@ def test_networks_hold_every_edge(spark, sf_dir):
             if node not in want:
                 want[node] = start[1]
                 todo += near[node]
-    assert {(r["era"], r["node"]): r["component"] for r in rows(spark, sf_dir, "connected_components_whole")} == want
+    assert {(r["era"], r["node"]): r["component"] for r in rows(spark, sf_dir, "connected_components")} == want
     assert {(r["era"], r["node"]) for r in rows(spark, sf_dir, "betweenness")} == set(want)
-    for name in ("centrality_fill_whole", "centrality_shift_whole"):
+    for name in ("centrality_fill", "centrality_shift"):
         assert {r["node"] for r in rows(spark, sf_dir, name)} == {n for _, n in want}
     order = list(catalog.ERA_ORDER)
-    for name, first in (("emerging_edges_whole", min(order)), ("emerging_edges_chronological_whole", order[0])):
+    for name, first in (("emerging_edges", min(order)), ("emerging_edges_chronological", order[0])):
         known = {(a, b) for era, a, b in edges if era == first}
         got = rows(spark, sf_dir, name)
         assert {(r["src"], r["dst"]) for r in got} == {(a, b) for era, a, b in edges if era in order and era != first and (a, b) not in known}
     pairs = {(e, a, b) for e, a, b in edges} | {(e, b, a) for e, a, b in edges}
-    bridges = rows(spark, sf_dir, "bridge_nodes_whole")
+    bridges = rows(spark, sf_dir, "bridge_nodes")
     assert all((r["era"], r["a"], r["b"]) not in pairs and {(r["era"], r["a"], r["bridge"]), (r["era"], r["bridge"], r["b"])} <= pairs for r in bridges)
 
 
@@ -52,5 +52,5 @@ def test_only_sentences_with_terms_are_flagged(spark):
 
 
 def test_flagged_in_context(spark, sf_dir):
-    got = rows(spark, sf_dir, "flagged_in_context")
-    assert got and all(r["terms"] == [w for w in ("and", "in") if w in r["sentence"]] for r in got)
+    got = rows(spark, sf_dir, "flagged_sentences")
+    assert got and all(r["terms"].split(",") == [w for w in ("and", "in") if w in r["sentence"]] for r in got)
