@@ -56,3 +56,41 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(1, "one two three"), (9, "one two three"), (9, "quite another text"), (None, "a text without id"), (None, "a text without id"), (None, "one two three")]
     got = kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "one two three"), (9, "quite another text"), (None, "a text without id")]))
+
+
+def plain_host(i, n=40):
+    """A page whose tags and names tell nothing: menu, notice, advert, story, remarks and imprint are all div and p."""
+    story = "".join(f"<p>{' '.join(f'w{i * 31 + k * 7 + j}' for j in range(n))}</p>" for k in range(4))
+    return (
+        f"<body><div><p>Start</p><p>About us</p><p>topic {i}</p></div><div><b>We moved house</b></div><div class=x7><p>buy thing {i}</p></div>"
+        f"<div class=x2><h2>title {i}</h2>{story}</div><div class=x9><p>nice one {i}</p></div><div class=x4>All rights reserved</div></body>"
+    )
+
+
+def story_of(i, n=40):
+    return "\n".join([f"title {i}", *(" ".join(f"w{i * 31 + k * 7 + j}" for j in range(n)) for k in range(4))])
+
+
+def test_the_wrapper_decides_where_tags_tell_nothing(spark):
+    for n in (2, 5, 30):
+        assert texts(spark, [("a.b", plain_host(i)) for i in range(n)]) == [story_of(i) for i in range(n)]
+    assert wrapper.main_text(plain_host(0)) != story_of(0) and wrapper.main_text(plain_host(0), wrapper.Wrapper()) != story_of(0)
+
+
+def test_blocks_that_recur_in_articles_stay(spark):
+    page = lambda i: f"<div><p>Home</p></div><article><p>story {i}</p><p>As we said before.</p><p>end {i}</p></article><div><p>Imprint</p></div>"
+    assert texts(spark, [("a.b", page(i)) for i in range(12)]) == [f"story {i}\nAs we said before.\nend {i}" for i in range(12)]
+
+
+def test_hosts_of_several_chains(spark, monkeypatch):
+    monkeypatch.setattr(wrapper, "CHAIN", 4)
+    assert texts(spark, [("a.b", plain_host(i)) for i in range(30)]) == [story_of(i) for i in range(30)]
+
+
+def test_very_deep_and_very_long_pages(spark):
+    deep = [("<div>" * 100_000 + f"<p>x {i}</p>") for i in range(2)]
+    assert texts(spark, [("a.b", p) for p in deep]) == ["x 0", "x 1"]
+    long = ["".join(f"<h2>t{k} {i}</h2><p>some text of paragraph {k} on page {i}</p>" for k in range(60_000)) for i in range(2)]
+    assert [t.count("\n") for t in texts(spark, [("a.b", p) for p in long])] == [119_999, 119_999]
+    assert wrapper.main_text("<b>" * 50_000 + "</i>" * 50_000 + "x") == "x"
+    assert wrapper.main_text("<p>" + "x " * 25_000_000 + "</p>") == " ".join(["x"] * 25_000_000)
