@@ -33,11 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import hashed_sample, materialize, prepare, utf8_len
+from lexmill.llm.textfeat import mix
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 2048, 12, 65536
-GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
-DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 256, 65536, 9
+GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(7)) >> np.uint64(32)).astype(np.uint32)
+DICTIONARY_ROWS, DICTIONARY_START, DICTIONARY_BYTES, LEVEL = 256, 65536, 65536, 9
 #: Payloads that share a digest beyond this number are split over salted keys.
 HOT = 4096
 
@@ -124,9 +125,13 @@ def chunker(dictionary: bytes, with_data: bool):
 
 
 def fit_dictionary(docs: DataFrame, text: str) -> bytes:
-    """A compression dictionary from DICTIONARY_ROWS texts, those of the least hashes; none if they are too few."""
-    rows = hashed_sample(docs.select(text).where(F.length(text) > 64), text, DICTIONARY_ROWS).collect()
-    samples = [b[i : i + 4096] for b in (r[0].encode() for r in rows) for i in range(0, len(b), 4096)]
+    """A compression dictionary from the starts of DICTIONARY_ROWS texts, those of the least hashes; none if they are too few.
+
+    At most DICTIONARY_START characters of a text come to the driver; the dictionary changes what is moved, not what is returned.
+    """
+    starts = docs.where(F.length(text) > 64).select(F.xxhash64(text).alias("hash"), F.substring(text, 1, DICTIONARY_START).alias("start"))
+    rows = hashed_sample(starts, "hash", DICTIONARY_ROWS).collect()
+    samples = [b[i : i + 4096] for b in (r["start"].encode() for r in rows) for i in range(0, len(b), 4096)]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

@@ -2,13 +2,14 @@
 
 A fingerprint is a pair of vectors that are sums over a document's paragraphs, its
 non-empty lines: EQUAL_LANES lanes of a BLAKE2b hash of the paragraph modulo 2**64,
-and LIKE_LANES lanes modulo 2**16 in which every three-word run of the paragraph
+and LIKE_LANES lanes modulo 2**32 in which every three-word run of the paragraph
 adds plus or minus one to a lane of its own. Sums make the fingerprint
 independent of the paragraphs' order, and inserting or deleting a paragraph is
 adding or subtracting its vectors (``insert``, ``delete``). The first part tells
 equal multisets of paragraphs apart from different ones; the second is a count
 sketch, so the cosine of two of them estimates that of the run counts, with an
-error near 1 / sqrt(LIKE_LANES).
+error near 1 / sqrt(LIKE_LANES). A lane is read as a signed number, so likeness
+holds for texts of fewer than 2**31 runs.
 
 ``neighbours`` pairs every document with the next one in descending id order:
 value ranges of the id are sorted apart, and each range also gets the first
@@ -51,7 +52,7 @@ OUT_SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts for each text: uint64 (n, EQUAL_LANES) and uint16 (n, LIKE_LANES)."""
+    """The two parts for each text: uint64 (n, EQUAL_LANES) and uint32 (n, LIKE_LANES)."""
     n = len(texts)
     equal, like = np.zeros((n, EQUAL_LANES), np.uint64), np.zeros((n, LIKE_LANES), np.int64)
     for at, to in slices(texts):
@@ -65,7 +66,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lines = [hashlib.blake2b(p, digest_size=8 * EQUAL_LANES).digest() for p in text.split(b"\n") if p]
         if lines:
             equal[i] = np.frombuffer(b"".join(lines), dtype="<u8").reshape(-1, EQUAL_LANES).sum(axis=0, dtype=np.uint64)
-    return equal, (like & 0xFFFF).astype(np.uint16)
+    return equal, (like & 0xFFFFFFFF).astype(np.uint32)
 
 
 def insert(fingerprint: str, paragraph: str) -> str:
@@ -85,12 +86,12 @@ def shift(fingerprint: str, paragraph: str, by: int) -> str:
 
 
 def write(equal: np.ndarray, like: np.ndarray) -> str:
-    return equal.astype(">u8").tobytes().hex() + ":" + like.astype(">u2").tobytes().hex()
+    return equal.astype(">u8").tobytes().hex() + ":" + like.astype(">u4").tobytes().hex()
 
 
 def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     equal, like = map(bytes.fromhex, fingerprint.split(":"))
-    return np.frombuffer(equal, ">u8").astype(np.uint64), np.frombuffer(like, ">u2").astype(np.uint16)
+    return np.frombuffer(equal, ">u8").astype(np.uint64), np.frombuffer(like, ">u4").astype(np.uint32)
 
 
 def fingerprints(texts: list[str]) -> list[str]:
@@ -99,7 +100,7 @@ def fingerprints(texts: list[str]) -> list[str]:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """0 to 1 for each pair of rows; 1 for equal fingerprints."""
-    x, y = a[1].astype(np.int16).astype(np.float64), b[1].astype(np.int16).astype(np.float64)
+    x, y = a[1].astype(np.int32).astype(np.float64), b[1].astype(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
     same = (a[0] == b[0]).all(1) & (a[1] == b[1]).all(1)

@@ -13,8 +13,8 @@ independently, so the work is spread however large the corpus is; a block leaves
 few sequences partly filled.
 
 Nulls: a null text is empty; a null id is an id of its own. Documents without
-tokens give one row with no sequence. Rows with equal ids and lengths are told
-apart by `copy`. Empty input gives an empty result. Only ids and lengths move.
+tokens give one row with no sequence. Rows with equal ids and lengths are counted
+first and told apart by `copy`, so that they too are dealt to blocks. Empty input gives an empty result. Only ids and lengths move.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: A sequence costs its length, a fixed overhead, and attention in proportion to the square.
 OVERHEAD = 16
 QUADRATIC = 1 / 65536
+#: Copies of one row that one task makes.
+COPIES_EACH = 65536
 
 
 def cost(capacity: int) -> float:
@@ -94,7 +96,7 @@ def pieces_of(n: int, most: int) -> list[int]:
 
 
 SCHEMA = (
-    "doc_id long, copy int, piece int, piece_start long, n_tokens long, sequence_id long, sequence_offset int, "
+    "doc_id long, copy long, piece int, piece_start long, n_tokens long, sequence_id long, sequence_offset int, "
     "sequence_capacity int, sequence_tokens int"
 )
 
@@ -103,15 +105,11 @@ def packer(capacities: tuple[int, ...]):
     most = capacities[-1]
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["tokens", "doc_id"], ascending=[False, True], na_position="last", kind="stable")
-        ids, tokens = block["doc_id"].tolist(), block["tokens"].tolist()
-        copies: dict[tuple, int] = {}
+        block = block.sort_values(["tokens", "doc_id", "copy"], ascending=[False, True, True], na_position="last", kind="stable")
         rows = []
-        for i, n in zip(ids, tokens, strict=True):
-            key = (None if i is None or i != i else i, n)
-            copies[key] = copy = copies.get(key, -1) + 1
+        for i, n, copy in zip(block["doc_id"].tolist(), block["tokens"].tolist(), block["copy"].tolist(), strict=True):
             for k, m in enumerate(pieces_of(n, most) or [0]):
-                rows.append((key[0], copy, k, k * most, m))
+                rows.append((None if i is None or i != i else i, copy, k, k * most, m))
         rows.sort(key=lambda r: -r[4])
         full = [r for r in rows if r[4]]
         bins, offsets, used, final = pack_block([r[4] for r in full], capacities) if full else ([], [], [], [])
@@ -139,7 +137,11 @@ def pack(
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), (token_count(F.col("text")) if tokens is None else tokens).alias("tokens"))
     blocks = max(1, math.ceil(docs.count() / block_rows))
     # a long document brings many pieces, but a block's load is even over blocks of thousands of documents
-    dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(blocks)))
+    alike = narrow.groupBy("doc_id", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    # the copies of one row are made in several tasks
+    runs = alike.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES_EACH})"))).repartition("doc_id", "tokens", "run")
+    copy = F.explode(F.expr(f"sequence(run * {COPIES_EACH}, least(n, (run + 1) * {COPIES_EACH}) - 1)"))
+    dealt = runs.select("doc_id", "tokens", copy.alias("copy")).withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens", "copy"), F.lit(blocks)))
     return dealt.groupBy("block").applyInPandas(packer(capacities), SCHEMA)
 
 
