@@ -474,7 +474,7 @@ def virtual_edges(s, d):
 @query
 def network_growth(s, d):
     edges = graph.edge_weights(b.frames(s, d))
-    return graph.growth(edges, graph.pagerank(s, edges, 100, tolerance=1e-6), graph.betweenness(s, edges))
+    return graph.growth(edges, graph.pagerank(s, edges, 100, every=2, tolerance=1e-6), graph.betweenness(s, edges))
 
 
 @query

@@ -45,7 +45,7 @@ def run_phase1(
     contents_lines: int | None = None, force: bool = False,
 ) -> dict:
     """Texts to cleaned texts, chunks and vectors. docs: doc_id, text; meta: doc_id, doc_no, doc_title, doc_year."""
-    mark = fingerprint(docs, pattern=section_pattern, boilerplate=boilerplate, contents=contents_lines)
+    mark = fingerprint(docs, pattern=section_pattern, boilerplate=boilerplate, contents=contents_lines, meta=fingerprint(meta))
     cleaned = stage(spark, out_dir, "cleaned", mark, lambda: cleaning.clean_documents(docs, boilerplate, contents_lines), force)
 
     def chunked() -> DataFrame:
@@ -66,7 +66,7 @@ def run_phase2(
 ) -> dict:
     """Topics, frames and networks by era. chunks: chunk_id, doc_title, doc_year, era, text."""
     lexicon = lexicon or Lexicon({t.lower(): t for t in TARGET_TERMS})
-    mark = fingerprint(chunks, terms=sorted(lexicon.languages), k=topics_k)
+    mark = fingerprint(chunks, terms=sorted(lexicon.languages.items()), k=topics_k, vectors=fingerprint(vectors))
     out: dict = {}
     if not skip_topics:
         found = stage(spark, out_dir, "topics", mark, lambda: topics.clusters(vectors.withColumnRenamed("chunk_id", "vec_id"), topics_k), force)
@@ -84,7 +84,7 @@ def run_phase2(
         if not skip_networks:
             edges = stage(spark, out_dir, "edges", mark, lambda: graph.edge_weights(got), force)
             stage(spark, out_dir, "degrees", mark, lambda: graph.degrees(edges), force)
-            stage(spark, out_dir, "pagerank", mark, lambda: graph.pagerank(spark, edges, 100, tolerance=1e-6), force)
+            stage(spark, out_dir, "pagerank", mark, lambda: graph.pagerank(spark, edges, 100, every=2, tolerance=1e-6), force)
             stage(spark, out_dir, "emerging_edges", mark, lambda: graph.emerging_edges(edges, sorted(ERAS)), force)
             out["edges"] = edges.count()
     return out
@@ -113,7 +113,7 @@ def run_deep_analysis(
     skip_markedness: bool = False, force: bool = False,
 ) -> dict:
     """Identity, markedness and agent analyses from frames, classifications and triples."""
-    mark = fingerprint(classified, frames=fingerprint(found))
+    mark = fingerprint(classified, frames=fingerprint(found), triples=None if triples is None else fingerprint(triples))
     done = []
     if not skip_identity:
         for name, make in (
@@ -146,7 +146,7 @@ def run_phase4(spark: SparkSession, phase2_dir: str, out_dir: str, force: bool =
     """Tables behind the figures, from phase 2's tables."""
     read = lambda name: spark.read.parquet(f"{phase2_dir}/{name}")
     edges = read("edges")
-    mark = fingerprint(edges)
+    mark = fingerprint(edges, **{name: fingerprint(read(name)) for name in ("frames", "degrees", "pagerank", "topics_over_time", "topic_words")})
     scores = read("degrees")
     stop = frames.pos_stopwords(read("frames"))
     heat = stage(spark, out_dir, "topic_heatmap", mark, lambda: plots.topic_heatmap(read("topics_over_time"), read("topic_words")), force)
