@@ -49,9 +49,10 @@ def lexical_frames(chunks: DataFrame, lexicon: Lexicon) -> DataFrame:
     last step, so nothing is shuffled.
     """
     w = chunks.withColumn("_w", words(F.coalesce("text", F.lit(""))))
+    # one pass over the words; null where a word is no target term
     hits = (
-        f"if(size(_w) = 0, array(), transform(filter(sequence(0, size(_w) - 1), i -> lower(_w[i]) in ({quoted(lexicon.languages)})), "
-        "i -> struct(i as token_idx, _w[i] as target_term, lower(_w[i]) as target_lemma, lower(get(_w, i - 1)) as prev, lower(get(_w, i + 1)) as next)))"
+        f"filter(transform(_w, (x, i) -> if(lower(x) in ({quoted(lexicon.languages)}), "
+        "struct(i as token_idx, x as target_term, lower(x) as target_lemma, lower(get(_w, i - 1)) as prev, lower(get(_w, i + 1)) as next), null)), f -> f is not null)"
     )
     rows = w.withColumn("_f", F.explode(F.expr(hits))).select("*", "_f.*").drop("_f", "_w", "text")
     terms = list(lexicon.languages)
@@ -83,22 +84,26 @@ def lexical_frames(chunks: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def cue_classifications(chunks: DataFrame, cues: Cues, lexicon: Lexicon) -> DataFrame:
     """Five classification rows for each chunk, from cue counts; no shuffle."""
-    w = chunks.withColumn("_w", words(F.lower(F.coalesce("text", F.lit("")))))
+    named = {x for found in (*cues.strategies.values(), *cues.topoi.values()) for x in found} | set(lexicon.languages)
+    some = quoted(sorted(named)) or "null"
+    # one pass keeps the words that any cue or term names; the rest looks at those only
+    w = chunks.withColumn("_w", F.expr(f"filter(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z]+', 0), x -> x in ({some}))"))
     languages = {}
     for term, language in lexicon.languages.items():
         languages.setdefault(language, []).append(term)
-    present = [F.expr(f"if(exists(_w, x -> x in ({quoted(t)})), '{name}', null)") for name, t in sorted(languages.items())]
-    w = w.withColumn("_langs", F.filter(F.array(*present), lambda x: x.isNotNull()))
-    topoi = [F.expr(f"if(exists(_w, x -> x in ({quoted(t)})), 'topos_of_{name}', null)") for name, t in sorted(cues.topoi.items())]
-    w = w.withColumn("_topoi", F.filter(F.array(*topoi), lambda x: x.isNotNull()) if topoi else F.array().cast("array<string>"))
+    holds = lambda found: F.arrays_overlap("_w", F.array(*[F.lit(x) for x in found]).cast("array<string>"))
+    present = [F.when(holds(t), F.lit(name)) for name, t in sorted(languages.items())]
+    none = F.array().cast("array<string>")
+    w = w.withColumn("_langs", F.filter(F.array(*present), lambda x: x.isNotNull()) if present else none)
+    topoi = [F.when(holds(t), F.lit(f"topos_of_{name}")) for name, t in sorted(cues.topoi.items())]
+    w = w.withColumn("_topoi", F.filter(F.array(*topoi), lambda x: x.isNotNull()) if topoi else none)
     each = []
     for i, (name, found) in enumerate(cues.strategies.items()):
-        n = F.expr(f"size(filter(_w, x -> x in ({quoted(found)})))")
-        devices = F.expr(f"array_sort(array_distinct(filter(_w, x -> x in ({quoted(found)}))))")
+        n = F.expr(f"size(filter(_w, x -> x in ({quoted(found) or 'null'})))")
+        devices = F.array_sort(F.array_intersect("_w", F.array(*[F.lit(x) for x in found]).cast("array<string>")))
         each.append(F.struct(F.lit(i).alias("strategy_ord"), F.lit(name).alias("strategy"), n.alias("cues"), devices.alias("devices")))
     rows = w.withColumn("_s", F.explode(F.array(*each))).select("*", "_s.*").drop("_s", "_w", "text")
     on = F.col("cues") >= cues.least
-    none = F.array().cast("array<string>")
     return rows.withColumns(
         {
             "present": on,

@@ -37,10 +37,16 @@ def ctfidf(docs: DataFrame, most: int = 10, least_docs: int = 2, stop: tuple[str
 
     docs: topic_id, text. Counts are exact; a term must occur in least_docs documents.
     """
-    each = docs.select("topic_id", F.monotonically_increasing_id().alias("_d"), F.explode(words(F.lower(F.coalesce("text", F.lit(""))))).alias("term"))
-    each = each.where(~F.col("term").isin(*stop)) if stop else each
-    per_doc = each.groupBy("topic_id", "_d", "term").agg(F.count(F.lit(1)).alias("n"))
-    per_class = per_doc.groupBy("topic_id", "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    each = docs.select("topic_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("_w"))
+    if stop:
+        each = each.withColumn("_w", F.filter("_w", lambda w: ~w.isin(*stop)))
+    # a row each for a word and for a document's distinct word, so both counts come from one aggregate without documents as keys
+    marked = F.concat(
+        F.transform("_w", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct("_w"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+    )
+    rows = each.select("topic_id", F.explode(marked).alias("m")).select("topic_id", "m.*")
+    per_class = rows.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     whole = Window.partitionBy("term")
     stats = per_class.withColumns({"f": F.sum("tf").over(whole), "docs": F.sum("df").over(whole)}).where(F.col("docs") >= least_docs)
     total = per_class.agg((F.sum("tf") / F.count_distinct("topic_id")).alias("a"))

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from lexmill.dims import YEARS, era_range_table, era_table
 from lexmill.operators.discourse import with_era, with_era_range
+from lexmill.functions.text import words
+from lexmill.operators import graph
 from lexmill.operators.providers import Cues, Lexicon, cue_classifications, lexical_frames
+from lexmill.storage import written
 
 LEXICON = Lexicon({"the": "English", "of": "Gaelic", "and": "Scots"})
 CUES = Cues(
@@ -52,6 +55,16 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_classifications(chunks(spark, sf_dir), CUES, LEXICON)
 
 
+def classified_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classified() as a written table, for queries that read it several times: texts are split into words once."""
+    return written(spark, classified(spark, sf_dir).drop("doc_no", "era_ord", "strategy_ord"), "classified")
+
+
+def edges_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The era networks as a written table, for queries that read them several times."""
+    return written(spark, graph.edge_weights(frames(spark, sf_dir)), "edges")
+
+
 def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_era_range(frames(spark, sf_dir), era_range_table(spark))
 

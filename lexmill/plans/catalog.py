@@ -13,7 +13,7 @@ from lexmill.functions import text as ft
 from lexmill.operators import chunking, cleaning, discourse, frames, graph, plots, providers, topics
 from lexmill.plans import bindings as b
 from lexmill.plans import oracle
-from lexmill.storage import ship
+from lexmill.storage import ship, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -52,7 +52,8 @@ def targeting_asymmetry(s, d):
 
 @query
 def protection_density(s, d):
-    return discourse.protection_density(b.mentions(s, d), b.classified(s, d))
+    named = written(s, b.mentions(s, d).select("doc_title", "chunk_id", "language").distinct(), "mentions")
+    return discourse.protection_density(named, b.classified_once(s, d))
 
 
 @query
@@ -78,7 +79,7 @@ def strategy_profiles(s, d):
 
 @query
 def strategy_summary(s, d):
-    return discourse.strategy_summary(b.classified(s, d))
+    return discourse.strategy_summary(b.classified_once(s, d))
 
 
 @query
@@ -88,17 +89,17 @@ def device_ranks(s, d):
 
 @query
 def topos_trajectory(s, d):
-    return discourse.topos_trajectory(b.classified(s, d))
+    return discourse.topos_trajectory(b.classified_once(s, d))
 
 
 @query
 def turning_points(s, d):
-    return discourse.turning_points(b.classified(s, d))
+    return discourse.turning_points(b.classified_once(s, d))
 
 
 @query
 def identity_timeline(s, d):
-    return discourse.identity_timeline(b.classified(s, d))
+    return discourse.identity_timeline(b.classified_once(s, d))
 
 
 @query
@@ -219,7 +220,7 @@ def centrality_fill(s, d):
 
 @query
 def bridge_nodes(s, d):
-    edges = graph.edge_weights(b.frames(s, d))
+    edges = b.edges_once(s, d)
     return graph.bridges(edges, graph.degrees(edges))
 
 
@@ -456,7 +457,7 @@ def centrality_shift(s, d):
 
 @query
 def plot_network(s, d):
-    edges = graph.edge_weights(b.frames(s, d))
+    edges = b.edges_once(s, d)
     # the test tables' target terms are function words, so only auxiliaries are stop words here
     stop = frames.pos_stopwords(b.frames(s, d), ("NOUN", "VERB", "ADJ", "ADV", "PROPN", "ADP", "DET"))
     return graph.plot_network(edges, graph.degrees(edges), stop)
@@ -473,7 +474,7 @@ def virtual_edges(s, d):
 
 @query
 def network_growth(s, d):
-    edges = graph.edge_weights(b.frames(s, d))
+    edges = b.edges_once(s, d)
     return graph.growth(edges, graph.pagerank(s, edges, 100, every=2, tolerance=1e-6), graph.betweenness(s, edges))
 
 
