@@ -29,14 +29,14 @@ def role_of(dep: Column, head_voice: Column | None = None) -> Column:
 
 
 def governing_verbs(tokens: DataFrame) -> DataFrame:
-    """(chunk_id, sent_id, i, verb_i, verb_lemma): the nearest ancestor that is a verb; absent at the root.
+    """(chunk_id, sent_id, i, verb_i, verb_lemma, verb_text): the nearest ancestor that is a verb; absent at the root.
 
     A sentence's head links travel in one map per sentence, so the climb is one
     expression a token, not a join a step; it can take as many steps as the sentence has tokens.
     """
     key = ["chunk_id", "sent_id"]
     links = tokens.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.struct("head_i", "pos", "lemma")))).alias("_t")
+        F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.struct("head_i", "pos", "lemma", "text")))).alias("_t")
     )
     rows = tokens.select(*key, "i", "head_i").join(links, key)
     climb = (
@@ -44,11 +44,14 @@ def governing_verbs(tokens: DataFrame) -> DataFrame:
         "struct(_t[a.at].head_i as at, _t[_t[a.at].head_i].pos = 'VERB' as done)), a -> if(a.done, a.at, null))"
     )
     rows = rows.withColumn("verb_i", F.expr(climb)).where("verb_i is not null")
-    return rows.select(*key, "i", "verb_i", F.expr("_t[verb_i].lemma").alias("verb_lemma"))
+    return rows.select(*key, "i", "verb_i", F.expr("_t[verb_i].lemma").alias("verb_lemma"), F.expr("_t[verb_i].text").alias("verb_text"))
 
 
 def parsed_frames(tokens: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """A frame for each token whose text or lemma is a target term, from a parser's tokens."""
+    """A frame for each token whose text or lemma is a target term, from a parser's tokens.
+
+    Sentences and subtrees are their tokens joined by spaces; subtrees are the ranges given by `left` and `right`.
+    """
     key = ["chunk_id", "sent_id"]
     wanted = [t.lower() for t in terms]
     hit = tokens.where(F.lower("text").isin(*wanted) | F.lower("lemma").isin(*wanted))
@@ -59,7 +62,9 @@ def parsed_frames(tokens: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     child = F.struct("i", "text", "dep", "pos", "lemma")
     children = tokens.where("i != head_i").groupBy(*key, F.col("head_i").alias("i")).agg(F.array_sort(F.collect_list(child)).alias("_c"))
     verbs = governing_verbs(tokens)
-    rows = hit.join(head, [*key, "head_i"], "left").join(children, [*key, "i"], "left").join(verbs, [*key, "i"], "left")
+    said = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("_s"))
+    rows = hit.join(head, [*key, "head_i"], "left").join(children, [*key, "i"], "left").join(verbs, [*key, "i"], "left").join(said, key)
+    spoken = lambda found: F.array_join(F.transform(found, lambda t: t["text"]), " ")
     kids = F.coalesce("_c", F.array().cast("array<struct<i:int,text:string,dep:string,pos:string,lemma:string>>"))
     modifies = lambda c: c["pos"].isin("ADJ", "ADV") | c["dep"].isin("amod", "advmod", "compound")
     return rows.select(
@@ -78,6 +83,10 @@ def parsed_frames(tokens: DataFrame, terms: tuple[str, ...]) -> DataFrame:
             lambda c: F.struct(c["text"].alias("text"), c["lemma"].alias("lemma"), c["pos"].alias("pos"), c["dep"].alias("dep")),
         ).alias("modifiers"),
         F.col("verb_lemma").alias("governing_verb"),
+        "verb_i",
+        "verb_text",
+        spoken(F.col("_s")).alias("sentence"),
+        spoken(F.filter("_s", lambda t: (t["i"] >= F.col("left")) & (t["i"] <= F.col("right")))).alias("subtree_text"),
     )
 
 
@@ -99,39 +108,51 @@ def agent_category(text: Column, lemma: Column) -> Column:
     return F.when(phrase, "INSTITUTIONAL").otherwise(F.coalesce(F.get(named, F.lit(0)), inside))
 
 
-def verb_agents(tokens: DataFrame) -> DataFrame:
+def verb_agents(tokens: DataFrame, verbal: bool = True) -> DataFrame:
     """(chunk_id, sent_id, i, agent_text, agent_lemma, voice, by_phrase) of every verb with an agent or a passive.
 
     Passive: the object of the by-phrase, else the by-phrase, else no agent. Active:
-    the first subject; a relative pronoun stands for the noun that its clause modifies.
-    Subtrees are the token ranges given by `left` and `right`.
+    the first subject; a relative pronoun stands for the noun that the nearest relative
+    clause around it modifies. Subtrees are the token ranges given by `left` and `right`.
+    Without `verbal` tokens of every part of speech are taken for verbs.
     """
     key = ["chunk_id", "sent_id"]
-    verbs = tokens.where("pos in ('VERB', 'AUX')").select(*key, "i", "tag", F.col("dep").alias("verb_dep"), F.col("head_i").alias("verb_head"))
+    verbs = tokens.where("pos in ('VERB', 'AUX')" if verbal else "true").select(*key, "i", "tag")
     kids = tokens.where("i != head_i").select(
         *key, F.col("head_i").alias("i"), F.col("i").alias("c"), F.col("dep").alias("cdep"), F.lower("lemma").alias("clemma"), "left", "right"
     )
-    seen = verbs.join(kids, [*key, "i"], "left").groupBy(*key, "i", "tag", "verb_dep", "verb_head").agg(
+    seen = verbs.join(kids, [*key, "i"], "left").groupBy(*key, "i", "tag").agg(
         F.max((F.col("cdep") == "auxpass").cast("int")).alias("auxpass"),
         F.max((F.col("cdep").isin("auxpass", "aux") & (F.col("clemma") == "be")).cast("int")).alias("be"),
-        F.min(F.when(F.col("cdep") == "agent", F.struct("c", "left", "right"))).alias("by"),
+        F.min(F.when(F.col("cdep") == "agent", F.struct("c", "left", "right", "clemma"))).alias("by"),
         F.min(F.when(F.col("cdep").isin("nsubj", "csubj"), F.struct("c", "left", "right", "clemma"))).alias("subject"),
     )
     passive = (F.coalesce("auxpass", F.lit(0)) == 1) | ((F.col("tag") == "VBN") & (F.coalesce("be", F.lit(0)) == 1))
     seen = seen.withColumn("passive", passive)
     objects = tokens.where("dep = 'pobj'").groupBy(*key, F.col("head_i").alias("by_i")).agg(F.min(F.struct("i", "left", "right")).alias("pobj"))
     seen = seen.withColumn("by_i", F.col("by.c")).join(objects, [*key, "by_i"], "left")
-    relative = (F.col("subject.clemma").isin("which", "that", "who", "whom")) & (F.col("verb_dep") == "relcl")
-    nouns = tokens.select(*key, F.col("i").alias("verb_head"), F.col("left").alias("nl"), F.col("right").alias("nr"))
-    seen = seen.join(nouns, [*key, "verb_head"], "left")
+    whole = tokens.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos"))).alias("_s"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.struct("head_i", "dep", "left", "right")))).alias("_t"),
+    )
+    seen = seen.where(F.col("passive") | F.col("subject").isNotNull()).join(whole, key)
+    climb = (
+        "aggregate(sequence(1, size(_t)), struct(i as at, false as done), (a, s) -> if(a.done, a, "
+        "struct(if(_t[a.at].dep = 'relcl', a.at, _t[a.at].head_i) as at, coalesce(_t[a.at].dep = 'relcl', false) as done)), "
+        "a -> if(a.done and _t[a.at].head_i != a.at, _t[_t[a.at].head_i], null))"
+    )
+    pronoun = F.col("subject.clemma").isin("which", "that", "who", "whom")
+    seen = seen.withColumn("noun", F.when(~F.col("passive") & pronoun, F.expr(climb)))
+    relative = F.col("noun").isNotNull()
+    seen = seen.withColumns({"nl": F.col("noun.left"), "nr": F.col("noun.right")})
     low = F.when(F.col("passive"), F.coalesce("pobj.left", "by.left")).when(relative, F.col("nl")).otherwise(F.col("subject.left"))
     high = F.when(F.col("passive"), F.coalesce("pobj.right", "by.right")).when(relative, F.col("nr")).otherwise(F.col("subject.right"))
-    spans = seen.where(F.col("passive") | F.col("subject").isNotNull()).withColumns({"lo": low, "hi": high, "relative": ~F.col("passive") & relative})
-    whole = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos"))).alias("_s"))
-    spans = spans.join(whole, key)
+    spans = seen.withColumns({"lo": low, "hi": high, "relative": relative})
     part = F.filter("_s", lambda t: (t["i"] >= F.col("lo")) & (t["i"] <= F.col("hi")))
     text = F.array_join(F.transform(part, lambda t: t["text"]), " ")
     lemma = F.array_join(F.transform(F.filter(part, lambda t: ~t["pos"].isin("DET", "PUNCT")), lambda t: t["lemma"]), " ")
+    # a by-phrase without an object goes by its own lemma
+    lemma = F.when(F.col("passive") & F.col("pobj").isNull(), F.col("by.clemma")).otherwise(lemma)
     return spans.select(
         *key,
         "i",
@@ -142,14 +163,43 @@ def verb_agents(tokens: DataFrame) -> DataFrame:
     )
 
 
-def triples(frames: DataFrame, agents: DataFrame) -> DataFrame:
+def wanted_agents(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Agents of wanted verbs (chunk_id, sent_id, verb_lemma, verb_text), at most one row each.
+
+    Candidates are a sentence's tokens of the first of three kinds that has any: verbs of
+    that lemma, verbs of that text, any token of that lemma. The first of them with an
+    agent or a passive counts; else a participle among them makes an agentless passive.
+    """
+    key = ["chunk_id", "sent_id"]
+    verb = [*key, "verb_lemma", "verb_text"]
+    rows = candidates(tokens, wanted.select(*verb).distinct())
+    found = rows.join(verb_agents(tokens, verbal=False), [*key, "i"], "left")
+    order = Window.partitionBy(*verb).orderBy(F.when(F.col("voice").isNotNull(), 0).when(F.col("tag") == "VBN", 1).otherwise(2), "i")
+    first = found.withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    participle = F.col("voice").isNull() & (F.col("tag") == "VBN")
+    out = first.withColumns(
+        {"voice": F.when(participle, "passive").otherwise(F.col("voice")), "by_phrase": F.when(participle, False).otherwise(F.col("by_phrase"))}
+    )
+    return out.where("voice is not null").select(*verb, "agent_text", "agent_lemma", "voice", "by_phrase")
+
+
+def parsed_triples(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """triples() of a parser's frames, with the agents found in their sentences."""
+    verbs = found.where("syntactic_role = 'patient' and governing_verb is not null")
+    agents = wanted_agents(tokens, verbs.select("chunk_id", "sent_id", F.col("governing_verb").alias("verb_lemma"), "verb_text"))
+    return triples(found, agents.withColumnRenamed("verb_lemma", "governing_verb"), ["chunk_id", "sent_id", "governing_verb", "verb_text"])
+
+
+def triples(frames: DataFrame, agents: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Patient frames with their verb's agent: NO_VERB, AGENTLESS, UNRESOLVED or the agent's category.
 
     frames: chunk_id, sent_id, governing_verb, verb_i, ...; one row for each patient frame.
+    agents: one row each of the columns `on`, or of verb_agents().
     """
     rows = frames.where(F.col("syntactic_role") == "patient")
-    found = agents.withColumnRenamed("i", "verb_i")
-    rows = rows.join(found, ["chunk_id", "sent_id", "verb_i"], "left")
+    if on is None:
+        on, agents = ["chunk_id", "sent_id", "verb_i"], agents.withColumnRenamed("i", "verb_i")
+    rows = rows.join(agents, on, "left")
     category = (
         F.when(F.col("governing_verb").isNull(), "NO_VERB")
         .when(F.col("voice").isNull(), "UNRESOLVED")
@@ -294,19 +344,24 @@ def terms_in_context(sentence: Column, terms: tuple[str, ...]) -> Column:
     return F.filter(F.array(*held), lambda t: t.isNotNull())
 
 
-def locate_verbs(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The token of each wanted (chunk_id, sent_id, verb_lemma, verb_text): by lemma and part of speech, by text, by lemma alone.
+def candidates(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All tokens of each wanted (chunk_id, sent_id, verb_lemma, verb_text) of the first kind that has any.
 
-    Of equal candidates the first in the sentence; a participle found last only makes an agentless passive.
+    Kinds (step): 1 a verb of that lemma, 2 a verb of that text, 3 any token of that lemma.
     """
     key = ["chunk_id", "sent_id"]
     verbal = F.col("pos").isin("VERB", "AUX")
     lemma, text = F.lower("lemma") == F.lower("verb_lemma"), F.lower("text") == F.lower("verb_text")
     step = F.when(lemma & verbal, 1).when(text & verbal, 2).when(lemma, 3)
     rows = wanted.join(tokens.select(*key, "i", "text", "lemma", "pos", "tag"), key).withColumn("step", step).where("step is not null")
-    best = Window.partitionBy(*key, "verb_lemma", "verb_text").orderBy("step", "i")
-    rows = rows.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    return rows.select(*key, "verb_lemma", "verb_text", "i", "step", "tag")
+    least = F.min("step").over(Window.partitionBy(*key, "verb_lemma", "verb_text"))
+    return rows.withColumn("_least", least).where("step = _least").select(*key, "verb_lemma", "verb_text", "i", "step", "tag")
+
+
+def locate_verbs(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first of the candidates of each wanted verb."""
+    first = Window.partitionBy("chunk_id", "sent_id", "verb_lemma", "verb_text").orderBy("i")
+    return candidates(tokens, wanted).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

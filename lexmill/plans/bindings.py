@@ -84,6 +84,33 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"agent_category": category, "voice": voice})
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed tokens of a stand-in grammar: each run of five words is a sentence of subject, auxiliary, verb, particle and object.
+
+    Verbs of an even number of letters are passive, and their particle a by-phrase;
+    else the particle is the object's determiner. Up to four last words of a text are no sentence.
+    """
+    w = chunks(spark, sf_dir).withColumn("_w", words(F.coalesce("text", F.lit(""))))
+    runs = "if(size(_w) < 5, array(), transform(sequence(0, size(_w) div 5 - 1), s -> slice(_w, s * 5 + 1, 5)))"
+    rows = w.select("chunk_id", "doc_title", "doc_year", "era", F.posexplode(F.expr(runs)).alias("sent_id", "_s"))
+    rows = rows.withColumn("_p", F.length(F.col("_s")[2]) % 2 == 0)
+    rows = rows.select("chunk_id", "doc_title", "doc_year", "era", "sent_id", "_p", F.posexplode("_s").alias("i", "text"))
+
+    def of(passive: tuple, active: tuple):
+        return F.when(F.col("_p"), F.array(*[F.lit(x) for x in passive])[F.col("i")]).otherwise(F.array(*[F.lit(x) for x in active])[F.col("i")])
+
+    none = F.lit(None).cast("string")
+    left = of((0, 1, 0, 3, 4), (0, 1, 0, 3, 3))
+    right = of((0, 1, 4, 4, 4), (0, 1, 4, 3, 4))
+    return rows.withColumns(
+        {
+            "lemma": F.lower("text"), "pos": of(("NOUN", "AUX", "VERB", "ADP", "NOUN"), ("NOUN", "AUX", "VERB", "DET", "NOUN")),
+            "tag": of(("NN", "VBD", "VBN", "IN", "NN"), ("NN", "VBD", "VBD", "DT", "NN")), "voice": none, "left": left, "right": right,
+            "dep": of(("nsubjpass", "auxpass", "ROOT", "agent", "pobj"), ("nsubj", "aux", "ROOT", "det", "dobj")), "head_i": of((2, 2, 2, 2, 3), (2, 2, 2, 4, 2)),
+        }
+    ).drop("_p")
+
+
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic assignments from labelled vectors: label 0 is the outlier topic, the id gives the year."""
     year = F.array(*[F.lit(y) for y in YEARS])[F.pmod(F.col("vec_id"), F.lit(len(YEARS))).cast("int")]

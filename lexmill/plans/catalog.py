@@ -139,6 +139,16 @@ def flow_counts(s, d):
     return frames.flow_counts(b.triples(s, d))
 
 
+@query
+def svo_triples(s, d):
+    """Frames, governing verbs and agents from parsed tokens, by verb and agent."""
+    tokens = written(s, b.tokens(s, d), "tokens")
+    found = frames.parsed_frames(tokens, tuple(b.LEXICON.languages))
+    rows = frames.parsed_triples(found, tokens)
+    by = ["target_lemma", "dep_relation", "governing_verb", "agent_text", "agent_category", "voice", "by_phrase"]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("sentence")).alias("first_md5"))
+
+
 @query
 def pos_stopwords(s, d):
     return frames.pos_stopwords(b.frames(s, d))

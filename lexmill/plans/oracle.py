@@ -254,6 +254,13 @@ v AS (SELECT verb FROM k GROUP BY verb ORDER BY count(*) DESC, verb LIMIT 10), x
 g AS (SELECT agent_category FROM x GROUP BY ALL HAVING count(*) >= 3 ORDER BY count(*) DESC, agent_category LIMIT 6)
 SELECT 'agent_verb' AS stage, agent_category AS source, verb AS target, count(*) AS n FROM x WHERE agent_category IN (SELECT agent_category FROM g) GROUP BY ALL
 UNION ALL SELECT 'verb_language', verb, language, count(*) FROM x GROUP BY ALL""",
+        "svo_triples": f"""WITH {CHUNKS}, w AS (SELECT regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM c), u AS (SELECT w, unnest(range(0, len(w) // 5)) AS k FROM w),
+s AS (SELECT w[k * 5 + 1 : k * 5 + 5] AS s FROM u), g AS (SELECT s, length(s[3]) % 2 = 0 AS p, array_to_string(s, ' ') AS sentence FROM s),
+x AS (SELECT *, lower(s[1]) AS target_lemma, 'nsubjpass' AS dep_relation FROM g WHERE p UNION ALL SELECT *, lower(s[5]), CASE WHEN p THEN 'pobj' ELSE 'dobj' END FROM g),
+y AS (SELECT target_lemma, dep_relation, lower(s[3]) AS governing_verb, CASE WHEN p THEN s[5] ELSE s[1] END AS agent_text, lower(CASE WHEN p THEN s[5] ELSE s[1] END) AS name,
+  CASE WHEN p THEN 'passive' ELSE 'active' END AS voice, CASE WHEN p THEN true END AS by_phrase, sentence FROM x WHERE target_lemma IN ({TERMS}))
+SELECT target_lemma, dep_relation, governing_verb, agent_text, {category_sql()} AS agent_category, voice, by_phrase, count(*) AS n, min(md5(sentence)) AS first_md5
+FROM y GROUP BY target_lemma, dep_relation, governing_verb, agent_text, name, voice, by_phrase""",
         "pos_stopwords": f"""WITH {FRAMES}, v AS (SELECT head AS lemma, head_pos AS pos FROM f WHERE head <> '' UNION ALL SELECT prev, child_pos FROM f WHERE prev IS NOT NULL
   UNION ALL SELECT modifier, 'ADJ' FROM f WHERE modifier IS NOT NULL), k AS (SELECT lemma, pos, count(*) AS n FROM v GROUP BY ALL)
 SELECT lemma, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, pos) AS r FROM k) WHERE r = 1 AND pos NOT IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PROPN')""",

@@ -85,6 +85,34 @@ def test_parsed_frames_and_triples(spark):
     assert (triple["agent_category"], triple["voice"]) == ("INSTITUTIONAL", "passive")
 
 
+def test_parsed_triples_need_no_join_by_hand(spark):
+    tokens = sentence(spark)
+    found = frames.parsed_frames(tokens, ("Gaelic",))
+    row = found.first()
+    assert (row["verb_i"], row["verb_text"], row["sentence"], row["subtree_text"]) == (2, "promoted", "Gaelic was promoted by the board .", "Gaelic")
+    triple = frames.parsed_triples(found, tokens).first()
+    assert (triple["agent_category"], triple["voice"], triple["agent_text"]) == ("INSTITUTIONAL", "passive", "the board")
+
+
+def test_agents_of_relative_clauses_and_of_the_first_verb_that_has_one(spark):
+    """the board that wants to use Gaelic: `that` is the subject of use, whose relative clause is above it; `use` stands twice."""
+    words = [
+        ("use", "use", "VERB", "VB", "dep", 3, 0, 0),
+        ("the", "the", "DET", "DT", "det", 2, 1, 1),
+        ("board", "board", "NOUN", "NN", "ROOT", 2, 0, 7),
+        ("that", "that", "PRON", "WDT", "nsubj", 5, 3, 3),
+        ("wants", "want", "VERB", "VBZ", "relcl", 2, 3, 7),
+        ("use", "use", "VERB", "VB", "xcomp", 4, 3, 7),
+        ("Gaelic", "Gaelic", "PROPN", "NNP", "dobj", 5, 6, 6),
+        ("given", "give", "VERB", "VBN", "acl", 6, 7, 7),
+    ]
+    tokens = spark.createDataFrame([("c", 0, i, t, le, p, g, d, h, None, lo, hi) for i, (t, le, p, g, d, h, lo, hi) in enumerate(words)], TOKEN)
+    wanted = spark.createDataFrame([("c", 0, "use", "use"), ("c", 0, "give", "given"), ("c", 0, "want", "wants")], "chunk_id string, sent_id int, verb_lemma string, verb_text string")
+    got = {r["verb_lemma"]: (r["agent_text"], r["voice"], r["by_phrase"]) for r in frames.wanted_agents(tokens, wanted).collect()}
+    assert got["use"] == ("use the board that wants use Gaelic given", "active", None)
+    assert got["give"] == (None, "passive", False) and "want" not in got
+
+
 def test_top_frames_order_and_text(spark):
     rows = [frame(role="other", sentence=str(i % 17), idx=i) for i in range(20)] + [frame(role="agent", sentence="a", verb="go", rel="nsubj", idx=20)]
     found = frames.top_frames(spark.createDataFrame(rows, FRAME))
