@@ -8,14 +8,27 @@ encoder or chat client is plugged in as a function on batches.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import words
+from lexmill.dims import STRATEGIES
+from lexmill.functions.text import CLASSIFICATION, parse_reply, words
+from lexmill.storage import written
+
+#: Instructions by strategy; others can be handed to strategy_prompts().
+TASKS = {
+    "nomination": "How does the text name languages, their speakers and the institutions around them?",
+    "predication": "Which qualities does the text give to languages and to those who speak or govern them?",
+    "argumentation": "With which topoi does the text argue for or against claims about languages? Name each topos as topos_of_...",
+    "perspectivization": "From whose point of view does the text speak about languages, and at what distance?",
+    "intensification_mitigation": "Which claims about languages does the text strengthen or weaken, and by what means? A legal shall strengthens, may weakens.",
+}
 
 
 @dataclass(frozen=True)
@@ -115,11 +128,12 @@ def cue_classifications(chunks: DataFrame, cues: Cues, lexicon: Lexicon) -> Data
     ).drop("cues", "devices", "_langs", "_topoi")
 
 
-def prompt(instruction: Column, title: Column, year: Column, frames: Column, text: Column, schema: str) -> Column:
+def prompt(instruction: Column, title: Column, year: Column, frames: Column, text: Column, schema: str | Column) -> Column:
     """A classification prompt: document, frames where there are any, task, text and reply format."""
     context = F.concat(F.lit("Document: "), title, F.lit(" ("), year.cast("string"), F.lit(")"))
     shown = F.when(F.length(frames) > 0, F.concat(F.lit("Dependency frames:\n"), frames))
-    return F.concat_ws("\n\n", context, shown, instruction, F.concat(F.lit("Text:\n"), text), F.lit(schema))
+    form = schema if isinstance(schema, Column) else F.lit(schema)
+    return F.concat_ws("\n\n", context, shown, instruction, F.concat(F.lit("Text:\n"), text), form)
 
 
 def prompt_key(text: Column) -> Column:
@@ -137,26 +151,100 @@ def answered(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     return out.withColumns({"error": F.col("result").isNull(), "present": F.coalesce(F.col("result.present"), F.lit(False))})
 
 
-def ask(misses: DataFrame, client: Callable[[str], str | None], retries: int = 3) -> DataFrame:
-    """(prompt_sha, reply) from a client, a partition at a time; failures give no row, so they are never cached."""
+class Refused(Exception):
+    """What a client raises where asking again can't help."""
+
+
+def ask(misses: DataFrame, client: Callable[[str], str | None], retries: int = 3, pause: float = 1.0, workers: int = 5, failures: bool = False) -> DataFrame:
+    """(prompt_sha, reply) from a client, `workers` calls at a time in each task; failures give no row, so they are never cached.
+
+    Lost connections and time-outs are tried again after pause, 2 pause, 4 pause ... seconds,
+    `retries` times in all. A client that raises Refused or answers nothing is not asked again.
+    With `failures` there is a row for each of them too: reply null and `failure` telling why.
+    Any other exception is an error in the client and ends the query.
+    """
+
+    def once(text: str) -> tuple[str | None, str | None]:
+        for attempt in range(retries):
+            try:
+                reply = client(text)
+            except (ConnectionError, TimeoutError) as e:
+                why = f"{type(e).__name__}: {e}"
+                if attempt + 1 < retries:
+                    time.sleep(pause * 2**attempt)
+            except Refused as e:
+                return None, f"refused: {e}"
+            else:
+                return reply, None if reply is not None else "no answer"
+        return None, why
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["prompt_sha"], batch["prompt"], strict=True):
-                for attempt in range(retries):
-                    try:
-                        reply = client(text)
-                    except (ConnectionError, TimeoutError):
-                        if attempt == retries - 1:
-                            reply = None
-                        continue
-                    break
-                if reply is not None:
-                    rows.append((key, reply))
-            yield pd.DataFrame(rows, columns=["prompt_sha", "reply"])
-
-    return misses.select("prompt_sha", "prompt").mapInPandas(run, "prompt_sha string, reply string")
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                found = list(pool.map(once, batch["prompt"]))
+                yield pd.DataFrame([(k, *f) for k, f in zip(batch["prompt_sha"], found, strict=True)], columns=["prompt_sha", "reply", "failure"])
+
+    out = misses.select("prompt_sha", "prompt").mapInPandas(run, "prompt_sha string, reply string, failure string")
+    return out if failures else out.where("reply is not null").drop("failure")
+
+
+def strategy_prompts(chunks: DataFrame, lines: DataFrame | None = None, strategies: tuple[str, ...] = STRATEGIES, tasks: dict[str, str] | None = None) -> DataFrame:
+    """A prompt for each chunk and strategy, with its hash; columns of chunks but the text stay.
+
+    chunks: chunk_id, doc_title, doc_year, text, ...; lines: (chunk_id, frames) of frame_lines().
+    tasks: instructions by strategy; a strategy without one is unknown. Null texts count as empty.
+    """
+    tasks = TASKS if tasks is None else tasks
+    unknown = [x for x in strategies if x not in tasks]
+    if unknown:
+        raise ValueError(f"unknown strategies {unknown}; known are {sorted(tasks)}")
+    joined = chunks.withColumn("frames", F.lit(None).cast("string")) if lines is None else chunks.join(lines, "chunk_id", "left")
+    # the reply's format is part of the prompt, and only arguments are asked for topoi
+    each = F.array(*[
+        F.struct(F.lit(i).alias("strategy_ord"), F.lit(x).alias("strategy"), F.lit(tasks[x]).alias("_task"), F.lit(reply_format(x)).alias("_format"))
+        for i, x in enumerate(strategies)
+    ])
+    rows = joined.withColumn("_s", F.explode(each)).select("*", "_s.*").drop("_s")
+    title, year = F.coalesce("doc_title", F.lit("Unknown")), F.coalesce(F.col("doc_year").cast("string"), F.lit("Unknown"))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.withColumn("prompt", prompt(F.col("_task"), title, year, F.col("frames"), text, F.col("_format")))
+    return rows.withColumn("prompt_sha", prompt_key(F.col("prompt"))).drop("_task", "_format", "frames", "text")
+
+
+def reply_format(strategy: str) -> str:
+    topoi = ', "topoi": [names of topoi]' if strategy == "argumentation" else ""
+    return (
+        f'Reply with one JSON object: {{"strategy_name": "{strategy}", "present": true or false, "confidence": 0.0 to 1.0, '
+        '"evidence_quotes": [exact quotes], "linguistic_devices": [{"device": name, "example": words, "function": effect}], '
+        f'"target_languages": [languages]{topoi}, "notes": short note}}'
+    )
+
+
+def classify(
+    spark: SparkSession, prompts: DataFrame, cache: DataFrame | None, client: Callable[[str], str | None], retries: int = 3, pause: float = 1.0, workers: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """(classifications, what is new in the cache) of strategy_prompts().
+
+    Only prompts that the cache (prompt_sha, result) lacks are asked, equal ones once;
+    replies are written before they are read, so none is asked for twice. Failures
+    and replies that can't be parsed become records with `error`, absent and without confidence, and stay out of the cache.
+    """
+    result = spark.createDataFrame([], f"prompt_sha string, result struct<{CLASSIFICATION}>")
+    cache = result if cache is None else cache
+    replies = written(spark, ask(cache_misses(prompts, cache), client, retries, pause, workers, failures=True), "replies")
+    parsed = replies.select("prompt_sha", "reply").withColumn("result", parse_reply(F.col("reply")))
+    fresh = written(spark, parsed.where("result is not null").select("prompt_sha", "result"), "parsed")
+    rows = answered(prompts, cache.select("prompt_sha", "result").unionByName(fresh)).join(replies.select("prompt_sha", "failure"), "prompt_sha", "left")
+    strings = lambda c: F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    out = rows.withColumns(
+        {
+            "confidence": F.coalesce("result.confidence", F.lit(0.0)), "evidence_quotes": strings(F.col("result.evidence_quotes")),
+            "linguistic_devices": strings(F.col("result.linguistic_devices.device")), "target_languages": strings(F.col("result.target_languages")),
+            "topoi": strings(F.col("result.topoi")), "repaired": F.coalesce("result.repaired", F.lit(False)),
+            "notes": F.when(F.col("error"), F.coalesce("failure", F.lit("reply can't be parsed"))).otherwise(F.col("result.notes")),
+        }
+    )
+    return out.drop("prompt", "result", "failure"), fresh
 
 
 def hashed_vectors(chunks: DataFrame, size: int = 768) -> DataFrame:

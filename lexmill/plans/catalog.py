@@ -335,6 +335,16 @@ def prompt_texts(s, d):
     return joined.select("chunk_id", providers.prompt_key(text).alias("prompt_sha"), F.length("frames").alias("frames_chars"))
 
 
+@query
+def strategy_classification(s, d):
+    """Prompts past a cache to a client and back as records: every third chunk's prompts stand in the cache as absent."""
+    prompts = written(s, providers.strategy_prompts(b.chunks(s, d)).select("chunk_id", "strategy", "prompt", "prompt_sha"), "prompts")
+    known = F.from_json(F.lit('{"present": false, "confidence": 0.25, "notes": "cached"}'), ft.CLASSIFICATION)
+    cache = prompts.where("chunk_id % 3 = 0").select("prompt_sha").distinct().withColumn("result", known)
+    found, _ = providers.classify(s, prompts, cache, b.echo_client)
+    return found.select("chunk_id", "strategy", "present", "confidence", "error", "repaired", F.size("evidence_quotes").alias("quotes"), F.size("target_languages").alias("languages"), "notes")
+
+
 @query
 def chunk_strategy_cross(s, d):
     rows = b.chunks(s, d).select("chunk_id", "doc_title").crossJoin(F.broadcast(strategy_table(s)))  # five strategies

@@ -254,6 +254,14 @@ v AS (SELECT verb FROM k GROUP BY verb ORDER BY count(*) DESC, verb LIMIT 10), x
 g AS (SELECT agent_category FROM x GROUP BY ALL HAVING count(*) >= 3 ORDER BY count(*) DESC, agent_category LIMIT 6)
 SELECT 'agent_verb' AS stage, agent_category AS source, verb AS target, count(*) AS n FROM x WHERE agent_category IN (SELECT agent_category FROM g) GROUP BY ALL
 UNION ALL SELECT 'verb_language', verb, language, count(*) FROM x GROUP BY ALL""",
+        "strategy_classification": f"""WITH {CHUNKS}, p AS (SELECT chunk_id, doc_title, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM c),
+k AS (SELECT DISTINCT doc_title, t FROM p WHERE chunk_id % 3 = 0),
+x AS (SELECT p.chunk_id, p.n, k.t IS NOT NULL AS cached FROM p LEFT JOIN k ON p.t = k.t AND p.doc_title IS NOT DISTINCT FROM k.doc_title),
+y AS (SELECT *, NOT cached AND n % 4 = 3 AS error, NOT cached AND n % 4 = 2 AS repaired FROM x)
+SELECT chunk_id, s.strategy, NOT cached AND NOT error AND n % 8 < 4 AS present, CASE WHEN cached THEN 0.25 WHEN error THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence, error, repaired,
+  CASE WHEN cached OR error THEN 0 WHEN repaired THEN 1 ELSE 2 END AS quotes, CASE WHEN cached OR error OR repaired THEN 0 ELSE 1 END AS languages,
+  CASE WHEN cached THEN 'cached' WHEN error THEN 'reply can''t be parsed' WHEN repaired THEN 'Cut-off reply; fields read one by one.' ELSE 'n' END AS notes
+FROM y, (VALUES {", ".join(f"('{x}')" for x in STRATEGIES)}) AS s(strategy)""",
         "svo_triples": f"""WITH {CHUNKS}, w AS (SELECT regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM c), u AS (SELECT w, unnest(range(0, len(w) // 5)) AS k FROM w),
 s AS (SELECT w[k * 5 + 1 : k * 5 + 5] AS s FROM u), g AS (SELECT s, length(s[3]) % 2 = 0 AS p, array_to_string(s, ' ') AS sentence FROM s),
 x AS (SELECT *, lower(s[1]) AS target_lemma, 'nsubjpass' AS dep_relation FROM g WHERE p UNION ALL SELECT *, lower(s[5]), CASE WHEN p THEN 'pobj' ELSE 'dobj' END FROM g),

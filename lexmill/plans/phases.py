@@ -40,6 +40,16 @@ def stage(spark: SparkSession, out_dir: str, name: str, mark: str, make: Callabl
     return spark.read.parquet(path)
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path; None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def run_phase1(
     spark: SparkSession, docs: DataFrame, meta: DataFrame, out_dir: str, section_pattern: str = "\\d+\\.\\s", boilerplate: tuple[str, ...] = (),
     contents_lines: int | None = None, force: bool = False,
@@ -92,12 +102,31 @@ def run_phase2(
 
 def run_phase3(
     spark: SparkSession, chunks: DataFrame, out_dir: str, cues: Cues, lexicon: Lexicon, sample: int | None = None, skip_classification: bool = False,
-    skip_aggregation: bool = False, force: bool = False,
+    skip_aggregation: bool = False, force: bool = False, client: Callable[[str], str | None] | None = None, lines: DataFrame | None = None, pause: float = 1.0,
 ) -> dict:
-    """Strategies of every chunk by the default classifier, and their profiles; `sample`: so many chunks of the least id."""
+    """Strategies of every chunk, and their profiles; `sample`: so many chunks of the least id.
+
+    Without a client the default classifier counts cues. A client is asked for each chunk
+    and strategy, with the frames of `lines` (chunk_id, frames) in the prompt, behind the
+    cache in out_dir/api_cache, which `force` empties; records with errors are asked again by the next run.
+    """
     rows = chunks if sample is None else chunks.orderBy("chunk_id").limit(sample)
     mark = fingerprint(rows, strategies=cues.strategies, topoi=cues.topoi, least=cues.least)
-    if skip_classification:
+    if client is not None and not skip_classification:
+        path = f"{out_dir}/api_cache"
+        prompts = providers.strategy_prompts(rows, lines)
+        asked = fingerprint(prompts.select("chunk_id", "strategy", "prompt_sha"))
+        old = existing(spark, f"{out_dir}/classifications")
+        failed = old is not None and "error" in old.columns and old.where("error").limit(1).count() > 0
+
+        def answers() -> DataFrame:
+            out, fresh = providers.classify(spark, prompts, None if force else existing(spark, path), client, pause=pause)
+            fresh.write.mode("overwrite" if force else "append").parquet(path)
+            return out
+
+        found = stage(spark, out_dir, "classifications", asked, answers, force or failed)
+        mark = fingerprint(found)
+    elif skip_classification:
         found = spark.read.parquet(f"{out_dir}/classifications")
     else:
         found = stage(spark, out_dir, "classifications", mark, lambda: providers.cue_classifications(rows, cues, lexicon), force)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import chunking, cleaning, frames, graph, plots
+from lexmill.operators import chunking, cleaning, frames, graph, plots, providers
 from lexmill.plans import bindings, phases
 
 
@@ -30,6 +30,44 @@ def test_phases(spark, sf_dir, tmp_path):
         phases.run_deep_analysis(spark, bindings.frames(spark, sf_dir), bindings.classified(spark, sf_dir), None, str(tmp_path / "e"), skip_identity=True, skip_markedness=True)
 
 
+def test_phase3_asks_a_client_behind_its_cache(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, "T", 2005, "era", t) for i, t in enumerate(["aaaa", "aaaa", "bbbbb", None, "fail"])], "chunk_id long, doc_title string, doc_year int, era string, text string")
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def client(up):
+        def call(text):
+            import uuid
+
+            (log / uuid.uuid4().hex).write_text(text)
+            if "Text:\nfail" in text and not up:
+                raise ConnectionError("down")
+            return bindings.echo_client(text)
+
+        return call
+
+    run = lambda up: phases.run_phase3(spark, chunks, str(tmp_path / "3"), bindings.CUES, bindings.LEXICON, client=client(up), pause=0.0)
+    first = run(False)
+    # equal prompts are asked once, and a lost connection three times
+    assert first["rows"] == 25 and len(list(log.iterdir())) == 5 * (3 + 3)
+    found = spark.read.parquet(str(tmp_path / "3" / "classifications"))
+    assert {r["chunk_id"]: r["notes"] for r in found.where("error").collect()} == {4: "ConnectionError: down"}
+    run(True)
+    # only what failed is asked again
+    assert len(list(log.iterdir())) == 5 * (3 + 3) + 5
+    run(True)
+    assert len(list(log.iterdir())) == 5 * (3 + 3) + 5
+    assert spark.read.parquet(str(tmp_path / "3" / "classifications")).where("error").count() == 0
+    with pytest.raises(ValueError, match="unknown"):
+        providers.strategy_prompts(chunks, strategies=("irony",))
+
+    def refuses(text):
+        raise providers.Refused("too long")
+
+    out, fresh = providers.classify(spark, providers.strategy_prompts(chunks), None, refuses)
+    assert {r["notes"] for r in out.collect()} == {"refused: too long"} and fresh.count() == 0
+
+
 def test_stage_is_made_anew_only_for_other_input(spark, tmp_path):
     made = []
 
