@@ -55,6 +55,7 @@ def parsed_frames(tokens: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     key = ["chunk_id", "sent_id"]
     wanted = [t.lower() for t in terms]
     hit = tokens.where(F.lower("text").isin(*wanted) | F.lower("lemma").isin(*wanted))
+    tokens = tokens.join(hit.select(*key).distinct(), key, "left_semi")  # other sentences have no part in a frame
     head = tokens.select(
         *key, F.col("i").alias("head_i"), F.col("text").alias("dep_head"), F.col("lemma").alias("dep_head_lemma"), F.col("pos").alias("dep_head_pos"),
         F.col("voice").alias("_voice"),
@@ -186,7 +187,8 @@ def wanted_agents(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
 def parsed_triples(found: DataFrame, tokens: DataFrame) -> DataFrame:
     """triples() of a parser's frames, with the agents found in their sentences."""
     verbs = found.where("syntactic_role = 'patient' and governing_verb is not null")
-    agents = wanted_agents(tokens, verbs.select("chunk_id", "sent_id", F.col("governing_verb").alias("verb_lemma"), "verb_text"))
+    said = tokens.join(verbs.select("chunk_id", "sent_id").distinct(), ["chunk_id", "sent_id"], "left_semi")
+    agents = wanted_agents(said, verbs.select("chunk_id", "sent_id", F.col("governing_verb").alias("verb_lemma"), "verb_text"))
     return triples(found, agents.withColumnRenamed("verb_lemma", "governing_verb"), ["chunk_id", "sent_id", "governing_verb", "verb_text"])
 
 
@@ -209,6 +211,12 @@ def triples(frames: DataFrame, agents: DataFrame, on: list[str] | None = None) -
     return rows.withColumns({"agent_category": category, "voice": F.coalesce("voice", F.lit("unknown"))})
 
 
+def with_language(found: DataFrame, languages: dict[str, str]) -> DataFrame:
+    """found with target_language, the language its lemma stands for; null where it stands for none."""
+    known = F.create_map(*[F.lit(x) for kv in languages.items() for x in kv])
+    return found.withColumn("target_language", F.try_element_at(known, F.col("target_lemma")))
+
+
 def agency(frames: DataFrame, by: list[str]) -> DataFrame:
     """Agency ratio and role counts by group."""
     count = lambda r: F.sum((F.col("syntactic_role") == r).cast("long")).alias(r)
@@ -276,6 +284,31 @@ def power_triangle(found: DataFrame) -> DataFrame:
     return counts.withColumn("proportion", ratio(F.col("n"), F.sum("n").over(whole)))
 
 
+def power_profiles(found: DataFrame, eras: DataFrame, most: int = 10) -> DataFrame:
+    """By era and language: triples with a verb, passives, agentless ones and their share, first agents and first verbs.
+
+    Agents and verbs are name:count, the most frequent first, ties by name, joined by |. An
+    era without any such triple keeps one row without a language.
+    """
+    by = ["era", "target_language"]
+    known = found.where(F.col("target_language").isNotNull() & (F.col("agent_category") != "NO_VERB"))
+    passive = F.col("voice") == "passive"
+    counts = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.sum(passive.cast("long")).alias("passive_count"),
+        F.sum((passive & (F.col("agent_category") == "AGENTLESS")).cast("long")).alias("agentless_count"),
+    )
+    counts = counts.withColumn("agentless_ratio", ratio(F.col("agentless_count"), F.col("passive_count"), 0.0))
+
+    def first(value: str, name: str) -> DataFrame:
+        each = known.where(F.length(value) > 0).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        listed = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "value", F.col("n").cast("string")).alias("shown"))))
+        return ranked(each, by, "value", most).groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["shown"]), "|").alias(name))
+
+    wide = counts.join(first("agent_text", "top_agents"), by, "left").join(first("governing_verb", "top_verbs"), by, "left")
+    return eras.select("era").distinct().join(wide, "era", "left").unionByName(wide.join(eras, "era", "left_anti"))
+
+
 def backgrounding(found: DataFrame, by: list[str]) -> DataFrame:
     """Passives, agentless ones and active clauses by group, with two ratios."""
     passive, active = F.col("voice") == "passive", F.col("voice") == "active"
@@ -329,7 +362,7 @@ def flagged_sentences(found: DataFrame, by: list[str], most: int = 5, length: in
 
     With terms only those whose whole sentence holds one of them, and the terms found.
     """
-    order = Window.partitionBy(*by).orderBy("chunk_id", "token_idx")
+    order = Window.partitionBy(*by).orderBy(*[c for c in ("chunk_id", "sent_id", "token_idx") if c in found.columns])
     rows = found.where((F.col("voice") == "passive") & (F.col("agent_category") == "AGENTLESS"))
     if terms:
         rows = rows.withColumn("terms", terms_in_context(F.col("sentence"), terms)).where(F.size("terms") > 0)

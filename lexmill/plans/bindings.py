@@ -6,17 +6,20 @@ that occur in it; years are dealt to sources by their number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.dims import YEARS, era_range_table, era_table
 from lexmill.operators.discourse import with_era, with_era_range
 from lexmill.functions.text import words
 from lexmill.operators import graph
+from lexmill.operators.frames import parsed_frames, parsed_triples, with_language
 from lexmill.operators.providers import Cues, Lexicon, cue_classifications, lexical_frames
 from lexmill.storage import written
 
 LEXICON = Lexicon({"the": "English", "of": "Gaelic", "and": "Scots"})
+#: Target terms that stand for no language.
+OTHER_TERMS = ("in",)
 CUES = Cues(
     {
         "nomination": ("a", "an"),
@@ -70,18 +73,14 @@ def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patient frames as triples: the agent is the word before the preposition-governed term, by its length."""
-    rows = frames(spark, sf_dir).where("syntactic_role in ('patient', 'oblique')")
-    length = F.length("dep_head_lemma")
-    category = (
-        F.when(F.col("governing_verb").isNull(), "NO_VERB")
-        .when(length <= 3, "AGENTLESS")
-        .when(length % 3 == 0, "INSTITUTIONAL")
-        .when(length % 3 == 1, "ABSTRACT")
-        .otherwise("OTHER")
-    )
-    voice = F.when(F.col("governing_verb").isNull(), "unknown").when((length <= 3) | (length % 2 == 0), "passive").otherwise("active")
-    return rows.withColumns({"agent_category": category, "voice": voice})
+    """Triples of the tokens' patient frames, written once: frames, governing verbs and agents come from the parsed sentences."""
+    parsed = written(spark, tokens(spark, sf_dir), "tokens")
+    found = with_language(parsed_frames(parsed, (*LEXICON.languages, *OTHER_TERMS)), LEXICON.languages)
+    rows = parsed_triples(found, parsed).select(
+        "chunk_id", "sent_id", "token_idx", "target_term", "target_lemma", "target_language", "dep_relation", "governing_verb", "agent_text", "agent_category",
+        "voice", "by_phrase", "sentence",
+    )
+    return written(spark, rows.join(chunks(spark, sf_dir).select("chunk_id", "doc_title", "doc_year", "era"), "chunk_id"), "triples")
 
 
 def echo_client(prompt: str) -> str:
@@ -96,28 +95,33 @@ def echo_client(prompt: str) -> str:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed tokens of a stand-in grammar: each run of five words is a sentence of subject, auxiliary, verb, particle and object.
 
-    Verbs of an even number of letters are passive, and their particle a by-phrase;
-    else the particle is the object's determiner. Up to four last words of a text are no sentence.
+    Verbs of an even number of letters are passive; their particle begins a by-phrase if it
+    has an even number of letters too, else a phrase that names no agent. Of active verbs
+    the particle is the object's determiner, and a first word of 1, 5, 9... letters is an
+    adverb, not the subject. A third word of three letters is a noun, so its sentence has
+    no verb. Up to four last words of a text are no sentence.
     """
     w = chunks(spark, sf_dir).withColumn("_w", words(F.coalesce("text", F.lit(""))))
     runs = "if(size(_w) < 5, array(), transform(sequence(0, size(_w) div 5 - 1), s -> slice(_w, s * 5 + 1, 5)))"
-    rows = w.select("chunk_id", "doc_title", "doc_year", "era", F.posexplode(F.expr(runs)).alias("sent_id", "_s"))
-    rows = rows.withColumn("_p", F.length(F.col("_s")[2]) % 2 == 0)
-    rows = rows.select("chunk_id", "doc_title", "doc_year", "era", "sent_id", "_p", F.posexplode("_s").alias("i", "text"))
+    rows = w.select("chunk_id", F.posexplode(F.expr(runs)).alias("sent_id", "_s"))
+    rows = rows.select("chunk_id", "sent_id", *[F.length(F.col("_s")[i]).alias(f"_{i}") for i in (0, 2, 3)], F.posexplode("_s").alias("i", "text"))
 
     def of(passive: tuple, active: tuple):
-        return F.when(F.col("_p"), F.array(*[F.lit(x) for x in passive])[F.col("i")]).otherwise(F.array(*[F.lit(x) for x in active])[F.col("i")])
+        pick = lambda found: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in found])[F.col("i")]
+        return F.when(F.col("_2") % 2 == 0, pick(passive)).otherwise(pick(active))
 
+    root = F.when(F.col("_2") == 3, "NOUN").otherwise("VERB")
+    first = F.when(F.col("_0") % 4 == 1, "advmod").otherwise("nsubj")
+    phrase = F.when(F.col("_3") % 2 == 0, "agent").otherwise("prep")
     none = F.lit(None).cast("string")
-    left = of((0, 1, 0, 3, 4), (0, 1, 0, 3, 3))
-    right = of((0, 1, 4, 4, 4), (0, 1, 4, 3, 4))
     return rows.withColumns(
         {
-            "lemma": F.lower("text"), "pos": of(("NOUN", "AUX", "VERB", "ADP", "NOUN"), ("NOUN", "AUX", "VERB", "DET", "NOUN")),
-            "tag": of(("NN", "VBD", "VBN", "IN", "NN"), ("NN", "VBD", "VBD", "DT", "NN")), "voice": none, "left": left, "right": right,
-            "dep": of(("nsubjpass", "auxpass", "ROOT", "agent", "pobj"), ("nsubj", "aux", "ROOT", "det", "dobj")), "head_i": of((2, 2, 2, 2, 3), (2, 2, 2, 4, 2)),
+            "lemma": F.lower("text"), "pos": of(("NOUN", "AUX", "VERB", "ADP", "NOUN"), ("NOUN", "AUX", root, "DET", "NOUN")),
+            "tag": of(("NN", "VBD", "VBN", "IN", "NN"), ("NN", "VBD", "VBD", "DT", "NN")), "voice": none, "left": of((0, 1, 0, 3, 4), (0, 1, 0, 3, 3)),
+            "right": of((0, 1, 4, 4, 4), (0, 1, 4, 3, 4)), "dep": of(("nsubjpass", "auxpass", "ROOT", phrase, "pobj"), (first, "aux", "ROOT", "det", "dobj")),
+            "head_i": of((2, 2, 2, 2, 3), (2, 2, 2, 4, 2)),
         }
-    ).drop("_p")
+    ).drop("_0", "_2", "_3")
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,8 +128,9 @@ def power_triangle(s, d):
 
 @query
 def agent_backgrounding(s, d):
-    by_doc = frames.backgrounding(b.triples(s, d), ["doc_title"]).withColumnRenamed("doc_title", "name").withColumn("level", F.lit("document"))
-    known = b.triples(s, d).where("era != 'unknown'")
+    found = b.triples(s, d)
+    by_doc = frames.backgrounding(found, ["doc_title"]).withColumnRenamed("doc_title", "name").withColumn("level", F.lit("document"))
+    known = found.where("era != 'unknown'")
     by_era = frames.backgrounding(known, ["era"]).withColumnRenamed("era", "name").withColumn("level", F.lit("era"))
     return by_doc.unionByName(by_era)
 
@@ -142,11 +143,13 @@ def flow_counts(s, d):
 @query
 def svo_triples(s, d):
     """Frames, governing verbs and agents from parsed tokens, by verb and agent."""
-    tokens = written(s, b.tokens(s, d), "tokens")
-    found = frames.parsed_frames(tokens, tuple(b.LEXICON.languages))
-    rows = frames.parsed_triples(found, tokens)
-    by = ["target_lemma", "dep_relation", "governing_verb", "agent_text", "agent_category", "voice", "by_phrase"]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("sentence")).alias("first_md5"))
+    by = ["target_lemma", "target_language", "dep_relation", "governing_verb", "agent_text", "agent_category", "voice", "by_phrase"]
+    return b.triples(s, d).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("sentence")).alias("first_md5"))
+
+
+@query
+def power_profiles(s, d):
+    return frames.power_profiles(b.triples(s, d), era_table(s))
 
 
 @query
@@ -416,8 +419,7 @@ def event_turning_points(s, d):
 @query
 def flagged_sentences(s, d):
     """Agentless passives whose sentence holds a term; function words stand for institutions, which the test tables lack."""
-    rows = b.triples(s, d).withColumn("sentence", F.concat_ws(" ", "dep_head_lemma", "target_lemma"))
-    found = frames.flagged_sentences(rows, ["doc_title"], terms=("and", "in"))
+    found = frames.flagged_sentences(b.triples(s, d), ["doc_title"], terms=("and", "in"))
     return found.withColumn("terms", F.array_join("terms", ","))
 
 

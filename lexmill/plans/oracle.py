@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexmill.dims import AGENT_PHRASES, AGENT_TAXONOMY, ERA_RANGES, ERAS, OCR_PAIRS, STRATEGIES, YEARS
-from lexmill.plans.bindings import CUES, LEXICON
+from lexmill.plans.bindings import CUES, LEXICON, OTHER_TERMS
 
 
 def q(values) -> str:
@@ -65,13 +65,6 @@ cl AS (
          CASE WHEN strategy = 'argumentation' THEN found ELSE [] END AS topoi
   FROM ls)"""
 
-TRIPLES = f"""{FRAMES},
-t AS (
-  SELECT *, CASE WHEN verb IS NULL THEN 'NO_VERB' WHEN length(head) <= 3 THEN 'AGENTLESS' WHEN length(head) % 3 = 0 THEN 'INSTITUTIONAL'
-                 WHEN length(head) % 3 = 1 THEN 'ABSTRACT' ELSE 'OTHER' END AS agent_category,
-         CASE WHEN verb IS NULL THEN 'unknown' WHEN length(head) <= 3 OR length(head) % 2 = 0 THEN 'passive' ELSE 'active' END AS voice
-  FROM f WHERE syntactic_role IN ('patient', 'oblique'))"""
-
 ASSIGNED = f"""
 a AS (SELECT vec_id AS chunk_id, list_extract([{", ".join(map(str, YEARS))}], CAST(vec_id % {len(YEARS)} + 1 AS BIGINT)) AS doc_year,
              CASE WHEN label = 0 THEN -1 ELSE CAST(label AS INTEGER) END AS topic_id,
@@ -118,6 +111,12 @@ def top(source: str, by: str, value: str, most: int, columns: str) -> str:
     return f"SELECT {columns}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, {value}) AS rank FROM {source}) WHERE rank <= {most}"
 
 
+def most_of(name: str, value: str, alias: str) -> str:
+    return f"""{name} AS (SELECT era, target_language, string_agg({value} || ':' || n, '|' ORDER BY n DESC, {value}) AS {alias} FROM
+  (SELECT *, row_number() OVER (PARTITION BY era, target_language ORDER BY n DESC, {value}) AS r FROM
+    (SELECT era, target_language, {value}, count(*) AS n FROM k WHERE {value} <> '' GROUP BY ALL)) WHERE r <= 10 GROUP BY ALL)"""
+
+
 def back(level: str, key: str) -> str:
     passive, less = "voice = 'passive'", "voice = 'passive' AND agent_category = 'AGENTLESS'"
     return f"""SELECT '{level}' AS level, {key} AS name, count(*) FILTER ({passive}) AS passive_count, count(*) FILTER ({less}) AS agentless_count,
@@ -135,6 +134,20 @@ def category_sql() -> str:
     return f"CASE WHEN {phrase} THEN 'INSTITUTIONAL' WHEN {named} IS NOT NULL THEN {named} {inside} ELSE 'OTHER' END"
 
 
+TRIPLES = f"""{CHUNKS},
+sw AS (SELECT chunk_id, doc_title, era, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM c),
+su AS (SELECT chunk_id, doc_title, era, w, unnest(range(0, len(w) // 5)) AS sent_id FROM sw),
+sg AS (SELECT chunk_id, doc_title, era, sent_id, w[sent_id * 5 + 1 : sent_id * 5 + 5] AS s FROM su),
+sv AS (SELECT *, length(s[3]) % 2 = 0 AS p, length(s[4]) % 2 = 0 AS named, length(s[1]) % 4 <> 1 AS subject, length(s[3]) <> 3 AS verbal, array_to_string(s, ' ') AS sentence FROM sg),
+sx AS (SELECT *, 0 AS token_idx, s[1] AS target_term, 'nsubjpass' AS dep_relation FROM sv WHERE p UNION ALL SELECT *, 4, s[5], CASE WHEN p THEN 'pobj' ELSE 'dobj' END FROM sv),
+sy AS (SELECT *, lower(target_term) AS target_lemma, CASE WHEN verbal THEN lower(s[3]) END AS verb,
+  CASE WHEN p AND named THEN s[5] WHEN NOT p AND subject AND verbal THEN s[1] END AS agent_text,
+  CASE WHEN p THEN 'passive' WHEN subject AND verbal THEN 'active' ELSE 'unknown' END AS voice, CASE WHEN p THEN named END AS by_phrase
+  FROM sx WHERE lower(target_term) IN ({q([*LEXICON.languages, *OTHER_TERMS])})),
+sz AS (SELECT *, {case("target_lemma", LEXICON.languages)} AS language, lower(agent_text) AS name FROM sy),
+t AS (SELECT *, CASE WHEN verb IS NULL THEN 'NO_VERB' WHEN voice = 'unknown' THEN 'UNRESOLVED' WHEN agent_text IS NULL THEN 'AGENTLESS' ELSE {category_sql()} END AS agent_category FROM sz)"""
+
+
 def emerging(order: list[str], once: bool) -> str:
     later = f"""later AS (SELECT era, src, dst, weight FROM e WHERE era IN ({q(order[1:])})
   AND NOT EXISTS (SELECT 1 FROM e x WHERE x.era = {q(order[:1])} AND x.src = e.src AND x.dst = e.dst))"""
@@ -246,10 +259,10 @@ SELECT topos, language, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY top
         "role_classification": f"WITH {FRAMES} SELECT doc_title, syntactic_role, dep_relation, count(*) AS n FROM f GROUP BY ALL",
         "agent_taxonomy": f"""WITH x AS (SELECT lower(p_name) AS name FROM part UNION SELECT lower(n_name) || ' council' FROM nation UNION SELECT lower(c_mktsegment) FROM customer)
 SELECT name, {category_sql()} AS category FROM x""",
-        "power_triangle": f"""WITH {TRIPLES}, k AS (SELECT era, language AS target_language, agent_category, count(*) AS n FROM t WHERE agent_category <> 'NO_VERB' GROUP BY ALL)
+        "power_triangle": f"""WITH {TRIPLES}, k AS (SELECT era, language AS target_language, agent_category, count(*) AS n FROM t WHERE language IS NOT NULL AND agent_category <> 'NO_VERB' GROUP BY ALL)
 SELECT *, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY era, target_language) AS DOUBLE) AS proportion FROM k""",
-        "agent_backgrounding": f"WITH {TRIPLES} {back('document', 'doc_title')} UNION ALL {back('era', 'era')}",
-        "flow_counts": f"""WITH {TRIPLES}, k AS (SELECT * FROM t WHERE verb IS NOT NULL),
+        "agent_backgrounding": f"WITH {TRIPLES} {back('document', 'doc_title')} UNION ALL {back('era', 'era')} HAVING era <> 'unknown'",
+        "flow_counts": f"""WITH {TRIPLES}, k AS (SELECT * FROM t WHERE language IS NOT NULL AND verb IS NOT NULL),
 v AS (SELECT verb FROM k GROUP BY verb ORDER BY count(*) DESC, verb LIMIT 10), x AS (SELECT * FROM k WHERE verb IN (SELECT verb FROM v)),
 g AS (SELECT agent_category FROM x GROUP BY ALL HAVING count(*) >= 3 ORDER BY count(*) DESC, agent_category LIMIT 6)
 SELECT 'agent_verb' AS stage, agent_category AS source, verb AS target, count(*) AS n FROM x WHERE agent_category IN (SELECT agent_category FROM g) GROUP BY ALL
@@ -262,13 +275,15 @@ SELECT chunk_id, s.strategy, NOT cached AND NOT error AND n % 8 < 4 AS present,
   CASE WHEN cached OR error THEN 0 WHEN repaired THEN 1 ELSE 2 END AS quotes, CASE WHEN cached OR error OR repaired THEN 0 ELSE 1 END AS languages,
   CASE WHEN cached THEN 'cached' WHEN error THEN 'reply can''t be parsed' WHEN repaired THEN 'Cut-off reply; fields read one by one.' ELSE 'n' END AS notes
 FROM y, (VALUES {", ".join(f"('{x}')" for x in STRATEGIES)}) AS s(strategy)""",
-        "svo_triples": f"""WITH {CHUNKS}, w AS (SELECT regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM c), u AS (SELECT w, unnest(range(0, len(w) // 5)) AS k FROM w),
-s AS (SELECT w[k * 5 + 1 : k * 5 + 5] AS s FROM u), g AS (SELECT s, length(s[3]) % 2 = 0 AS p, array_to_string(s, ' ') AS sentence FROM s),
-x AS (SELECT *, lower(s[1]) AS target_lemma, 'nsubjpass' AS dep_relation FROM g WHERE p UNION ALL SELECT *, lower(s[5]), CASE WHEN p THEN 'pobj' ELSE 'dobj' END FROM g),
-y AS (SELECT target_lemma, dep_relation, lower(s[3]) AS governing_verb, CASE WHEN p THEN s[5] ELSE s[1] END AS agent_text, lower(CASE WHEN p THEN s[5] ELSE s[1] END) AS name,
-  CASE WHEN p THEN 'passive' ELSE 'active' END AS voice, CASE WHEN p THEN true END AS by_phrase, sentence FROM x WHERE target_lemma IN ({TERMS}))
-SELECT target_lemma, dep_relation, governing_verb, agent_text, {category_sql()} AS agent_category, voice, by_phrase, count(*) AS n, min(md5(sentence)) AS first_md5
-FROM y GROUP BY target_lemma, dep_relation, governing_verb, agent_text, name, voice, by_phrase""",
+        "svo_triples": f"""WITH {TRIPLES} SELECT target_lemma, language AS target_language, dep_relation, verb AS governing_verb, agent_text, agent_category, voice, by_phrase,
+  count(*) AS n, min(md5(sentence)) AS first_md5 FROM t GROUP BY ALL""",
+        "power_profiles": f"""WITH {TRIPLES}, k AS (SELECT *, language AS target_language FROM t WHERE language IS NOT NULL AND agent_category <> 'NO_VERB'),
+g AS (SELECT era, target_language, count(*) AS total, count(*) FILTER (voice = 'passive') AS passive_count, count(*) FILTER (voice = 'passive' AND agent_category = 'AGENTLESS') AS agentless_count
+  FROM k GROUP BY ALL),
+{most_of("ag", "agent_text", "top_agents")}, {most_of("vb", "verb", "top_verbs")},
+r AS (SELECT g.*, {ratio("agentless_count", "passive_count", "0.0")} AS agentless_ratio, top_agents, top_verbs FROM g LEFT JOIN ag USING (era, target_language) LEFT JOIN vb USING (era, target_language))
+SELECT era, target_language, total, passive_count, agentless_count, agentless_ratio, top_agents, top_verbs FROM r
+UNION ALL SELECT era, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (VALUES {", ".join(f"('{e}')" for e in ERAS)}) v(era) WHERE era NOT IN (SELECT era FROM r)""",
         "pos_stopwords": f"""WITH {FRAMES}, v AS (SELECT head AS lemma, head_pos AS pos FROM f WHERE head <> '' UNION ALL SELECT prev, child_pos FROM f WHERE prev IS NOT NULL
   UNION ALL SELECT modifier, 'ADJ' FROM f WHERE modifier IS NOT NULL), k AS (SELECT lemma, pos, count(*) AS n FROM v GROUP BY ALL)
 SELECT lemma, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, pos) AS r FROM k) WHERE r = 1 AND pos NOT IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PROPN')""",
@@ -337,10 +352,10 @@ SELECT prompt_sha, count(*) AS rows, min(chunk_id) AS first_chunk FROM p WHERE p
 l AS (SELECT day, event_type AS dominant, n FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, event_type) AS k FROM d) WHERE k = 1),
 p AS (SELECT *, lag(dominant) OVER (ORDER BY day) AS previous FROM l)
 SELECT CAST(day AS VARCHAR) AS day, dominant, previous, n FROM p WHERE previous IS NULL OR previous <> dominant""",
-        "flagged_sentences": f"""WITH {TRIPLES}, x AS (SELECT doc_title, row_number() OVER (PARTITION BY doc_title ORDER BY chunk_id, token_idx) AS k, head || ' ' || target_lemma AS sentence
-  FROM t WHERE voice = 'passive' AND agent_category = 'AGENTLESS' AND (contains(head || ' ' || target_lemma, 'and') OR contains(head || ' ' || target_lemma, 'in')))
+        "flagged_sentences": f"""WITH {TRIPLES}, x AS (SELECT doc_title, sentence, lower(sentence) AS low, row_number() OVER (PARTITION BY doc_title ORDER BY chunk_id, sent_id, token_idx) AS k
+  FROM t WHERE voice = 'passive' AND agent_category = 'AGENTLESS' AND (contains(lower(sentence), 'and') OR contains(lower(sentence), 'in')))
 SELECT doc_title, CAST(k AS INTEGER) AS rank, substr(sentence, 1, 200) AS sentence,
-  array_to_string(list_filter([CASE WHEN contains(sentence, 'and') THEN 'and' END, CASE WHEN contains(sentence, 'in') THEN 'in' END], lambda z: z IS NOT NULL), ',') AS terms FROM x WHERE k <= 5""",
+  array_to_string(list_filter([CASE WHEN contains(low, 'and') THEN 'and' END, CASE WHEN contains(low, 'in') THEN 'in' END], lambda z: z IS NOT NULL), ',') AS terms FROM x WHERE k <= 5""",
         "terms_in_context": """SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(n, 'and') THEN 'and' END, CASE WHEN contains(n, 'ore') THEN 'ore' END,
   CASE WHEN contains(n, 'then') THEN 'then' END, CASE WHEN contains(n, 'thin') THEN 'thin' END], lambda x: x IS NOT NULL), ',') AS terms FROM (SELECT doc_id, lower(text) AS n FROM documents)""",
         "topos_ranks": f"""WITH {CLASSIFIED}, k AS (SELECT doc_title, doc_year, strategy, topos, count(*) AS n FROM (SELECT doc_title, doc_year, strategy, unnest(topoi) AS topos FROM cl WHERE present) GROUP BY ALL)
