@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import ratio
-from lexmill.operators.frames import ranked
+from lexmill.operators.frames import listed, ranked
 
 NAMED = ("English", "Gaelic", "Scots")
 
@@ -101,10 +101,17 @@ def protection_density(mentions: DataFrame, classified: DataFrame) -> DataFrame:
     return out.withColumn("density", ratio(F.col("n_both"), F.col("total_chunks"), 0.0))
 
 
-def strategy_profiles(classified: DataFrame) -> DataFrame:
-    """By document and strategy: present and all chunks, prevalence, mean confidence of the present ones."""
+def markedness_density(mentions: DataFrame, classified: DataFrame) -> DataFrame:
+    """Each document's mention ratios with its protection densities by language."""
+    rows = protection_density(mentions, classified)
+    wide = rows.groupBy("doc_title").agg(*[F.max(F.when(F.col("language") == x, F.col("density"))).alias(f"{x.lower()}_density") for x in NAMED])
+    return markedness(mentions, ["doc_title"]).join(wide, "doc_title", "left").na.fill(0.0, [f"{x.lower()}_density" for x in NAMED])
+
+
+def strategy_profiles(classified: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """By document and strategy (or `by`): present and all chunks, prevalence, mean confidence of the present ones."""
     on = F.coalesce("present", F.lit(False))
-    out = classified.groupBy("doc_title", "doc_year", "strategy").agg(
+    out = classified.groupBy(*(by or ["doc_title", "doc_year", "strategy"])).agg(
         F.sum(on.cast("long")).alias("present_count"),
         F.count(F.lit(1)).alias("total_chunks"),
         F.sum(F.when(on, F.round(F.col("confidence") * 1000000).cast("long"))).alias("_c"),
@@ -119,6 +126,26 @@ def strategy_profiles(classified: DataFrame) -> DataFrame:
     ).drop("_c", "_n")
 
 
+def document_info(chunks: DataFrame) -> DataFrame:
+    """(doc_title, doc_year, jurisdiction, num_chunks): year and jurisdiction of each title's first chunk."""
+    first = F.min_by(F.struct("doc_year", "jurisdiction"), "chunk_id").alias("_i")
+    return chunks.groupBy("doc_title").agg(first, F.count(F.lit(1)).alias("num_chunks")).select("doc_title", "_i.*", "num_chunks")
+
+
+def titled_profiles(classified: DataFrame, info: DataFrame) -> DataFrame:
+    """The whole profile of each title and strategy: counts, confidence, first devices and topoi, all target languages, and the document's info.
+
+    Lists are value:count joined by |. A title without info keeps its row, with 0 chunks.
+    """
+    by = ["doc_title", "strategy"]
+    on = classified.where(F.coalesce("present", F.lit(False)))
+    out = strategy_profiles(classified, by)
+    for column, name, most in (("linguistic_devices", "top_devices", 5), ("target_languages", "languages", None), ("topoi", "top_topoi", 5)):
+        rows = on.where("strategy = 'argumentation'") if column == "topoi" else on
+        out = out.join(listed(rows.select(*by, F.explode(column).alias("_v")), by, "_v", name, most), by, "left")
+    return out.join(info, "doc_title", "left").withColumn("num_chunks", F.coalesce("num_chunks", F.lit(0).cast("long")))
+
+
 def device_ranks(classified: DataFrame, most: int = 5) -> DataFrame:
     rows = classified.where(F.coalesce("present", F.lit(False))).select("doc_title", "doc_year", "strategy", F.explode("linguistic_devices").alias("device"))
     counts = rows.groupBy("doc_title", "doc_year", "strategy", "device").agg(F.count(F.lit(1)).alias("n"))
@@ -151,6 +178,42 @@ def topos_trajectory(classified: DataFrame) -> DataFrame:
     return counts.join(lead, "doc_year")
 
 
+def topos_levels(classified: DataFrame, eras: DataFrame) -> DataFrame:
+    """Topoi by year, by era and in total: a row for each level, name and topos, with the name's dominant topos and sums.
+
+    Years without topoi are absent; every era and the total have at least one row, without
+    a topos if they have none. Years outside the table of eras count in their year and the total.
+    """
+    on = (F.col("strategy") == "argumentation") & F.coalesce("present", F.lit(False))
+    fine = ["doc_year", "era"]
+    sizes = classified.groupBy(*fine).agg(F.count_distinct("chunk_id").alias("total_chunks"), F.sum(on.cast("long")).alias("argumentation_present"))
+    counts = classified.where(on).select(*fine, F.explode("topoi").alias("topos")).groupBy(*fine, "topos").agg(F.count(F.lit(1)).alias("n"))
+    name = F.array(
+        F.struct(F.lit("year").alias("level"), F.coalesce(F.col("doc_year").cast("string"), F.lit("unknown")).alias("name")),
+        F.struct(F.lit("era").alias("level"), F.col("era").alias("name")), F.struct(F.lit("total").alias("level"), F.lit("all").alias("name")),
+    )
+    # rows of one year and era are few from here on
+    by = ["level", "name"]
+    sizes = sizes.withColumn("_l", F.explode(name)).groupBy("_l.level", "_l.name").agg(F.sum("total_chunks").alias("total_chunks"), F.sum("argumentation_present").alias("argumentation_present"))
+    counts = counts.withColumn("_l", F.explode(name)).groupBy("_l.level", "_l.name", "topos").agg(F.sum("n").alias("n"))
+    lead = ranked(counts, by, "topos", 1).select(*by, F.col("topos").alias("dominant"))
+    sums = counts.groupBy(*by).agg(F.sum("n").alias("total_instances"))
+    kept = eras.select(F.lit("era").alias("level"), F.col("era").alias("name")).distinct()
+    kept = kept.unionByName(counts.where("level = 'year'").select(*by).distinct()).unionByName(eras.sparkSession.sql("select 'total' level, 'all' name"))
+    out = kept.join(sizes, by, "left").join(counts, by, "left").join(lead, by, "left").join(sums, by, "left")
+    return out.na.fill(0, ["total_chunks", "argumentation_present", "total_instances"]).withColumn("proportion", ratio(F.col("n"), F.col("argumentation_present")))
+
+
+def identity_evidence(classified: DataFrame, most: int = 2, length: int = 200) -> DataFrame:
+    """For each era's two first topoi the first quotes of the first `most` chunks that have any, cut to `length` characters."""
+    lead = ranked(topos_counts(classified, ["era"]), ["era"], "topos", 2).select("era", "topos", F.col("rank").alias("frame"))
+    on = (F.col("strategy") == "argumentation") & F.coalesce("present", F.lit(False)) & (F.size("evidence_quotes") > 0)
+    rows = classified.where(on).select("era", "chunk_id", F.col("evidence_quotes")[0].alias("quote"), F.explode("topoi").alias("topos"))
+    order = Window.partitionBy("era", "topos").orderBy("chunk_id")
+    first = rows.join(F.broadcast(lead), ["era", "topos"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)  # two rows an era
+    return first.select("era", "frame", "topos", "place", "chunk_id", F.substring("quote", 1, length).alias("quote"))
+
+
 def turning_points(classified: DataFrame) -> DataFrame:
     """Years in which the dominant topos changes or topoi appear for the first time."""
     counts = topos_counts(classified, ["doc_year"])

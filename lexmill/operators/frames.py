@@ -15,6 +15,17 @@ def ranked(counts: DataFrame, by: list[str], value: str, most: int, n: str = "n"
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def listed(rows: DataFrame, by: list[str], value: str, name: str, most: int | None = None) -> DataFrame:
+    """By group, the `most` values of a column (all, if None) as value:count joined by |, the most frequent first, ties by value."""
+    counts = rows.where(F.length(value) > 0).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*by).orderBy(F.col("n").desc(), "value")
+    counts = counts.withColumn("rank", F.row_number().over(order))
+    if most is not None:
+        counts = counts.where(F.col("rank") <= most)
+    each = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "value", F.col("n").cast("string")).alias("shown"))))
+    return counts.groupBy(*by).agg(F.array_join(F.transform(each, lambda x: x["shown"]), "|").alias(name))
+
+
 def role_of(dep: Column, head_voice: Column | None = None) -> Column:
     """Syntactic role of a dependency label."""
     passive = F.lit(False) if head_voice is None else F.coalesce(head_voice == "Pass", F.lit(False))
@@ -299,13 +310,7 @@ def power_profiles(found: DataFrame, eras: DataFrame, most: int = 10) -> DataFra
         F.sum((passive & (F.col("agent_category") == "AGENTLESS")).cast("long")).alias("agentless_count"),
     )
     counts = counts.withColumn("agentless_ratio", ratio(F.col("agentless_count"), F.col("passive_count"), 0.0))
-
-    def first(value: str, name: str) -> DataFrame:
-        each = known.where(F.length(value) > 0).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        listed = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "value", F.col("n").cast("string")).alias("shown"))))
-        return ranked(each, by, "value", most).groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["shown"]), "|").alias(name))
-
-    wide = counts.join(first("agent_text", "top_agents"), by, "left").join(first("governing_verb", "top_verbs"), by, "left")
+    wide = counts.join(listed(known, by, "agent_text", "top_agents", most), by, "left").join(listed(known, by, "governing_verb", "top_verbs", most), by, "left")
     return eras.select("era").distinct().join(wide, "era", "left").unionByName(wide.join(eras, "era", "left_anti"))
 
 
@@ -404,3 +409,9 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
 def first_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key by order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+
+
+def last_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key by order: the last writer wins. One aggregate, so a key of many rows is combined before it is shuffled."""
+    rest = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.max_by(rest, order).alias("_last")).select(key, "_last.*")

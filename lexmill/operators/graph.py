@@ -301,6 +301,12 @@ def growth(edges: DataFrame, ranks: DataFrame, between: DataFrame) -> DataFrame:
     return out.withColumn("hub_dominance", ratio(F.col("top_pagerank"), F.col("_mean"), 0.0)).drop("_mean")
 
 
+def centrality_table(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Degrees and PageRank of every node, with its place by PageRank in its era, ties by name."""
+    place = Window.partitionBy("era").orderBy(F.col("pagerank").desc(), "node")
+    return degrees(edges).join(ranks, ["era", "node"]).withColumn("place", F.row_number().over(place))
+
+
 def era_centrality_shift(values: DataFrame, order: list[str], value: str) -> DataFrame:
     """Each node's value by era, zero filled, with the change from the era before."""
     filled = centrality_fill(values, order, value)

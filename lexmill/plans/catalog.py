@@ -77,6 +77,37 @@ def strategy_profiles(s, d):
     return discourse.strategy_profiles(b.classified(s, d))
 
 
+@query
+def titled_profiles(s, d):
+    return discourse.titled_profiles(b.classified_once(s, d), discourse.document_info(b.chunks(s, d)))
+
+
+@query
+def markedness_density(s, d):
+    named = written(s, b.mentions(s, d).select("doc_title", "chunk_id", "language"), "mentions")
+    return discourse.markedness_density(named, b.classified_once(s, d))
+
+
+@query
+def topos_levels(s, d):
+    return discourse.topos_levels(b.classified_once(s, d), era_table(s))
+
+
+@query
+def identity_evidence(s, d):
+    """Whole texts stand for the quotes of a model."""
+    texts = b.chunks(s, d).select("chunk_id", F.when(F.length("text") > 0, F.array("text")).otherwise(F.array()).alias("evidence_quotes"))
+    found = b.classified(s, d).where("strategy = 'argumentation' and present").join(texts, "chunk_id")
+    out = discourse.identity_evidence(found)
+    return out.select("era", "frame", "topos", "place", "chunk_id", F.md5("quote").alias("quote_md5"))
+
+
+@query
+def last_years(s, d):
+    """Year and era that a title's last chunk gives."""
+    return frames.last_rows(b.chunks(s, d).select("doc_title", "chunk_id", "doc_year", "era"), "doc_title", "chunk_id")
+
+
 @query
 def strategy_summary(s, d):
     return discourse.strategy_summary(b.classified_once(s, d))
@@ -237,6 +268,10 @@ def bridge_nodes(s, d):
     return graph.bridges(edges, graph.degrees(edges))
 
 
+#: Market segments of the test tables.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 def trade(s, d):
     """Nations linked by their customers' largest orders: a small graph by market segment."""
     c, o = b.table(s, d, "customer"), b.table(s, d, "orders")
@@ -257,6 +292,20 @@ def pagerank_k(s, d):
     return graph.pagerank(s, trade(s, d), 10, digits=5)
 
 
+@query
+def centrality_table(s, d):
+    edges = trade(s, d)
+    return graph.centrality_table(edges, graph.pagerank(s, edges, 10, digits=5))
+
+
+@query
+def pagerank_shift(s, d):
+    """Change of PageRank from one market segment to the next by name."""
+    ranks = graph.pagerank(s, trade(s, d), 10, digits=5)
+    out = graph.era_centrality_shift(ranks, SEGMENTS, "pagerank")
+    return out.withColumn("shift", F.round("shift", 5))
+
+
 @query
 def betweenness(s, d):
     return graph.betweenness(s, graph.edge_weights(b.frames(s, d)))

@@ -117,6 +117,12 @@ def most_of(name: str, value: str, alias: str) -> str:
     (SELECT era, target_language, {value}, count(*) AS n FROM k WHERE {value} <> '' GROUP BY ALL)) WHERE r <= 10 GROUP BY ALL)"""
 
 
+def listed_sql(name: str, column: str, alias: str, most: int, where: str) -> str:
+    return f"""{name} AS (SELECT doc_title, strategy, string_agg(v || ':' || n, '|' ORDER BY n DESC, v) AS {alias} FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_title, strategy ORDER BY n DESC, v) AS r FROM
+    (SELECT doc_title, strategy, v, count(*) AS n FROM (SELECT doc_title, strategy, unnest({column}) AS v FROM on_ {where}) GROUP BY ALL)) WHERE r <= {most} GROUP BY ALL)"""
+
+
 def back(level: str, key: str) -> str:
     passive, less = "voice = 'passive'", "voice = 'passive' AND agent_category = 'AGENTLESS'"
     return f"""SELECT '{level}' AS level, {key} AS name, count(*) FILTER ({passive}) AS passive_count, count(*) FILTER ({less}) AS agentless_count,
@@ -171,7 +177,7 @@ l0 AS MATERIALIZED (SELECT era, x AS node, min(x) AS lab FROM bo GROUP BY ALL){s
 SELECT era, node, lab AS component FROM l{rounds}"""
 
 
-def pagerank_sql(steps: int) -> str:
+def pagerank_sql(steps: int, then: str = "") -> str:
     out = """WITH e AS (SELECT c_mktsegment AS era, n_name AS src, 'p' || substr(o_orderpriority, 1, 1) AS dst, count(*) AS weight
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 nd AS (SELECT DISTINCT era, node FROM (SELECT era, src AS node FROM e UNION ALL SELECT era, dst FROM e)),
@@ -185,7 +191,8 @@ r0 AS (SELECT *, 1.0::DOUBLE / size AS rank FROM b)"""
 r{k} AS MATERIALIZED (SELECT b.era, b.node, b.size, b.o, 0.15::DOUBLE / b.size + 0.85::DOUBLE * (coalesce(g.got, 0) + l.lost / b.size) AS rank FROM b
   JOIN (SELECT era, sum(CASE WHEN o IS NULL THEN rank ELSE 0 END) AS lost FROM {p} GROUP BY era) l USING (era)
   LEFT JOIN (SELECT e.era, e.dst AS node, sum(x.rank * e.weight / x.o) AS got FROM e JOIN {p} x ON x.era = e.era AND x.node = e.src GROUP BY ALL) g USING (era, node))"""
-    return out + f" SELECT era, node, round(rank, 5) AS pagerank FROM r{steps}"
+    ranks = f"SELECT era, node, round(rank, 5) AS pagerank FROM r{steps}"
+    return f"{out}, pr AS ({ranks}) {then}" if then else f"{out} {ranks}"
 
 
 LINES = """l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, x[i] AS line FROM
@@ -377,6 +384,51 @@ SELECT node, era, total_degree, total_degree - coalesce(lag(total_degree) OVER (
 x AS (SELECT r_name, least(min(n_name), r_name) AS comp, count(*) + 1 AS size, CASE WHEN count(*) > 1 THEN r_name ELSE greatest(min(n_name), r_name) END AS hub FROM p GROUP BY r_name),
 m AS (SELECT * FROM x ORDER BY size DESC, comp LIMIT 1)
 SELECT 'all' AS era, m.hub AS src, x.hub AS dst, 'virtual' AS kind FROM x, m WHERE x.comp <> m.comp""",
+        "topos_levels": f"""WITH {TOPOI}, sz AS (SELECT doc_year, era, count(DISTINCT chunk_id) AS total_chunks, count(*) FILTER (strategy = 'argumentation' AND present) AS args FROM cl GROUP BY ALL),
+i AS (SELECT doc_year, era, unnest(topoi) AS topos FROM p),
+ln AS (SELECT DISTINCT 'year' AS level, coalesce(CAST(doc_year AS VARCHAR), 'unknown') AS name FROM i UNION ALL SELECT 'total', 'all'
+  UNION ALL SELECT 'era', era FROM (VALUES {", ".join(f"('{e}')" for e in ERAS)}) v(era)),
+k AS (SELECT ln.level, ln.name, topos, count(*) AS n FROM ln JOIN i ON ln.level = 'total' OR ln.level = 'era' AND ln.name = era OR ln.level = 'year' AND ln.name = coalesce(CAST(doc_year AS VARCHAR), 'unknown') GROUP BY ALL),
+g AS (SELECT ln.level, ln.name, CAST(coalesce(sum(total_chunks), 0) AS BIGINT) AS total_chunks, CAST(coalesce(sum(args), 0) AS BIGINT) AS argumentation_present FROM ln
+  LEFT JOIN sz ON ln.level = 'total' OR ln.level = 'era' AND ln.name = era OR ln.level = 'year' AND ln.name = coalesce(CAST(doc_year AS VARCHAR), 'unknown') GROUP BY ALL),
+d AS (SELECT *, first_value(topos) OVER (PARTITION BY level, name ORDER BY n DESC, topos) AS dominant, CAST(sum(n) OVER (PARTITION BY level, name) AS BIGINT) AS total_instances FROM k)
+SELECT g.*, topos, n, dominant, coalesce(total_instances, 0) AS total_instances, {ratio("n", "argumentation_present")} AS proportion FROM g LEFT JOIN d USING (level, name)""",
+        "identity_evidence": f"""WITH {TOPOI}, {topos_by("era")}, ld AS (SELECT era, topos, CAST(row_number() OVER (PARTITION BY era ORDER BY n DESC, topos) AS INTEGER) AS frame FROM tt),
+x AS (SELECT p.era, p.chunk_id, c.text, unnest(p.topoi) AS topos FROM p JOIN c USING (chunk_id) WHERE length(c.text) > 0),
+y AS (SELECT x.*, frame, CAST(row_number() OVER (PARTITION BY era, topos ORDER BY chunk_id) AS INTEGER) AS place FROM x JOIN ld USING (era, topos) WHERE frame <= 2)
+SELECT era, frame, topos, place, chunk_id, md5(substr(text, 1, 200)) AS quote_md5 FROM y WHERE place <= 2""",
+        "titled_profiles": f"""WITH {CLASSIFIED}, on_ AS (SELECT * FROM cl WHERE present),
+g AS (SELECT doc_title, strategy, count(*) FILTER (present) AS present_count, count(*) AS total_chunks, {ratio("count(*) FILTER (present)", "count(*)", "0.0")} AS prevalence,
+  {ratio("coalesce(sum(CAST(round(confidence * 1000000) AS BIGINT)) FILTER (present), 0)", "(count(*) FILTER (present) * 1000000)", "0.0")} AS avg_confidence FROM cl GROUP BY ALL),
+{", ".join(listed_sql(*x) for x in (("dv", "devices", "top_devices", 5, ""), ("lg", "langs", "languages", 99, ""), ("tp", "topoi", "top_topoi", 5, "WHERE strategy = 'argumentation'")))},
+inf AS (SELECT doc_title, arg_min(doc_year, chunk_id) AS doc_year, arg_min(jurisdiction, chunk_id) AS jurisdiction, count(*) AS num_chunks FROM c GROUP BY doc_title)
+SELECT g.*, top_devices, languages, top_topoi, doc_year, jurisdiction, num_chunks FROM g LEFT JOIN dv USING (doc_title, strategy) LEFT JOIN lg USING (doc_title, strategy)
+  LEFT JOIN tp USING (doc_title, strategy) LEFT JOIN inf USING (doc_title)""",
+        "last_years": f"WITH {CHUNKS} SELECT doc_title, max(chunk_id) AS chunk_id, arg_max(doc_year, chunk_id) AS doc_year, arg_max(era, chunk_id) AS era FROM c GROUP BY doc_title",
+        "centrality_table": pagerank_sql(10, """, dg AS (SELECT era, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS total_degree
+  FROM (SELECT era, src AS node, 0 AS i, weight AS o FROM e UNION ALL SELECT era, dst, weight, 0 FROM e) GROUP BY ALL)
+SELECT era, node, in_degree, out_degree, total_degree, pagerank, CAST(row_number() OVER (PARTITION BY era ORDER BY pagerank DESC, node) AS INTEGER) AS place FROM dg JOIN pr USING (era, node)"""),
+        "pagerank_shift": pagerank_sql(10, """, x AS (SELECT n.node, v.era, coalesce(pr.pagerank, 0.0) AS pagerank FROM (SELECT DISTINCT node FROM pr) n
+  CROSS JOIN (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY')) v(era) LEFT JOIN pr ON pr.node = n.node AND pr.era = v.era)
+SELECT node, era, pagerank, round(pagerank - coalesce(lag(pagerank) OVER (PARTITION BY node ORDER BY era), 0), 5) AS shift FROM x"""),
+        "prompt_texts": f"""WITH {FRAMES}, x AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, target_term, head, syntactic_role ORDER BY token_idx) AS k FROM f),
+y AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY {case("syntactic_role", {r: i for i, r in enumerate(ROLES)})}, token_idx) AS rank FROM x WHERE k = 1),
+z AS (SELECT chunk_id, string_agg('- "' || target_term || '" as ' || upper(syntactic_role) || '(dep: ' || dep_relation || coalesce(', verb: ' || verb, '') || ')'
+  || coalesce(' [modifiers: ' || modifier || ']', ''), chr(10) ORDER BY rank) AS frames FROM y WHERE rank <= 15 GROUP BY chunk_id)
+SELECT chunk_id, sha256(concat_ws(chr(10) || chr(10), 'Document: ' || doc_title || ' (' || doc_year || ')', 'Dependency frames:' || chr(10) || frames, 'Which strategies occur?',
+  'Text:' || chr(10) || text, 'Reply with JSON.')) AS prompt_sha, CAST(length(frames) AS INTEGER) AS frames_chars FROM c LEFT JOIN z USING (chunk_id)""",
+        "tolerant_json_repair": f"""WITH {CHUNKS}, r AS (SELECT chunk_id, chunk_id % 4 AS k, length(substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 30)) AS q FROM c),
+x AS (SELECT *, k < 3 AND q IS NOT NULL AS parsed FROM r)
+SELECT chunk_id, parsed, CASE WHEN parsed THEN true END AS present, CASE WHEN parsed THEN 0.8::DOUBLE END AS confidence, parsed AND k = 2 AS repaired,
+  CASE WHEN NOT parsed THEN NULL WHEN k = 2 THEN CASE WHEN q > 5 THEN 1 ELSE 0 END ELSE 2 END AS quotes FROM x""",
+        "boundary_sections": f"""WITH {LINES}, f AS (SELECT doc_id, line_no FROM l WHERE regexp_matches(line, '^[A-Z][a-z]{{0,5}}[.]')),
+k AS (SELECT doc_id, unnest(list_reduce(list([line_no] ORDER BY line_no), lambda a, x: CASE WHEN x[1] - a[-1] >= 3 THEN list_concat(a, x) ELSE a END)) AS line_no FROM f GROUP BY doc_id),
+m AS (SELECT l.*, k.line_no IS NOT NULL AS opens FROM l LEFT JOIN k USING (doc_id, line_no)),
+s AS (SELECT *, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section_seq FROM m)
+SELECT doc_id, section_seq, max(CASE WHEN opens THEN substr(line, 1, 20) END) AS section_id, min(line_no) AS start_line, max(line_no) AS end_line FROM s WHERE section_seq > 0 GROUP BY ALL""",
         "topic_heatmap": f"""WITH {ASSIGNED} SELECT topic_id, doc_year, frequency, CASE topic_id WHEN 1 THEN 'law, act' WHEN 2 THEN 'tongue' ELSE 'Topic ' || topic_id END AS label FROM tf""",
     }
+    densities = ", ".join(f"coalesce(max(density) FILTER (language = '{x}'), 0.0) AS {x.lower()}_density" for x in ("English", "Gaelic", "Scots"))
+    out["markedness_density"] = f"""SELECT m.*, english_density, gaelic_density, scots_density FROM ({out["markedness_by_doc"]}) m
+LEFT JOIN (SELECT doc_title, {densities} FROM ({out["protection_density"]}) GROUP BY doc_title) d USING (doc_title)"""
     return out
