@@ -18,6 +18,8 @@ from lexmill.operators.providers import Cues, Lexicon, cue_classifications, lexi
 from lexmill.storage import written
 
 LEXICON = Lexicon({"the": "English", "of": "Gaelic", "and": "Scots"})
+#: Spark's default size of a split of a file.
+SPLIT_BYTES = 128 << 20
 #: Target terms that stand for no language.
 OTHER_TERMS = ("in",)
 CUES = Cues(
@@ -36,11 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key to as many tasks as there are cores if its files are too small to give each core a split.
+
+    A small file is often one row group, which one task reads alone. Larger inputs have
+    splits enough and are left as they are, so texts are not shuffled there.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: chunk_id, doc_title, doc_year, jurisdiction, era, era_ord, text."""
     number = F.try_to_number(F.regexp_extract("source", "\\Asrc([0-9]{1,9})\\z", 1), F.lit("999999999")).cast("int")  # null: year unknown
     year = F.try_element_at(F.array(*[F.lit(y) for y in YEARS]), F.pmod(number, F.lit(len(YEARS))) + 1)
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_title"), year.alias("doc_year"), F.col("lang").alias("jurisdiction"), "text"
     )
     return with_era(rows, era_table(spark))
