@@ -39,6 +39,13 @@ def role_of(dep: Column, head_voice: Column | None = None) -> Column:
     )
 
 
+#: From a token to the nearest ancestor that is a verb, in as many steps as the sentence (the map _t of its tokens) has tokens; null at the root.
+CLIMB = (
+    "aggregate(sequence(1, size(_t)), struct({start} as at, false as done), (a, s) -> if(a.done or _t[a.at].head_i = a.at, struct(a.at as at, a.done as done), "
+    "struct(_t[a.at].head_i as at, _t[_t[a.at].head_i].pos = 'VERB' as done)), a -> if(a.done, a.at, null))"
+)
+
+
 def governing_verbs(tokens: DataFrame) -> DataFrame:
     """(chunk_id, sent_id, i, verb_i, verb_lemma, verb_text): the nearest ancestor that is a verb; absent at the root.
 
@@ -50,11 +57,7 @@ def governing_verbs(tokens: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.struct("head_i", "pos", "lemma", "text")))).alias("_t")
     )
     rows = tokens.select(*key, "i", "head_i").join(links, key)
-    climb = (
-        "aggregate(sequence(1, size(_t)), struct(i as at, false as done), (a, s) -> if(a.done or _t[a.at].head_i = a.at, struct(a.at as at, a.done as done), "
-        "struct(_t[a.at].head_i as at, _t[_t[a.at].head_i].pos = 'VERB' as done)), a -> if(a.done, a.at, null))"
-    )
-    rows = rows.withColumn("verb_i", F.expr(climb)).where("verb_i is not null")
+    rows = rows.withColumn("verb_i", F.expr(CLIMB.format(start="i"))).where("verb_i is not null")
     return rows.select(*key, "i", "verb_i", F.expr("_t[verb_i].lemma").alias("verb_lemma"), F.expr("_t[verb_i].text").alias("verb_text"))
 
 
@@ -65,40 +68,36 @@ def parsed_frames(tokens: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """
     key = ["chunk_id", "sent_id"]
     wanted = [t.lower() for t in terms]
-    hit = tokens.where(F.lower("text").isin(*wanted) | F.lower("lemma").isin(*wanted))
-    tokens = tokens.join(hit.select(*key).distinct(), key, "left_semi")  # other sentences have no part in a frame
-    head = tokens.select(
-        *key, F.col("i").alias("head_i"), F.col("text").alias("dep_head"), F.col("lemma").alias("dep_head_lemma"), F.col("pos").alias("dep_head_pos"),
-        F.col("voice").alias("_voice"),
-    )
-    child = F.struct("i", "text", "dep", "pos", "lemma")
-    children = tokens.where("i != head_i").groupBy(*key, F.col("head_i").alias("i")).agg(F.array_sort(F.collect_list(child)).alias("_c"))
-    verbs = governing_verbs(tokens)
-    said = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("_s"))
-    rows = hit.join(head, [*key, "head_i"], "left").join(children, [*key, "i"], "left").join(verbs, [*key, "i"], "left").join(said, key)
+    # a sentence's tokens meet once, in one array; all else is worked out inside the row
+    token = F.struct("i", "text", "lemma", "pos", "dep", "head_i", "left", "right", "voice")
+    rows = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(token)).alias("_s"))
+    rows = rows.withColumn("_hits", F.filter("_s", lambda t: F.lower(t["text"]).isin(*wanted) | F.lower(t["lemma"]).isin(*wanted))).where(F.size("_hits") > 0)
+    node = lambda t: F.struct(t["i"], F.struct(t["head_i"].alias("head_i"), t["pos"].alias("pos"), t["text"].alias("text"), t["lemma"].alias("lemma"), t["voice"].alias("voice")))
+    rows = rows.withColumn("_t", F.map_from_entries(F.transform("_s", node)))
+    rows = rows.select(*key, "_s", "_t", F.explode("_hits").alias("_h"))
+    rows = rows.withColumns({"_head": F.expr("_t[_h.head_i]"), "verb_i": F.expr(CLIMB.format(start="_h.i"))})
+    rows = rows.withColumn("_c", F.filter("_s", lambda c: (c["head_i"] == F.col("_h.i")) & (c["i"] != c["head_i"])))
     spoken = lambda found: F.array_join(F.transform(found, lambda t: t["text"]), " ")
-    kids = F.coalesce("_c", F.array().cast("array<struct<i:int,text:string,dep:string,pos:string,lemma:string>>"))
     modifies = lambda c: c["pos"].isin("ADJ", "ADV") | c["dep"].isin("amod", "advmod", "compound")
     return rows.select(
         *key,
-        F.col("i").alias("token_idx"),
-        F.col("text").alias("target_term"),
-        F.lower("lemma").alias("target_lemma"),
-        "dep_head",
-        "dep_head_lemma",
-        "dep_head_pos",
-        F.col("dep").alias("dep_relation"),
-        F.transform(kids, lambda c: F.struct(c["text"].alias("text"), c["dep"].alias("dep"), c["pos"].alias("pos"))).alias("dep_children"),
-        role_of(F.col("dep"), F.col("_voice")).alias("syntactic_role"),
+        F.col("_h.i").alias("token_idx"),
+        F.col("_h.text").alias("target_term"),
+        F.lower("_h.lemma").alias("target_lemma"),
+        F.col("_head.text").alias("dep_head"),
+        F.col("_head.lemma").alias("dep_head_lemma"),
+        F.col("_head.pos").alias("dep_head_pos"),
+        F.col("_h.dep").alias("dep_relation"),
+        F.transform("_c", lambda c: F.struct(c["text"].alias("text"), c["dep"].alias("dep"), c["pos"].alias("pos"))).alias("dep_children"),
+        role_of(F.col("_h.dep"), F.col("_head.voice")).alias("syntactic_role"),
         F.transform(
-            F.filter(kids, modifies),
-            lambda c: F.struct(c["text"].alias("text"), c["lemma"].alias("lemma"), c["pos"].alias("pos"), c["dep"].alias("dep")),
+            F.filter("_c", modifies), lambda c: F.struct(c["text"].alias("text"), c["lemma"].alias("lemma"), c["pos"].alias("pos"), c["dep"].alias("dep"))
         ).alias("modifiers"),
-        F.col("verb_lemma").alias("governing_verb"),
+        F.expr("_t[verb_i].lemma").alias("governing_verb"),
         "verb_i",
-        "verb_text",
+        F.expr("_t[verb_i].text").alias("verb_text"),
         spoken(F.col("_s")).alias("sentence"),
-        spoken(F.filter("_s", lambda t: (t["i"] >= F.col("left")) & (t["i"] <= F.col("right")))).alias("subtree_text"),
+        spoken(F.filter("_s", lambda t: (t["i"] >= F.col("_h.left")) & (t["i"] <= F.col("_h.right")))).alias("subtree_text"),
     )
 
 
