@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chunkstore, mixing, multiset, packing, partenum, secrets, sharding, sql, toxicity, url_rules, wrapper
+from lexmill.llm import chunkstore, dualtree, huffman, merkle, mixing, multiset, packing, partenum, secrets, sharding, sql, toxicity, url_rules, wrapper
 from lexmill.llm.common import table
 
 #: Domains of the mixing tree: sources are dealt to four by their number.
@@ -64,6 +64,18 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.cluster(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_media_chunks,
@@ -76,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_wrapper_text,
         op9_secret_ledger,
         op10_best_fit,
+        op11_dual_tree,
+        op12_merkle_manifest,
+        op13_huffman_ids,
     )
     return {f.__name__: f for f in found}
 
@@ -88,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_partenum_join": sql.jaccard(4, 85, 100),
         "op5_hierarchical_mix": sql.mixing(DOMAINS, WEIGHTS, BUDGET_PERMILLE, MAX_EPOCHS, SEED),
         "op9_secret_ledger": sql.secrets(),
+        "op11_dual_tree": sql.lloyd(dualtree.DIMS, dualtree.SCALE, dualtree.K, dualtree.ROUNDS),
+        "op12_merkle_manifest": sql.manifest(merkle.COLUMNS, merkle.TAMPERED),
     }

@@ -121,3 +121,59 @@ u AS (SELECT *, sum(t) OVER (PARTITION BY {at} ORDER BY digest) AS upto FROM ks)
 y AS (SELECT {at}, digest, CASE WHEN upto <= part THEN 1 ELSE 0 END AS ins, CASE WHEN upto > part AND upto - t < part AND c = 1 THEN part - upto + t END AS cut FROM u),
 z AS (SELECT k.*, ins, cut, unnest(range(0, epochs + CASE WHEN ins = 1 OR cut IS NOT NULL THEN 1 ELSE 0 END)) AS epoch FROM k JOIN y USING ({at}, digest))
 SELECT doc_id, {at}, tokens, CAST(epoch AS INTEGER) AS epoch, CAST(CASE WHEN epoch = epochs AND cut IS NOT NULL THEN cut ELSE tokens END AS BIGINT) AS taken FROM z"""
+
+
+def lloyd(dims: int, scale: int, k: int, rounds: int) -> str:
+    square = f"CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT)"
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS j, x FROM v QUALIFY j < {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT r, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min({{'d': {square}, 'j': c.j}}) AS m FROM v, c{i} c GROUP BY r)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT m.j AS j, d.i AS i, CAST(sum(x[d.i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, {dims + 1}) d(i) GROUP BY m.j, d.i),
+u{i} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{i} GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(u.x, c.x) AS x FROM c{i} c LEFT JOIN u{i} u ON u.j = c.j)"""
+    return f"""{out}
+SELECT vec_id, m.j AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.m.j"""
+
+
+def manifest(columns: tuple[str, ...], tampered: int, levels: int = 20, top_levels: int = 4) -> str:
+    """Trees of up to 2**levels leaves a group and 2**top_levels groups."""
+    byte = "list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)"
+    bit = "list_transform(range(256), lambda v: v::BIGINT)"
+    for _ in range(8):
+        bit = f"list_transform({bit}, lambda v: xor(v >> 1, 3988292384 * (v & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({byte}, lambda b: b::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+    def leaf(more: int) -> str:
+        values = [f"CAST({c} AS VARCHAR)" if c != "n_chars" or not more else f"CAST(n_chars + {more} AS VARCHAR)" for c in columns]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values) + ")"
+
+    def climb(name: str, n: int) -> str:
+        return "".join(
+            f""",
+{name}{k + 1} AS MATERIALIZED (SELECT g, i // 2 AS i, CASE WHEN max(c) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h, (max(c) + 1) // 2 AS c FROM {name}{k} GROUP BY g, i // 2)"""
+            for k in range(n)
+        )
+
+    def walk(name: str, way: str, n: int) -> str:
+        return "".join(
+            f""",
+{way}{k + 1} AS MATERIALIZED (SELECT w.* REPLACE (w.i // 2 AS i, (w.c + 1) // 2 AS c, w.p || coalesce(s.h, '') AS p,
+  CASE WHEN w.c > 1 THEN sha256(CASE WHEN w.i % 2 = 1 THEN s.h || w.f ELSE w.f || coalesce(s.h, '') END) ELSE w.f END AS f)
+  FROM {way}{k} w LEFT JOIN {name}{k} s ON s.g = w.g AND s.i = xor(w.i, 1))"""
+            for k in range(n)
+        )
+
+    return f"""WITH crc AS MATERIALIZED (SELECT {bit} AS t),
+d AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf(0)} AS leaf, CASE WHEN {crc} % {tampered} = 0 THEN {leaf(1)} END AS changed FROM documents, crc),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS c FROM d),
+n0 AS (SELECT g, i, leaf AS h, c FROM l){climb("n", levels)},
+m0 AS MATERIALIZED (SELECT '' AS g, g AS lang, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS c FROM n{levels}){climb("m", top_levels)},
+w0 AS (SELECT doc_id, leaf, g, i, c, '' AS p, coalesce(changed, leaf) AS f FROM l){walk("n", "w", levels)},
+v0 AS (SELECT w.* REPLACE (m.g AS g, m.i AS i, m.c AS c), m.h AS subroot FROM w{levels} w JOIN m0 m ON m.lang = w.g){walk("m", "v", top_levels)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified FROM v{top_levels}, m{top_levels}"""
