@@ -13,9 +13,10 @@ A block, little-endian: magic, number of documents, ids before it; then by docum
 its id, whether that is null, its number of ids, its bytes; then checkpoints; then
 codes, each document from a byte's start.
 
-Words between ASCII white space are encoded once for each worker's lot and remembered:
-the tokenizer drops white space and joins nothing over it, so a text's ids are its
-words' ids in a row (a test holds them against whole texts).
+Words between ASCII white space, cut where a letter is followed by punctuation or a
+digit, are encoded once and remembered by each worker: this vocabulary's pre-tokens go
+over neither place, so a text's ids are its pieces' ids in a row (a test holds them
+against whole texts). A vocabulary that keeps white space needs another cut.
 
 Nulls: a null text is empty and has the end id alone; a null document id sorts first.
 Rows of equal id are ordered by a hash of their ids, then of their number. Repeated
@@ -43,7 +44,9 @@ END_ID = 2
 #: Bits of the longest code and ids between checkpoints.
 MAX_BITS, LANE = 18, 256
 #: Words a worker remembers before it starts anew.
-WORDS = 500_000
+WORDS = 1_000_000
+#: A letter and an ASCII character that is none: no pre-token goes over this place.
+LETTER_ENDS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-;=-@\[-`{-~])"
 #: Bytes of text, and eight times the ids, that are worked on at once.
 LOT = 4 << 20
 MAGIC = b"LXH1"
@@ -64,12 +67,16 @@ class Words:
         # a special token between words marks their ends; words that hold its text are encoded alone
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.mark = special[-1] if special else None
+        self.folds = self.alike("A", "a") and self.alike("Zq.", "zq.")
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def alike(self, a: str, b: str) -> bool:
+        return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
+
     def each(self, words: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -97,36 +104,48 @@ class Words:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, *found])
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with the end id; where each text's ids end)."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pieces of all words in a row, pieces of each word): words cut where a letter ends, ASCII in lower case."""
+        plain = pc.invert(pc.match_substring(words, self.mark[1][0])) if self.mark else pa.array([True] * len(words))
+        if self.folds:
+            words = pc.if_else(pc.and_(plain, pc.string_is_ascii(words)), pc.ascii_lower(words), words)
+        lists = pc.ascii_split_whitespace(pc.if_else(plain, pc.replace_substring_regex(words, LETTER_ENDS, r"\1 \2"), words))
         split = lists.flatten().dictionary_encode()
-        words = split.dictionary.to_pylist()
-        if len(self.known) + len(words) > WORDS:
+        names = split.dictionary.to_pylist()
+        if len(self.known) + len(names) > WORDS:
             self.clear()
-        new = [w for w in words if w not in self.known]
+        new = [w for w in names if w not in self.known]
         if new:
             self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[split.indices.to_numpy()]
-        # the end id is a word of its own behind each text's words
+        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        return at[split.indices.to_numpy()], lists.value_lengths().to_numpy()
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id; where each text's ids end)."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = lists.flatten().dictionary_encode()
+        piece, n_pieces = self.pieces(split.dictionary)
+        n = self.starts[piece + 1] - self.starts[piece]
+        # ids of the distinct words in a row, and of the end id behind them
+        flat = np.append(self.ids[spans(self.starts[piece], n)], np.uint32(end_id))
+        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(n_pieces)])]
+        first, size = np.append(upto[:-1], len(flat) - 1), np.append(np.diff(upto), 1)
         n_words = lists.value_lengths().to_numpy()
         ends = np.cumsum(n_words + 1)
-        slots = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)
+        slots = np.full(int(ends[-1]) if len(ends) else 0, len(size) - 1, np.int64)
         mask = np.ones(len(slots), bool)
         mask[ends - 1] = False
-        slots[mask] = at
-        counts = np.where(slots < 0, 1, self.starts[slots + 1] - self.starts[slots])
-        upto = np.cumsum(counts)
-        out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint32)
-        closing = np.zeros(len(out), bool)
-        closing[upto[~mask] - 1] = True
-        n = counts[mask]
-        # ids of the words in a row: a run of consecutive places for each
-        run = np.cumsum(n)
-        places = np.arange(int(run[-1]) if len(run) else 0) - np.repeat(run - n, n) + np.repeat(self.starts[slots[mask]], n)
-        out[~closing] = self.ids[places]
-        out[closing] = end_id
-        return out, upto[ends - 1]
+        slots[mask] = split.indices.to_numpy()
+        counts = size[slots]
+        return flat[spans(first[slots], counts)], np.cumsum(counts)[ends - 1]
+
+
+def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], ..., first[i] + n[i] - 1 for all i in a row."""
+    upto = np.cumsum(n)
+    out = np.arange(int(upto[-1]) if len(upto) else 0)
+    out += np.repeat(first - upto + n, n)
+    return out
 
 
 _words: dict[str, Words] = {}
