@@ -14,12 +14,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.dims import STRATEGIES
 from lexmill.functions.text import CLASSIFICATION, parse_reply, words
-from lexmill.storage import written
+from lexmill.storage import ship, written
 
 #: Instructions by strategy; others can be handed to strategy_prompts().
 TASKS = {
@@ -54,6 +55,43 @@ def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
 
 
+#: What a parser gives for each token of a sentence, in order; `left` and `right` are the first and last token of its subtree.
+TOKEN = pa.struct(
+    [
+        ("i", pa.int32()), ("text", pa.string()), ("lemma", pa.string()), ("pos", pa.string()), ("tag", pa.string()), ("dep", pa.string()),
+        ("head_i", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("voice", pa.string()),
+    ]
+)
+TOKENS = "array<struct<i:int,text:string,lemma:string,pos:string,tag:string,dep:string,head_i:int,left:int,right:int,voice:string>>"
+
+
+def parsed_sentences(sentences: DataFrame, parser: Callable[[pa.Array], pa.Array], text: str = "sentence", once: bool = False) -> DataFrame:
+    """sentences with `tokens`, an array of TOKEN for each, from a parser of batches of texts.
+
+    parser: an array of distinct texts to an array of lists of TOKEN; it is called on the
+    workers, so a model is best loaded on its first call. Equal sentences of a batch are
+    asked once and nothing is shuffled. With `once` a sentence is asked once in the whole
+    table: distinct texts are parsed and written, and joined back by digest (a cost of two
+    shuffles, for parsers dearer than that). A null text has null tokens.
+    """
+    ship(sentences.sparkSession)
+    if once:
+        keyed = sentences.withColumn("_key", F.sha2(F.col(text), 256))
+        # equal texts are combined before the shuffle
+        distinct = keyed.where(F.col(text).isNotNull()).groupBy("_key").agg(F.first(text).alias(text))
+        known = written(sentences.sparkSession, parsed_sentences(distinct, parser, text).select("_key", "tokens"), "parsed")
+        return keyed.join(known, "_key", "left").drop("_key")
+    schema = f"{sentences._jdf.schema().toDDL()}, tokens {TOKENS}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = b[text].dictionary_encode()
+            found = parser(asked.dictionary).cast(pa.list_(TOKEN))
+            yield pa.RecordBatch.from_arrays([*b.columns, found.take(asked.indices)], [*b.schema.names, "tokens"])
+
+    return sentences.mapInArrow(run, schema)
+
+
 def lexical_frames(chunks: DataFrame, lexicon: Lexicon) -> DataFrame:
     """A row for each target term in a chunk: its neighbours, role, head, children, modifiers and verb.
 

@@ -6,15 +6,19 @@ that occur in it; years are dealt to sources by their number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.dims import YEARS, era_range_table, era_table
 from lexmill.operators.discourse import with_era, with_era_range
 from lexmill.functions.text import words
 from lexmill.operators import graph
-from lexmill.operators.frames import parsed_frames, parsed_triples, with_language
-from lexmill.operators.providers import Cues, Lexicon, cue_classifications, lexical_frames
+from lexmill.operators.frames import with_language
+from lexmill.operators.providers import TOKEN, Cues, Lexicon, cue_classifications, lexical_frames, parsed_sentences
+from lexmill.operators.sentences import triples as triples_of
 from lexmill.storage import written
 
 LEXICON = Lexicon({"the": "English", "of": "Gaelic", "and": "Scots"})
@@ -87,14 +91,13 @@ def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples of the tokens' patient frames, written once: frames, governing verbs and agents come from the parsed sentences."""
-    parsed = written(spark, tokens(spark, sf_dir), "tokens")
-    found = with_language(parsed_frames(parsed, (*LEXICON.languages, *OTHER_TERMS)), LEXICON.languages)
-    rows = parsed_triples(found, parsed).select(
-        "chunk_id", "sent_id", "token_idx", "target_term", "target_lemma", "target_language", "dep_relation", "governing_verb", "agent_text", "agent_category",
-        "voice", "by_phrase", "sentence",
+    """Triples of the parsed sentences' patient frames, written once: frames, governing verbs and agents come from rows of one sentence."""
+    rows = triples_of(parsed(spark, sf_dir), (*LEXICON.languages, *OTHER_TERMS))
+    rows = with_language(rows, LEXICON.languages).select(
+        "chunk_id", "doc_title", "doc_year", "era", "sent_id", "token_idx", "target_term", "target_lemma", "target_language", "dep_relation", "governing_verb",
+        "agent_text", "agent_category", "voice", "by_phrase", "sentence",
     )
-    return written(spark, rows.join(chunks(spark, sf_dir).select("chunk_id", "doc_title", "doc_year", "era"), "chunk_id"), "triples")
+    return written(spark, rows, "triples")
 
 
 def echo_client(prompt: str) -> str:
@@ -106,36 +109,46 @@ def echo_client(prompt: str) -> str:
     return (whole, f"So:\n```json\n{whole}\n```", whole[: whole.index(', "a"]')], "no answer")[size % 4]
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed tokens of a stand-in grammar: each run of five words is a sentence of subject, auxiliary, verb, particle and object.
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of five words of a text as a sentence, with the tokens that the stand-in parser gives it. Up to four last words are no sentence."""
+    w = chunks(spark, sf_dir).withColumn("_w", words(F.coalesce("text", F.lit("")))).where(F.size("_w") >= 5)
+    runs = F.expr("transform(sequence(0, size(_w) div 5 - 1), s -> array_join(slice(_w, s * 5 + 1, 5), ' '))")
+    rows = w.select("chunk_id", "doc_title", "doc_year", "era", F.posexplode(runs).alias("sent_id", "said"))
+    return parsed_sentences(rows, five_words, "said")
+
+
+def five_words(texts: pa.Array) -> pa.Array:
+    """Stands for a parser, with a grammar of subject, auxiliary, verb, particle and object.
 
     Verbs of an even number of letters are passive; their particle begins a by-phrase if it
     has an even number of letters too, else a phrase that names no agent. Of active verbs
     the particle is the object's determiner, and a first word of 1, 5, 9... letters is an
     adverb, not the subject. A third word of three letters is a noun, so its sentence has
-    no verb. Up to four last words of a text are no sentence.
+    no verb.
     """
-    w = chunks(spark, sf_dir).withColumn("_w", words(F.coalesce("text", F.lit(""))))
-    runs = "if(size(_w) < 5, array(), transform(sequence(0, size(_w) div 5 - 1), s -> slice(_w, s * 5 + 1, 5)))"
-    rows = w.select("chunk_id", F.posexplode(F.expr(runs)).alias("sent_id", "_s"))
-    rows = rows.select("chunk_id", "sent_id", *[F.length(F.col("_s")[i]).alias(f"_{i}") for i in (0, 2, 3)], F.posexplode("_s").alias("i", "text"))
-
-    def of(passive: tuple, active: tuple):
-        pick = lambda found: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in found])[F.col("i")]
-        return F.when(F.col("_2") % 2 == 0, pick(passive)).otherwise(pick(active))
-
-    root = F.when(F.col("_2") == 3, "NOUN").otherwise("VERB")
-    first = F.when(F.col("_0") % 4 == 1, "advmod").otherwise("nsubj")
-    phrase = F.when(F.col("_3") % 2 == 0, "agent").otherwise("prep")
-    none = F.lit(None).cast("string")
-    return rows.withColumns(
-        {
-            "lemma": F.lower("text"), "pos": of(("NOUN", "AUX", "VERB", "ADP", "NOUN"), ("NOUN", "AUX", root, "DET", "NOUN")),
-            "tag": of(("NN", "VBD", "VBN", "IN", "NN"), ("NN", "VBD", "VBD", "DT", "NN")), "voice": none, "left": of((0, 1, 0, 3, 4), (0, 1, 0, 3, 3)),
-            "right": of((0, 1, 4, 4, 4), (0, 1, 4, 3, 4)), "dep": of(("nsubjpass", "auxpass", "ROOT", phrase, "pobj"), (first, "aux", "ROOT", "det", "dobj")),
-            "head_i": of((2, 2, 2, 2, 3), (2, 2, 2, 4, 2)),
-        }
-    ).drop("_0", "_2", "_3")
+    text = pc.split_pattern(texts, " ").flatten()
+    n = len(texts)
+    size = pc.utf8_length(text).to_numpy().reshape(n, 5)
+    passive, adverb, by, noun = size[:, 2] % 2 == 0, size[:, 0] % 4 == 1, size[:, 3] % 2 == 0, size[:, 2] == 3
+
+    def column(in_passive: tuple, in_active: tuple) -> np.ndarray:
+        """One value a token; an entry is a value, or a mask with the values where it holds and where not."""
+        wide = lambda entry: np.where(entry[0], entry[1], entry[2]) if isinstance(entry, tuple) else np.full(n, entry)
+        return np.stack([np.where(passive, wide(p), wide(a)) for p, a in zip(in_passive, in_active, strict=True)], axis=1).ravel()
+
+    root, first, phrase = (noun, "NOUN", "VERB"), (adverb, "advmod", "nsubj"), (by, "agent", "prep")
+    place = np.tile(np.arange(5), n)
+    columns = {
+        "i": place, "text": text, "lemma": pc.utf8_lower(text),
+        "pos": column(("NOUN", "AUX", "VERB", "ADP", "NOUN"), ("NOUN", "AUX", root, "DET", "NOUN")),
+        "tag": column(("NN", "VBD", "VBN", "IN", "NN"), ("NN", "VBD", "VBD", "DT", "NN")),
+        "dep": column(("nsubjpass", "auxpass", "ROOT", phrase, "pobj"), (first, "aux", "ROOT", "det", "dobj")),
+        "head_i": column((2, 2, 2, 2, 3), (2, 2, 2, 4, 2)),
+        "left": column((0, 1, 0, 3, 4), (0, 1, 0, 3, 3)), "right": column((0, 1, 4, 4, 4), (0, 1, 4, 3, 4)),
+        "voice": pa.nulls(5 * n, pa.string()),
+    }
+    made = [pa.array(columns[f.name]).cast(f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in TOKEN]
+    return pa.ListArray.from_arrays(np.arange(0, 5 * n + 1, 5, dtype=np.int32), pa.StructArray.from_arrays(made, fields=list(TOKEN)))
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
