@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from lexmill.dims import OCR_PAIRS
 ANY_SPACE = "(?U)\\s"
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x worked out once, for lambda bodies, which have no common subexpressions."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included (trim() drops U+0020 only)."""
     return F.regexp_replace(c, "(?U)\\A\\s+|\\s+\\z", "")

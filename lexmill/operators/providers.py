@@ -8,6 +8,8 @@ encoder or chat client is plugged in as a function on batches.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -226,27 +228,55 @@ def ask(misses: DataFrame, client: Callable[[str], str | None], retries: int = 3
     return out if failures else out.where("reply is not null").drop("failure")
 
 
-def strategy_prompts(chunks: DataFrame, lines: DataFrame | None = None, strategies: tuple[str, ...] = STRATEGIES, tasks: dict[str, str] | None = None) -> DataFrame:
-    """A prompt for each chunk and strategy, with its hash; columns of chunks but the text stay.
-
-    chunks: chunk_id, doc_title, doc_year, text, ...; lines: (chunk_id, frames) of frame_lines().
-    tasks: instructions by strategy; a strategy without one is unknown. Null texts count as empty.
-    """
+def asked_strategies(strategies: tuple[str, ...], tasks: dict[str, str] | None) -> Column:
+    """Each strategy with its instruction, its reply format (only arguments are asked for topoi) and a digest of both."""
     tasks = TASKS if tasks is None else tasks
     unknown = [x for x in strategies if x not in tasks]
     if unknown:
         raise ValueError(f"unknown strategies {unknown}; known are {sorted(tasks)}")
-    joined = chunks.withColumn("frames", F.lit(None).cast("string")) if lines is None else chunks.join(lines, "chunk_id", "left")
-    # the reply's format is part of the prompt, and only arguments are asked for topoi
-    each = F.array(*[
-        F.struct(F.lit(i).alias("strategy_ord"), F.lit(x).alias("strategy"), F.lit(tasks[x]).alias("_task"), F.lit(reply_format(x)).alias("_format"))
+    mark = lambda x: hashlib.sha256(json.dumps([x, tasks[x], reply_format(x)]).encode()).hexdigest()
+    return F.array(*[
+        F.struct(F.lit(i).alias("strategy_ord"), F.lit(x).alias("strategy"), F.lit(tasks[x]).alias("_task"), F.lit(reply_format(x)).alias("_format"), F.lit(mark(x)).alias("_mark"))
         for i, x in enumerate(strategies)
     ])
-    rows = joined.withColumn("_s", F.explode(each)).select("*", "_s.*").drop("_s")
-    title, year = F.coalesce("doc_title", F.lit("Unknown")), F.coalesce(F.col("doc_year").cast("string"), F.lit("Unknown"))
-    text = F.coalesce("text", F.lit(""))
-    rows = rows.withColumn("prompt", prompt(F.col("_task"), title, year, F.col("frames"), text, F.col("_format")))
-    return rows.withColumn("prompt_sha", prompt_key(F.col("prompt"))).drop("_task", "_format", "frames", "text")
+
+
+def shown_chunks(chunks: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """chunks with _title, _year, _frames and _text as prompts show them, and _base, the digest of these four."""
+    joined = chunks.withColumn("_frames", F.lit(None).cast("string")) if lines is None else chunks.join(lines.withColumnRenamed("frames", "_frames"), "chunk_id", "left")
+    unknown = F.lit("Unknown")
+    rows = joined.withColumns({"_title": F.coalesce("doc_title", unknown), "_year": F.coalesce(F.col("doc_year").cast("string"), unknown), "_text": F.coalesce("text", F.lit(""))})
+    sized = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    return rows.withColumn("_base", F.sha2(F.concat(sized(F.col("_title")), sized(F.col("_year")), sized(F.coalesce("_frames", F.lit(""))), F.col("_text")), 256))
+
+
+SHOWN = ("_title", "_year", "_frames", "_text")
+
+
+def with_prompt_key(rows: DataFrame, strategies: tuple[str, ...], tasks: dict[str, str] | None) -> DataFrame:
+    out = rows.withColumn("_s", F.explode(asked_strategies(strategies, tasks))).select("*", "_s.*").drop("_s")
+    return out.withColumn("prompt_sha", F.sha2(F.concat("_base", "_mark"), 256))
+
+
+def prompt_of() -> Column:
+    return prompt(F.col("_task"), F.col("_title"), F.col("_year"), F.col("_frames"), F.col("_text"), F.col("_format"))
+
+
+def prompt_keys(chunks: DataFrame, lines: DataFrame | None = None, strategies: tuple[str, ...] = STRATEGIES, tasks: dict[str, str] | None = None) -> DataFrame:
+    """A row for each chunk and strategy with prompt_sha, the key of its prompt: equal for equal prompts, and made without them.
+
+    chunks: chunk_id, doc_title, doc_year, text, ...; columns but the text stay. lines:
+    (chunk_id, frames) of frame_lines(). tasks: instructions by strategy; a strategy
+    without one is unknown. Null texts count as empty.
+    """
+    narrow = shown_chunks(chunks, lines).drop(*SHOWN, "text")
+    return with_prompt_key(narrow, strategies, tasks).drop("_base", "_task", "_format", "_mark")
+
+
+def strategy_prompts(chunks: DataFrame, lines: DataFrame | None = None, strategies: tuple[str, ...] = STRATEGIES, tasks: dict[str, str] | None = None) -> DataFrame:
+    """prompt_keys() with the whole prompts, for small tables: a text stands in each of its prompts."""
+    rows = with_prompt_key(shown_chunks(chunks, lines).drop("text"), strategies, tasks)
+    return rows.withColumn("prompt", prompt_of()).drop("_base", "_task", "_format", "_mark", *SHOWN)
 
 
 def reply_format(strategy: str) -> str:
@@ -272,7 +302,12 @@ def classify(
     replies = written(spark, ask(cache_misses(prompts, cache), client, retries, pause, workers, failures=True), "replies")
     parsed = replies.select("prompt_sha", "reply").withColumn("result", parse_reply(F.col("reply")))
     fresh = written(spark, parsed.where("result is not null").select("prompt_sha", "result"), "parsed")
-    rows = answered(prompts, cache.select("prompt_sha", "result").unionByName(fresh)).join(replies.select("prompt_sha", "failure"), "prompt_sha", "left")
+    return records(prompts.drop("prompt"), cache.select("prompt_sha", "result").unionByName(fresh), replies.select("prompt_sha", "failure")), fresh
+
+
+def records(keys: DataFrame, cache: DataFrame, failures: DataFrame) -> DataFrame:
+    """keys (prompt_sha, ...) with the fields of their results; those without one with `error`, and why."""
+    rows = answered(keys, cache).join(failures, "prompt_sha", "left")
     strings = lambda c: F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array().cast("array<string>"))
     out = rows.withColumns(
         {
@@ -282,7 +317,55 @@ def classify(
             "notes": F.when(F.col("error"), F.coalesce("failure", F.lit("reply can't be parsed"))).otherwise(F.col("result.notes")),
         }
     )
-    return out.drop("prompt", "result", "failure"), fresh
+    return out.drop("result", "failure")
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt_sha, result) of a cache, one row a prompt; empty where there is none."""
+    try:
+        rows = spark.read.parquet(path).select("prompt_sha", "result")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"prompt_sha string, result struct<{CLASSIFICATION}>")
+    return rows.dropDuplicates(["prompt_sha"])
+
+
+def classify_chunks(
+    spark: SparkSession, chunks: DataFrame, path: str, client: Callable[[str], str | None], lines: DataFrame | None = None,
+    strategies: tuple[str, ...] = STRATEGIES, tasks: dict[str, str] | None = None, retries: int = 3, pause: float = 1.0, workers: int = 5,
+    commit_rows: int = 2000, most_commits: int = 256,
+) -> DataFrame:
+    """Classifications of chunks through a client, behind a cache at `path` that outlives a run that ends half way.
+
+    Keys of prompts are compared with the cache first. Only chunks that some prompt is
+    missing for are written, once, with their text; their prompts are put together in
+    the task that asks. They are asked in lots of about commit_rows chunks (more where
+    that would make over most_commits lots), and each lot's replies are in the cache
+    before the next one is asked, so a run that is killed or fails has at most one lot to
+    ask again. Failures and replies that can't be parsed become records with `error`
+    and are not cached.
+    """
+    keys = written(spark, prompt_keys(chunks, lines, strategies, tasks), "keys")
+    shown = shown_chunks(chunks, lines).select("_base", *SHOWN)
+    narrow = with_prompt_key(shown.select("_base"), strategies, tasks).select("_base", "prompt_sha").distinct()
+    missing = narrow.join(cached(spark, path), "prompt_sha", "left_anti").groupBy("_base").agg(F.collect_set("prompt_sha").alias("_asked"))
+    # join and grouping share one shuffle of the texts
+    todo = written(spark, shown.join(missing, "_base").dropDuplicates(["_base"]), "asked")
+    count = todo.count()
+    lots = min(most_commits, -(-count // commit_rows))
+    failures = None
+    for lot in range(lots):
+        some = todo.where(F.pmod(F.xxhash64("_base"), F.lit(lots)) == lot)
+        prompts = with_prompt_key(some, strategies, tasks).where(F.array_contains("_asked", F.col("prompt_sha"))).select("prompt_sha", prompt_of().alias("prompt"))
+        replies = written(spark, ask(prompts, client, retries, pause, workers, failures=True), "replies")
+        fresh = replies.withColumn("result", parse_reply(F.col("reply"))).where("result is not null").select("prompt_sha", "result")
+        fresh.write.mode("append").parquet(path)
+        failed = replies.select("prompt_sha", "failure").where("failure is not null")
+        failures = failed if failures is None else failures.unionByName(failed)
+    if failures is None:
+        failures = spark.createDataFrame([], "prompt_sha string, failure string")
+    return records(keys, cached(spark, path), failures)
 
 
 def hashed_vectors(chunks: DataFrame, size: int = 768) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import let
 from lexmill.operators.frames import agent_category, role_of
 
 
@@ -88,11 +89,6 @@ def frames(sentences: DataFrame, terms: tuple[str, ...], tokens: str = "tokens")
     ).drop("_h", "_head", "_c", "_verbs")
 
 
-def let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x) with x worked out once: lambda bodies have no common subexpressions."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def agent_of(s: Column, nouns: Column, v: Column) -> Column:
     """(tag, agent_text, agent_lemma, voice, by_phrase) of token v taken for a verb; voice null where it has neither agent nor passive."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from lexmill.dims import ERAS, OCR_PAIRS, STRATEGIES, era_table, strategy_table
 from lexmill.functions import text as ft
-from lexmill.operators import chunking, cleaning, discourse, frames, graph, plots, providers, topics
+from lexmill.operators import chunking, cleaning, density, discourse, frames, graph, plots, providers, topics
 from lexmill.plans import bindings as b
 from lexmill.plans import oracle
-from lexmill.storage import ship, written
+from lexmill.storage import scratch_dir, ship, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -390,10 +391,11 @@ def prompt_texts(s, d):
 @query
 def strategy_classification(s, d):
     """Prompts past a cache to a client and back as records: every third chunk's prompts stand in the cache as absent."""
-    prompts = written(s, providers.strategy_prompts(b.chunks(s, d)).select("chunk_id", "strategy", "prompt", "prompt_sha"), "prompts")
+    chunks = b.chunks(s, d)
     known = F.from_json(F.lit('{"present": false, "confidence": 0.25, "notes": "cached"}'), ft.CLASSIFICATION)
-    cache = prompts.where("chunk_id % 3 = 0").select("prompt_sha").distinct().withColumn("result", known)
-    found, _ = providers.classify(s, prompts, cache, b.echo_client)
+    path = f"{scratch_dir(s)}/lexmill-cache-{uuid.uuid4().hex}"
+    providers.prompt_keys(chunks.where("chunk_id % 3 = 0")).select("prompt_sha").distinct().withColumn("result", known).write.parquet(path)
+    found = providers.classify_chunks(s, chunks, path, b.echo_client, commit_rows=1 << 20)
     return found.select("chunk_id", "strategy", "present", "confidence", "error", "repaired", F.size("evidence_quotes").alias("quotes"), F.size("target_languages").alias("languages"), "notes")
 
 
@@ -442,6 +444,46 @@ def topic_clusters(s, d):
     return topics.clusters(b.table(s, d, "embeddings"))
 
 
+@query
+def density_topics(s, d):
+    """Vectors by density cluster, -1 for noise."""
+    return density.density_clusters(s, b.table(s, d, "embeddings"))
+
+
+#: Stop words of the topics' terms.
+STOP = ("the", "of", "and", "in", "to", "a")
+
+
+def labelled(s, d):
+    """Chunks whose vector has a label other than that of outliers, with label and vector."""
+    vectors = b.table(s, d, "embeddings").where("label != 0")
+    vectors = vectors.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("topic_id"), "embedding")
+    return b.chunks(s, d).select("chunk_id", "text").join(vectors, "chunk_id")
+
+
+@query
+def topic_terms(s, d):
+    """Words and pairs of words of each labelled topic."""
+    return topics.ctfidf(labelled(s, d), stop=STOP, grams=2).select("topic_id", "term", "tf", "rank")
+
+
+@query
+def topic_terms_reranked(s, d):
+    """The first thirty terms of each labelled topic by likeness to the topic; a term's vector is the mean of the chunks that hold it."""
+    docs = written(s, labelled(s, d).withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long"))), "labelled")
+    found = written(s, topics.ctfidf(docs, 30, stop=STOP, grams=2).select("topic_id", "term"), "terms")
+    held = docs.select(F.explode(F.array_distinct(topics.terms_of(F.col("text"), STOP, 2))).alias("term"), F.col("embedding").alias("v"))
+    held = held.join(found.select("term").distinct(), "term", "left_semi")
+    centre = topics.mean_vectors(docs.select("topic_id", F.col("embedding").alias("v")), "topic_id", "v", 64)
+    return topics.reranked(found, topics.mean_vectors(held, "term", "v", 64), centre)
+
+
+@query
+def topic_merges(s, d):
+    """Labelled topics merged to four by the likeness of their terms."""
+    return topics.merged_topics(s, topics.ctfidf(labelled(s, d), None, stop=STOP), 4)
+
+
 @query
 def vector_projection(s, d):
     return topics.projection(b.table(s, d, "embeddings"))

@@ -45,6 +45,18 @@ f AS (
   FROM r)"""
 
 
+#: Words and pairs of words, not across stop words, of chunks with a labelled vector; ranked by class.
+TOPIC_TERMS = f"""{CHUNKS},
+lb AS (SELECT chunk_id, CAST(label AS BIGINT) AS topic_id, text FROM c JOIN embeddings ON vec_id = chunk_id WHERE label <> 0),
+lw AS (SELECT chunk_id, topic_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z]+'), lambda w: CASE WHEN w NOT IN ('the', 'of', 'and', 'in', 'to', 'a') THEN w END) AS w FROM lb),
+lu AS (SELECT chunk_id, topic_id, w, unnest(range(1, len(w) + 1)) AS i FROM lw),
+tt AS (SELECT chunk_id, topic_id, w[i] AS term FROM lu WHERE w[i] IS NOT NULL UNION ALL SELECT chunk_id, topic_id, w[i] || ' ' || w[i + 1] FROM lu WHERE w[i] IS NOT NULL AND i < len(w) AND w[i + 1] IS NOT NULL),
+td AS (SELECT topic_id, chunk_id, term, count(*) AS n FROM tt GROUP BY ALL), tk AS (SELECT topic_id, term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df FROM td GROUP BY ALL),
+ts AS (SELECT *, sum(tf) OVER (PARTITION BY term) AS ft, sum(df) OVER (PARTITION BY term) AS docs FROM tk), ta AS (SELECT sum(tf)::DOUBLE / count(DISTINCT topic_id) AS a FROM tk),
+tx AS (SELECT topic_id, term, tf, round(tf * ln(1 + a / ft::DOUBLE), 6) AS score FROM ts, ta WHERE docs >= 2),
+tr AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS rank FROM tx)"""
+
+
 def hits(words) -> str:
     return f"len(list_filter(w, lambda x: x IN ({q(words)})))"
 
@@ -307,6 +319,13 @@ d AS (SELECT topic_id, chunk_id, term, count(*) AS n FROM t GROUP BY ALL), k AS
 s AS (SELECT *, sum(tf) OVER (PARTITION BY term) AS ft, sum(df) OVER (PARTITION BY term) AS docs FROM k), a AS (SELECT sum(tf)::DOUBLE / count(DISTINCT topic_id) AS a FROM k),
 x AS (SELECT topic_id, term, tf, round(tf * ln(1 + a / ft::DOUBLE), 6) AS score FROM s, a WHERE docs >= 2)
 SELECT topic_id, term, tf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS rank FROM x) WHERE rank <= 10""",
+        "topic_terms": f"""WITH {TOPIC_TERMS} SELECT topic_id, term, tf, CAST(rank AS INTEGER) AS rank FROM tr WHERE rank <= 10""",
+        "topic_terms_reranked": f"""WITH {TOPIC_TERMS}, ct AS (SELECT topic_id, term FROM tr WHERE rank <= 30),
+e AS (SELECT l.chunk_id, l.topic_id, i, CAST(round(CAST(v.embedding[i] AS DOUBLE) * 1000000) AS BIGINT) AS x FROM lb l JOIN embeddings v ON v.vec_id = l.chunk_id, range(1, 65) r(i)),
+cm AS (SELECT topic_id, i, sum(x)::DOUBLE / count(*) AS c FROM e GROUP BY ALL),
+tm AS (SELECT h.term, e.i, sum(e.x)::DOUBLE / count(*) AS t FROM (SELECT DISTINCT chunk_id, term FROM tt WHERE term IN (SELECT term FROM ct)) h JOIN e USING (chunk_id) GROUP BY ALL),
+sc AS (SELECT topic_id, term, coalesce(round(sum(t * c) / (sqrt(sum(t * t)) * sqrt(sum(c * c))), 6), 0) AS similarity FROM ct JOIN tm USING (term) JOIN cm USING (topic_id, i) GROUP BY topic_id, term)
+SELECT topic_id, term, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY similarity DESC, term) AS rank FROM sc) WHERE rank <= 10""",
         "centroids": f"WITH {ASSIGNED} SELECT doc_year, topic_id, sum(x)::DOUBLE / count(*) AS x, sum(y)::DOUBLE / count(*) AS y, count(*) AS n FROM a WHERE topic_id <> -1 GROUP BY doc_year, topic_id HAVING count(*) >= 2",
         "embedding_norm": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings",
         "strategy_pivot": f"""WITH {CLASSIFIED}, g AS (SELECT doc_title, doc_year, strategy, {ratio("count(*) FILTER (present)", "count(*)", "0.0")} AS prevalence FROM cl GROUP BY ALL)

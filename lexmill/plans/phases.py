@@ -114,15 +114,14 @@ def run_phase3(
     mark = fingerprint(rows, strategies=cues.strategies, topoi=cues.topoi, least=cues.least)
     if client is not None and not skip_classification:
         path = f"{out_dir}/api_cache"
-        prompts = providers.strategy_prompts(rows, lines)
-        asked = fingerprint(prompts.select("chunk_id", "strategy", "prompt_sha"))
+        asked = fingerprint(providers.prompt_keys(rows, lines).select("chunk_id", "strategy", "prompt_sha"))
         old = existing(spark, f"{out_dir}/classifications")
         failed = old is not None and "error" in old.columns and old.where("error").limit(1).count() > 0
 
         def answers() -> DataFrame:
-            out, fresh = providers.classify(spark, prompts, None if force else existing(spark, path), client, pause=pause)
-            fresh.write.mode("overwrite" if force else "append").parquet(path)
-            return out
+            if force:
+                providers.cached(spark, path).limit(0).write.mode("overwrite").parquet(path)
+            return providers.classify_chunks(spark, rows, path, client, lines, pause=pause)
 
         found = stage(spark, out_dir, "classifications", asked, answers, force or failed)
         mark = fingerprint(found)

@@ -136,3 +136,43 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
     assert main(["list"]) == 0 and "markedness_by_doc" in capsys.readouterr().out
     assert main(["run", "role_histogram", "--tables", sf_dir, "--out", str(tmp_path / "o")]) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() == 5
+
+
+def test_cache_outlives_a_run_that_ends_half_way(spark, tmp_path):
+    texts = [f"text {i:03d} " + "x" * (i % 3) for i in range(60)]
+    chunks = spark.createDataFrame([(i, "T", 2005, t) for i, t in enumerate([*texts, texts[0], None])], "chunk_id long, doc_title string, doc_year int, text string")
+    log = tmp_path / "asked"
+    log.mkdir()
+    flag = tmp_path / "broken"
+
+    def client(text):
+        import uuid
+
+        if "text 013" in text and flag.exists():
+            raise RuntimeError("the client itself is broken")
+        (log / uuid.uuid4().hex).write_text(text)
+        return bindings.echo_client(text)
+
+    flag.write_text("")
+    path = str(tmp_path / "cache")
+    run = lambda: providers.classify_chunks(spark, chunks, path, client, retries=1, pause=0.0, workers=2, commit_rows=6)
+    with pytest.raises(Exception, match="broken"):
+        run()
+    flag.unlink()
+    held = providers.cached(spark, path).count()
+    first = len(list(log.iterdir()))
+    assert 0 < held < 61 * 5
+    out = run()
+    rows = out.collect()
+    assert len(rows) == 62 * 5 and {r["strategy"] for r in rows} == set(bindings.CUES.strategies)
+    # what was cached, parsed or not, is not asked again: all that parse are asked once, and one lot twice at most
+    again = len(list(log.iterdir())) - first
+    assert again <= 61 * 5 - held
+    parsed = [p.read_text() for p in log.iterdir()]
+    assert {t for t in parsed} == {r["prompt"] for r in providers.strategy_prompts(chunks).select("prompt").distinct().collect()}
+    keys = providers.strategy_prompts(chunks).groupBy("prompt").agg(F.count_distinct("prompt_sha").alias("n"), F.first("prompt_sha").alias("k"))
+    assert keys.where("n > 1").count() == 0 and keys.select("k").distinct().count() == keys.count() == 61 * 5
+    before = len(list(log.iterdir()))
+    run().collect()
+    errors = len({r["prompt_sha"] for r in rows if r["error"]})
+    assert len(list(log.iterdir())) - before == errors
