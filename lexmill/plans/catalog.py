@@ -263,9 +263,17 @@ def centrality_fill(s, d):
     return graph.centrality_fill(graph.degrees(graph.edge_weights(b.frames(s, d))), ERA_ORDER, "total_degree")
 
 
+def supply(s, d):
+    """Suppliers linked to the parts they ship, by return flag: hubs that are not linked to each other share neighbours."""
+    rows = b.table(s, d, "lineitem").select(
+        F.col("l_returnflag").alias("era"), F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")
+    )
+    return written(s, rows.groupBy("era", "src", "dst").agg(F.count(F.lit(1)).alias("weight")), "supply")
+
+
 @query
 def bridge_nodes(s, d):
-    edges = b.edges_once(s, d)
+    edges = supply(s, d)
     return graph.bridges(edges, graph.degrees(edges))
 
 
@@ -317,7 +325,10 @@ def clean_lines(s, d):
     lines = cleaning.lines_of(b.table(s, d, "documents"))
     lines = cleaning.drop_contents(cleaning.drop_boilerplate(lines, ["The\\s", "Copyright"]), 1)
     lines = cleaning.drop_publisher_tail(lines, ("[A-Z][a-z]+\\.\\s*$",))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.md5(text).alias("text_md5")
+    )
 
 
 @query
@@ -341,7 +352,8 @@ def hyphen_rejoin(s, d):
 @query
 def sections(s, d):
     lines = cleaning.lines_of(b.table(s, d, "documents"))
-    return chunking.sections(lines, "[A-Z][a-z]{1,3}\\s").select("doc_id", "section_seq", "section_id", "section_title", "start_line", "end_line")
+    found = chunking.sections(lines, "[A-Z][a-z]{1,3}\\s").withColumn("text_md5", F.md5("text"))
+    return found.select("doc_id", "section_seq", "section_id", "section_title", "start_line", "end_line", "text_md5")
 
 
 @query

@@ -338,7 +338,8 @@ SELECT doc_year, {", ".join(f"coalesce(arg_min(prevalence, doc_title) FILTER (st
         "emerging_edges_chronological": emerging(list(ERAS), True),
         "centrality_fill": f"""WITH {edges(1)} SELECT n.node, v.era, coalesce(dg.total_degree, 0) AS total_degree FROM (SELECT DISTINCT node FROM dg) n
 CROSS JOIN (VALUES {", ".join(f"('{e}')" for e in ERAS)}) v(era) LEFT JOIN dg ON dg.node = n.node AND dg.era = v.era""",
-        "bridge_nodes": f"""WITH {edges(1)}, tp AS (SELECT era, node FROM (SELECT *, row_number() OVER (PARTITION BY era ORDER BY total_degree DESC, node) AS k FROM dg) WHERE k <= 15),
+        "bridge_nodes": f"""WITH e AS (SELECT l_returnflag AS era, 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL),
+dg AS (SELECT era, node, CAST(sum(w) AS BIGINT) AS total_degree FROM (SELECT era, src AS node, weight AS w FROM e UNION ALL SELECT era, dst, weight FROM e) GROUP BY ALL), tp AS (SELECT era, node FROM (SELECT *, row_number() OVER (PARTITION BY era ORDER BY total_degree DESC, node) AS k FROM dg) WHERE k <= 15),
 bo AS (SELECT era, src AS x, dst AS y FROM e UNION SELECT era, dst, src FROM e),
 nr AS (SELECT bo.* FROM bo JOIN tp ON tp.era = bo.era AND tp.node = bo.x WHERE NOT EXISTS (SELECT 1 FROM tp z WHERE z.era = bo.era AND z.node = bo.y)),
 pa AS (SELECT l.era, l.x AS a, r.x AS b, l.y FROM nr l JOIN nr r ON l.era = r.era AND l.y = r.y AND l.x < r.x
@@ -352,7 +353,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FR
 t AS (SELECT *, k - 2 AS place, count(*) OVER (PARTITION BY doc_id) AS n, trim(line, {BLANKS}) AS tl FROM s),
 h AS (SELECT *, coalesce(min(CASE WHEN regexp_matches(tl, '^[A-Z][a-z]+\\.\\s*$') AND place > greatest(n - 40, 0) THEN place END) OVER (PARTITION BY doc_id), n) AS cut FROM t),
 z AS (SELECT *, max(CASE WHEN tl <> '' AND place < cut THEN place END) OVER (PARTITION BY doc_id) AS last FROM h)
-SELECT doc_id, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line FROM z WHERE cut >= n OR place <= coalesce(last, -1) GROUP BY doc_id""",
+SELECT doc_id, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM z WHERE cut >= n OR place <= coalesce(last, -1) GROUP BY doc_id""",
         "blank_collapse": f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '([.]) ', '\\1' || chr(10) || chr(10) || chr(10), 'g'), '[ \\t\\r\\f\\v]+(\\n)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {BLANKS})) AS text_md5 FROM documents""",
         "ocr_fix": "SELECT doc_id, md5(" + "replace(" * len(OCR_PAIRS) + "replace(text, 'that', 'tbat')" + "".join(f", '{a}', '{b}')" for a, b in OCR_PAIRS.items()) + ") AS text_md5 FROM documents",
         "hyphen_rejoin": """SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '(th)([a-z])', '\\1-' || chr(10) || '\\2', 'g'), '-\\n([a-z])', '\\1', 'g') AS t FROM documents)""",
@@ -363,8 +364,8 @@ o AS (SELECT *, hit OR (t <> '' AND coalesce(max(CASE WHEN hit OR t <> '' THEN 1
 q AS (SELECT *, CAST(sum(CASE WHEN op THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section_seq,
   CASE WHEN hit THEN coalesce(nullif(trim(substr(t, length(mark) + 1), {BLANKS}), ''), nullif(nx, ''), mark) ELSE 'Preamble' END AS ti FROM o)
 SELECT doc_id, section_seq, max(CASE WHEN op THEN CASE WHEN hit THEN mark ELSE 'preamble' END END) AS section_id, max(CASE WHEN op THEN substr(ti, 1, 100) END) AS section_title,
-  min(line_no) AS start_line, max(line_no) AS end_line FROM q WHERE section_seq > 0 GROUP BY ALL
-UNION ALL SELECT doc_id, 1, 'full', 'Full Document', 0, max(line_no) FROM s GROUP BY doc_id HAVING max(length(t)) = 0""",
+  min(line_no) AS start_line, max(line_no) AS end_line, md5(trim(string_agg(line, chr(10) ORDER BY line_no), {BLANKS})) AS text_md5 FROM q WHERE section_seq > 0 GROUP BY ALL
+UNION ALL SELECT doc_id, 1, 'full', 'Full Document', 0, max(line_no), md5('') FROM s GROUP BY doc_id HAVING max(length(t)) = 0""",
         "corpus_summary": f"""WITH {CHUNKS}, x AS (SELECT doc_title, len(regexp_extract_all(text, '[A-Za-z]+')) AS k FROM c)
 SELECT doc_title, count(*) AS chunks, CAST(sum(k) AS BIGINT) AS tokens, {ratio("sum(k)", "count(*)", "0.0")} AS avg_tokens FROM x GROUP BY doc_title""",
         "prompt_hash": f"WITH {CHUNKS} SELECT chunk_id, sha256('[' || doc_title || '] ' || text) AS prompt_sha FROM c",

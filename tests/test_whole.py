@@ -38,8 +38,13 @@ def test_networks_hold_every_edge(spark, sf_dir):
         known = {(a, b) for era, a, b in edges if era == first}
         got = rows(spark, sf_dir, name)
         assert {(r["src"], r["dst"]) for r in got} == {(a, b) for era, a, b in edges if era in order and era != first and (a, b) not in known}
-    pairs = {(e, a, b) for e, a, b in edges} | {(e, b, a) for e, a, b in edges}
+
+
+def test_bridges_join_hubs_that_are_not_linked(spark, sf_dir):
+    pairs = {(r["l_returnflag"], f"S{r['l_suppkey']}", f"P{r['l_partkey']}") for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()}
+    pairs |= {(e, b, a) for e, a, b in pairs}
     bridges = rows(spark, sf_dir, "bridge_nodes")
+    assert len(bridges) > 50
     assert all((r["era"], r["a"], r["b"]) not in pairs and {(r["era"], r["a"], r["bridge"]), (r["era"], r["bridge"], r["b"])} <= pairs for r in bridges)
 
 
