@@ -94,3 +94,19 @@ def test_very_deep_and_very_long_pages(spark):
     assert [t.count("\n") for t in texts(spark, [("a.b", p) for p in long])] == [119_999, 119_999]
     assert wrapper.main_text("<b>" * 50_000 + "</i>" * 50_000 + "x") == "x"
     assert wrapper.main_text("<p>" + "x " * 25_000_000 + "</p>") == " ".join(["x"] * 25_000_000)
+
+
+def test_constant_lines_of_an_article_stay(spark):
+    import random
+
+    rng = random.Random(2)
+    story = lambda: " ".join(rng.choice(["river", "stone", "board", "light", "paper", "north"]) + str(rng.randrange(99)) for _ in range(30))
+    pages, want = [], {}
+    for i in range(12):
+        body = story()
+        html = f"<body><div>Our site</div><article><h1>t{i}</h1><p class=byline>By our staff</p><p>{body}</p><p>Read more tomorrow</p></article><p>Read more tomorrow</p></body>"
+        pages.append((i, f"http://news.example/{i}", html))
+        want[i] = f"t{i}\nBy our staff\n{body}"
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    # the byline stands in articles alone; the last line is repeated below them, so it is the host's
+    assert {i: t.split("\nRead more")[0] for i, t in got.items()} == want
