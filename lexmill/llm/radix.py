@@ -31,12 +31,13 @@ def cut(x: Column, at: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(x, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1)).cast("int")
 
 
-def celled(rows: DataFrame, key: str, content: str, number: str, group: list[str]) -> tuple[DataFrame, list[str]]:
+def celled(rows: DataFrame, key: str, content: str, number: str, group: list[str], least_bit: int = 28) -> tuple[DataFrame, list[str]]:
     """rows with the digit columns of their cell, and the names of these.
 
     `content` is a 64-bit hash of the row, `number` its own number (both without nulls);
-    `group` are columns without nulls that are ranked apart. rows are read a few
-    times over, so they should come from a written table.
+    `group` are columns without nulls that are ranked apart. Rows of equal key are told
+    apart by content's bits from least_bit on (0 where its order matters), then by number.
+    rows are read a few times over, so they should come from a written table.
     """
     n, filled, lo, hi = rows.agg(F.count(F.lit(1)), F.count(key), F.min(key), F.max(key)).first()
     bits = ((lo ^ hi) & (1 << 64) - 1).bit_length() if filled else 0
@@ -49,7 +50,7 @@ def celled(rows: DataFrame, key: str, content: str, number: str, group: list[str
     crowded = rows.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIMIT).select(*group, *names, F.lit(True).alias("_crowded"))
     if crowded.isEmpty():
         return rows, names
-    deep = [cut(k, at) for at in digits(0, low, DEEP)] + [cut(F.col(content), at) for at in digits(28, 36, DEEP)] + [cut(F.xxhash64(number), (0, DEEP))]
+    deep = [cut(k, at) for at in digits(0, low, DEEP)] + [cut(F.col(content), at) for at in digits(least_bit, 64 - least_bit, DEEP)] + [cut(F.xxhash64(number), (0, DEEP))]
     more = [f"_d{len(names) + i}" for i in range(len(deep))]
     rows = rows.join(crowded, [*group, *names], "left")
     return rows.withColumns({m: F.when(F.col("_crowded"), x).otherwise(F.lit(0)) for m, x in zip(more, deep, strict=True)}).drop("_crowded"), names + more
@@ -74,11 +75,11 @@ def before(rows: DataFrame, group: list[str], names: list[str], weights: dict[st
     return out
 
 
-def ranked(rows: DataFrame, key: str, content: str, number: str, group: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, key: str, content: str, number: str, group: list[str], least_bit: int = 28) -> DataFrame:
     """rows with `rank`, from 0 in each group, by key, then content, then number."""
-    rows, names = celled(rows, key, content, number, group)
+    rows, names = celled(rows, key, content, number, group, least_bit)
     at = before(rows, group, names, {"_before": F.lit(1).cast("long")})
-    order = (F.col(key).asc_nulls_first(), F.shiftrightunsigned(content, 28), F.xxhash64(number).bitwiseAND(F.lit((1 << DEEP) - 1)), content, number)
+    order = (F.col(key).asc_nulls_first(), F.shiftrightunsigned(content, least_bit), F.xxhash64(number).bitwiseAND(F.lit((1 << DEEP) - 1)), content, number)
     inside = Window.partitionBy(*group, *names).orderBy(*order)
     # window and join share one shuffle by cell
     rows = rows.withColumn("_in", F.row_number().over(inside)).join(at, [*group, *names])

@@ -7,7 +7,8 @@ p div S, so shard sizes differ by one row at most, slots have no gaps, and both
 are computable from a row number alone (``place``).
 
 Nulls: a null key sorts first; a null text has no bytes. Rows with equal keys are
-ordered by size, then checksum, and keep their own numbers. Empty input gives an
+ordered by size, then checksum, and keep their own numbers; ranks come from digit
+histograms (``radix``), so a hot key or many null keys are not in one task. Empty input gives an
 empty result. Extra columns are ignored.
 """
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import bucket_of, order_bounds, utf8_len
+from lexmill.llm import radix
+from lexmill.llm.common import bucket_of, materialize, order_bounds, prepare, utf8_len
 
 PRIME = 2147483647
 #: (multiplier, increment) of each round; any integers below PRIME do.
@@ -90,13 +92,18 @@ def numbered(rows: DataFrame, key: str, ties: list[str], rows_per_bucket: int =
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
+    prepare(docs.sparkSession)
     narrow = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         (utf8_len(F.col(text)) + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    rows, n = numbered(narrow, "doc_id", ["size", "text_crc32"])
-    return rows.withColumn("_p", permuted("row", n, seed)).select(
+    # rows of equal id, size and checksum may change places, so a hot id is dealt to many cells by size, checksum and place
+    ties = F.shiftleft(F.col("size"), 32).bitwiseOR(F.col("text_crc32"))
+    rows = materialize(docs.sparkSession, narrow.withColumns({"ties": ties, "place": F.monotonically_increasing_id()}), "numbered")
+    n = rows.count()
+    rows = radix.ranked(rows, "doc_id", "ties", "place", [], 0)
+    return rows.withColumn("_p", permuted("rank", n, seed)).select(
         "doc_id",
         "size",
         "text_crc32",

@@ -322,3 +322,15 @@ def test_pruning_leaves_most_vectors_uncompared():
     for q, j in zip(nodes, owner, strict=True):
         assert (near[tree.order[tree.first[q] : tree.end[q]]] == j).all()
     assert (near[points] == point_owner).all()
+
+
+def test_shards_of_a_hot_id(spark, monkeypatch):
+    from lexmill.llm import sharding
+
+    monkeypatch.setattr(radix, "LIMIT", 16)
+    rows = [(None, f"t{i % 150}" * (1 + i % 3)) for i in range(400)] + [(None, "same")] * 200 + [(i, "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard(df, 8, 5).collect()
+    order = sorted(((i is not None, i or 0, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows))
+    want = collections.Counter((k[1] if k[0] else None, k[2], k[3], *sharding.place(n, len(rows), 8, 5)) for n, k in enumerate(order))
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
