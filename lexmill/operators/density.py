@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators.graph import components
 from lexmill.operators.neighbours import neighbours, points
-from lexmill.storage import written
+from lexmill.storage import discard, written
 
 #: Edges that one task takes a spanning forest of.
 FOREST_EDGES = 1 << 18
@@ -174,7 +174,8 @@ def chosen(spark: SparkSession, tree: DataFrame, n: int) -> DataFrame:
             parts = here.join(sums, ["top", "name"], "left").na.fill(0.0, ["parts"])
         takes = (F.col("own") >= F.col("parts")) & ~F.col("root")
         step = parts.withColumn("takes", takes).withColumn("best", F.when(F.col("takes"), F.col("own")).otherwise(F.col("parts"))).drop("parts")
-        best = written(spark, step if best is None else best.unionByName(step), "best")
+        last, best = best, written(spark, step if best is None else best.unionByName(step), "best")
+        discard(spark, last)
     if best is None:
         return tree.select("top", "name", "size").limit(0)
     # those below a cluster that is taken go: names of taken ones wander down the tree
@@ -205,6 +206,8 @@ def density_clusters(
     place = F.row_number().over(Window.orderBy(F.col("size").desc(), F.col("name").cast("long"), "top")) - 1  # one row a cluster
     named = picked.select(F.col("top").alias("level"), F.col("name").alias("component"), place.alias("topic_id"))
     labels = found.join(named, ["level", "component"]).select(F.col("node").cast("long").alias("point"), "topic_id")
+    labels = written(spark, labels, "topics")
+    discard(spark, near, edges, found)
     by_vector = pts.join(labels, "point").select(F.col("v").alias("_v"), "topic_id")
     rows = vectors.select(key, F.col(vector).cast("array<double>").alias("_v"))
     return rows.join(by_vector, "_v", "left").select(key, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"))

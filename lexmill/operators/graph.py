@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import ratio
-from lexmill.storage import written
+from lexmill.storage import discard, written
 
 
 def edge_weights(frames: DataFrame, least: int = 1, by: tuple[str, ...] = ("era",)) -> DataFrame:
@@ -63,7 +63,7 @@ def pagerank(
     size = nodes.groupBy(*at).agg(F.count(F.lit(1)).alias("size"))
     out = edges.groupBy(*at, F.col("src").alias("node")).agg(F.sum("weight").alias("out"))
     base = written(spark, nodes.join(size, at).join(out, [*at, "node"], "left"), "nodes")
-    ranks = base.withColumn("rank", 1.0 / F.col("size"))
+    ranks, held = base.withColumn("rank", 1.0 / F.col("size")), None
     for step in range(1, steps + 1):
         before = ranks.select(*at, "node", F.col("rank").alias("_before"))
         lost = ranks.groupBy(*at).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
@@ -76,7 +76,9 @@ def pagerank(
         if step % every == 0 and step < steps:
             if tolerance is not None:  # the change of the last step comes with the ranks
                 ranks = ranks.join(before, [*at, "node"])
-            ranks = written(spark, ranks, "ranks")
+            last, held = held, written(spark, ranks, "ranks")
+            discard(spark, last)
+            ranks = held
             if tolerance is not None:
                 moved = ranks.groupBy(*at).agg((F.sum(F.abs(F.col("rank") - F.col("_before"))) / F.first("size")).alias("moved"))
                 if not moved.where(F.col("moved") >= tolerance).limit(1).count():
@@ -95,7 +97,7 @@ def components(spark: SparkSession, edges: DataFrame, by: tuple[str, ...] = ("er
     pairs = edges.select(*at, F.col("src").alias("a"), F.col("dst").alias("b"))
     pairs = written(spark, pairs.unionByName(pairs.select(*at, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     labels = pairs.groupBy(*at, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = written(spark, labels, "labels")
+    table = labels = written(spark, labels, "labels")
     while True:
         near = pairs.join(labels.withColumnRenamed("node", "a"), [*at, "a"]).select(*at, F.col("b").alias("node"), "label", F.lit(None).cast("string").alias("old"))
         ahead = labels.select(*at, F.col("node").alias("label"), F.col("label").alias("_far"))
@@ -104,8 +106,10 @@ def components(spark: SparkSession, edges: DataFrame, by: tuple[str, ...] = ("er
         new = own.unionByName(near).unionByName(far).groupBy(*at, "node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         new = written(spark, new, "labels")
         done = new.where("label < old").limit(1).count() == 0
-        labels = new.drop("old")
+        discard(spark, table)
+        table, labels = new, new.drop("old")
         if done:
+            discard(spark, pairs)
             return labels.withColumnRenamed("label", "component")
 
 

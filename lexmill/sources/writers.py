@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,25 +41,58 @@ def file_name(era: Column) -> Column:
     return F.regexp_replace(F.replace(era, F.lit(" "), F.lit("_")), "[()]", "")
 
 
+def escaped(c: Column) -> Column:
+    """Text for XML content and for attributes in double quotes; null is empty."""
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        c = F.replace(c, F.lit(plain), F.lit(safe))
+    return c
+
+
+GRAPHML_HEAD = (
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="w" for="edge" attr.name="weight" attr.type="double"/>'
+    '<key id="r" for="edge" attr.name="relations" attr.type="string"/>'
+)
+GRAPHML_OPEN, GRAPHML_CLOSE = '<graph edgedefault="directed">', "</graph></graphml>"
+
+
+def edge_line(src: Column, dst: Column, weight: Column, relations: Column) -> Column:
+    return F.concat(
+        F.lit('<edge source="'), escaped(src), F.lit('" target="'), escaped(dst), F.lit('"><data key="w">'), F.coalesce(weight.cast("string"), F.lit("1")),
+        F.lit('</data><data key="r">'), escaped(relations), F.lit("</data></edge>"),
+    )
+
+
 def graphml(edges: DataFrame) -> DataFrame:
-    """(file, content): a GraphML document for each era, built where the era's edges are gathered."""
-    name = file_name(F.col("era"))
+    """(file, content): a GraphML document for each era as one value; for small networks (see graphml_files)."""
     ordered = F.array_sort(F.collect_list(F.struct("src", "dst", "weight", "relations")))
-    attribute = F.udf(quoteattr, "string")
-    rows = edges.select(
-        "era", attribute("src").alias("src"), attribute("dst").alias("dst"), F.col("weight").cast("string").alias("weight"),
-        "relations",
-    )
-    edge = lambda e: F.concat(
-        F.lit("<edge source="), e["src"], F.lit(" target="), e["dst"], F.lit('><data key="w">'), e["weight"], F.lit('</data><data key="r">'),
-        e["relations"], F.lit("</data></edge>"),
-    )
-    head = (
-        '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="w" for="edge" attr.name="weight" attr.type="double"/>'
-        '<key id="r" for="edge" attr.name="relations" attr.type="string"/><graph edgedefault="directed">'
-    )
-    body = F.array_join(F.transform(ordered, edge), "")
-    return rows.groupBy(name.alias("file")).agg(F.concat(F.lit(head), body, F.lit("</graph></graphml>")).alias("content"))
+    body = F.array_join(F.transform(ordered, lambda e: edge_line(e["src"], e["dst"], e["weight"], e["relations"])), "")
+    return edges.groupBy(file_name(F.col("era")).alias("file")).agg(F.concat(F.lit(GRAPHML_HEAD + GRAPHML_OPEN), body, F.lit(GRAPHML_CLOSE)).alias("content"))
+
+
+def graphml_files(edges: DataFrame, path: str, nodes: DataFrame | None = None) -> None:
+    """A GraphML file for each era, in a folder named by it: path/file=NAME/part-....
+
+    edges: era, src, dst, weight, relations. nodes: era, node, and columns that become the
+    node's data, named alike; without them nodes are those of edges. Lines are sorted and
+    streamed by one task a file, so no network is held in memory.
+    """
+    name = file_name(F.col("era")).alias("file")
+    if nodes is None:
+        nodes = edges.select("era", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    extra = [c for c in nodes.columns if c not in ("era", "node")]
+    kind = {"bigint": "long", "int": "int", "double": "double", "float": "float", "boolean": "boolean"}
+    keys = "".join(f'<key id="n{i}" for="node" attr.name="{escape(c)}" attr.type="{kind.get(dict(nodes.dtypes)[c], "string")}"/>' for i, c in enumerate(extra))
+    data = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="n{i}">'), escaped(F.col(c)), F.lit("</data>"))) for i, c in enumerate(extra)]
+    row = lambda place, first, second, line: [F.lit(place).alias("place"), first.alias("first"), second.alias("second"), line.alias("line")]
+    none = F.lit("")
+    eras = edges.select("era").unionByName(nodes.select("era")).distinct()
+    lines = eras.select(name, *row(0, none, none, F.lit(GRAPHML_HEAD + keys + GRAPHML_OPEN)))
+    lines = lines.unionByName(eras.select(name, *row(3, none, none, F.lit(GRAPHML_CLOSE))))
+    node = F.concat(F.lit('<node id="'), escaped(F.col("node")), F.lit('">'), F.concat_ws("", *data), F.lit("</node>"))
+    lines = lines.unionByName(nodes.select(name, *row(1, F.col("node"), none, node)))
+    lines = lines.unionByName(edges.select(name, *row(2, F.col("src"), F.col("dst"), edge_line(*(F.col(c) for c in ("src", "dst", "weight", "relations"))))))
+    lines.repartition("file").sortWithinPartitions("file", "place", "first", "second").select("file", "line").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def nested_json(df: DataFrame, keys: list[str], value: str) -> str:

@@ -25,7 +25,18 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again."""
     path = f"{scratch_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete tables made by written() that no later plan reads; other frames are left alone."""
+    for df in tables:
+        name = getattr(df, "_lexmill_path", None)
+        if name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
