@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.dims import MAX_CHUNK_TOKENS, OVERLAP_TOKENS, PREFIX_TOKENS
 from lexmill.functions.text import sentences, strip, words
+from lexmill.storage import ship, written
 
 BUDGET = MAX_CHUNK_TOKENS - PREFIX_TOKENS
 
@@ -104,28 +105,32 @@ def chunk_texts(parts: list[tuple[str, int]], most: int, overlap: int, count) ->
     return out + [" ".join(s for s, _ in p) for p in pack(run, most, overlap)]
 
 
-def chunk_sections(found: DataFrame, most: int = BUDGET, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+def chunk_sections(found: DataFrame, most: int = BUDGET, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] | None = None) -> DataFrame:
     """(doc_id, section_seq, section_id, chunk_no, text, token_count); a section within the budget stays whole.
 
     A section is a row, so chunks are cut row by row in Arrow batches without a shuffle.
+    count: tokens of a text, such as subwords.counter() of a vocabulary; words and
+    punctuation marks without it, whose first counts stay in expressions.
     """
     kind = found.schema["doc_id"].dataType.simpleString()
-    staged = found.withColumn("_whole", token_count(F.col("text"))).withColumn(
-        "_parts", F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("s"), token_count(s).alias("n")))
+    counted = (lambda c: F.lit(0)) if count is not None else token_count
+    staged = found.withColumn("_whole", counted(F.col("text"))).withColumn(
+        "_parts", F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("s"), counted(s).alias("n")))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
         token = re.compile(r"\w+|[^\w\s]")
+        tokens = count or (lambda t: len(token.findall(t)))
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                if r[4] <= most:
+                if (r[4] if count is None else count(r[3])) <= most:
                     texts = [r[3]]
                 else:
-                    texts = chunk_texts([(p["s"], p["n"]) for p in r[5]], most, overlap, lambda w: len(token.findall(w)))
-                rows += [(r[0], r[1], r[2], i, t, len(token.findall(t))) for i, t in enumerate(texts)]
+                    texts = chunk_texts([(p["s"], p["n"] if count is None else count(p["s"])) for p in r[5]], most, overlap, tokens)
+                rows += [(r[0], r[1], r[2], i, t, tokens(t)) for i, t in enumerate(texts)]
             yield pd.DataFrame(rows, columns=["doc_id", "section_seq", "section_id", "chunk_no", "text", "token_count"])
 
     staged = staged.select("doc_id", "section_seq", "section_id", "text", "_whole", "_parts")
@@ -199,3 +204,49 @@ def sections_at(lines: DataFrame, boundaries: DataFrame) -> DataFrame:
         F.max("line_no").alias("end_line"),
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"),
     )
+
+
+def reply_boundaries(replies: DataFrame) -> DataFrame:
+    """(doc_id, line_no, section_id, title) that a detector names in its replies (doc_id, reply): JSON objects, one a line; other lines are passed over."""
+    line = replies.select("doc_id", F.explode(F.split("reply", "\n")).alias("_l")).withColumn("_l", strip(F.col("_l"))).where(F.col("_l").startswith("{"))
+    found = line.select("doc_id", F.from_json("_l", "line_num string, section_id string, title string").alias("b"))
+    number = F.col("b.line_num").try_cast("double").try_cast("int")
+    return found.where(number.isNotNull()).select("doc_id", number.alias("line_no"), F.col("b.section_id").alias("section_id"), F.col("b.title").alias("title"))
+
+
+def detected_sections(spark: SparkSession, lines: DataFrame, detector: Callable[[str], str | None], pattern: str, size: int = 60, apart: int = 3) -> DataFrame:
+    """Sections as sections() gives them, at the boundaries that a detector finds in windows of `size` numbered lines.
+
+    The detector is asked once for each window, in the tasks that hold them; its replies
+    are written. A document goes by the pattern instead if the detector fails on one of
+    its windows (raises, or answers null) or finds no boundary in any.
+    """
+    ship(spark)
+    kind = lines.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            replies = []
+            for text in batch["text"]:
+                try:
+                    replies.append(detector(text))
+                except Exception:  # noqa: BLE001  a failure sends the document to the patterns
+                    replies.append(None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "reply": pd.Series(replies, dtype=object, index=batch.index)})
+
+    replies = written(spark, window_texts(lines, size).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, reply string"), "replies")
+    found = reply_boundaries(replies).join(replies.where("reply is null").select("doc_id").distinct(), "doc_id", "left_anti")
+    last = lines.groupBy("doc_id").agg(F.max("line_no").alias("_last"))
+    found = found.join(last, "doc_id").where("line_no between 0 and _last").drop("_last")
+    # the first of several on one line; names of their own travel as the kept boundary's title
+    named = F.to_json(F.struct(F.col("section_id").alias("i"), F.col("title").alias("t")))
+    first = found.groupBy("doc_id", "line_no").agg(F.min(named).alias("title"))
+    kept = written(spark, kept_boundaries(first, apart), "boundaries")
+    at = sections_at(lines, kept).withColumn("_n", F.from_json("section_id", "i string, t string")).withColumn("text", strip(F.col("text")))
+    number = F.col("section_seq").cast("string")
+    at = at.where("text != ''").select(
+        "doc_id", "section_seq", F.coalesce("_n.i", F.concat(F.lit("sec_"), number)).alias("section_id"),
+        F.coalesce("_n.t", F.concat(F.lit("Section "), number)).alias("section_title"), "start_line", "end_line", "text",
+    )
+    rest = lines.join(kept.select("doc_id").distinct(), "doc_id", "left_anti")
+    return at.unionByName(sections(rest, pattern))

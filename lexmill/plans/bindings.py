@@ -6,6 +6,8 @@ that occur in it; years are dealt to sources by their number.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -100,6 +102,15 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, rows, "triples")
 
 
+def short_lines(window: str) -> str:
+    """Stands for a detector of sections: lines of up to twelve characters begin one. It fails on windows whose length ends in 7."""
+    if len(window) % 10 == 7:
+        raise TimeoutError("no answer")
+    rows = [line.split(": ", 1) for line in window.split("\n") if ": " in line]
+    found = [{"line_num": int(n), "section_id": f"s{n}", "title": t} for n, t in rows if n.isdigit() and 0 < len(t) <= 12]
+    return "Here they are:\n" + "\n".join(json.dumps(b) for b in found)
+
+
 def echo_client(prompt: str) -> str:
     """Stands for a model: by the length of the text its reply is whole, fenced, cut off, or no answer at all."""
     name = prompt.split('"strategy_name": "')[-1].split('"')[0]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.dims import ERAS, OCR_PAIRS, STRATEGIES, era_table, strategy_table
 from lexmill.functions import text as ft
-from lexmill.operators import chunking, cleaning, density, discourse, frames, graph, plots, providers, topics
+from lexmill.operators import chunking, cleaning, density, discourse, frames, graph, layout, plots, providers, topics
 from lexmill.plans import bindings as b
 from lexmill.plans import oracle
 from lexmill.storage import scratch_dir, ship, written
@@ -574,6 +574,29 @@ def streamgraph(s, d):
     return plots.streamgraph(counts, list(b.YEARS), [f"topos_of_{t}" for t in b.CUES.topoi]).select("doc_year", "topos", "proportion")
 
 
+@query
+def streamgraph_layers(s, d):
+    """The streamgraph's smooth layers with their lowest line."""
+    counts = written(s, discourse.topos_counts(b.classified(s, d), ["doc_year"]), "counts")
+    names = [f"topos_of_{t}" for t in b.CUES.topoi]
+    shares = plots.streamgraph(counts, list(b.YEARS), names).select("doc_year", "topos", "proportion")
+    totals = shares.select("topos").distinct().join(counts.groupBy("topos").agg(F.sum("n").alias("n")), "topos", "left").na.fill(0, ["n"])
+    return plots.smooth_streamgraph(shares, totals)
+
+
+@query
+def detected_sections(s, d):
+    """Sections from a detector of windows that marks short first lines, and fails on windows of a certain length."""
+    lines = cleaning.lines_of(b.table(s, d, "documents"))
+    found = chunking.detected_sections(s, lines, b.short_lines, "[A-Z][a-z]{1,3}\\s").withColumn("text_md5", F.md5("text"))
+    return found.select("doc_id", "section_seq", "section_id", "section_title", "start_line", "end_line", "text_md5")
+
+
+@query
+def vector_layout(s, d):
+    return layout.layout(s, b.table(s, d, "embeddings"), epochs=20)
+
+
 @query
 def centrality_shift(s, d):
     values = graph.degrees(graph.edge_weights(b.frames(s, d)))
