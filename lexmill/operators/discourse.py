@@ -126,6 +126,33 @@ def strategy_profiles(classified: DataFrame, by: list[str] | None = None) -> Dat
     ).drop("_c", "_n")
 
 
+def measures(rows: DataFrame, part: str, name: str | None, columns: list[str]) -> DataFrame:
+    """(part, name, measure, value): the columns of each row below each other; name: a column, one name for all if None."""
+    named = rows.select((F.lit("all") if name is None else F.col(name)).alias("name"), *[F.col(c).cast("double").alias(c) for c in columns])
+    return named.unpivot("name", columns, "measure", "value").select(F.lit(part).alias("part"), "name", "measure", "value")
+
+
+def markedness_profile(mentions: DataFrame, classified: DataFrame) -> DataFrame:
+    """(part, name, measure, value): all measures of markedness in one table.
+
+    total: mentions and ratios of the whole corpus. predication: how often each language
+    is predicated, and the English share of that (0 without any). targeting: shares and
+    asymmetry of each strategy. density: protection density by document and language.
+    """
+    targets = targeting(classified)
+    counts = [F.coalesce(F.sum(F.when(F.col("language") == x, F.col("n"))), F.lit(0)).alias(f"{x.lower()}_count") for x in NAMED]
+    predicated = targets.where("strategy = 'predication'").agg(*counts)
+    every = sum((F.col(f"{x.lower()}_count") for x in NAMED[1:]), F.col(f"{NAMED[0].lower()}_count"))
+    predicated = predicated.withColumn("english_share", ratio(F.col("english_count"), every, 0.0))
+    density = protection_density(mentions, classified)
+    wide = density.groupBy("doc_title").agg(*[F.max(F.when(F.col("language") == x, F.col("density"))).alias(f"{x.lower()}_density") for x in NAMED])
+    low = [x.lower() for x in NAMED]
+    total = measures(markedness(mentions, []), "total", None, [*[f"{x}_mentions" for x in low], "markedness_ratio", "english_invisibility_index"])
+    out = total.unionByName(measures(predicated, "predication", None, [*[f"{x}_count" for x in low], "english_share"]))
+    out = out.unionByName(measures(asymmetry(targets), "targeting", "strategy", ["english_share", "minority_share", "asymmetry"]))
+    return out.unionByName(measures(wide, "density", "doc_title", [f"{x}_density" for x in low]))
+
+
 def document_info(chunks: DataFrame) -> DataFrame:
     """(doc_title, doc_year, jurisdiction, num_chunks): year and jurisdiction of each title's first chunk."""
     first = F.min_by(F.struct("doc_year", "jurisdiction"), "chunk_id").alias("_i")

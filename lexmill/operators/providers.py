@@ -368,6 +368,27 @@ def classify_chunks(
     return records(keys, cached(spark, path), failures)
 
 
+def encoded(chunks: DataFrame, encoder: Callable[[pa.Array], pa.Array], text: str = "text_with_prefix", key: str = "chunk_id") -> DataFrame:
+    """(chunk_id, embedding) from an encoder of batches of texts, an array of strings to an array of lists of floats.
+
+    The encoder is called on the workers, so a model is best loaded on its first call. Equal
+    texts of a batch are encoded once; a null text is the empty text. A batch of other length is an error.
+    """
+    ship(chunks.sparkSession)
+    kind = dict(chunks.dtypes)[key]
+    vector = pa.list_(pa.float32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = b.column(1).dictionary_encode()
+            found = encoder(asked.dictionary)
+            if len(found) != len(asked.dictionary):
+                raise ValueError(f"the encoder gave {len(found)} vectors for {len(asked.dictionary)} texts")
+            yield pa.RecordBatch.from_arrays([b.column(0), found.cast(vector).take(asked.indices)], ["chunk_id", "embedding"])
+
+    return chunks.select(F.col(key), F.coalesce(text, F.lit(""))).mapInArrow(run, f"chunk_id {kind}, embedding array<float>")
+
+
 def hashed_vectors(chunks: DataFrame, size: int = 768) -> DataFrame:
     """(chunk_id, embedding): unit-length hashed term counts, JVM-side."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer

@@ -73,6 +73,18 @@ def agency_weighted_era(s, d):
     return out.withColumn("agency_ratio", F.round("agency_ratio", 6))
 
 
+@query
+def agency_weighted_year(s, d):
+    out = frames.weighted_agency(b.frames(s, d), ["target_language", "doc_year"])
+    return out.withColumn("agency_ratio", F.round("agency_ratio", 6))
+
+
+@query
+def markedness_profile(s, d):
+    named = written(s, b.mentions(s, d).select("doc_title", "chunk_id", "language"), "mentions")
+    return discourse.markedness_profile(named, b.classified_once(s, d))
+
+
 @query
 def strategy_profiles(s, d):
     return discourse.strategy_profiles(b.classified(s, d))

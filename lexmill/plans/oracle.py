@@ -244,6 +244,8 @@ LEFT JOIN v ON v.target_term = g.target_term AND v.doc_year = g.doc_year AND v.k
   SELECT language AS target_language, CASE {" ".join(f"WHEN doc_year BETWEEN {lo} AND {hi} THEN '{e}'" for e, (lo, hi) in ERA_RANGES.items())} ELSE 'Unknown' END AS era_range,
     target_term, {AGENCY} AS a, count(*) AS k FROM f GROUP BY ALL)
 SELECT target_language, era_range, CAST(sum(k) AS BIGINT) AS n, round(sum(a * k) / sum(k), 6) AS agency_ratio FROM g GROUP BY ALL""",
+        "agency_weighted_year": f"""WITH {FRAMES}, g AS (SELECT language AS target_language, doc_year, target_term, {AGENCY} AS a, count(*) AS k FROM f GROUP BY ALL)
+SELECT target_language, doc_year, CAST(sum(k) AS BIGINT) AS n, round(sum(a * k) / sum(k), 6) AS agency_ratio FROM g GROUP BY ALL""",
         "strategy_profiles": f"""WITH {CLASSIFIED} SELECT doc_title, doc_year, strategy, count(*) FILTER (present) AS present_count, count(*) AS total_chunks,
   {ratio("count(*) FILTER (present)", "count(*)", "0.0")} AS prevalence,
   {ratio("coalesce(sum(CAST(round(confidence * 1000000) AS BIGINT)) FILTER (present), 0)", "count(*) FILTER (present) * 1000000", "0.0")} AS avg_confidence FROM cl GROUP BY ALL""",
@@ -451,4 +453,17 @@ SELECT doc_id, section_seq, max(CASE WHEN opens THEN substr(line, 1, 20) END) AS
     densities = ", ".join(f"coalesce(max(density) FILTER (language = '{x}'), 0.0) AS {x.lower()}_density" for x in ("English", "Gaelic", "Scots"))
     out["markedness_density"] = f"""SELECT m.*, english_density, gaelic_density, scots_density FROM ({out["markedness_by_doc"]}) m
 LEFT JOIN (SELECT doc_title, {densities} FROM ({out["protection_density"]}) GROUP BY doc_title) d USING (doc_title)"""
+
+    def part(name: str, label: str, source: str, columns: list[str]) -> str:
+        return " UNION ALL ".join(f"SELECT '{name}' AS part, {label} AS name, '{c}' AS measure, CAST({c} AS DOUBLE) AS value FROM {source}" for c in columns)
+
+    low = ("english", "gaelic", "scots")
+    counts = ", ".join(f"count(*) FILTER (language = '{x.capitalize()}') AS {x}_count" for x in low)
+    share = ratio("english_count", "(english_count + gaelic_count + scots_count)", "0.0")
+    out["markedness_profile"] = f"""WITH tt AS ({out["markedness_rollup"]}), ta AS ({out["targeting_asymmetry"]}), de AS (SELECT doc_title, {densities} FROM ({out["protection_density"]}) GROUP BY doc_title),
+pd AS (SELECT *, {share} AS english_share FROM (SELECT {counts} FROM (WITH {CLASSIFIED} SELECT unnest(langs) AS language FROM cl WHERE present AND strategy = 'predication')))
+{part("total", "'all'", "tt WHERE level = 'total'", [*[f"{x}_mentions" for x in low], "markedness_ratio", "english_invisibility_index"])}
+UNION ALL {part("predication", "'all'", "pd", [*[f"{x}_count" for x in low], "english_share"])}
+UNION ALL {part("targeting", "strategy", "ta", ["english_share", "minority_share", "asymmetry"])}
+UNION ALL {part("density", "doc_title", "de", [f"{x}_density" for x in low])}"""
     return out
