@@ -77,7 +77,8 @@ def layout(
         d2 = square(gaps)
         pull = F.when(d2 > 0, -2 * A * B * F.pow(d2, B - 1) / (1 + A * F.pow(d2, B))).otherwise(0.0)
         drawn = linked.groupBy(F.col("a").alias("point")).agg(*[F.sum(F.col("w") * held(pull * g)).alias(f"_{x}") for x, g in zip(axes, gaps, strict=True)])
-        others = F.array(*[F.struct(F.lit(r["point"]).alias("point"), *[F.lit(float(r[x])).alias(x) for x in axes]) for r in far])
+        # in a table of one row, not as literals, so that every epoch has the same plan and code
+        step = spark.createDataFrame([(float(rate), [(r["point"], *[float(r[x]) for x in axes]) for r in far])], f"rate double, others array<struct<point:long,{','.join(f'{x}:double' for x in axes)}>>")
 
         def pushed(o: Column) -> Column:
             gaps = [F.col(x) - o[x] for x in axes]
@@ -86,10 +87,10 @@ def layout(
             return F.struct(*[held(push * g).alias(x) for x, g in zip(axes, gaps, strict=True)])
 
         zero = F.struct(*[F.lit(0.0).alias(x) for x in axes])
-        away = F.aggregate(F.transform(others, pushed), zero, lambda s, p: F.struct(*[(s[x] + p[x]).alias(x) for x in axes]))  # noqa: B023
-        moved = here.join(drawn, "point", "left").withColumn("_away", away)
+        away = F.aggregate(F.transform("others", pushed), zero, lambda s, p: F.struct(*[(s[x] + p[x]).alias(x) for x in axes]))  # noqa: B023
+        moved = here.join(drawn, "point", "left").crossJoin(F.broadcast(step)).withColumn("_away", away)
         # moves are means over a point's links, so that points of many links don't overshoot
-        move = lambda x: rate * held(F.coalesce(F.col(f"_{x}"), F.lit(0.0)) / F.greatest("weight", F.lit(1.0)) + PUSHES * F.col("_away")[x] / len(far))  # noqa: B023, E731
+        move = lambda x: F.col("rate") * held(F.coalesce(F.col(f"_{x}"), F.lit(0.0)) / F.greatest("weight", F.lit(1.0)) + PUSHES * F.col("_away")[x] / F.size("others"))  # noqa: B023, E731
         last, here = here, written(spark, moved.select("point", "weight", *[(F.col(x) + move(x)).alias(x) for x in axes]), "places")
         discard(spark, last)
     discard(spark, edges, both)
