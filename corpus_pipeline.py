@@ -12,6 +12,13 @@ All stages but the last return the columns of documents.
    document is repeated once for each epoch that takes it.
 5. packing: the documents' words are packed into sequences of permitted lengths.
 
+Nulls: a null text is empty, a null id an id of its own; rows without words are no copies
+of anything, have no secrets and are never cut by mixing, and packing gives them no
+sequence. Labels of null ids or null marks are not learned from; without labels of both
+kinds nothing is rejected unless all are toxic. Repeated rows are copies, of which one
+stays. Extra columns, also of names that the operators use, are kept up to packing.
+An empty table gives an empty result at every stage. Texts are worked on whole.
+
 A factorization machine cannot be expressed in SQL, so there is no SQL for the
 whole; the stages are tested one by one against brute force.
 """
