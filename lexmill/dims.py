@@ -93,6 +93,8 @@ AMENDMENT_LINES = (
     r"Words in s\.\s+\d+.*(?:inserted|substituted|repealed).*by\s+",
     r"s\.\s+\d+.*(?:inserted|substituted|repealed|word).*by\s+\d{4}",
 )
+#: Notes that continue a block of amendments.
+AMENDMENT_NOTES = (r"F\d+\z", r"S\.S\.I\.\s+\d+", r"\d{4}/\d+,\s+reg\.")
 ROLE_PRIORITY = {"agent": 0, "patient": 1, "modifier": 2, "oblique": 3, "other": 4}
 MAX_CHUNK_TOKENS, OVERLAP_TOKENS, PREFIX_TOKENS = 384, 64, 40
 
@@ -110,14 +112,5 @@ def era_range_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e, i, lo, hi) for i, (e, (lo, hi)) in enumerate(ERA_RANGES.items())], "era string, era_ord int, lo int, hi int")
 
 
-def language_table(spark: SparkSession, mapping: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(list((mapping or LANGUAGES).items()), "variant string, language string")
-
-
 def strategy_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(STRATEGIES)), "strategy_ord int, strategy string")
-
-
-def taxonomy_table(spark: SparkSession) -> DataFrame:
-    rows = [(w, c, i) for i, (c, words) in enumerate(AGENT_TAXONOMY.items()) for w in words]
-    return spark.createDataFrame(rows, "pattern string, category string, category_ord int")

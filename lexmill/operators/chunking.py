@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.dims import MAX_CHUNK_TOKENS, OVERLAP_TOKENS, PREFIX_TOKENS
-from lexmill.functions.text import sentences, strip, words
+from lexmill.functions.text import sentences, strip
 from lexmill.storage import ship, written
 
 BUDGET = MAX_CHUNK_TOKENS - PREFIX_TOKENS
@@ -169,10 +169,6 @@ def assemble(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def word_total(text: Column) -> Column:
-    return F.size(words(text))
-
-
 def window_texts(lines: DataFrame, size: int = 60) -> DataFrame:
     """(doc_id, window, text): tumbling windows of lines, each line with its number, for a section detector."""
     rows = lines.withColumn("window", F.floor(F.col("line_no") / size))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.dims import AMENDMENT_LINES, AMENDMENT_OPENER, GOVERNMENT_HEADERS, GOVERNMENT_STARTS, PUBLISHER_LINES
+from lexmill.dims import AMENDMENT_LINES, AMENDMENT_NOTES, AMENDMENT_OPENER, GOVERNMENT_HEADERS, GOVERNMENT_STARTS, PUBLISHER_LINES
 from lexmill.functions.text import fix_ocr, normalize_space, rejoin_hyphens, strip
 
 TAIL_LINES = 40
@@ -74,7 +74,7 @@ def drop_amendments(lines: DataFrame) -> DataFrame:
     stripped = strip(F.col("line"))
     first = F.substring(stripped, 1, 1)
     lower_start = (stripped != "") & ~first.rlike("(?U)[\\p{Lu}\\d(]")
-    continues = any_match(stripped, AMENDMENT_LINES) | stripped.rlike("\\A(?:F\\d+\\z|S\\.S\\.I\\.\\s+\\d+|\\d{4}/\\d+,\\s+reg\\.)") | lower_start
+    continues = any_match(stripped, AMENDMENT_LINES) | any_match(stripped, AMENDMENT_NOTES) | lower_start
     opens = any_match(stripped, (AMENDMENT_OPENER,))
     upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     staged = lines.withColumns({"_opens": opens, "_goes": continues})

@@ -457,6 +457,17 @@ LEFT JOIN (SELECT doc_title, {densities} FROM ({out["protection_density"]}) GROU
     def part(name: str, label: str, source: str, columns: list[str]) -> str:
         return " UNION ALL ".join(f"SELECT '{name}' AS part, {label} AS name, '{c}' AS measure, CAST({c} AS DOUBLE) AS value FROM {source}" for c in columns)
 
+    stop = out["pos_stopwords"].replace("'ADV', 'PROPN')", "'ADV', 'PROPN', 'ADP', 'DET')")
+    out["plot_network"] = f"""WITH {edges(1)}, st AS ({stop}), kn AS (SELECT * FROM dg WHERE NOT regexp_matches(node, '^\\W*$') AND node NOT IN (SELECT lemma FROM st)),
+tp AS (SELECT era, node FROM (SELECT *, row_number() OVER (PARTITION BY era ORDER BY total_degree DESC, node) AS k FROM kn) WHERE k <= 15),
+bo AS (SELECT era, src AS x, dst AS y FROM e UNION SELECT era, dst, src FROM e),
+nr AS (SELECT bo.* FROM bo JOIN tp ON tp.era = bo.era AND tp.node = bo.x WHERE NOT EXISTS (SELECT 1 FROM tp z WHERE z.era = bo.era AND z.node = bo.y)),
+pa AS (SELECT l.era, l.x AS a, r.x AS b, l.y FROM nr l JOIN nr r ON l.era = r.era AND l.y = r.y AND l.x < r.x
+  WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.era = l.era AND bo.x = l.x AND bo.y = r.x)),
+br AS (SELECT era, a, b, bridge FROM (SELECT pa.era, a, b, pa.y AS bridge, row_number() OVER (PARTITION BY pa.era, a, b ORDER BY total_degree DESC, pa.y) AS k
+  FROM pa JOIN kn ON kn.era = pa.era AND kn.node = pa.y) WHERE k = 1)
+SELECT e.era, src, dst, weight, 'relation' AS kind FROM e JOIN tp a ON a.era = e.era AND a.node = src JOIN tp b ON b.era = e.era AND b.node = dst
+UNION ALL SELECT DISTINCT era, src, dst, CAST(0 AS BIGINT), 'bridge' FROM (SELECT era, a AS src, bridge AS dst FROM br UNION ALL SELECT era, b, bridge FROM br)"""
     low = ("english", "gaelic", "scots")
     counts = ", ".join(f"count(*) FILTER (language = '{x.capitalize()}') AS {x}_count" for x in low)
     share = ratio("english_count", "(english_count + gaelic_count + scots_count)", "0.0")
