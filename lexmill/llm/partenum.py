@@ -14,12 +14,17 @@ Only texts whose sets are different are joined: equal sets form a class, whateve
 the number of copies. A signature that very many sets share is dealt to parts, so
 that none is sorted in one task. Members are not paired with all others:
 
-1. Members are chained in two orders; neighbours in a chain are verified.
+1. Members are chained in two orders; each set is verified with those of its
+   neighbours that it shares most places of chains with, NEAREST in all.
 2. Verified links give components.
 3. Where a signature still has members of several components, the pairs between
    different components that were not verified yet are verified too, all of them,
    so that no link is lost; pairs inside a component can't change it.
 
+So a family of near copies gives step 1 a number of pairs in proportion to its members,
+whatever the number of signatures; step 3 forms its pairs inside a join whose condition
+holds two bitmaps, and only those that the bitmaps leave open become rows.
+
 Before whole shingle sets are compared, parity bitmaps rule pairs out: each feature
 flips one bit of its set's bitmap, so two bitmaps differ in no more bits than the
 sets in features, and a pair of more differing bits than similar sets may have in
@@ -39,7 +44,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import discard, materialize, prepare
@@ -108,8 +113,8 @@ def identities(grams: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(sums(mix(grams), cuts)).view(np.int64), mix(sums(mix(grams ^ SECOND), cuts)).view(np.int64)
 
 
-#: 64-bit words of a short bitmap, the same for all sizes, that is compared first.
-SHORT = 4
+#: 64-bit words of a short bitmap, the same for all sizes, that is compared first, and of a longer one that is compared next.
+SHORT, MIDDLE = 4, 16
 META = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -117,10 +122,11 @@ META = pa.schema(
         ("twin", pa.int64()),
         ("n_shingles", pa.int64()),
         *((f"q{i}", pa.int64()) for i in range(SHORT)),
+        ("middle", pa.list_(pa.int64())),
         ("bits", pa.list_(pa.int64())),
     ]
 )
-META_SQL = "doc_id long, sid long, twin long, n_shingles long, " + "".join(f"q{i} long, " for i in range(SHORT)) + "bits array<long>"
+META_SQL = "doc_id long, sid long, twin long, n_shingles long, " + "".join(f"q{i} long, " for i in range(SHORT)) + "middle array<long>, bits array<long>"
 
 
 def describe(width: int):
@@ -130,14 +136,16 @@ def describe(width: int):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             sid, twin, n = (np.zeros(len(texts), np.int64) for _ in range(3))
-            maps, shorts = [], [np.zeros((0, SHORT), np.int64)]
+            maps, middles, shorts = [], [], [np.zeros((0, SHORT), np.int64)]
             for at, to, grams, cuts in sets_of(texts, width):
                 sid[at:to], twin[at:to] = identities(grams, cuts)
                 n[at:to] = np.diff(cuts)
                 maps += bitmaps(grams, cuts)
-                shorts.append(short_bitmaps(grams, cuts))
+                shorts.append(short_bitmaps(grams, cuts, SHORT))
+                middles += list(short_bitmaps(grams, cuts, MIDDLE))
             quick = [pa.array(q) for q in np.concatenate(shorts).T.copy()]
-            rows = [batch.column(0), pa.array(sid), pa.array(twin), pa.array(n), *quick, pa.array(maps, META.field("bits").type)]
+            long = [pa.array(x, META.field("bits").type) for x in (middles, maps)]
+            rows = [batch.column(0), pa.array(sid), pa.array(twin), pa.array(n), *quick, *long]
             yield pa.RecordBatch.from_arrays(rows, schema=META)
 
     return run
@@ -350,6 +358,12 @@ def similar_short(a: str, b: str, num: int, den: int) -> Column:
     return F.expr(f"{sized} and ({short}) * {den + num}L <= {den - num}L * ({a}.n + {b}.n)")
 
 
+def similar_middle(a: str, b: str, num: int, den: int) -> Column:
+    """The same by the bitmaps of MIDDLE words."""
+    differing = " + ".join(f"bit_count({a}.middle[{i}] ^ {b}.middle[{i}])" for i in range(MIDDLE))
+    return F.expr(f"({differing}) * {den + num}L <= {den - num}L * ({a}.n + {b}.n)")
+
+
 def similar_bits(a: str, b: str, num: int, den: int) -> Column:
     """The same by the whole bitmaps, for pairs that pass similar_short()."""
     common = f"least(size({a}.bits), size({b}.bits))"
@@ -365,7 +379,7 @@ def similar_bits(a: str, b: str, num: int, den: int) -> Column:
 
 def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The distinct pairs (a, b) that sizes and bitmaps don't rule out."""
-    short = [c for c in sketches.columns if c not in ("sid", "bits")]
+    short = [c for c in sketches.columns if c not in ("sid", "middle", "bits")]
     for fields, similar in ((short, similar_short), (["n", "bits"], similar_bits)):
         left = sketches.select(F.col("sid").alias("a"), F.struct(*fields).alias("x"))
         right = sketches.select(F.col("sid").alias("b"), F.struct(*fields).alias("y"))
@@ -458,19 +472,32 @@ def split_groups(placed: DataFrame) -> DataFrame:
     return groups.where("x < y").groupBy("k", "h0", "h1", "h2", "h3").agg(F.min("sig").alias("sig")).select("sig")
 
 
-#: Members of a group whose pairs are formed in one task.
-BLOCK = 2048
+#: Neighbours in chains that a set is verified with at first.
+NEAREST = 8
+
+
+def nearest(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each set and the NEAREST sets that come before it in most chains of members' (sid, before, before2)."""
+    chains = members.select(F.explode(F.array("before", "before2")).alias("a"), F.col("sid").alias("b")).where("a is not null")
+    most = Window.partitionBy("b").orderBy(F.col("count").desc(), F.xxhash64("a", "b"))  # ties by chance, so that not all take the same few
+    close = chains.groupBy("a", "b").count().withColumn("_r", F.row_number().over(most)).where(F.col("_r") <= NEAREST)
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Members of a group whose pairs are formed in one task, and the least signatures of a set that go with each of its rows.
+BLOCK, LEAST = 2048, 16
 
 
 def pairs_apart(split: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of split's (sig, sid, label) that share a signature but no label, and that short bitmaps don't rule out.
+    """Distinct pairs (a, b) of split's (sig, sid, label) that share a signature but no label, and that the shorter bitmaps don't rule out.
 
     A group of more than BLOCK members is dealt to blocks; each two blocks, and each block with itself, meet in a cell
     of their own.
     """
     blocks = split.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     short = sketches.drop("bits")
-    rows = split.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).join(short, "sid")
+    least = split.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LEAST).alias("least"))
+    rows = split.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).join(short, "sid").join(least, "sid")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
     left, right = rows.alias("l"), rows.alias("r")
@@ -478,7 +505,9 @@ def pairs_apart(split: DataFrame, sketches: DataFrame, num: int, den: int) -> Da
     # a cell of two blocks is for their mixed pairs only
     mixed = (F.col("l.block") != F.col("r.block")) | (F.col("l.block") == F.col("l.other"))
     apart = same & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.label") != F.col("r.label")) & mixed
-    found = left.join(right, apart & similar_short("l", "r", num, den))
+    # near copies share very many signatures: what is certainly no link, or meets in a lesser signature too, is not to leave the join
+    met = F.exists("l.least", lambda sig: (sig < F.col("l.sig")) & F.array_contains("r.least", sig))
+    found = left.join(right, apart & similar_short("l", "r", num, den) & similar_middle("l", "r", num, den) & ~met)
     return found.select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
 
 
@@ -495,8 +524,9 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int =
 
     # the bitmaps of one row for each class that shares a signature; rows that repeat an id may hold other sets
     nodes = members.select("sid").distinct().join(classes, "sid").select("sid", "cls")
-    first = meta.select("doc_id", "sid", F.col("n_shingles").alias("n"), *[f"q{i}" for i in range(SHORT)], "bits")
-    sketches = first.join(nodes, (first.doc_id == nodes.cls) & (first.sid == nodes.sid)).select(first.sid, "n", *[f"q{i}" for i in range(SHORT)], "bits")
+    maps = [*[f"q{i}" for i in range(SHORT)], "middle", "bits"]
+    first = meta.select("doc_id", "sid", F.col("n_shingles").alias("n"), *maps)
+    sketches = first.join(nodes, (first.doc_id == nodes.cls) & (first.sid == nodes.sid)).select(first.sid, "n", *maps)
     sketches = materialize(spark, sketches.dropDuplicates(["sid"]), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -507,9 +537,7 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int =
         discard(spark, texts)
         return links
 
-    chains = members.select(F.explode(F.array("before", "before2")).alias("a"), F.col("sid").alias("b")).where("a is not null")
-    pairs = chains.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(spark, possible(pairs, sketches, num, den), "pairs")
+    pairs = materialize(spark, possible(nearest(members), sketches, num, den), "pairs")
     links = verified(pairs)
     labels = connected(spark, links)
 
@@ -545,9 +573,9 @@ def bitmaps(grams: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def short_bitmaps(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """For each set the parities of its features by hash over SHORT words, a row each."""
-    size, n = 64 * SHORT, len(cuts) - 1
+def short_bitmaps(grams: np.ndarray, cuts: np.ndarray, words: int) -> np.ndarray:
+    """For each set the parities of its features by hash over so many words, a row each."""
+    size, n = 64 * words, len(cuts) - 1
     owner = np.repeat(np.arange(n), np.diff(cuts))
     parity = np.bincount(owner * size + (grams % np.uint64(size)).astype(np.int64), minlength=n * size).astype(np.uint8) & 1
     return np.packbits(parity.reshape(n, size), axis=1, bitorder="little").view(np.int64)
