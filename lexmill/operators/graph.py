@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import ratio
+from lexmill.operators.hubs import hub_betweenness, hub_nodes
 from lexmill.storage import discard, written
 
 
@@ -146,16 +147,21 @@ def sources_betweenness(edges: list[tuple[str, str, float]], sources: list[str])
     return total
 
 
-def betweenness(spark: SparkSession, edges: DataFrame, blocks: int = 16, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(spark: SparkSession, edges: DataFrame, blocks: int = 16, most_edges: int = 2_000_000, few_edges: int = 2_000) -> DataFrame:
     """(era, node, betweenness), normalised for directed graphs; a frequent relation is a longer way, as weights are distances.
 
-    A task holds one graph of up to most_edges edges and a block of its sources; larger
-    graphs are worked out in tables, by tables_betweenness().
+    Graphs of more than few_edges edges that all touch one of a few hubs, as the networks of
+    target terms do, are worked out by counts of like nodes, in hubs.hub_betweenness(). Of
+    the others a task holds one graph of up to most_edges edges and a block of its sources;
+    larger graphs are worked out in tables, by tables_betweenness(). All three are exact.
     """
-    edges = written(spark, edges.select("era", "src", "dst", "weight"), "edges")
+    whole = edges = written(spark, edges.select("era", "src", "dst", "weight"), "edges")
+    many = edges.groupBy("era").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few_edges).select("era")
+    hubs = written(spark, hub_nodes(edges.where("src != dst").join(many, "era", "left_semi")), "hubs")
+    edges = edges.join(F.broadcast(hubs.select("era").distinct()), "era", "left_anti")
     sizes = edges.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
     large = [r["era"] for r in sizes.where(F.col("n") > most_edges).select("era").toLocalIterator()]
-    nodes = degrees(edges).select("era", "node")
+    nodes = degrees(whole).select("era", "node")
     small = edges.where(~F.coalesce(F.col("era").isin(large), F.lit(False))) if large else edges
     dealt = small.select("era", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
     graphs = small.groupBy("era").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("g"))
@@ -172,6 +178,8 @@ def betweenness(spark: SparkSession, edges: DataFrame, blocks: int = 16, most_ed
     parts = work.select("era", "sources", "g").mapInPandas(run, "era string, node string, part double")
     for era in large:
         parts = parts.unionByName(tables_betweenness(spark, edges.where(F.col("era") == era)))
+    if hubs.limit(1).count():
+        parts = parts.unionByName(hub_betweenness(spark, whole, hubs))
     sums = parts.groupBy("era", "node").agg(F.sum("part").alias("s"))
     size = nodes.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
     scaled = ratio(F.coalesce("s", F.lit(0.0)), (F.col("n") - 1) * (F.col("n") - 2), 0.0)
