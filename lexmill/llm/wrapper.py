@@ -30,9 +30,9 @@ space in a block becomes one space; character references are decoded. Nulls: a n
 page is empty and has no text; a null URL has the empty host. Repeated pages of a
 host would vote their own content into the template, so equal pages are not
 aligned. Broken markup never fails: unknown constructs are text, open elements end
-with the page. Very long and very deep pages are parsed whole, without recursion; where
-two lists of children are too long for the largest mapping (WIDE pairs and more, after
-equal ends are mapped), each child is mapped to the next one of its key, in order.
+with the page. Very long and very deep pages are parsed whole, without recursion, and the
+mapping is the largest whatever their size: time grows with the product of two lists of
+children, memory only with their lengths (rows of the table between kept ones are made twice).
 Empty input gives an empty result; extra columns are ignored.
 """
 
@@ -40,13 +40,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from math import isqrt
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,6 @@ from lexmill.llm.url_rules import host_of
 
 DOMINANT = 0.8
 CHAIN = 512
-WIDE = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
@@ -243,6 +243,48 @@ def ends_alike(x: list[Tree], y: list[Tree]) -> tuple[int, int]:
     return first, next((i for i in range(most - first) if x[-1 - i].shape != y[-1 - i].shape), most - first)
 
 
+def largest(u: list[int], v: list[int], plan: Plan) -> list[tuple[int, int]]:
+    """The places that the largest mapping of two lists of shapes pairs, last ones first; every isqrt(len(u))-th row of its table is kept."""
+    if not (u and v):
+        return []
+    kinds: dict[int, int] = {}
+    kind = np.array([kinds.setdefault(t, len(kinds)) for t in v])
+    known: dict[int, np.ndarray] = {}
+
+    def gain(s: int) -> np.ndarray:
+        if s not in known:
+            known[s] = np.array([plan.get((s, t), (0,))[0] for t in kinds])
+        return known[s][kind]
+
+    def after(row: np.ndarray, s: int) -> np.ndarray:
+        new = row.copy()
+        np.maximum(row[1:], row[:-1] + gain(s), out=new[1:])
+        return np.maximum.accumulate(new)
+
+    step, row = isqrt(len(u)), np.zeros(len(v) + 1, np.int64)
+    kept = []
+    for i, s in enumerate(u):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, s)
+    out, j = [], len(v)
+    for start in range((len(u) - 1) // step * step, -1, -step):
+        rows = [kept[start // step]]
+        for s in u[start : start + step]:
+            rows.append(after(rows[-1], s))
+        i = len(rows) - 1
+        while i and j:
+            got = plan.get((u[start + i - 1], v[j - 1]), (0,))[0]
+            if got and rows[i][j] == rows[i - 1][j - 1] + got:
+                i, j = i - 1, j - 1
+                out.append((start + i, j))
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
 def match(a: Tree, b: Tree, plan: Plan | None = None) -> int:
     """Simple tree matching: nodes in the largest mapping that keeps order and ancestry.
 
@@ -259,46 +301,18 @@ def match(a: Tree, b: Tree, plan: Plan | None = None) -> int:
         x, y = p.children, q.children
         first, last = ends_alike(x, y)
         pairs = [(i, i) for i in range(first)] + [(len(x) - i, len(y) - i) for i in range(last, 0, -1)]
-        u, v = range(first, len(x) - last), range(first, len(y) - last)
-        wide = len(u) * len(v) > WIDE
-        if wide:
-            places: dict[str, list[int]] = {}
-            for j in v:
-                places.setdefault(y[j].key, []).append(j)
-            middle, at = [], first
-            for i in u:
-                found = places.get(x[i].key, [])
-                k = bisect_left(found, at)
-                if k < len(found):
-                    middle.append((i, found[k]))
-                    at = found[k] + 1
-        else:
-            middle = [(i, j) for i in u for j in v if x[i].key == y[j].key]
+        u, v = x[first : len(x) - last], y[first : len(y) - last]
         if not ready:
-            wanted = [(x[i], y[j], False) for i, j in pairs + middle if (x[i].shape, y[j].shape) not in plan]
+            below = [(x[i], y[j]) for i, j in pairs]
+            below += [(s, t) for s in {s.shape: s for s in u}.values() for t in {t.shape: t for t in v}.values() if s.key == t.key]
+            wanted = [(s, t, False) for s, t in below if (s.shape, t.shape) not in plan]
             if wanted:
                 todo.append((p, q, True))
                 todo += wanted
                 continue
-        size = {(i, j): plan[x[i].shape, y[j].shape][0] for i, j in pairs + middle}
-        if not wide:
-            m = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
-            for i in range(1, len(u) + 1):
-                for j in range(1, len(v) + 1):
-                    got = size.get((u[i - 1], v[j - 1]), 0)
-                    m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + got)
-            middle, i, j = [], len(u), len(v)
-            while i and j:
-                got = size.get((u[i - 1], v[j - 1]), 0)
-                if got and m[i][j] == m[i - 1][j - 1] + got:
-                    middle.append((u[i - 1], v[j - 1]))
-                    i, j = i - 1, j - 1
-                elif m[i][j] == m[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
+        middle = [(first + i, first + j) for i, j in largest([s.shape for s in u], [t.shape for t in v], plan)]
         pairs = sorted(pairs + middle)
-        plan[p.shape, q.shape] = 1 + sum(size[k] for k in pairs), pairs
+        plan[p.shape, q.shape] = 1 + sum(plan[x[i].shape, y[j].shape][0] for i, j in pairs), pairs
     return plan[a.shape, b.shape][0]
 
 
