@@ -45,3 +45,14 @@ def test_a_large_network_of_terms_is_done_in_time(spark):
     rows = [("e", f"a{i}", "t", 1) for i in range(n)] + [("e", "t", f"b{i}", 1) for i in range(n)]
     got = values(graph.betweenness(spark, spark.createDataFrame(rows, EDGE)))
     assert got.pop(("e", "t")) == pytest.approx(n * n / (2 * n * (2 * n - 1)), abs=1e-9) and not any(got.values())
+
+
+def test_growth_of_a_large_network(spark):
+    """network_growth's steps on 20,000 nodes before or after a term; all paths between others go over it."""
+    n = 10_000
+    rows = [("e", f"a{i}", "t", 1 + i % 3) for i in range(n)] + [("e", "t", f"b{i}", 1 + i % 2) for i in range(n)]
+    edges = spark.createDataFrame(rows, EDGE)
+    got = graph.growth(edges, graph.pagerank(spark, edges, 4), graph.betweenness(spark, edges)).first()
+    nodes = 2 * n + 1
+    assert (got["nodes"], got["edges"], got["top_node"]) == (nodes, 2 * n, "t")
+    assert got["mean_betweenness"] == pytest.approx(n * n / ((nodes - 1) * (nodes - 2)) / nodes, abs=1e-9)
