@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import ratio
 from lexmill.operators.hubs import hub_betweenness, hub_nodes
-from lexmill.storage import discard, written
+from lexmill.storage import discard, once, written
 
 
 def edge_weights(frames: DataFrame, least: int = 1, by: tuple[str, ...] = ("era",)) -> DataFrame:
@@ -23,10 +23,13 @@ def edge_weights(frames: DataFrame, least: int = 1, by: tuple[str, ...] = ("era"
     """
     at = list(by)
     term = F.col("target_lemma")
-    heads = frames.select(*at, term.alias("src"), F.lower("dep_head_lemma").alias("dst"), F.col("dep_relation").alias("rel"))
-    kids = frames.select(*at, term.alias("dst"), F.explode("dep_children").alias("c")).select(*at, F.lower("c.text").alias("src"), "dst", F.col("c.dep").alias("rel"))
-    mods = frames.select(*at, term.alias("dst"), F.explode("modifiers").alias("m")).select(*at, F.lower("m.lemma").alias("src"), "dst", F.col("m.dep").alias("rel"))
-    rows = heads.unionByName(kids).unionByName(mods).where("src != '' and dst != '' and src != dst")
+    edge = lambda src, dst, rel: F.struct(src.alias("src"), dst.alias("dst"), rel.alias("rel"))
+    heads = F.array(edge(term, F.lower("dep_head_lemma"), F.col("dep_relation")))
+    kids = F.transform("dep_children", lambda c: edge(F.lower(c["text"]), term, c["dep"]))
+    mods = F.transform("modifiers", lambda m: edge(F.lower(m["lemma"]), term, m["dep"]))
+    # one pass over the frames: a union of the three would find them three times
+    links = F.concat(heads, F.coalesce(kids, F.array()), F.coalesce(mods, F.array()))
+    rows = frames.select(*at, F.inline(links)).where("src != '' and dst != '' and src != dst")
     counts = rows.groupBy(*at, "src", "dst", "rel").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return counts.groupBy(*at, "src", "dst").agg(F.sum("n").alias("weight"), F.array_join(F.array_sort(F.collect_set("rel")), "|").alias("relations"))
 
@@ -59,32 +62,30 @@ def pagerank(
     steps, so that a lost executor costs a few steps at most.
     """
     at = list(by)
-    edges = written(spark, edges.select(*at, "src", "dst", "weight"), "edges")
-    nodes = edges.select(*at, F.col("src").alias("node")).unionByName(edges.select(*at, F.col("dst").alias("node"))).distinct()
-    size = nodes.groupBy(*at).agg(F.count(F.lit(1)).alias("size"))
-    out = edges.groupBy(*at, F.col("src").alias("node")).agg(F.sum("weight").alias("out"))
-    base = written(spark, nodes.join(size, at).join(out, [*at, "node"], "left"), "nodes")
-    ranks, held = base.withColumn("rank", 1.0 / F.col("size")), None
+    edges = once(spark, edges, "edges").select(*at, "src", "dst", "weight")
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("weight").alias("out")), F.struct(F.col("dst").alias("node"), F.lit(None).alias("out")))
+    base = written(spark, edges.select(*at, F.inline(ends)).groupBy(*at, "node").agg(F.sum(F.when(F.col("node").isNotNull(), F.col("out"))).alias("out")), "nodes")
+    size = base.groupBy(*at).agg(F.count(F.lit(1)).alias("size"))
+    # a graph's own row is broadcast: a join by graph alone would put all of its nodes into one task
+    ranks, held = base.join(F.broadcast(size), at).select(*at, "node", "size", "out", (1.0 / F.col("size")).alias("rank")), None
     for step in range(1, steps + 1):
-        before = ranks.select(*at, "node", F.col("rank").alias("_before"))
         lost = ranks.groupBy(*at).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
-        given = (
-            edges.join(ranks.select(*at, F.col("node").alias("src"), "rank", "out"), [*at, "src"])
-            .groupBy(*at, F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("weight") / F.col("out")).alias("got"))
-        )
+        given = edges.where("dst is not null").join(ranks.select(*at, F.col("node").alias("src"), "rank", "out"), [*at, "src"])
+        given = given.select(*at, F.col("dst").alias("node"), (F.col("rank") * F.col("weight") / F.col("out")).alias("got"))
+        kept = ranks.select(*at, "node", "size", "out", F.col("rank").alias("_before"))
+        # every node has a row of its own, so what it is given meets it in the sum
+        new = given.unionByName(kept, allowMissingColumns=True).groupBy(*at, "node")
+        new = new.agg(F.sum("got").alias("got"), F.max("size").alias("size"), F.max("out").alias("out"), F.max("_before").alias("_before"))
         rank = (1 - damping) / F.col("size") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("size"))
-        ranks = base.join(given, [*at, "node"], "left").join(lost, at).select(*at, "node", "size", "out", rank.alias("rank"))
-        if step % every == 0 and step < steps:
-            if tolerance is not None:  # the change of the last step comes with the ranks
-                ranks = ranks.join(before, [*at, "node"])
+        ranks = new.join(F.broadcast(lost), at).select(*at, "node", "size", "out", rank.alias("rank"), "_before")
+        if step < steps:  # a step reads the ranks three times, so they are a table at once
             last, held = held, written(spark, ranks, "ranks")
             discard(spark, last)
             ranks = held
-            if tolerance is not None:
+            if tolerance is not None and step % every == 0:
                 moved = ranks.groupBy(*at).agg((F.sum(F.abs(F.col("rank") - F.col("_before"))) / F.first("size")).alias("moved"))
                 if not moved.where(F.col("moved") >= tolerance).limit(1).count():
                     break
-                ranks = ranks.drop("_before")
     return ranks.select(*at, "node", F.round("rank", digits).alias("pagerank"))
 
 
@@ -155,13 +156,27 @@ def betweenness(spark: SparkSession, edges: DataFrame, blocks: int = 16, most_ed
     the others a task holds one graph of up to most_edges edges and a block of its sources;
     larger graphs are worked out in tables, by tables_betweenness(). All three are exact.
     """
-    whole = edges = written(spark, edges.select("era", "src", "dst", "weight"), "edges")
+    whole = edges = once(spark, edges, "edges").select("era", "src", "dst", "weight")
     many = edges.groupBy("era").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few_edges).select("era")
-    hubs = written(spark, hub_nodes(edges.where("src != dst").join(many, "era", "left_semi")), "hubs")
+    hubs = written(spark, hub_nodes(edges.where("src != dst").join(F.broadcast(many), "era", "left_semi")), "hubs")
+    parts = [hub_betweenness(spark, whole, hubs)] if hubs.limit(1).count() else []
     edges = edges.join(F.broadcast(hubs.select("era").distinct()), "era", "left_anti")
+    if not parts or edges.limit(1).count():
+        parts += walks_betweenness(spark, edges, blocks, most_edges)
+    # every node has a row of its own, so that one sum holds the nodes on no path too
+    rows = whole.select("era", F.explode(F.array("src", "dst")).alias("node"), F.lit(0.0).alias("part"))
+    for part in parts:
+        rows = rows.unionByName(part)
+    sums = written(spark, rows.groupBy("era", "node").agg(F.sum("part").alias("s")), "sums")
+    size = sums.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
+    scaled = ratio(F.col("s"), (F.col("n") - 1) * (F.col("n") - 2), 0.0)
+    return sums.join(F.broadcast(size), "era").select("era", "node", F.round(scaled, 9).alias("betweenness"))
+
+
+def walks_betweenness(spark: SparkSession, edges: DataFrame, blocks: int, most_edges: int) -> list[DataFrame]:
+    """Tables of (era, node, part): sums of dependencies by walks from each node, in tasks or, for larger graphs, in tables."""
     sizes = edges.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
     large = [r["era"] for r in sizes.where(F.col("n") > most_edges).select("era").toLocalIterator()]
-    nodes = degrees(whole).select("era", "node")
     small = edges.where(~F.coalesce(F.col("era").isin(large), F.lit(False))) if large else edges
     dealt = small.select("era", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
     graphs = small.groupBy("era").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("g"))
@@ -175,15 +190,8 @@ def betweenness(spark: SparkSession, edges: DataFrame, blocks: int = 16, most_ed
                 rows += [(r.era, n, v) for n, v in found.items()]
             yield pd.DataFrame(rows, columns=["era", "node", "part"])
 
-    parts = work.select("era", "sources", "g").mapInPandas(run, "era string, node string, part double")
-    for era in large:
-        parts = parts.unionByName(tables_betweenness(spark, edges.where(F.col("era") == era)))
-    if hubs.limit(1).count():
-        parts = parts.unionByName(hub_betweenness(spark, whole, hubs))
-    sums = parts.groupBy("era", "node").agg(F.sum("part").alias("s"))
-    size = nodes.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
-    scaled = ratio(F.coalesce("s", F.lit(0.0)), (F.col("n") - 1) * (F.col("n") - 2), 0.0)
-    return nodes.join(sums, ["era", "node"], "left").join(size, "era").select("era", "node", F.round(scaled, 9).alias("betweenness"))
+    parts = [work.select("era", "sources", "g").mapInPandas(run, "era string, node string, part double")]
+    return parts + [tables_betweenness(spark, edges.where(F.col("era") == era)) for era in large]
 
 
 def tables_betweenness(spark: SparkSession, edges: DataFrame, pairs_each: int = 1_000_000_000) -> DataFrame:

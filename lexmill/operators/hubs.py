@@ -27,15 +27,24 @@ def hub_nodes(edges: DataFrame, most: int = MOST) -> DataFrame:
     """(era, node): hubs that touch all edges, for eras that have `most` such or fewer; no parallel edges, weights over 0."""
     ends = edges.select("era", F.explode(F.array("src", "dst")).alias("node")).groupBy("era", "node").count()
     place = Window.partitionBy("era").orderBy(F.col("count").desc(), "node")
-    top = ends.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= most).select("era", "node")
-    seen = marked(edges, top)
-    odd = seen.where(~(F.col("sh") | F.col("dh")) | F.col("weight").isNull() | (F.col("weight") <= 0)).select("era")
-    odd = odd.unionByName(edges.groupBy("era", "src", "dst").count().where("count > 1").select("era")).distinct()
+    spark = edges.sparkSession
+    top = written(spark, ends.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= most).select("era", "node"), "top")
+    # one pass over the edges: weight is null where an edge is parallel to another or has no weight over 0
+    pairs = edges.groupBy("era", "src", "dst").agg(F.when((F.count(F.lit(1)) == 1) & (F.max("weight") > 0), F.lit(1)).alias("weight"))
+    tag = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    src, dst, none = F.col("src"), F.col("dst"), F.lit(None).cast("string")
+    odd = tag("odd", none, none)
+    outer = tag("outer", F.when(F.col("sh"), src).otherwise(dst), none)
+    seen = marked(pairs, top).select("era", F.when(F.expr("weight is null or not (sh or dh)"), odd).when(F.expr("sh and dh"), tag("inner", src, dst)).otherwise(outer).alias("t"))
+    seen = written(spark, seen.select("era", "t.*").distinct(), "touched")
     # of the top nodes those with a neighbour that is none, and the ends of edges that these don't touch
-    outer = seen.where("sh != dh").select("era", F.when(F.col("sh"), F.col("src")).otherwise(F.col("dst")).alias("node")).distinct()
-    inner = marked(seen.where("sh and dh").select("era", "src", "dst", "weight"), outer).where("not sh and not dh")
-    inner = inner.select("era", F.explode(F.array("src", "dst")).alias("node"))
-    return outer.unionByName(inner).distinct().join(odd, "era", "left_anti")
+    odd = seen.where("kind = 'odd'").select("era").distinct()
+    outer = seen.where("kind = 'outer'").select("era", F.col("a").alias("node"))
+    inner = seen.where("kind = 'inner'").select("era", "a", "b")
+    for end in ("a", "b"):
+        inner = inner.join(F.broadcast(outer.withColumnRenamed("node", end)), ["era", end], "left_anti")
+    inner = inner.select("era", F.explode(F.array("a", "b")).alias("node"))
+    return outer.unionByName(inner).distinct().join(F.broadcast(odd), "era", "left_anti")
 
 
 def marked(edges: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -68,24 +77,37 @@ def hub_paths(arcs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["era", "h", "k", "d", "n"])
 
 
-def profiles(links: DataFrame, ways: DataFrame, name: str) -> DataFrame:
-    """(era, node, name): the links (era, node, h, w) that no way (era, h, k, d) from another link's hub beats, by hub, less the least w."""
-    best = links.join(F.broadcast(ways), ["era", "h"]).groupBy("era", "node", F.col("k").alias("h")).agg(F.min(F.col("w") + F.col("d")).alias("m"))
-    kept = links.join(best, ["era", "node", "h"]).where("w <= m").groupBy("era", "node").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("l"))
-    least = F.array_min(F.transform("l", lambda x: x["w"]))
-    return kept.select("era", "node", F.transform("l", lambda x: F.struct(x["h"].alias("h"), (x["w"] - least).alias("w"))).alias(name))
+def profiles(likes: DataFrame, ways: DataFrame) -> DataFrame:
+    """(era, id, n, a, b): of the links o and i of likes (era, id, n, o, i), as sources (a) and targets (b), those that no
+    way (era, h, k, d) over another link's hub beats, by hub, less the least w; null where there are no links."""
+    links = [likes.select("era", "id", "n", F.lit(side).alias("side"), F.inline(name)) for side, name in (("a", "o"), ("b", "i"))]
+    both = ways.select("era", F.lit("a").alias("side"), "h", "k", "d").unionByName(ways.select("era", F.lit("b").alias("side"), F.col("k").alias("h"), F.col("h").alias("k"), "d"))
+    far = links[0].unionByName(links[1]).join(F.broadcast(both), ["era", "side", "h"])
+    # a hub's own way to itself has length 0, so the link is among what it is compared with
+    best = far.groupBy("era", "id", "n", "side", F.col("k").alias("h")).agg(F.min(F.col("w") + F.col("d")).alias("m"), F.max(F.when(F.col("h") == F.col("k"), F.col("w"))).alias("w"))
+    kept = best.where("w <= m").groupBy("era", "id", "n")
+    kept = kept.agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("h", "w")))).alias(side) for side in "ab"])
+    least = lambda side: F.array_min(F.transform(side, lambda x: x["w"]))
+    less = lambda side: F.transform(side, lambda x: F.struct(x["h"].alias("h"), (x["w"] - least(side)).alias("w")))
+    return kept.select("era", "id", "n", *[F.when(F.size(side) > 0, less(side)).alias(side) for side in "ab"])
 
 
 def hub_betweenness(spark: SparkSession, edges: DataFrame, hubs: DataFrame) -> DataFrame:
     """(era, node, part): the sum of dependencies on each node; hubs from hub_nodes(), eras without hubs are left out."""
     edges = marked(edges.where("src != dst").join(F.broadcast(hubs.select("era").distinct()), "era"), hubs)
-    edges = written(spark, edges.withColumn("weight", F.col("weight").cast("double")), "marked")
-    outs = edges.where("not sh and dh").select("era", F.col("src").alias("node"), F.col("dst").alias("h"), F.col("weight").alias("w"))
-    ins = edges.where("sh and not dh").select("era", F.col("dst").alias("node"), F.col("src").alias("h"), F.col("weight").alias("w"))
-    into = ins.select("era", "node", F.col("h").alias("g"), F.col("w").alias("_w"))
-    via = into.join(outs.withColumnRenamed("h", "k"), ["era", "node"]).where("g != k").select("era", "node", "g", "k", (F.col("_w") + F.col("w")).alias("w"))
-    direct = edges.where("sh and dh").select("era", F.lit(None).cast("string").alias("node"), F.col("src").alias("g"), F.col("dst").alias("k"), F.col("weight").alias("w"))
-    arcs = via.unionByName(direct).groupBy("era", "g", "k", "w").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    edges = edges.withColumn("weight", F.col("weight").cast("double"))
+    # each node's edges to hubs (o) and from hubs (i), and how many nodes are alike in both; all steps but the last are on likes
+    sh, src, dst = F.col("sh"), F.col("src"), F.col("dst")
+    x = F.struct(F.when(sh, src).otherwise(dst).alias("h"), F.col("weight").alias("w"))
+    links = edges.where("sh != dh").select("era", F.when(sh, dst).otherwise(src).alias("node"), "sh", x.alias("x"))
+    lists = [F.array_sort(F.collect_list(F.when(at, F.col("x")))).alias(name) for at, name in ((~sh, "o"), (sh, "i"))]
+    members = written(spark, links.groupBy("era", "node").agg(*lists), "members")
+    likes = members.groupBy("era", "o", "i").agg(F.count(F.lit(1)).alias("n"))
+    likes = written(spark, likes.withColumn("id", F.monotonically_increasing_id()), "likes")
+    pairs = lambda rows: rows.select("*", F.explode("i").alias("_i")).select("*", F.explode("o").alias("_o")).where("_i.h != _o.h")
+    via = lambda rows, x: pairs(rows).select("era", x, F.col("_i.h").alias("g"), F.col("_o.h").alias("k"), F.expr("_i.w + _o.w").alias("w"))
+    direct = edges.where("sh and dh").select("era", F.col("src").alias("g"), F.col("dst").alias("k"), F.col("weight").alias("w"), F.lit(1).cast("long").alias("n"))
+    arcs = via(likes, "n").unionByName(direct).groupBy("era", "g", "k", "w").agg(F.sum("n").cast("double").alias("c"))
     arcs = arcs.groupBy("era", "g", "k").agg(F.min(F.struct("w", "c")).alias("m")).select("era", "g", "k", "m.w", "m.c")
     arcs = written(spark, arcs, "arcs")
     paths = arcs.groupBy("era").applyInPandas(hub_paths, "era string, h string, k string, d double, n double")
@@ -94,9 +116,9 @@ def hub_betweenness(spark: SparkSession, edges: DataFrame, hubs: DataFrame) -> D
 
     # profiles as sources (a) and as targets (b); a hub is its own
     itself = F.array(F.struct(F.col("node").alias("h"), F.lit(0.0).alias("w")))
-    nodes = profiles(outs, paths, "a").join(profiles(ins, paths.select("era", F.col("k").alias("h"), F.col("h").alias("k"), "d"), "b"), ["era", "node"], "full")
-    nodes = nodes.withColumn("hub", F.lit(False)).unionByName(hubs.select("era", "node", itself.alias("a"), itself.alias("b"), F.lit(True).alias("hub")))
-    kinds = written(spark, nodes.groupBy("era", "hub", "a", "b").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    nodes = profiles(likes, paths).select("era", "a", "b", "n", F.lit(False).alias("hub"))
+    nodes = nodes.unionByName(hubs.select("era", itself.alias("a"), itself.alias("b"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("hub")))
+    kinds = written(spark, nodes.groupBy("era", "hub", "a", "b").agg(F.sum("n").alias("n")), "kinds")
     side = lambda x: kinds.where(F.col(x).isNotNull()).groupBy("era", F.col("hub").alias(f"{x}h"), x).agg(F.sum("n").alias(f"{x}n"))
     source = side("a").select("*", F.explode("a").alias("f")).select("era", "ah", "a", "an", F.col("f.h").alias("h"), F.col("f.w").alias("aw"))
     target = side("b").select("*", F.explode("b").alias("f")).select("era", "bh", "b", "bn", F.col("f.h").alias("k"), F.col("f.w").alias("bw"))
@@ -126,5 +148,5 @@ def hub_betweenness(spark: SparkSession, edges: DataFrame, hubs: DataFrame) -> D
     middle = middle.select("era", F.col("g").alias("node"), (F.col("all") * F.col("n1") * F.col("n2")).alias("part"))
     used = lead.join(arcs.withColumnRenamed("k", "j"), ["era", "g"]).join(tail, ["era", "j", "k"]).where("d1 + w + d2 = d")
     used = used.groupBy("era", "g", F.col("j").alias("k"), "w").agg(F.sum(F.col("all") * F.col("n1") * F.col("n2")).alias("part"))
-    inside = via.join(F.broadcast(used), ["era", "g", "k", "w"]).select("era", "node", "part")
+    inside = via(members, "node").join(F.broadcast(used), ["era", "g", "k", "w"]).select("era", "node", "part")
     return first.unionByName(last).unionByName(only).unionByName(middle).unionByName(inside).groupBy("era", "node").agg(F.sum("part").alias("part"))

@@ -30,6 +30,11 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def once(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """df if it is a table made by written(), else df written."""
+    return df if getattr(df, "_lexmill_path", None) else written(spark, df, label)
+
+
 def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
     """Delete tables made by written() that no later plan reads; other frames are left alone."""
     for df in tables:

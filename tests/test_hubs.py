@@ -1,10 +1,12 @@
 """Betweenness by hubs against Brandes' walks from each source."""
 
 import random
+import re
 
 import pytest
 
 from lexmill.operators import graph, hubs
+from lexmill.storage import written
 
 EDGE = "era string, src string, dst string, weight long"
 
@@ -56,3 +58,29 @@ def test_growth_of_a_large_network(spark):
     nodes = 2 * n + 1
     assert (got["nodes"], got["edges"], got["top_node"]) == (nodes, 2 * n, "t")
     assert got["mean_betweenness"] == pytest.approx(n * n / ((nodes - 1) * (nodes - 2)) / nodes, abs=1e-9)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_found_in_one_pass(spark):
+    """Heads, children and modifiers come from one reading of the frames, missing lists and names among them."""
+    kinds = "era string, target_lemma string, dep_head_lemma string, dep_relation string, dep_children array<struct<text:string,dep:string>>, modifiers array<struct<lemma:string,dep:string>>"
+    rows = [("e", "t", "H", "obj", [("A", "det"), (None, "det")], [("A", "amod")]), ("e", "t", "h", "obj", None, None), ("e", "t", "", "obj", [], [("t", "amod")])]
+    edges = graph.edge_weights(written(spark, spark.createDataFrame(rows, kinds), "frames"))
+    assert plan(edges).count("FileScan") == 1
+    got = {(r["era"], r["src"], r["dst"], r["weight"], r["relations"]) for r in edges.collect()}
+    assert got == {("e", "t", "h", 2, "obj"), ("e", "a", "t", 2, "amod|det")}
+
+
+def test_no_task_holds_all_nodes_of_a_graph(spark):
+    """A join by graph alone would deal a network's nodes to one task; totals of graphs are broadcast, however large joins are made."""
+    edges = spark.createDataFrame([("e", f"a{i}", f"a{i * 7 % 50}", 1 + i % 3) for i in range(1, 50)], EDGE)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (graph.pagerank(spark, edges, 1), graph.betweenness(spark, edges)):
+            assert not re.search(r"SortMergeJoin \[era#\d+\], \[era#\d+\]", plan(df))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
